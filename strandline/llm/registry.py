@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("jaccard_join", "substring_dedup")
+MODULES = ("jaccard_join", "substring_dedup", "decontamination")
 
 
 def _gather(attribute: str) -> dict:
