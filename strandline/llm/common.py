@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strandline.session import checkpoint_root
 
@@ -120,7 +121,7 @@ def flatten(lists: list[list]) -> tuple[list, np.ndarray]:
     return [x for y in lists for x in y], starts
 
 
-def text_pass(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def text_pass(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
     """mapInArrow over text steps; function maps a RecordBatch to RecordBatches."""
 
     def run(batches):
@@ -130,6 +131,16 @@ def text_pass(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def with_carry(ddl: str, df: DataFrame, carry: tuple[str, ...]) -> StructType:
+    """The schema of ddl with columns of df, whatever their types and names, after it."""
+    return StructType([*StructType.fromDDL(ddl).fields, *(df.schema[c] for c in carry)])
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that they ride through a pass under one name."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def table(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends here."""
     path = f"{checkpoint_root(spark)}/strandline-{uuid.uuid4().hex}"

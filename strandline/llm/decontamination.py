@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.automaton import SuffixAutomaton
-from strandline.llm.common import as_bytes, flatten, text_pass
+from strandline.llm.common import as_bytes, flatten, text_pass, whole_row, with_carry
 
 WINDOW = 10
 #: Text of test items that one automaton, and so one broadcast, holds at most (about 60 times that in memory).
 SHARD_BYTES = 2_000_000
+#: Share of hit words above which a document is dropped instead of reduced.
+MAX_COVERAGE = 0.8
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if c < 0x30 or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -67,7 +69,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def shard_pass(state: DataFrame, shared) -> DataFrame:
+def shard_pass(state: DataFrame, shared, carry: str | None = None) -> DataFrame:
     """Adds the spans and items of one shard's automaton."""
 
     def one(step):
@@ -89,21 +91,25 @@ def shard_pass(state: DataFrame, shared) -> DataFrame:
         for i in touched:
             spans[i] = merged(spans[i])
         arrays = [step.column("doc_id").cast(pa.int64()), step.column("text"), pa.array(np.diff(starts)), pa.array([[{"lo": a, "hi": b} for a, b in x] for x in spans], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text", "n_words", "spans", "items"])
+        names = ["doc_id", "text", "n_words", "spans", "items"]
+        if carry:
+            arrays.append(step.column(carry))
+            names.append(carry)
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return text_pass(state, one, STATE)
+    return text_pass(state, one, with_carry(STATE, state, (carry,) if carry else ()))
 
 
-def contaminated_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text, n_words, spans (ranges of hit words, merged) and items (their ids, sorted as strings)."""
+def contaminated_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: str | None = None) -> DataFrame:
+    """doc_id, text, n_words, spans (ranges of hit words, merged), items (their ids, sorted as strings) and the column carry."""
     spark = documents.sparkSession
-    state = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("n_words"), F.expr("cast(null as array<struct<lo:int,hi:int>>)").alias("spans"), F.expr("cast(null as array<string>)").alias("items"))
+    state = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("n_words"), F.expr("cast(null as array<struct<lo:int,hi:int>>)").alias("spans"), F.expr("cast(null as array<string>)").alias("items"), *([carry] if carry else []))
     passes = 0
     for pair in automata(benchmark, window):
-        state = shard_pass(state, spark.sparkContext.broadcast(pair))
+        state = shard_pass(state, spark.sparkContext.broadcast(pair), carry)
         passes += 1
     if not passes:
-        state = shard_pass(state, spark.sparkContext.broadcast((SuffixAutomaton().finish(window), [])))
+        state = shard_pass(state, spark.sparkContext.broadcast((SuffixAutomaton().finish(window), [])), carry)
     return state
 
 
@@ -113,8 +119,8 @@ def digest(state: DataFrame) -> DataFrame:
     return state.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def strip_spans(state: DataFrame, max_coverage: float) -> DataFrame:
-    """doc_id, clean_text and dropped (more than max_coverage of the words were hit)."""
+def strip_spans(state: DataFrame, max_coverage: float, carry: str | None = None) -> DataFrame:
+    """doc_id, clean_text, the column carry and dropped (more than max_coverage of the words were hit)."""
 
     def one(step):
         out, dropped = [], []
@@ -129,9 +135,30 @@ def strip_spans(state: DataFrame, max_coverage: float) -> DataFrame:
                     at = words[s["hi"]].end()
                 text = b"".join([*parts, text[at:]])
             out.append(text)
-        yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(out, pa.binary()).cast(pa.string()), pa.array(dropped)], names=["doc_id", "clean_text", "dropped"])
-
-    return text_pass(state.select("doc_id", "text", "n_words", "spans"), one, "doc_id long, clean_text string, dropped boolean")
+        extra = [carry] if carry else []
+        yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(out, pa.binary()).cast(pa.string()), pa.array(dropped), *(step.column(c) for c in extra)], names=["doc_id", "clean_text", "dropped", *extra])
+
+    schema = with_carry("doc_id long, clean_text string, dropped boolean", state, (carry,) if carry else ())
+    return text_pass(state.select("doc_id", "text", "n_words", "spans", *([carry] if carry else [])), one, schema)
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+    """documents without hit words; those of which more than max_coverage was hit go. n_chars follows the text.
+
+    Rows keep their other columns as a struct that rides along, so nothing is joined back.
+    """
+    carried = documents.select("doc_id", "text", whole_row(documents).alias("_row"))
+    state = contaminated_spans(carried, benchmark, window, carry="_row")
+    clean = strip_spans(state, max_coverage, carry="_row").where("not dropped")
+    columns = []
+    for c in documents.columns:
+        column = F.col(f"_row.`{c}`")
+        if c == "text":
+            column = F.col("clean_text")
+        elif c == "n_chars":
+            column = F.char_length("clean_text").cast(documents.schema[c].dataType)
+        columns.append(column.alias(c))
+    return clean.select(columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

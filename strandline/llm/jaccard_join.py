@@ -1,6 +1,6 @@
 """N-gram Jaccard join: size-aware heavy-light join of shingle sets.
 
-Sets are collapsed to classes of equal sets first. A pair of classes whose
+Sets are collapsed to classes of equal sets first (a 64-bit digest names a class). A pair of classes whose
 larger set has at most ``boundary`` members meets in *light* keys: each set
 enumerates its subsets down to the smallest size that the intersection of a
 linked pair can have. Every other pair meets in *heavy* keys: inverted lists
@@ -43,7 +43,7 @@ CENTRE_ROWS = 4_000
 #: Chance that a member of one set is in another set of the same size group, for the cost formula.
 OVERLAP = 0.3
 
-CLASS_SCHEMA = "doc_id long, n_shingles long, key binary, keys array<long>, bits array<long>"
+CLASS_SCHEMA = "doc_id long, n_shingles long, key long, keys array<long>, bits array<long>"
 
 
 def shingle_sets(texts: list[bytes | None], size: int, words: HashTable) -> tuple[np.ndarray, np.ndarray]:
@@ -77,20 +77,23 @@ class Plan:
 
     def __init__(self, percent: int, boundary: int):
         self.percent, self.boundary = percent, boundary
-        lows = [max(1, boundary * percent // 100)]
+        # Group i holds sizes lows[i] to highs[i]; the next one starts before it ends, so that
+        # any two sizes that can link share a group.
+        lows, highs = [max(1, boundary * percent // 100)], []
         while lows[-1] < 1 << 40:
-            lows.append(lows[-1] * 100 // percent + 1)
-        self.lows = np.array(lows, np.int64)
-        highs = self.lows[2:] - 1  # largest size in group i: bands i and i + 1
+            start_next = lows[-1] * 3 // 2 + 1
+            highs.append((start_next - 1) * 100 // percent)
+            lows.append(start_next)
+        self.lows, self.highs = np.array(lows[:-1], np.int64), np.array(highs, np.int64)
         # |A xor B| <= (a + b)(100 - p)/(100 + p)
-        self.parts = 2 * highs * (100 - percent) // (100 + percent) + 2
+        self.parts = 2 * self.highs * (100 - percent) // (100 + percent) + 2
 
     def left_out(self, n: int) -> int:
         return n - -(-n * self.percent // 100)
 
     def groups(self, n: int) -> list[tuple[int, int]]:
-        band = int(np.searchsorted(self.lows, n, "right")) - 1
-        return [(g, int(self.parts[g])) for g in (band, band - 1) if g >= 0]
+        last = int(np.searchsorted(self.lows, n, "right")) - 1
+        return [(g, int(self.parts[g])) for g in (last, last - 1) if g >= 0 and n <= self.highs[g]]
 
     def light(self, n: int) -> bool:
         return n <= self.boundary and self.left_out(n) > 0
@@ -108,8 +111,8 @@ def light_cost(n: int, left_out: int) -> float:
 
 
 def heavy_cost(n: int, parts: int, peers: int) -> float:
-    """Keys of the two groups, and list entries expected to be scanned in vain."""
-    return 2 * parts + parts * peers * OVERLAP ** (n / parts)
+    """Keys of one or two groups, and list entries expected to be scanned in vain."""
+    return 1.3 * parts + parts * peers * OVERLAP ** (n / parts)
 
 
 def choose_boundary(sizes: dict[int, int], percent: int) -> int:
@@ -159,6 +162,11 @@ def bitmap(members: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def class_key(members: np.ndarray) -> int:
+    """64 bits that stand for a whole set."""
+    return int(mix(np.array([mix(members).sum(dtype=U64) ^ members.sum(dtype=U64)], U64)).view(np.int64)[0])
+
+
 def class_pass(documents: DataFrame, size: int, percent: int, boundary: int) -> DataFrame:
     """Each row's set size and class key; keys and bitmap once for each class and task."""
 
@@ -169,14 +177,13 @@ def class_pass(documents: DataFrame, size: int, percent: int, boundary: int) ->
         for step in steps(batches):
             sets, starts = shingle_sets(as_bytes(step.column("text")), size, words)
             words.trim()
-            scrambled = mix(sets + U64(0x5851F42D4C957F2D))
             sizes, keys, sigs, bits = np.diff(starts), [], [], []
             for i in range(step.num_rows):
                 lo, hi = starts[i], starts[i + 1]
                 if lo == hi:
                     keys.append(None), sigs.append(None), bits.append(None)
                     continue
-                key = int(sets[lo:hi].sum(dtype=U64)).to_bytes(8, "big") + int(scrambled[lo:hi].sum(dtype=U64)).to_bytes(8, "big")
+                key = class_key(sets[lo:hi])
                 keys.append(key)
                 if key in seen:
                     sigs.append(None), bits.append(None)
@@ -185,7 +192,7 @@ def class_pass(documents: DataFrame, size: int, percent: int, boundary: int) ->
                     seen.add(key)
                 sigs.append(set_keys(sets[lo:hi], plan).view(np.int64))
                 bits.append(bitmap(sets[lo:hi]))
-            yield pa.RecordBatch.from_arrays([step.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "key", "keys", "bits"])
+            yield pa.RecordBatch.from_arrays([step.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(keys, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "key", "keys", "bits"])
 
     return documents.select("doc_id", "text").mapInArrow(run, CLASS_SCHEMA)
 
@@ -205,7 +212,7 @@ def verify(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: int, p
     """
     salts = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / CENTRE_ROWS) + 1).alias("salts"))
     centres = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).alias("salt"))
-    centres = centres.join(texts.withColumnRenamed("key", "a"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "text")
+    centres = centres.join(texts.withColumnRenamed("key", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     members = pairs.join(salts, "a").select("a", "b", F.pmod(F.hash("b"), F.col("salts")).cast("int").alias("salt"))
     members = members.join(texts.withColumnRenamed("key", "b"), "b").select("a", "salt", "b", "text")
     parted = centres.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -227,9 +234,9 @@ def verify(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: int, p
                 common = len(np.intersect1d(own, own_set, assume_unique=True))
                 if 100 * common >= percent * (len(own) + len(own_set) - common):
                     found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return parted.mapInArrow(run, "a binary, b binary")
+    return parted.mapInArrow(run, "a long, b long")
 
 
 def distant(bits_a, bits_b, n_a, n_b, percent: int):
@@ -246,9 +253,9 @@ def jaccard_join(documents: DataFrame, size: int = 3, percent: int = 90, boundar
         boundary = choose_boundary(small_sizes(documents), percent)
     rows = table(spark, class_pass(documents, size, percent, boundary))
     classes = rows.where("keys is not null").groupBy("key").agg(F.first("bits").alias("bits"), F.first("n_shingles").alias("n"))
-    lists = rows.where("keys is not null").select("key", F.explode("keys").alias("sig")).distinct()
+    lists = rows.where("keys is not null").select("key", F.explode("keys").alias("sig"))
     shared = lists.groupBy("sig").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("sig", "a")
-    members = table(spark, lists.join(shared, "sig"))
+    members = table(spark, lists.join(shared, "sig").distinct())
     # Round one: the leader of most of a class's lists.
     lead = members.where("a <> key").groupBy("key", "a").agg(F.count(F.lit(1)).alias("c"))
     lead = lead.groupBy("key").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("key").alias("b"))
@@ -296,11 +303,10 @@ def keyed_texts(texts: DataFrame, size: int) -> DataFrame:
         column = as_bytes(step.column("text"))
         sets, starts = shingle_sets(column, size, words)
         words.trim()
-        scrambled = mix(sets + U64(0x5851F42D4C957F2D))
-        keys = [int(sets[a:b].sum(dtype=U64)).to_bytes(8, "big") + int(scrambled[a:b].sum(dtype=U64)).to_bytes(8, "big") if b > a else None for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), step.column("text")], names=["key", "text"])
+        keys = [class_key(sets[a:b]) if b > a else None for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), step.column("text")], names=["key", "text"])
 
-    return text_pass(texts.select("text"), one, "key binary, text string")
+    return text_pass(texts.select("text"), one, "key long, text string")
 
 
 def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -261,6 +261,42 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM
     return removal_pass(joined.select("doc_id", "text", "spans"), window, with_text)
 
 
+def keep_rest(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """documents with reduced texts; a text of which nothing is left goes. n_chars follows the text."""
+    spark = documents.sparkSession
+    spans = table(spark, repeated_spans(documents, window, gram))
+    ids = table(spark, spans.select("doc_id").distinct())
+    few = ids.limit((1 << 20) + 1).count() <= 1 << 20
+    marked = F.broadcast(ids.withColumn("_hit", F.lit(True))) if few else ids.withColumn("_hit", F.lit(True))
+    rows = documents.join(marked, "doc_id", "left")
+    same = rows.where("_hit is null").select(documents.columns)
+    hit = rows.where("_hit").drop("_hit").withColumn("_th", hash_column("text"))
+    hit = hit.join(spans.select("doc_id", F.col("th").alias("_th"), F.col("spans").alias("_spans")), ["doc_id", "_th"], "left")
+    cut_text = cut_udf(window)("text", F.to_json("_spans"))
+    hit = hit.withColumn("text", cut_text).where("text is null or text <> ''")
+    if "n_chars" in documents.columns:
+        hit = hit.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
+    return same.unionByName(hit.select(documents.columns))
+
+
+def cut_udf(window: int):
+    @F.pandas_udf("string")
+    def cut_out(texts, spans):
+        import json
+
+        import pandas as pd
+
+        out = []
+        for text, s in zip(texts, spans, strict=True):
+            if text is not None and s is not None:
+                raw = text.encode()
+                text = cut(raw, covered(json.loads(s), len(raw.split()), window)).decode()
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    return cut_out
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return substring_dedup(documents, with_text=False)
