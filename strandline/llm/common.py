@@ -20,9 +20,9 @@ from pyspark.sql.types import StructType
 from strandline.session import checkpoint_root
 
 #: Bytes of text that one step of a Python pass holds as word objects.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 #: Distinct words that a worker remembers before it starts afresh.
-WORD_TABLE_LIMIT = 400_000
+WORD_TABLE_LIMIT = 200_000
 #: Rows of ids that a join may broadcast (16 bytes each, so 16 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 1 << 20
 

@@ -30,7 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import LOWER, U64, HashTable, as_bytes, components, flatten, mix, semi_join, table, text_pass, word64
@@ -254,10 +254,12 @@ def jaccard_join(documents: DataFrame, size: int = 3, percent: int = 90, boundar
     rows = table(spark, class_pass(documents, size, percent, boundary))
     classes = rows.where("keys is not null").groupBy("key").agg(F.first("bits").alias("bits"), F.first("n_shingles").alias("n"))
     lists = rows.where("keys is not null").select("key", F.explode("keys").alias("sig"))
-    shared = lists.groupBy("sig").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("sig", "a")
-    members = table(spark, lists.join(shared, "sig").distinct())
+    # One shuffle by list: every other member beside the list's leader, its smallest key.
+    led = lists.withColumn("a", F.first("key").over(Window.partitionBy("sig").orderBy("key")))
+    others = table(spark, led.where("a <> key").distinct())
+    members = others.unionByName(others.select("sig", F.col("a").alias("key"), "a").distinct())
     # Round one: the leader of most of a class's lists.
-    lead = members.where("a <> key").groupBy("key", "a").agg(F.count(F.lit(1)).alias("c"))
+    lead = others.groupBy("key", "a").agg(F.count(F.lit(1)).alias("c"))
     lead = lead.groupBy("key").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("key").alias("b"))
     lead = table(spark, lead)
     near = table(spark, members.select("key").distinct())
@@ -274,8 +276,8 @@ def jaccard_join(documents: DataFrame, size: int = 3, percent: int = 90, boundar
     mixed = held.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.max_by("root", F.struct("c", "root")).alias("main")).where("k > 1").select("sig", "main")
     mixed = table(spark, marked.join(mixed, "sig").join(classes, "key"))
     outside = mixed.where("root <> main").select("sig", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a"))
-    others = mixed.select("sig", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("main"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"))
-    met = outside.join(others, (outside["sig"] == others["sig"]) & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b"))) & ~distant(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), percent))
+    anyone = mixed.select("sig", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("main"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"))
+    met = outside.join(anyone, (outside["sig"] == anyone["sig"]) & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b"))) & ~distant(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), percent))
     met = table(spark, met.select("a", "b").distinct())
     if met.isEmpty():
         root, all_links = first, links
