@@ -4,7 +4,8 @@ Labels come a document at a time. Words that occur in many more toxic than
 clean learning documents, by a likelihood-ratio test after copies are dropped,
 are labelled toxic in toxic documents; the CRF is fitted on runs of words around them and
 on runs of clean documents. It sees each word's core (letters and digits,
-lower case), both neighbours' cores and the word's shape.
+lower case), the core's first five and six characters, both neighbours' cores
+and the word's shape.
 
 Scoring runs over whole texts: forward and backward recursions are products
 of 2 x 2 matrices, computed for all texts of a step at once in blocks that are
@@ -60,6 +61,11 @@ def shape(word: bytes) -> int:
     return 1 if kept.isupper() and len(kept) > 1 else 0
 
 
+def features(c: str) -> tuple[str, str, str]:
+    """A core and the beginnings of it that tie derived words to their root."""
+    return c, f"{c[:5]}-" if len(c) > 5 else "", f"{c[:6]}-" if len(c) > 6 else ""
+
+
 @dataclass
 class Tagger:
     vocabulary: dict[str, int]
@@ -73,8 +79,10 @@ class Tagger:
     ready: bool = True
 
     def row(self, word: bytes) -> tuple:
-        k = self.vocabulary.get(core(word), 0)
-        return (*(self.own[k] + self.shapes[shape(word)]), *self.before[k], *self.after[k])
+        c = core(word)
+        k, *prefixes = (self.vocabulary.get(x, 0) for x in features(c))
+        own = self.own[k] + self.shapes[shape(word)] + sum(self.own[x] for x in prefixes)
+        return (*own, *self.before[k], *self.after[k])
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         x = np.log(np.clip(evidence, 1e-6, 1 - 1e-6)) - np.log1p(-np.clip(evidence, 1e-6, 1 - 1e-6))
@@ -170,7 +178,7 @@ def toxic_words(texts: list[list[str]], toxic: list[int]) -> set[str]:
             continue
         seen.add(sketch)
         sizes[label] += 1
-        found[label].update(set(words))
+        found[label].update({x for w in set(words) for x in features(w)})
     out = set()
     n1, n0 = max(sizes[1], 1), max(sizes[0], 1)
     for w, a in found[1].items():
@@ -184,7 +192,8 @@ def toxic_words(texts: list[list[str]], toxic: list[int]) -> set[str]:
 
         if 2 * (like(a, n1, p1) + like(b, n0, p0) - like(a, n1, p) - like(b, n0, p)) >= MIN_RATIO:
             out.add(w)
-    return out
+    # A word unknown to clean documents also counts if the beginning it shares with others does.
+    return {w for w in found[1] if w in out or (not found[0][w] and features(w)[2] in out)} - {""}
 
 
 def fit(texts: list[bytes], toxic: list[int]) -> Tagger:
@@ -192,7 +201,7 @@ def fit(texts: list[bytes], toxic: list[int]) -> Tagger:
     words = [t.split() for t in texts]
     cores = [[core(w) for w in ws] for ws in words]
     lexicon = toxic_words(cores, toxic)
-    counts = Counter(c for cs in cores for c in set(cs) if c)
+    counts = Counter(x for cs in cores for x in {y for c in set(cs) for y in features(c)} if x)
     kept = sorted((c for c in counts if counts[c] > 1 or c in lexicon), key=lambda c: (c not in lexicon, -counts[c], c))[:MAX_VOCABULARY]
     vocabulary = {c: i for i, c in enumerate(sorted(kept), 1)}
     size = len(vocabulary) + 1
@@ -205,7 +214,7 @@ def fit(texts: list[bytes], toxic: list[int]) -> Tagger:
         for i in spots:
             lo, hi = max(0, i - 8), min(len(cs), i + 9)
             for k in range(lo, hi):
-                ids = [vocabulary.get(cs[k], 0)]
+                ids = [vocabulary.get(x, 0) for x in features(cs[k])]
                 ids.append(size + (vocabulary.get(cs[k - 1], 0) if k else 0))
                 ids.append(2 * size + (vocabulary.get(cs[k + 1], 0) if k + 1 < len(cs) else 0))
                 ids.append(3 * size + shape(ws[k]))
@@ -213,7 +222,7 @@ def fit(texts: list[bytes], toxic: list[int]) -> Tagger:
                 labels.append(gold[k])
             lengths.append(hi - lo)
     crf = Crf(3 * size + SHAPES, 2)
-    crf.fit(np.array(rows).ravel(), np.arange(len(rows) + 1) * 4, np.array(lengths), np.array(labels), rounds=8)
+    crf.fit(np.array(rows).ravel(), np.arange(len(rows) + 1) * 6, np.array(lengths), np.array(labels), rounds=8)
     tagger = Tagger(vocabulary, crf.emit[:size], crf.emit[size : 2 * size], crf.emit[2 * size : 3 * size], crf.emit[3 * size :], crf.move)
     # Logistic curve of the evidence, by Newton's method with a weak prior.
     scorer = Scorer(tagger)
