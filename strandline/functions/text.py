@@ -222,7 +222,7 @@ def error_policy(kind: Column) -> Column:
 
 
 def directory_name(host: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(F.trim(host), "^https?://", ""), "/+$", ""))
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(host)), "^https?://", ""), "/+$", "")
 
 
 def is_sha256(text: Column) -> Column:

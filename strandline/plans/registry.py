@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("catalog",)
+MODULES = ("catalog", "scalars")
 
 
 def _gather(attribute: str) -> dict:
