@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("catalog", "scalars")
+MODULES = ("catalog", "scalars", "changes")
 
 
 def _gather(attribute: str) -> dict:
