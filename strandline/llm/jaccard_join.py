@@ -96,7 +96,8 @@ class Plan:
         return [(g, int(self.parts[g])) for g in (last, last - 1) if g >= 0 and n <= self.highs[g]]
 
     def light(self, n: int) -> bool:
-        return n <= self.boundary and self.left_out(n) > 0
+        """Up to the boundary, unless the set is too small to link with any other size or content."""
+        return n <= self.boundary and 100 * n >= self.percent * (n + 1)
 
     def heavy(self, n: int) -> bool:
         return n >= self.lows[0] and n * 100 > self.boundary * self.percent
