@@ -280,18 +280,18 @@ def labelled_pages(count: int, seed: int = 3) -> list[tuple[str, list[str]]]:
         body = [block(rng.choice(("h1", "h1", "h2")), 3, 12, 1)] if rng.random() < 0.9 else []
         for _ in range(rng.choice((1, 2, 3, 5, 8, 14))):
             r = rng.random()
-            if r < 0.72:
+            if r < 0.64:
                 body.append(block("p", 1, 40, rng.choice((1, 1, 2, 4, 8))))
-            elif r < 0.8:
+            elif r < 0.72:
                 body.append(block(rng.choice(("h2", "h3", "h4")), 2, 8, 1))
-            elif r < 0.88:
+            elif r < 0.8:
                 body.append(wrap(rng.choice(("ul", "ol")), "".join(block("li", 1, 14, 1) for _ in range(rng.randint(1, 4)))))
-            elif r < 0.94:
+            elif r < 0.86:
                 body.append(block(rng.choice(("blockquote", "pre", "div", "figcaption")), 3, 25, 1))
-            elif r < 0.96:
+            elif r < 0.88:
                 body.append(wrap("table", wrap("tr", "".join(block("td", 1, 6, 1) for _ in range(2)))))
-            elif rng.random() < 0.6:
-                body.append(furniture(rng.choice(("ad", "share", "aside", "notice", "form"))))
+            else:
+                body.append(furniture(rng.choice(("ad", "ad", "share", "aside", "notice", "form"))))
         if rng.random() < 0.25:
             body.append(furniture(rng.choice(("comments", "share", "aside"))))
         container = rng.choice(MAIN[:2]) if rng.random() < 0.5 else rng.choice(MAIN)
