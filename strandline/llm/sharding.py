@@ -49,10 +49,13 @@ def external_shuffle(documents: DataFrame, shards: int = SHARDS, seed: int = SEE
     later = counts.select("_shard", F.col("_bucket").alias("_other"), F.col("_n").alias("_before"))
     offsets = counts.join(later, "_shard").groupBy("_shard", "_bucket").agg(F.sum(F.when(F.col("_other") < F.col("_bucket"), F.col("_before")).otherwise(0)).alias("_offset"))
     record = F.struct(F.xxhash64(key, F.lit(seed), "_crc").alias("_order"), *(F.col(f"`{c}`") for c in sized.columns))
-    # collect_list has no order of its own: sorting first makes the shuffle the same on every run.
-    gathered = placed.groupBy("_shard", "_bucket").agg(F.collect_list(record).alias("_rows"))
+    # The generator behind shuffle() runs through a partition's rows: with a fixed number of
+    # partitions, and both the rows and the records in them sorted, every run gives the same order.
+    dealt = placed.repartition(shards * buckets, "_shard", "_bucket")
+    gathered = dealt.groupBy("_shard", "_bucket").agg(F.collect_list(record).alias("_rows"))
     ordered = F.array_sort("_rows", lambda a, b: F.when(a["_order"] < b["_order"], -1).when(a["_order"] > b["_order"], 1).otherwise(0))
-    mixed = gathered.join(offsets, ["_shard", "_bucket"]).select("_offset", F.posexplode(F.shuffle(ordered, F.lit(seed))).alias("_at", "_row"))
+    placed_rows = gathered.join(offsets, ["_shard", "_bucket"]).sortWithinPartitions("_shard", "_bucket")
+    mixed = placed_rows.select("_offset", F.posexplode(F.shuffle(ordered, F.lit(seed))).alias("_at", "_row"))
     return mixed.select("_row.*", (F.col("_offset") + F.col("_at")).cast("long").alias("_slot")).drop("_order")
 
 
