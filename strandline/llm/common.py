@@ -52,9 +52,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordTable(dict):
     """word -> dense number; ``value`` computes what is kept of a new word."""
 
-    def __init__(self, value: Callable[[bytes], object]):
+    def __init__(self, value: Callable[[bytes], object], limit: int = WORD_TABLE_LIMIT):
         super().__init__()
-        self.value = value
+        self.value, self.limit = value, limit
         self.rows: list = []
 
     def __missing__(self, word: bytes) -> int:
@@ -64,7 +64,7 @@ class WordTable(dict):
 
     def trim(self) -> None:
         """Call between steps: numbers do not outlive a step."""
-        if len(self.rows) > WORD_TABLE_LIMIT:
+        if len(self.rows) > self.limit:
             self.clear()
             self.rows.clear()
 

@@ -46,7 +46,9 @@ SEED = 20_240_229
 #: Fixed constant of the Zipf-Mandelbrot law for word ranks.
 ZIPF_SHIFT = 2.7
 #: Chunks whose arcs a worker remembers; about 500 bytes each.
-CHUNKS = 250_000
+CHUNKS = 450_000
+#: Arcs of a path whose side branches are drawn for all texts at once.
+FIRST = 256
 #: No draw of uniform() lifts a Gumbel value further above its location.
 REACH = 37.5
 CHUNK = re.compile(r"\n| *[^ \n]+| +")
@@ -110,7 +112,7 @@ class Lattice:
         if len(self.node_of) > CHUNKS:
             self.clear()
         known = self.node_of
-        fresh = [c for c in dict.fromkeys(chunks) if c not in known]
+        fresh = list(set(chunks).difference(known))
         if fresh:
             self._add(fresh)
         return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
@@ -215,6 +217,19 @@ class Lattice:
         return out
 
 
+def mix_one(h: int) -> int:
+    """mix() of one number."""
+    mask = 0xFFFFFFFFFFFFFFFF
+    h &= mask
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+    return h ^ h >> 31
+
+
+def uniform_one(key: int, t: int) -> float:
+    return ((mix_one(key + (t + 1) * 0x9E3779B97F4A7C15) >> 11) + 0.5) * 2.0**-53
+
+
 def uniform(keys: np.ndarray, t: int) -> np.ndarray:
     return ((mix(keys + word64(t + 1, 0x9E3779B97F4A7C15)) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
@@ -225,6 +240,13 @@ def cut_gumbel(mu: np.ndarray, limit, u: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(mu), -np.inf, -np.logaddexp(-limit, np.log(-np.log(u)) - mu))
 
 
+def side_values(logp: np.ndarray, phi: np.ndarray, value, keys: np.ndarray) -> np.ndarray:
+    """Perturbed values of the branches beside each arc. phi: log-probability before the arc."""
+    with np.errstate(divide="ignore"):
+        mu = phi + np.log1p(-np.exp(logp))
+    return cut_gumbel(mu, value, uniform(keys, 77))
+
+
 class Search:
     """The agenda of one text."""
 
@@ -240,30 +262,28 @@ class Search:
 
     def draw(self) -> float:
         self.draws += 1
-        return float(uniform(np.array([self.seed], U64), 1_000_003 + self.draws)[0])
+        return uniform_one(self.seed, 1_000_003 + self.draws)
+
+    def complete(self, arcs: np.ndarray, chunk: np.ndarray, logp: np.ndarray, phi: np.ndarray, value: float, since: int, keep: int, side: np.ndarray, salt) -> None:
+        """A path with this perturbed value is found; side branches from arc number since on join the agenda.
 
-    def complete(self, lattice: Lattice, arcs: np.ndarray, chunk: np.ndarray, value: float, since: int, keep: int) -> None:
-        """A path with this perturbed value is found; side branches from arc number since on join the agenda."""
-        logp = lattice.logp[arcs]
-        phi = np.zeros(len(arcs) + 1)
-        np.cumsum(logp, out=phi[1:])
+        side: the branches' values of the first FIRST arcs.
+        """
         self.found.append((arcs, float(phi[-1]), value))
         self.paths.append((arcs, chunk, phi))
         path = len(self.paths) - 1
         if keep <= 0 or since >= len(arcs):
             return
-        salt = mix(np.array([self.seed ^ (path + 1)], U64))[0]
         kept: list[tuple] = []
         # phi only falls: beyond some arc no side branch can reach the best ones found before it.
-        at, size = since, 256
-        while at < len(arcs) and not (len(kept) == keep and phi[at] + REACH < kept[-1][0]):
-            end = min(at + size, len(arcs))
-            with np.errstate(divide="ignore"):
-                mu = phi[at:end] + np.log1p(-np.exp(logp[at:end], dtype=np.float64))
-            side = cut_gumbel(mu, value, uniform(np.arange(at, end).astype(U64) + salt, 77))
+        at, end = since, since + len(side)
+        while True:
             best = np.argpartition(-side, keep)[:keep].tolist() if len(side) > keep else range(len(side))
             kept = sorted([*kept, *((float(side[i]), at + i) for i in best if side[i] > -np.inf)], key=lambda x: (-x[0], x[1]))[:keep]
-            at, size = end, size * 2
+            if end >= len(arcs) or (len(kept) == keep and phi[end] + REACH < kept[-1][0]):
+                break
+            at, end = end, min(end + 2 * (end - at), len(arcs))
+            side = side_values(logp[at:end], phi[at:end], value, np.arange(at, end).astype(U64) + salt)
         for x, i in kept:
             heapq.heappush(self.agenda, (-x, path, i, (int(arcs[i]),)))
 
@@ -280,12 +300,15 @@ class Search:
         while lattice.cum[hi] < 2.0:
             hi += 1
         options = [a for a in range(lo, hi + 1) if a not in taken]
-        weights = np.exp(lattice.logp[options].astype(np.float64))
-        at = min(int(np.searchsorted(np.cumsum(weights), self.draw() * weights.sum())), len(options) - 1)
-        others = float(weights.sum() - weights[at])
+        weights = [math.exp(x) for x in lattice.logp[options].tolist()]
+        left, at = self.draw() * sum(weights), 0
+        while at + 1 < len(weights) and left > weights[at]:
+            left -= weights[at]
+            at += 1
+        others = sum(weights) - weights[at]
         if len(options) > 1 and others > 0:
-            mu = np.array([phi[level] + math.log(others)])
-            again = float(cut_gumbel(mu, -negative, np.array([self.draw()]))[0])
+            mu = float(phi[level]) + math.log(others)
+            again = -float(np.logaddexp(negative, math.log(-math.log(self.draw())) - mu))
             heapq.heappush(self.agenda, (-again, path, level, (*taken, options[at])))
         return np.append(arcs[:level], options[at]), chunk[: level + 1], -negative, level
 
@@ -313,19 +336,36 @@ def sample_texts(texts: list[str | None], seeds: list[int], lattice: Lattice, k:
                 begin = np.concatenate([lattice.to[arcs[-1:]], s.chunks[at + 1 :]])
             starts.append(begin)
             sizes.append(len(begin))
-            keys.append(np.arange(len(begin)).astype(U64) * word64(0xD6E8FEB86659FD93) + mix(np.array([s.seed + 31 * turn & 0xFFFFFFFFFFFFFFFF], U64))[0])
+            keys.append(np.arange(len(begin)).astype(U64) * word64(0xD6E8FEB86659FD93) + U64(mix_one(s.seed + 31 * turn)))
         if not jobs:
             break
         arcs_all, walk_starts = lattice.walk(np.concatenate(starts), np.concatenate(keys))
         chunk_counts = np.diff(walk_starts)
         offset = 0
-        following = []
-        for (s, arcs, chunk, value, level), size in zip(jobs, sizes, strict=True):
-            a, b = walk_starts[offset], walk_starts[offset + size]
+        paths, chunks = [], []
+        for (_, arcs, chunk, _, level), size in zip(jobs, sizes, strict=True):
+            fresh = arcs_all[walk_starts[offset] : walk_starts[offset + size]]
             first = int(chunk[-1]) if level >= 0 else 0
-            rest_chunk = np.repeat(np.arange(first, first + size), chunk_counts[offset : offset + size])
+            rest = np.repeat(np.arange(first, first + size), chunk_counts[offset : offset + size])
             offset += size
-            s.complete(lattice, np.concatenate([arcs, arcs_all[a:b]]), np.concatenate([chunk, rest_chunk]), value, level + 1, k - turn)
+            paths.append(np.concatenate([arcs, fresh]) if level >= 0 else fresh)
+            chunks.append(np.concatenate([chunk, rest]) if level >= 0 else rest)
+        ends = np.cumsum([len(x) for x in paths])
+        logp = lattice.logp[np.concatenate(paths)].astype(np.float64)
+        total = np.zeros(len(logp) + 1)
+        np.cumsum(logp, out=total[1:])
+        begins = np.concatenate([[0], ends[:-1]])
+        since = np.array([j[4] + 1 for j in jobs])
+        salts = np.array([mix_one(j[0].seed ^ (turn + 1)) for j in jobs], U64)
+        counts = np.clip(ends - begins - since, 0, FIRST)
+        level_of = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts - since, counts)
+        place = level_of + np.repeat(begins, counts)
+        sides = side_values(logp[place], total[place] - np.repeat(total[begins], counts), np.repeat(np.array([j[3] for j in jobs]), counts), level_of.astype(U64) + np.repeat(salts, counts))
+        bounds_side = np.concatenate([[0], np.cumsum(counts)])
+        following = []
+        for i, (s, _, _, value, level) in enumerate(jobs):
+            a, b = begins[i], ends[i]
+            s.complete(paths[i], chunks[i], logp[a:b], total[a : b + 1] - total[a], value, level + 1, k - turn, sides[bounds_side[i] : bounds_side[i + 1]], salts[i])
             if turn + 1 < k and (found := s.branch(lattice)) is not None:
                 following.append((s, *found))
         jobs = following

@@ -98,7 +98,7 @@ class Cutter:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         #: A word is one pre-token here; the pattern of running text would only cut off its punctuation.
         self.second = tiktoken.Encoding("second", pat_str=r"\s?[\p{L}\p{M}]+|\s?\p{N}+|\s?[^\s\p{L}\p{M}\p{N}]+", mergeable_ranks=table, special_tokens={})
-        self.table = WordTable(lambda w: w)
+        self.table = WordTable(lambda w: w, 400_000)
         self.reset()
 
     def reset(self) -> None:
@@ -118,8 +118,8 @@ class Cutter:
             ids, starts = flatten(cut)
             self.ids = np.concatenate([self.ids, np.array(ids, np.int32)])
             self.starts = np.concatenate([self.starts, starts[1:] + self.starts[-1]])
-            second = self.second.encode_ordinary_batch([" " + w for w in fresh], num_threads=1)
-            self.second_count = np.concatenate([self.second_count, np.fromiter(map(len, second), np.int64, len(second))])
+            encode = self.second.encode_ordinary
+            self.second_count = np.concatenate([self.second_count, np.fromiter((len(encode(" " + w)) for w in fresh), np.int64, len(fresh))])
             self.script = np.concatenate([self.script, np.array([word_script(w) for w in fresh], np.int64)])
         return out
 
