@@ -148,10 +148,14 @@ def table(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """A written table of ids, marked for broadcast only while it is small; beyond that joins with it shuffle."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
 def semi_join(big: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
-    """Rows of big whose key is in ids; ids (a written table) is broadcast only while it is small."""
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return big.join(F.broadcast(ids) if few else ids, on, "left_semi")
+    """Rows of big whose key is in ids, a written table."""
+    return big.join(small(ids), on, "left_semi")
 
 
 def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFrame:

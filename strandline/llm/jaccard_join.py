@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import LOWER, U64, HashTable, as_bytes, components, flatten, mix, semi_join, table, text_pass, word64
+from strandline.llm.common import LOWER, U64, HashTable, as_bytes, components, flatten, mix, semi_join, small, table, text_pass, word64
 
 #: Boundaries that the cost formula chooses among: the sizes at which one more member may be left out.
 BOUNDARIES = (9, 19, 29)
@@ -318,11 +318,14 @@ def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     Rows with an empty set, or no doc_id, all stay.
     """
     found = jaccard_join(documents, size, percent)
-    # Decisions go back by doc_id; ties on it (repeated rows) are decided by the number of rows kept: one.
-    drop = found.where("component_id < doc_id").select("doc_id").distinct()
-    kept = documents.join(drop, "doc_id", "left_anti")
-    keyed = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
-    return keyed.unionByName(kept.where("doc_id is null")).select(documents.columns)
+    drop = table(documents.sparkSession, found.where("component_id < doc_id").select("doc_id").distinct())
+    kept = documents.join(small(drop), "doc_id", "left_anti")
+    # Rows that repeat a doc_id are rare: only they are compared by text.
+    repeated = table(documents.sparkSession, found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept.select(documents.columns)
+    once = kept.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(small(repeated), "doc_id", "left_anti").select(documents.columns).unionByName(once.select(documents.columns))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

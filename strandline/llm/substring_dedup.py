@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import U64, HashTable, as_bytes, flatten, mix, semi_join, steps, table, text_pass, word64
+from strandline.llm.common import BROADCAST_ROWS, U64, HashTable, as_bytes, flatten, mix, semi_join, small, steps, table, text_pass, word64
 
 WINDOW, GRAM = 50, 16
 #: Blocks that one task remembers to settle repeats among its own documents.
@@ -251,8 +251,7 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM
     spans = table(spark, repeated_spans(documents, window, gram))
     ids = table(spark, spans.select("doc_id").distinct())
     base = documents.select("doc_id", "text")
-    few = ids.limit((1 << 20) + 1).count() <= 1 << 20
-    if few:
+    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         hit = base.join(F.broadcast(ids), "doc_id", "left_semi")
         rest = base.join(F.broadcast(ids), "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
         joined = hit.withColumn("th", hash_column("text")).join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")
@@ -266,11 +265,9 @@ def keep_rest(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     spark = documents.sparkSession
     spans = table(spark, repeated_spans(documents, window, gram))
     ids = table(spark, spans.select("doc_id").distinct())
-    few = ids.limit((1 << 20) + 1).count() <= 1 << 20
-    marked = F.broadcast(ids.withColumn("_hit", F.lit(True))) if few else ids.withColumn("_hit", F.lit(True))
-    rows = documents.join(marked, "doc_id", "left")
-    same = rows.where("_hit is null").select(documents.columns)
-    hit = rows.where("_hit").drop("_hit").withColumn("_th", hash_column("text"))
+    ids = small(ids)
+    same = documents.join(ids, "doc_id", "left_anti").select(documents.columns)
+    hit = documents.join(ids, "doc_id", "left_semi").withColumn("_th", hash_column("text"))
     hit = hit.join(spans.select("doc_id", F.col("th").alias("_th"), F.col("spans").alias("_spans")), ["doc_id", "_th"], "left")
     cut_text = cut_udf(window)("text", F.to_json("_spans"))
     hit = hit.withColumn("text", cut_text).where("text is null or text <> ''")
