@@ -101,7 +101,8 @@ def window_blocks(hashes: np.ndarray, starts: np.ndarray, window: int, gram: int
 def text_hash(values: list[bytes | None]) -> np.ndarray:
     import xxhash
 
-    return np.fromiter((xxhash.xxh64_intdigest(v or b"") for v in values), U64, len(values)).view(np.int64)
+    # 42: the seed of Spark's xxhash64.
+    return np.fromiter((xxhash.xxh64_intdigest(v or b"", seed=42) for v in values), U64, len(values)).view(np.int64)
 
 
 def block_pass(documents: DataFrame, window: int, gram: int) -> DataFrame:
@@ -178,19 +179,8 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
 
 
 def hash_column(name: str):
-    """text_hash as a column."""
-    return hash_udf()(F.col(name))
-
-
-@lru_cache(maxsize=1)
-def hash_udf():
-    @F.pandas_udf("long")
-    def th(values):
-        import pandas as pd
-
-        return pd.Series(text_hash([v.encode() if v is not None else None for v in values]))
-
-    return th
+    """text_hash as a native column."""
+    return F.xxhash64(name)
 
 
 def covered(spans, n: int, window: int) -> np.ndarray:
