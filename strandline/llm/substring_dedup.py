@@ -164,7 +164,8 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     open_rows = rows.where("anchor is not null")
     shared = open_rows.groupBy("anchor").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p < q").select("anchor")
     met = table(spark, open_rows.join(shared, "anchor"))
-    firsts = met.groupBy("block").agg(F.min("doc_id").alias("first"))
+    # Written, so that both sides of the joins below are plain exchanges and a hot block or window can be split.
+    firsts = table(spark, met.groupBy("block").agg(F.min("doc_id").alias("first")))
     several = met.groupBy("anchor").agg(F.min("block").alias("p"), F.max("block").alias("q")).where("p <> q").select("anchor")
     judged = met.join(firsts, "block")
     whole = judged.where("first < doc_id").select("doc_id", "th", "lo", "hi")
@@ -172,7 +173,7 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     edges = table(spark, edges)
     texts = semi_join(documents.select("doc_id", "text"), edges.select("doc_id").distinct(), "doc_id").withColumn("th", hash_column("text"))
     windows = table(spark, window_pass(texts.join(edges, ["doc_id", "th"]), window).distinct())
-    lows = windows.groupBy("f").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p < q").select("f", "p")
+    lows = table(spark, windows.groupBy("f").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p < q").select("f", "p"))
     single = windows.join(lows, "f").where("p < doc_id").select("doc_id", "th", "lo", F.col("lo").alias("hi"))
     spans = settled.unionByName(whole).unionByName(single)
     return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))

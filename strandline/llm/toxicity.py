@@ -47,13 +47,11 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def core(word: bytes) -> str:
-    return _CORE.sub("", word.decode(errors="replace").lower())
+    return _CORE.sub("", word.decode()).lower()
 
 
-def shape(word: bytes) -> int:
-    """0 plain, 1 capitals only, 2 with symbols inside, 3 without letters and digits."""
-    text = word.decode(errors="replace")
-    kept = _CORE.sub("", text)
+def shape_of(text: str, kept: str) -> int:
+    """0 plain, 1 capitals only, 2 with symbols inside, 3 without letters and digits; kept: letters and digits."""
     if not kept:
         return 3
     if len(kept) < len(text) - 1:
@@ -61,6 +59,11 @@ def shape(word: bytes) -> int:
     return 1 if kept.isupper() and len(kept) > 1 else 0
 
 
+def shape(word: bytes) -> int:
+    text = word.decode()
+    return shape_of(text, _CORE.sub("", text))
+
+
 def features(c: str) -> tuple[str, str, str]:
     """A core and the beginnings of it that tie derived words to their root."""
     return c, f"{c[:5]}-" if len(c) > 5 else "", f"{c[:6]}-" if len(c) > 6 else ""
@@ -78,11 +81,17 @@ class Tagger:
     offset: float = 0.0
     ready: bool = True
 
-    def row(self, word: bytes) -> tuple:
-        c = core(word)
-        k, *prefixes = (self.vocabulary.get(x, 0) for x in features(c))
-        own = self.own[k] + self.shapes[shape(word)] + sum(self.own[x] for x in prefixes)
-        return (*own, *self.before[k], *self.after[k])
+    def row(self, word: bytes) -> tuple[int, int, int, int]:
+        """Numbers of the core and its beginnings, and the shape."""
+        text = word.decode()
+        kept = text if text.isalnum() else _CORE.sub("", text)
+        get = self.vocabulary.get
+        return (*(get(x, 0) for x in features(kept.lower())), shape_of(text, kept))
+
+    def weights(self, rows: list[tuple]) -> np.ndarray:
+        """Scores of words: as themselves, as the word before and as the word after, two labels each."""
+        k, five, six, shapes = np.array(rows, np.int64).reshape(-1, 4).T
+        return np.concatenate([self.own[k] + self.own[five] + self.own[six] + self.shapes[shapes], self.before[k], self.after[k]], axis=1)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         x = np.log(np.clip(evidence, 1e-6, 1 - 1e-6)) - np.log1p(-np.clip(evidence, 1e-6, 1 - 1e-6))
@@ -150,7 +159,7 @@ class Scorer:
             self.array = np.zeros((0, 6))
         numbers = self.words.numbers(flat)
         if len(self.array) < len(self.words.rows):
-            self.array = np.concatenate([self.array, np.array(self.words.rows[len(self.array) :]).reshape(-1, 6)])
+            self.array = np.concatenate([self.array, self.tagger.weights(self.words.rows[len(self.array) :])])
         rows = self.array[numbers]
         first = np.zeros(len(rows) + 1, bool)
         first[starts[:-1]] = True
