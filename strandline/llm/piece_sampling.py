@@ -9,8 +9,9 @@ et al. 2019), so the agenda's best entry always holds the next of the k largest
 perturbed paths. A descent follows the best child to a leaf, for all texts of
 a step at once; only its k best side branches can ever be popped and are kept.
 
-No piece crosses the start of a run of spaces or a line break, so the lattice
-is a chain of chunks, and a chunk's arcs are computed once a worker.
+Where no piece holds two neighbouring characters side by side, no arc crosses
+between them: there a text is cut into chunks, the lattice is a chain of their
+lattices, and a chunk's arcs are computed once a worker.
 
 The vocabulary files hold merge ranks, not probabilities: a piece of rank r
 weighs 1 / (r + ``ZIPF_SHIFT``), the Zipf-Mandelbrot law. A character that is
@@ -29,8 +30,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-import re
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -48,13 +48,24 @@ ZIPF_SHIFT = 2.7
 #: Chunks whose arcs a worker remembers; about 500 bytes each.
 CHUNKS = 450_000
 #: Arcs of a path whose side branches are drawn for all texts at once.
-FIRST = 256
+FIRST = 512
 #: No draw of uniform() lifts a Gumbel value further above its location.
 REACH = 37.5
-CHUNK = re.compile(r"\n| *[^ \n]+| +")
 SPACE = "▁"
 
 
+def bigram_table(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of characters (0: in no piece), and which pairs of them some piece holds side by side."""
+    characters = sorted({c for p in pieces for c in p})
+    number = np.zeros(0x110000, np.uint16)
+    number[[ord(c) for c in characters]] = np.arange(1, len(characters) + 1)
+    tied = np.zeros((len(characters) + 1,) * 2, bool)
+    for p in pieces:
+        for a, b in pairwise(p):
+            tied[number[ord(a)], number[ord(b)]] = True
+    return number, tied
+
+
 class Pieces:
     """Vocabulary of a SentencePiece model file: weights, byte pieces and a matcher of all pieces."""
 
@@ -84,8 +95,7 @@ class Pieces:
         for b, i in self.byte_id.items():
             self.bytes[i] = bytes([b])
         self.byte_logp = float(self.logp[[i for i, _, _ in normal]].min())
-        if any("\n" in p and len(p) > 1 for _, p, _ in normal) or any(SPACE in p.lstrip(SPACE) for _, p, _ in normal):
-            raise ValueError("pieces cross chunk borders")
+        self.number, self.tied = bigram_table([p for _, p, _ in normal])
 
     def decode(self, ids) -> bytes:
         """The text of a sequence of pieces, without the space that encoding puts first."""
@@ -108,6 +118,22 @@ class Lattice:
         self.cum, self.logp = np.zeros(0, np.float32), np.zeros(0, np.float32)
         self.to, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
+    def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Chunks of all texts (spaces as in the vocabulary, one before each text), and where each text's start."""
+        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        whole = "".join(marked)
+        starts = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(m) for m in marked], out=starts[1:])
+        if not whole:
+            return [], np.zeros(len(texts) + 1, np.int64)
+        number = self.pieces.number[np.frombuffer(whole.encode("utf-32-le"), np.uint32)]
+        border = np.ones(len(whole) + 1, bool)
+        border[1:-1] = ~self.pieces.tied[number[:-1], number[1:]]
+        border[starts] = True
+        at = np.flatnonzero(border)
+        places = at.tolist()
+        return [whole[a:b] for a, b in pairwise(places)], np.searchsorted(at, starts)
+
     def nodes(self, chunks: list[str]) -> np.ndarray:
         if len(self.node_of) > CHUNKS:
             self.clear()
@@ -118,7 +144,7 @@ class Lattice:
         return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
 
     def _add(self, chunks: list[str]) -> None:
-        text = "\0".join(chunks).replace(" ", SPACE) + "\0"
+        text = "\0".join(chunks) + "\0"
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         ends = np.cumsum(sizes + 1) - 1
         starts = ends - sizes
@@ -315,11 +341,9 @@ class Search:
 
 def sample_texts(texts: list[str | None], seeds: list[int], lattice: Lattice, k: int) -> list[list[tuple] | None]:
     """For each text up to k of (ids, log_prob, perturbed, log_inclusion), best perturbed value first."""
-    chunk_lists = [CHUNK.findall(" " + t) if t else [] for t in texts]
-    nodes = lattice.nodes(list(chain.from_iterable(chunk_lists)))
-    bounds = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(c) for c in chunk_lists], out=bounds[1:])
-    del chunk_lists
+    chunks, bounds = lattice.cut([t or "" for t in texts])
+    nodes = lattice.nodes(chunks)
+    del chunks
     searches = [Search(s, nodes[a:b]) if t is not None else None for t, s, a, b in zip(texts, seeds, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     for search in searches:
         if search is not None and not len(search.chunks):
