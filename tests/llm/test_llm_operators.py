@@ -246,6 +246,7 @@ class TinyPieces:
         for i, p in enumerate(self.names):
             self.matcher.add_word(p, i)
         self.matcher.make_automaton()
+        self.number, self.tied = piece_sampling.bigram_table(self.names)
 
 
 def segmentations(text, pieces):
