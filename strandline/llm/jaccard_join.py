@@ -10,12 +10,14 @@ agree; lists keyed by single shingles would grow with every common passage,
 these do not. The boundary is the size at which enumeration stops being
 cheaper by the cost formula in :func:`light_cost` and :func:`heavy_cost`.
 
-Round one compares each class with the one class that leads most of its lists
-and merges what links. Round two takes each list that still holds more than
-one component and compares its members outside the largest component with all
+The first round compares each class with the one class that leads most of its
+lists and merges what links. Later rounds take each list that still holds more
+than one component and pair its members outside the largest component with all
 others; parity bitmaps (their Hamming distance never exceeds the symmetric
-difference) drop most pairs before any text is read. Any link between
-different components shares a list, so after round two none is missing.
+difference) drop most pairs before any text is read. Two rounds verify only the
+nearest partner of each class, the last one every pair that is left. Any link
+between different components shares a list, so then none is missing. Which of
+the links inside a component exist beyond these is not counted.
 
 Defined cases: null or wordless text: empty set, linked with nothing,
 component_id its own doc_id. Fewer words than the shingle size: one shingle.
@@ -243,12 +245,32 @@ def verify(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: int, p
 def distant(bits_a, bits_b, n_a, n_b, percent: int):
     """True where sizes or parity bitmaps rule a link out."""
     total = n_a + n_b
-    far = sum((F.bit_count(bits_a[k].bitwiseXOR(bits_b[k])) for k in range(1, BITMAP_WORDS)), F.bit_count(bits_a[0].bitwiseXOR(bits_b[0])))
+    far = hamming(bits_a, bits_b)
     return (F.least(n_a, n_b) * 100 < F.greatest(n_a, n_b) * percent) | (far * (100 + percent) > total * (100 - percent))
 
 
+def cross_pairs(spark: SparkSession, members: DataFrame, root: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, far): pairs of different components that share a list and may link; a is outside the list's largest component.
+
+    far: the Hamming distance of the bitmaps.
+    """
+    marked = members.join(root.select(F.col("node").alias("key"), "root"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("root"))
+    held = marked.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = held.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.max_by("root", F.struct("c", "root")).alias("main")).where("k > 1").select("sig", "main")
+    mixed = table(spark, marked.join(mixed, "sig").join(classes, "key"))
+    outside = mixed.where("root <> main").select("sig", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a"))
+    anyone = mixed.select("sig", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("main"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"))
+    apart = (outside["sig"] == anyone["sig"]) & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
+    met = outside.join(anyone, apart & ~distant(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), percent))
+    return met.select("a", "b", hamming(F.col("bits_a"), F.col("bits_b")).alias("far")).distinct()
+
+
+def hamming(bits_a, bits_b):
+    return sum((F.bit_count(bits_a[k].bitwiseXOR(bits_b[k])) for k in range(1, BITMAP_WORDS)), F.bit_count(bits_a[0].bitwiseXOR(bits_b[0])))
+
+
 def jaccard_join(documents: DataFrame, size: int = 3, percent: int = 90, boundary: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, key (class of equal sets), component_id and n_links of the class."""
+    """doc_id, n_shingles, key (class of equal sets) and component_id of every row."""
     spark = documents.sparkSession
     if boundary is None:
         boundary = choose_boundary(small_sizes(documents), percent)
@@ -271,30 +293,25 @@ def jaccard_join(documents: DataFrame, size: int = 3, percent: int = 90, boundar
     texts = table(spark, keyed_texts(texts, size).join(near, "key", "left_semi").dropDuplicates(["key"]))
     links = table(spark, verify(spark, lead, texts, size, percent))
     first = table(spark, components(spark, links))
-    # Round two: lists that still hold several components.
-    marked = members.join(first.select(F.col("node").alias("key"), "root"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("root"))
-    held = marked.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
-    mixed = held.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.max_by("root", F.struct("c", "root")).alias("main")).where("k > 1").select("sig", "main")
-    mixed = table(spark, marked.join(mixed, "sig").join(classes, "key"))
-    outside = mixed.where("root <> main").select("sig", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a"))
-    anyone = mixed.select("sig", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("main"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"))
-    met = outside.join(anyone, (outside["sig"] == anyone["sig"]) & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b"))) & ~distant(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), percent))
-    met = table(spark, met.select("a", "b").distinct())
-    if met.isEmpty():
-        root, all_links = first, links
-    else:
-        all_links = table(spark, links.unionByName(verify(spark, met, texts, size, percent)))
-        root = components(spark, all_links)
+    root, tried = first, lead
+    for nearest in (True, True, False):
+        met = table(spark, cross_pairs(spark, members, root, classes, percent).join(tried, ["a", "b"], "left_anti"))
+        if met.isEmpty():
+            break
+        # While it pays, only the nearest partner of each class outside its lists' largest component.
+        chosen = table(spark, met.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")) if nearest else met.select("a", "b"))
+        links = table(spark, links.unionByName(verify(spark, chosen, texts, size, percent)))
+        tried = table(spark, tried.unionByName(chosen))
+        root = table(spark, components(spark, links))
     # The smallest doc_id of each component; classes without links stand for themselves.
     smallest = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"))
     grouped = smallest.join(root.withColumnRenamed("node", "key"), "key")
     lows = grouped.groupBy("root").agg(F.min("low").alias("low"))
     linked = grouped.select("key", "root").join(lows, "root").select("key", F.col("low").alias("linked_low"))
-    degree = all_links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    final = smallest.join(linked, "key", "left").join(degree, "key", "left").select("key", F.coalesce("linked_low", "low").alias("low"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    final = smallest.join(linked, "key", "left").select("key", F.coalesce("linked_low", "low").alias("low"))
     out = rows.where("key is not null").select("doc_id", "n_shingles", "key").join(final, "key")
-    empty = rows.where("key is null").select("doc_id", "n_shingles", "key", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.select("doc_id", "n_shingles", "key", F.col("low").alias("component_id"), "n_links").unionByName(empty)
+    empty = rows.where("key is null").select("doc_id", "n_shingles", "key", F.col("doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", "key", F.col("low").alias("component_id")).unionByName(empty)
 
 
 def keyed_texts(texts: DataFrame, size: int) -> DataFrame:
@@ -330,7 +347,7 @@ def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFram
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return jaccard_join(documents).select("doc_id", "n_shingles", "component_id", "n_links")
+    return jaccard_join(documents).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {"op5_ngram_jaccard_join": op5}
