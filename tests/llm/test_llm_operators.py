@@ -230,6 +230,32 @@ def test_gram_cut_off_bounds_the_model(spark):
     assert all(len(keys) <= 100 for keys, _ in model.grams)
 
 
+def test_every_gram_is_kept(spark):
+    rng = random.Random(2)
+    texts = [" ".join("".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(4)) for _ in range(3000)) for _ in range(20)]
+    model = language_id.learn(documents(spark, texts).select("text", "lang"))
+    want = {s[i : i + 4] for t in texts for s in (f" {w} " for w in t.split()) for i in range(len(s) - 3)}
+    assert len(want) > 1 << 17 and len(model.grams[3][0]) == len(want)
+
+
+def test_cut_grams_leave_discounts_and_totals_whole(spark):
+    texts = ["abab abac abad bbbb abab abab"]
+    rows = documents(spark, texts).select("text", "lang")
+    whole, discounts = language_id.gram_counts(rows, 2, None)
+    cut, again = language_id.gram_counts(rows, 2, 3)
+    want = Counter(s[i : i + 2] for w in texts[0].split() for s in [f" {w} "] for i in range(len(s) - 1))
+    assert discounts == again and discounts["en", 2] == language_id.discount(list(want.values()).count(1), list(want.values()).count(2))
+    totals = {r["gram"]: r["total"] for r in whole.collect() if r["n"] == 2}
+    assert totals == {g: sum(c for k, c in want.items() if k[0] == g[0]) for g in want}
+    kept = {n: [r for r in cut.collect() if r["n"] == n] for n in (1, 2)}
+    assert len(kept[2]) <= 3 and all(r["total"] == totals[r["gram"]] for r in kept[2])
+    model = language_id.Model([([r["gram"] for r in kept[n]], [r["c"] for r in kept[n]]) for n in (1, 2)], [again["en", n] for n in (1, 2)], [np.array([r["total"] for r in kept[n]], float) for n in (1, 2)])
+    gram = max(kept[2], key=lambda r: r["c"])["gram"]
+    mine = [r["gram"] for r in kept[2] if r["gram"][0] == gram[0]]
+    taken = sum(max(want[g] - again["en", 2], 0) / totals[g] for g in mine)
+    assert abs(model.gamma[gram[0]] - (1 - taken)) < 1e-9
+
+
 class TinyPieces:
     """A vocabulary small enough to enumerate all segmentations."""
 
