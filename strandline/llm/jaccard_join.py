@@ -10,17 +10,23 @@ agree; lists keyed by single shingles would grow with every common passage,
 these do not. The boundary is the size at which enumeration stops being
 cheaper by the cost formula in :func:`light_cost` and :func:`heavy_cost`.
 
-The first round compares each class with the one class that leads most of its
-lists and merges what links. Later rounds take each list that still holds more
-than one component and pair its members outside the largest component with all
-others; parity bitmaps (their Hamming distance never exceeds the symmetric
-difference) drop most pairs before any text is read. Two rounds verify only the
-nearest partner of each class, the last one every pair that is left. Any link
-between different components shares a list, so then none is missing. Which of
-the links inside a component exist beyond these is not counted.
+Links are counted between classes: every pair of classes that share a list meets
+once, parity bitmaps (their Hamming distance never exceeds the symmetric
+difference) drop most pairs before any text is read, and all others are
+verified. A list is cut into blocks, and each pair of blocks is a task's work of
+its own. A group of near copies has links in the square of its classes, and all
+of them are verified.
+
+Where only components are asked for, rounds save most of that. The first
+compares each class with the one class that leads most of its lists and merges
+what links. Later rounds take each list that still holds more than one component
+and pair its members outside the largest component with all others. Two rounds
+verify only the nearest partner of each class, the last one every pair that is
+left. Any link between different components shares a list, so then none that
+could merge two of them is missing.
 
 Defined cases: null or wordless text: empty set, linked with nothing,
-component_id its own doc_id. Fewer words than the shingle size: one shingle.
+component_id its own doc_id, n_links 0. Fewer words than the shingle size: one shingle.
 Null doc_id: never a component_id unless the whole component has none.
 Repeated rows: one result row for each input row.
 """
@@ -42,6 +48,8 @@ BOUNDARIES = (9, 19, 29)
 BITMAP_WORDS = 16
 #: Members of one centre that one task compares before the centre is salted.
 CENTRE_ROWS = 4_000
+#: Members of one block of a list.
+LIST_ROWS = 500
 #: Chance that a member of one set is in another set of the same size group, for the cost formula.
 OVERLAP = 0.3
 
@@ -265,12 +273,46 @@ def cross_pairs(spark: SparkSession, members: DataFrame, root: DataFrame, classe
     return met.select("a", "b", hamming(F.col("bits_a"), F.col("bits_b")).alias("far")).distinct()
 
 
+def list_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b, once each: all pairs that share a list and may link."""
+    blocks = members.groupBy("sig").agg((F.floor(F.count(F.lit(1)) / LIST_ROWS) + 1).cast("int").alias("blocks"))
+    dealt = members.select("sig", "key").join(blocks, "sig").join(classes, "key").withColumn("block", F.pmod(F.hash("key"), "blocks"))
+    one = dealt.select("sig", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("key").alias("a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a"))
+    two = dealt.select("sig", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("key").alias("b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"))
+    same = (one["sig"] == two["sig"]) & (one["i"] == two["i"]) & (one["j"] == two["j"]) & ((one["i"] < one["j"]) | (F.col("a") < F.col("b")))
+    met = one.join(two, same & ~distant(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), percent))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def merging_rounds(spark: SparkSession, others: DataFrame, members: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, root) of the components, without a look at most links inside them. others: (sig, key, a), a the list's leader."""
+    # Round one: the leader of most of a class's lists.
+    lead = others.groupBy("key", "a").agg(F.count(F.lit(1)).alias("c"))
+    lead = lead.groupBy("key").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("key").alias("b"))
+    lead = table(spark, lead)
+    links = table(spark, verify(spark, lead, texts, size, percent))
+    root, tried = table(spark, components(spark, links)), lead
+    for nearest in (True, True, False):
+        met = table(spark, cross_pairs(spark, members, root, classes, percent).join(tried, ["a", "b"], "left_anti"))
+        if met.isEmpty():
+            break
+        # While it pays, only the nearest partner of each class outside its lists' largest component.
+        chosen = table(spark, met.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")) if nearest else met.select("a", "b"))
+        links = table(spark, links.unionByName(verify(spark, chosen, texts, size, percent)))
+        tried = table(spark, tried.unionByName(chosen))
+        root = table(spark, components(spark, links))
+    return root
+
+
 def hamming(bits_a, bits_b):
     return sum((F.bit_count(bits_a[k].bitwiseXOR(bits_b[k])) for k in range(1, BITMAP_WORDS)), F.bit_count(bits_a[0].bitwiseXOR(bits_b[0])))
 
 
-def jaccard_join(documents: DataFrame, size: int = 3, percent: int = 90, boundary: int | None = None) -> DataFrame:
-    """doc_id, n_shingles, key (class of equal sets) and component_id of every row."""
+def jaccard_join(documents: DataFrame, size: int = 3, percent: int = 90, boundary: int | None = None, counted: bool = True) -> DataFrame:
+    """doc_id, n_shingles, key (class of equal sets), component_id and n_links of every row.
+
+    n_links: how many other classes the row's class links with; only where counted.
+    """
     spark = documents.sparkSession
     if boundary is None:
         boundary = choose_boundary(small_sizes(documents), percent)
@@ -281,37 +323,30 @@ def jaccard_join(documents: DataFrame, size: int = 3, percent: int = 90, boundar
     led = lists.withColumn("a", F.first("key").over(Window.partitionBy("sig").orderBy("key")))
     others = table(spark, led.where("a <> key").distinct())
     members = others.unionByName(others.select("sig", F.col("a").alias("key"), "a").distinct())
-    # Round one: the leader of most of a class's lists.
-    lead = others.groupBy("key", "a").agg(F.count(F.lit(1)).alias("c"))
-    lead = lead.groupBy("key").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("key").alias("b"))
-    lead = table(spark, lead)
     near = table(spark, members.select("key").distinct())
     reps = rows.where("keys is not null").join(near, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     ids = table(spark, reps)
     # doc_id may be repeated: the key tells which of its rows is meant.
     texts = semi_join(documents.select("doc_id", "text"), ids.select("doc_id").distinct(), "doc_id")
     texts = table(spark, keyed_texts(texts, size).join(near, "key", "left_semi").dropDuplicates(["key"]))
-    links = table(spark, verify(spark, lead, texts, size, percent))
-    first = table(spark, components(spark, links))
-    root, tried = first, lead
-    for nearest in (True, True, False):
-        met = table(spark, cross_pairs(spark, members, root, classes, percent).join(tried, ["a", "b"], "left_anti"))
-        if met.isEmpty():
-            break
-        # While it pays, only the nearest partner of each class outside its lists' largest component.
-        chosen = table(spark, met.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")) if nearest else met.select("a", "b"))
-        links = table(spark, links.unionByName(verify(spark, chosen, texts, size, percent)))
-        tried = table(spark, tried.unionByName(chosen))
+    if counted:
+        links = table(spark, verify(spark, table(spark, list_pairs(members, classes, percent)), texts, size, percent))
         root = table(spark, components(spark, links))
+    else:
+        root = merging_rounds(spark, others, members, classes, texts, size, percent)
     # The smallest doc_id of each component; classes without links stand for themselves.
     smallest = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"))
     grouped = smallest.join(root.withColumnRenamed("node", "key"), "key")
     lows = grouped.groupBy("root").agg(F.min("low").alias("low"))
     linked = grouped.select("key", "root").join(lows, "root").select("key", F.col("low").alias("linked_low"))
-    final = smallest.join(linked, "key", "left").select("key", F.coalesce("linked_low", "low").alias("low"))
-    out = rows.where("key is not null").select("doc_id", "n_shingles", "key").join(final, "key")
+    final = smallest.join(linked, "key", "left").select("key", F.coalesce("linked_low", "low").alias("component_id"))
     empty = rows.where("key is null").select("doc_id", "n_shingles", "key", F.col("doc_id").alias("component_id"))
-    return out.select("doc_id", "n_shingles", "key", F.col("low").alias("component_id")).unionByName(empty)
+    if counted:
+        degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
+        final = final.join(degree, "key", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+        empty = empty.withColumn("n_links", F.lit(0).cast("long"))
+    out = rows.where("key is not null").select("doc_id", "n_shingles", "key").join(final, "key")
+    return out.select(empty.columns).unionByName(empty)
 
 
 def keyed_texts(texts: DataFrame, size: int) -> DataFrame:
@@ -334,7 +369,7 @@ def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFram
 
     Rows with an empty set, or no doc_id, all stay.
     """
-    found = jaccard_join(documents, size, percent)
+    found = jaccard_join(documents, size, percent, counted=False)
     drop = table(documents.sparkSession, found.where("component_id < doc_id").select("doc_id").distinct())
     kept = documents.join(small(drop), "doc_id", "left_anti")
     # Rows that repeat a doc_id are rare: only they are compared by text.
@@ -347,7 +382,7 @@ def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFram
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return jaccard_join(documents).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join(documents).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 QUERIES = {"op5_ngram_jaccard_join": op5}

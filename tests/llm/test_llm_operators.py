@@ -78,6 +78,25 @@ def test_jaccard_equals_brute_force(spark, corpus, size, percent, boundary):
     assert sorted(map(tuple, got)) == brute_components(corpus, size, percent)
 
 
+@pytest.mark.parametrize(("size", "percent", "block"), [(3, 90, 500), (3, 90, 2), (5, 80, 500)])
+def test_jaccard_counts_every_link(spark, corpus, monkeypatch, size, percent, block):
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", block)
+    base = [f"v{k}" for k in range(200)]
+    texts = [*corpus, *(" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 200, 20))]
+    sets = []
+    for t in texts:
+        w = WORD.findall(lower(t)) if t else []
+        sets.append(frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset())
+    classes = set(sets) - {frozenset()}
+    degree = Counter()
+    for a, b in itertools.combinations(classes, 2):
+        common_ = len(a & b)
+        if 100 * common_ >= percent * (len(a) + len(b) - common_):
+            degree.update((a, b))
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_join.jaccard_join(documents(spark, texts), size, percent).collect()}
+    assert got == {i: degree[s] for i, s in enumerate(sets)} and max(degree.values()) >= 9
+
+
 def test_set_keys_meet_for_every_linked_pair():
     rng = np.random.default_rng(3)
     plan = jaccard_join.Plan(90, 19)
