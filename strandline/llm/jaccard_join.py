@@ -326,8 +326,9 @@ def jaccard_join(documents: DataFrame, size: int = 3, percent: int = 90, boundar
     near = table(spark, members.select("key").distinct())
     reps = rows.where("keys is not null").join(near, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     ids = table(spark, reps)
-    # doc_id may be repeated: the key tells which of its rows is meant.
+    # doc_id may be repeated or null: the key tells which of its rows is meant.
     texts = semi_join(documents.select("doc_id", "text"), ids.select("doc_id").distinct(), "doc_id")
+    texts = texts.unionByName(documents.where("doc_id is null").select("doc_id", "text"))
     texts = table(spark, keyed_texts(texts, size).join(near, "key", "left_semi").dropDuplicates(["key"]))
     if counted:
         links = table(spark, verify(spark, table(spark, list_pairs(members, classes, percent)), texts, size, percent))

@@ -97,6 +97,16 @@ def test_jaccard_counts_every_link(spark, corpus, monkeypatch, size, percent, bl
     assert got == {i: degree[s] for i, s in enumerate(sets)} and max(degree.values()) >= 9
 
 
+@pytest.mark.parametrize("counted", [True, False])
+def test_near_copies_with_a_null_doc_id(spark, counted):
+    base = [f"v{k}" for k in range(200)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 120, 20)]
+    for without in (range(6), range(3), range(3, 6)):
+        df = documents(spark, texts).withColumn("doc_id", F.when(~F.col("doc_id").isin(*without), F.col("doc_id")))
+        low = min(set(range(6)) - set(without), default=None)
+        assert {r["component_id"] for r in jaccard_join.jaccard_join(df, counted=counted).collect()} == {low}
+
+
 def test_set_keys_meet_for_every_linked_pair():
     rng = np.random.default_rng(3)
     plan = jaccard_join.Plan(90, 19)
