@@ -32,6 +32,14 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(expected.columns, expected.fetchall())
 
 
+@pytest.mark.parametrize("name", "f05_theme_roots f06_css_imports f08_css_urls f13_page_source f14_change_rows f15_revision_rows f16_file_links f30_sniff f36_journal g01_references".split())
+def test_extractors_read_every_row(spark, duck, name):
+    df = registry.queries()[f"{name}_table"](spark, SF)
+    key = "page_id" if "page_id" in df.columns else "doc_id"
+    want = duck.sql(f"SELECT DISTINCT {key} FROM {'pages' if key == 'page_id' else 'documents'}").fetchall()
+    assert sorted(r[0] for r in df.select(key).distinct().collect()) == sorted(x[0] for x in want)
+
+
 def test_entry_module():
     import __spark_entry__ as e
 
