@@ -38,6 +38,12 @@ def packed(s, d):
     return publication.checked_counts(out, page_catalog(T.revisions(s, d))).select("page_id", "n")
 
 
+def packed_all(s, d):
+    """Every page, at the production level."""
+    out = publication.pack_pages(_revision_files(s, d))
+    return publication.checked_counts(out, page_catalog(T.revisions(s, d))).select("page_id", "n")
+
+
 def marked(s, d):
     feed = T.feed(s, d)
     state = feed.where("rev_no % 3 = 0").groupBy(F.col("slug").alias("host")).agg(F.max("ts").alias("m")).select("host", F.when(F.col("m") % 2 == 0, F.lit("gone")).otherwise(F.lit("unreachable")).alias("health"), (F.col("m") + 1000).alias("until"))
@@ -49,6 +55,7 @@ QUERIES = {
     "r01_crawl": crawled,
     "r01_assets": crawled_assets,
     "k08_archives": packed,
+    "k08_archives_all": packed_all,
     "u02_archive_decisions": lambda s, d: decide_archives(page_catalog(T.revisions(s, d)).join(T.out_state(s, d), "page_id", "left")).select("page_id", "decision"),
     "u04_file_entries": lambda s, d: publication.file_entries(T.files(s, d)),
     "k03_new_objects": lambda s, d: publication.new_objects(T.files(s, d).where("sha256 is not null").select("sha256"), T.files(s, d).where("sha256 is not null and first_seen % 2 = 0").select("sha256")),
@@ -75,6 +82,7 @@ ORACLE = {
     "r01_crawl": f"{_WALK} SELECT * FROM k",
     "r01_assets": f"{_WALK} SELECT DISTINCT dst AS url FROM {_E} a WHERE kind = 'asset' AND src IN (SELECT url FROM k WHERE kind = 'css') AND NOT EXISTS (SELECT 1 FROM {_E} i WHERE i.kind = 'import' AND i.src = a.src AND i.dst = a.dst)",
     "k08_archives": f"SELECT page_id, count(*) AS n FROM {R} WHERE content IS NOT NULL AND page_id % 4 = 0 GROUP BY page_id",
+    "k08_archives_all": f"SELECT page_id, count(*) AS n FROM {R} WHERE content IS NOT NULL GROUP BY page_id",
     "u02_archive_decisions": f"""SELECT page_id, CASE WHEN c = 0 THEN 'none' WHEN packed_revs = c THEN CASE WHEN archive_sha256 IS NOT NULL THEN 'reuse' ELSE 'adopt' END ELSE 'repack' END AS decision
       FROM (SELECT page_id, count(content) AS c FROM {R} GROUP BY page_id) LEFT JOIN {O} USING (page_id)""",
     "u04_file_entries": f"""SELECT path, '{{"path":"' || path || '","sha256":' || coalesce('"' || sha256 || '"', 'null') || ',"size":' || coalesce(size::VARCHAR, 'null') || ',"content_type":' || coalesce('"' || content_type || '"', 'null')

@@ -75,6 +75,7 @@ _BUILD = {
     "i12_backfill_sweep": lambda s, d: catalog.backfill(T.revisions(s, d), T.denied_revisions(s, d)).select(F.concat(F.lit("rev:"), "page_id", F.lit("/"), "rev_no").alias("job"), F.when(F.col("is_head"), F.lit(queue.PRIORITIES["revision.head"])).otherwise(F.lit(queue.PRIORITIES["revision.old"])).cast("long").alias("priority")).unionByName(T.files(s, d).where("status = 'pending'").select(F.concat(F.lit("file:"), "path").alias("job"), F.lit(queue.PRIORITIES["file.fetch"]).cast("long").alias("priority")).distinct()),
     "i15_next_wake": lambda s, d: queue.next_wake(T.jobs(s, d)),
     "s04_point_lookups": lambda s, d: T.revisions(s, d).join(T.pages(s, d).where("page_id < 20").select("page_id", "slug"), "page_id").select("page_id", "rev_no", "slug"),
+    "s04_lookups_all": lambda s, d: T.revisions(s, d).join(T.pages(s, d).select("page_id", "slug"), "page_id").select("page_id", "rev_no", "slug"),
     "s05_existence": lambda s, d: T.revisions(s, d).join(T.denied_revisions(s, d), ["page_id", "rev_no"], "left_semi").select("page_id", "rev_no"),
     "s15_revisions_above": lambda s, d: T.revisions(s, d).where("rev_no > 2").select("page_id", "rev_no", "rev_id", "ts"),
     "p05_in_list": lambda s, d: T.jobs(s, d).where(F.col("status").isin("pending", "dead")).select("id"),
@@ -135,6 +136,7 @@ ORACLE = {
     "i12_backfill_sweep": f"SELECT 'rev:' || page_id || '/' || rev_no AS job, CASE WHEN is_head THEN 20 ELSE 8 END::BIGINT AS priority FROM {_BF} UNION ALL SELECT DISTINCT 'file:' || path, 10 FROM {FI} WHERE status = 'pending'",
     "i15_next_wake": f"SELECT min(run_at) AS next_wake FROM {J} WHERE status = 'pending'",
     "s04_point_lookups": f"SELECT page_id, rev_no, slug FROM {R} JOIN {P} USING (page_id) WHERE page_id < 20",
+    "s04_lookups_all": f"SELECT page_id, rev_no, slug FROM {R} JOIN {P} USING (page_id)",
     "s05_existence": f"SELECT page_id, rev_no FROM {D}",
     "s15_revisions_above": f"SELECT page_id, rev_no, rev_id, ts FROM {R} WHERE rev_no > 2",
     "p05_in_list": f"SELECT id FROM {J} WHERE status IN ('pending', 'dead')",
