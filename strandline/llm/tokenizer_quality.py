@@ -12,8 +12,8 @@ UTF-8 bytes that do not continue one. Repeats are found by rolling hashes of
 
 Defined cases: null or wordless text: no words, base_failed, measures null; a
 script without bands of its own, or a text without letters: the bands
-``Other``; entropy is judged only from ``ENTROPY_TOKENS`` tokens on, since short
-texts cannot reach any bound.
+``Other``; below ``ENTROPY_TOKENS`` tokens the entropy bound shrinks with log2 of
+their number, the most that so many tokens can have.
 """
 
 from __future__ import annotations
@@ -35,8 +35,6 @@ REPEAT_WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 ENTROPY_TOKENS = 200
-#: Tokens from which on the second vocabulary's rate is judged.
-RATE_TOKENS = 50
 
 
 @dataclass(frozen=True)
@@ -158,6 +156,10 @@ def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
+def entropy_bound(least: float, n_tokens: int) -> float:
+    return least * min(1.0, float(np.log2(n_tokens) / np.log2(ENTROPY_TOKENS)))
+
+
 def entropy(ids: np.ndarray) -> float:
     counts = np.bincount(ids)
     share = counts[counts > 0] / len(ids)
@@ -210,8 +212,7 @@ def measure(documents: DataFrame, pieces: str = PIECES, ranks: str = RANKS, band
             if good:
                 band, rate = bands[name], chars[i] / n_tokens[i]
                 good = band.least_chars <= rate <= band.most_chars and byte_tokens[i] <= band.most_bytes * n_tokens[i]
-                good = good and (second[i] < RATE_TOKENS or chars[i] >= band.least_chars_2 * second[i])
-                good = bool(good and (n_tokens[i] < ENTROPY_TOKENS or e >= band.least_entropy))
+                good = good and chars[i] >= band.least_chars_2 * second[i] and e >= entropy_bound(band.least_entropy, n_tokens[i])
             kept.append(bool(good))
         empty = n_tokens == 0
         at_least = np.maximum(n_tokens, 1)

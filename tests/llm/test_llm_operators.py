@@ -401,6 +401,20 @@ def test_script_bands(spark):
     assert got[0]["kept"] and not got[1]["kept"] and got[2]["script"] == "Cyrillic"
 
 
+def test_entropy_is_judged_in_short_texts(spark):
+    rng = random.Random(7)
+    words = [rng.choice(("house", "river")) for _ in range(8)]
+    while len(words) < 40:
+        # No window of 8 words comes twice, so that the base rule sees no repeats.
+        seen = {tuple(words[i : i + 8]) for i in range(len(words) - 7)}
+        words.append(next(w for w in rng.sample(("house", "river"), 2) if (*words[-7:], w) not in seen))
+    junk = " ".join(words)
+    got = tokenizer_quality.measure(documents(spark, [junk])).first()
+    assert got["n_tokens"] < tokenizer_quality.ENTROPY_TOKENS and not got["base_failed"] and not got["kept"]
+    bounds = [tokenizer_quality.entropy_bound(3.5, n) for n in (20, 50, 199, 200, 5000)]
+    assert bounds == sorted(bounds) and bounds[-2:] == [3.5, 3.5]
+
+
 def brute_marginals(model, emissions):
     n, labels = emissions.shape
     weight = {path: math.exp(sum(emissions[i, y] for i, y in enumerate(path)) + sum(model.move[a, b] for a, b in itertools.pairwise(path))) for path in itertools.product(range(labels), repeat=n)}
