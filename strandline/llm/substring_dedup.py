@@ -9,9 +9,6 @@ with one anchor form a block, and a block with an equal in an earlier document
 is removed whole. Only where an anchor has several different blocks (edges of
 shared passages, edited places) are single windows compared.
 
-:func:`remove_against` is the operator against a bounded reference: suffix
-automata of its shards are broadcast and documents stream for matching statistics.
-
 Defined cases: null text has no words and kept_sha256 of the empty string;
 fewer words than a window: nothing removed; null doc_id: neither reference nor
 reduced; repeated rows (one doc_id) never remove each other, and each gets a

@@ -172,6 +172,11 @@ def test_substring_equals_brute_force(spark, window, gram):
         assert hashlib.sha256(" ".join(WORD.findall(r["kept_text"] or "")).encode()).hexdigest() == r["kept_sha256"]
 
 
+def test_documented_functions_exist():
+    for module in (jaccard_join, substring_dedup, decontamination):
+        assert all(hasattr(module, name) for name in re.findall(r":func:`(\w+)`", module.__doc__))
+
+
 def test_repeated_rows_do_not_remove_each_other(spark):
     text = " ".join(f"w{k}" for k in range(60))
     df = documents(spark, [text]).unionByName(documents(spark, [text]))
