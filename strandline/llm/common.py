@@ -158,7 +158,7 @@ def semi_join(big: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
     return big.join(small(ids), on, "left_semi")
 
 
-def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): (node, root), root the smallest key reached.
 
     Alternates large-star and small-star (Kiveris et al. 2014). Every step is a
@@ -167,8 +167,9 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = table(spark, edges)
-    signature = None
-    for _ in range(rounds):
+    signature, row = None, ()
+    while row != signature:
+        signature = row
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -176,10 +177,5 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         edges = table(spark, small.select("e.a", "e.b").where("a <> b").distinct())
-        row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(row) == signature:
-            break
-        signature = tuple(row)
-    else:
-        raise RuntimeError(f"components: no fixed point within {rounds} rounds")
+        row = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -1,29 +1,30 @@
 """N-gram Jaccard join: size-aware heavy-light join of shingle sets.
 
-Sets are collapsed to classes of equal sets first (a 64-bit digest names a class). A pair of classes whose
-larger set has at most ``boundary`` members meets in *light* keys: each set
-enumerates its subsets down to the smallest size that the intersection of a
-linked pair can have. Every other pair meets in *heavy* keys: inverted lists
-keyed by a digest of all of a set's members in one hash part. Two sets of a
-size group differ in at most d members, so among d + 2 parts at least two
-agree; lists keyed by single shingles would grow with every common passage,
-these do not. The boundary is the size at which enumeration stops being
-cheaper by the cost formula in :func:`light_cost` and :func:`heavy_cost`.
-
-Links are counted between classes: every pair of classes that share a list meets
-once, parity bitmaps (their Hamming distance never exceeds the symmetric
-difference) drop most pairs before any text is read, and all others are
-verified. A list is cut into blocks, and each pair of blocks is a task's work of
-its own. A group of near copies has links in the square of its classes, and all
-of them are verified.
-
-Where only components are asked for, rounds save most of that. The first
-compares each class with the one class that leads most of its lists and merges
-what links. Later rounds take each list that still holds more than one component
-and pair its members outside the largest component with all others. Two rounds
-verify only the nearest partner of each class, the last one every pair that is
-left. Any link between different components shares a list, so then none that
-could merge two of them is missing.
+Sets are collapsed to classes of equal sets first (a 64-bit digest names a
+class). A pair of classes whose larger set has at most ``boundary`` members
+meets in *light* keys: each set enumerates its subsets down to the smallest
+size that the intersection of a linked pair can have. Every other pair meets
+in *heavy* lists: inverted lists of single shingles. Under any one order of all
+shingles a linked pair shares a shingle among the first ``probe`` of the larger
+set and the first ``index`` of the smaller one, so each set enters the lists of
+these only. The order is by how often a shingle recurs, rarest first, from a
+pass over all documents: each task counts its shingles and reports those that
+crowd; the ``HOT_SHINGLES`` most crowded go to every task. Any order gives the
+same links, a good one gives short lists. The boundary is the size at which
+enumeration stops being cheaper by :func:`light_cost` and :func:`heavy_cost`.
+
+Lists with the same members are read once. A list of two is a pair to verify;
+of longer ones each member is first verified against the list's leader, and
+what links is merged. Then the lists that still hold several components are
+scanned, in blocks: parity bitmaps (their Hamming distance never exceeds the
+symmetric difference) rule out most pairs, and each member's nearest partner of
+another component is verified, until the pairs that are left are few or none
+of them merges anything; then all of them are verified. Any link between
+different components shares a list, so none is missing.
+
+Links lie inside components. They are counted there by scanning inverted lists
+of all shingles of a block of classes, a pair of blocks at a time: counts leave
+the scan, pairs never do.
 
 Defined cases: null or wordless text: empty set, linked with nothing,
 component_id its own doc_id, n_links 0. Fewer words than the shingle size: one shingle.
@@ -33,27 +34,31 @@ Repeated rows: one result row for each input row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import LOWER, U64, HashTable, as_bytes, components, flatten, mix, semi_join, small, table, text_pass, word64
+from strandline.llm.common import LOWER, U64, HashTable, as_bytes, components, flatten, mix, small, steps, table, word64
 
-#: Boundaries that the cost formula chooses among: the sizes at which one more member may be left out.
-BOUNDARIES = (9, 19, 29)
-BITMAP_WORDS = 16
+#: Boundaries that the cost formula chooses among: this many sizes at which one more member may be left out.
+BOUNDARIES = 3
+#: Bytes of a parity bitmap, and of the one of sets with WIDE_FROM members or more.
+NARROW, WIDE, WIDE_FROM = 128, 1024, 2_048
+#: Shingles that a task counts at a time, and how often one must recur among them to be reported.
+COUNTED, CROWDED = 2_000_000, 6
+#: Reported shingles that every task gets (9 bytes each). It decides the order of shingles only.
+HOT_SHINGLES = 1 << 18
 #: Members of one centre that one task compares before the centre is salted.
-CENTRE_ROWS = 4_000
-#: Members of one block of a list.
-LIST_ROWS = 500
-#: Chance that a member of one set is in another set of the same size group, for the cost formula.
-OVERLAP = 0.3
-
-CLASS_SCHEMA = "doc_id long, n_shingles long, key long, keys array<long>, bits array<long>"
+CENTRE_ROWS = 500
+#: Members of one block of a list, and classes of one block of a component.
+LIST_ROWS, COMPONENT_ROWS = 2_048, 512
+#: Texts and classes that a task remembers to pass over their repeats.
+REMEMBERED = 500_000
 
 
 def shingle_sets(texts: list[bytes | None], size: int, words: HashTable) -> tuple[np.ndarray, np.ndarray]:
@@ -63,16 +68,18 @@ def shingle_sets(texts: list[bytes | None], size: int, words: HashTable) -> tupl
     n = len(texts)
     lengths = np.diff(starts)
     owner = np.repeat(np.arange(n), lengths)
-    at = np.arange(len(h)) - starts[owner]
-    left = lengths[owner] - at
-    value = np.zeros(len(h), U64)
     padded = np.concatenate([h, np.zeros(size, U64)])
+    value = np.zeros(len(h), U64)
     for k in range(size):
-        part = mix(padded[k : k + len(h)] + word64(0x9E3779B97F4A7C15, k + 1))
-        value = mix(value * U64(31) + np.where(left > k, part, U64(0)))
-    keep = (left >= size) | ((at == 0) & (lengths[owner] > 0))
-    value, owner = value[keep], owner[keep]
-    order = np.lexsort((value, owner))
+        value += padded[k : k + len(h)] * word64(0x9E3779B97F4A7C15, 2 * k + 1)
+    keep = np.arange(len(h)) + size <= starts[owner + 1]
+    for i in np.flatnonzero((lengths > 0) & (lengths < size)):
+        whole = h[starts[i] : starts[i + 1]]
+        value[starts[i]] = sum((int(x) * int(word64(0x9E3779B97F4A7C15, 2 * k + 1)) for k, x in enumerate(whole)), len(whole)) & 0xFFFFFFFFFFFFFFFF
+        keep[starts[i]] = True
+    value, owner = mix(value[keep]), owner[keep]
+    bits = U64(max(1, n.bit_length()))
+    order = np.argsort((owner.astype(U64) << (U64(64) - bits)) | (value >> bits))
     value, owner = value[order], owner[order]
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
@@ -87,30 +94,31 @@ class Plan:
 
     def __init__(self, percent: int, boundary: int):
         self.percent, self.boundary = percent, boundary
-        # Group i holds sizes lows[i] to highs[i]; the next one starts before it ends, so that
-        # any two sizes that can link share a group.
-        lows, highs = [max(1, boundary * percent // 100)], []
-        while lows[-1] < 1 << 40:
-            start_next = lows[-1] * 3 // 2 + 1
-            highs.append((start_next - 1) * 100 // percent)
-            lows.append(start_next)
-        self.lows, self.highs = np.array(lows[:-1], np.int64), np.array(highs, np.int64)
-        # |A xor B| <= (a + b)(100 - p)/(100 + p)
-        self.parts = 2 * self.highs * (100 - percent) // (100 + percent) + 2
-
-    def left_out(self, n: int) -> int:
+
+    def left_out(self, n):
+        """Members that the intersection with a linked set may lack at most."""
         return n - -(-n * self.percent // 100)
 
-    def groups(self, n: int) -> list[tuple[int, int]]:
-        last = int(np.searchsorted(self.lows, n, "right")) - 1
-        return [(g, int(self.parts[g])) for g in (last, last - 1) if g >= 0 and n <= self.highs[g]]
+    def probe(self, n):
+        """Members whose lists a set enters to meet smaller sets."""
+        return self.left_out(n) + 1
+
+    def index(self, n):
+        """Members whose lists a set enters to meet sets of its size or more."""
+        return n - -(-2 * n * self.percent // (100 + self.percent)) + 1
 
     def light(self, n: int) -> bool:
         """Up to the boundary, unless the set is too small to link with any other size or content."""
-        return n <= self.boundary and 100 * n >= self.percent * (n + 1)
+        return 0 < n <= self.boundary and 100 * n >= self.percent * (n + 1)
 
-    def heavy(self, n: int) -> bool:
-        return n >= self.lows[0] and n * 100 > self.boundary * self.percent
+    def heavy(self, n):
+        """Sets that may link with one beyond the boundary."""
+        return n * 100 > self.boundary * self.percent
+
+
+def boundaries(percent: int) -> list[int]:
+    plan = Plan(percent, 0)
+    return [n for n in range(1, 1_000) if plan.left_out(n + 1) > plan.left_out(n)][:BOUNDARIES]
 
 
 def light_cost(n: int, left_out: int) -> float:
@@ -121,101 +129,241 @@ def light_cost(n: int, left_out: int) -> float:
     return float(total)
 
 
-def heavy_cost(n: int, parts: int, peers: int) -> float:
-    """Keys of one or two groups, and list entries expected to be scanned in vain."""
-    return 1.3 * parts + parts * peers * OVERLAP ** (n / parts)
+def heavy_cost(probe: int, crowd: float) -> float:
+    """List entries, and members met in vain: crowd, a shingle's mean list length beyond itself."""
+    return probe * (1.0 + crowd)
 
 
-def choose_boundary(sizes: dict[int, int], percent: int) -> int:
+def choose_boundary(sizes: dict[int, int], percent: int, crowd: float) -> int:
     """The boundary with the least summed cost. sizes: sets by size, for the sizes it can concern."""
     costs = {}
-    for boundary in BOUNDARIES:
+    for boundary in boundaries(percent):
         plan = Plan(percent, boundary)
         costs[boundary] = 0.0
         for n, count in sizes.items():
             if plan.light(n):
                 costs[boundary] += count * light_cost(n, plan.left_out(n))
             if plan.heavy(n):
-                peers = sum(c for m, c in sizes.items() if m * 100 >= n * percent and n * 100 >= m * percent)
-                costs[boundary] += count * heavy_cost(n, plan.groups(n)[0][1], peers)
-    return min(costs, key=lambda b: (costs[b], b))
+                costs[boundary] += count * heavy_cost(plan.probe(n), crowd)
+    return min(costs, key=lambda b: (costs[b], b)) if costs else 0
 
 
-def set_keys(members: np.ndarray, plan: Plan) -> np.ndarray:
-    """Light and heavy keys of one set."""
+def light_keys(members: np.ndarray, plan: Plan) -> np.ndarray:
     n = len(members)
-    out = []
-    if plan.light(n):
-        total = members.sum(dtype=U64)
-        for k in range(plan.left_out(n) + 1):
-            if k == 0:
-                sums = np.array([total], U64)
-            elif k == 1:
-                sums = total - members
-            else:
-                sums = total - np.array([members[list(c)].sum(dtype=U64) for c in combinations(range(n), k)], U64)
-            out.append(mix(sums + word64((n - k) * 2 + 1, 0xD6E8FEB86659FD93)))
-    if plan.heavy(n):
-        for group, parts in plan.groups(n):
-            part = ((members >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
-            sums = np.zeros(parts, U64)
-            np.add.at(sums, part, members)
-            filled = np.bincount(part, minlength=parts) > 0
-            label = mix(np.arange(parts, dtype=U64) * U64(0xA24BAED4963EE407) + word64(group * 2 + 2, 0x9FB21C651E98DF25))
-            keys = mix(sums ^ label)
-            # At least two parts of a linked pair agree: one that is empty may be left out, two may not.
-            out.append(keys if (~filled).sum() >= 2 else keys[filled])
-    return np.concatenate(out) if out else np.zeros(0, U64)
-
-
-def bitmap(members: np.ndarray) -> np.ndarray:
-    bits = np.bincount((members & U64(BITMAP_WORDS * 64 - 1)).astype(np.int64), minlength=BITMAP_WORDS * 64) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
-
-
-def class_key(members: np.ndarray) -> int:
-    """64 bits that stand for a whole set."""
-    return int(mix(np.array([mix(members).sum(dtype=U64) ^ members.sum(dtype=U64)], U64)).view(np.int64)[0])
-
-
-def class_pass(documents: DataFrame, size: int, percent: int, boundary: int) -> DataFrame:
-    """Each row's set size and class key; keys and bitmap once for each class and task."""
+    total, out = members.sum(dtype=U64), []
+    for k in range(plan.left_out(n) + 1):
+        if k == 0:
+            sums = np.array([total], U64)
+        elif k == 1:
+            sums = total - members
+        else:
+            sums = total - np.array([members[list(c)].sum(dtype=U64) for c in combinations(range(n), k)], U64)
+        out.append(mix(sums + word64((n - k) * 2 + 1, 0xD6E8FEB86659FD93)))
+    return np.concatenate(out)
+
+
+class Order:
+    """Rarest first: the crowded shingles by how often they recur, after all others; ties by hash."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        at = np.argsort(tokens)
+        self.tokens = tokens[at]
+        self.level = 1 + np.log2(np.maximum(counts[at], 1)).astype(np.uint8)
+        self.sieve = np.zeros(1 << 22, bool)
+        self.sieve[(self.tokens & U64((1 << 22) - 1)).astype(np.int64)] = True
+
+    def levels(self, members: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(members), np.int64)
+        some = np.flatnonzero(self.sieve[(members & U64((1 << 22) - 1)).astype(np.int64)])
+        if len(some):
+            at = np.searchsorted(self.tokens, members[some])
+            at[at == len(self.tokens)] = 0
+            hit = self.tokens[at] == members[some]
+            out[some[hit]] = self.level[at[hit]]
+        return out
+
+
+def list_entries(members: np.ndarray, starts: np.ndarray, plan: Plan, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, owner, whether for sets of its size or more) of the inverted lists that sets enter."""
+    sizes = np.diff(starts)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    level = order.levels(members)
+    if level.any():
+        # Members are sorted by value within each set already.
+        at = np.argsort(owner * 64 + level, kind="stable")
+        members = members[at]
+    place = np.arange(len(members)) - starts[owner]
+    kept = plan.heavy(sizes)[owner] & (place < plan.probe(sizes)[owner])
+    return members[kept], owner[kept], (place < plan.index(sizes)[owner])[kept]
+
+
+def bitmaps(members: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """Parity bitmaps: one bit for each value of a member's last bits; halves of a wide one fold into a narrow one."""
+    out: list[bytes] = []
+    sizes = np.diff(starts)
+    for lo in range(0, len(sizes), 512):
+        hi = min(len(sizes), lo + 512)
+        part, own = members[starts[lo] : starts[hi]], np.repeat(np.arange(hi - lo), sizes[lo:hi])
+        counts = np.bincount(own * (NARROW * 8) + (part & U64(NARROW * 8 - 1)).astype(np.int64), minlength=(hi - lo) * NARROW * 8)
+        packed = np.packbits((counts & 1).astype(np.uint8)).reshape(hi - lo, NARROW)
+        out.extend(row.tobytes() for row in packed)
+    for i in np.flatnonzero(sizes >= WIDE_FROM):
+        counts = np.bincount((members[starts[i] : starts[i + 1]] & U64(WIDE * 8 - 1)).astype(np.int64), minlength=WIDE * 8)
+        out[i] = np.packbits((counts & 1).astype(np.uint8)).tobytes()
+    return out
+
+
+def class_keys(members: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64 bits that stand for each whole set; order does not matter."""
+    totals = []
+    for values in (mix(members), members):
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(values, dtype=U64)])
+        totals.append(sums[starts[1:]] - sums[starts[:-1]])
+    return mix(totals[0] + totals[1] * word64(0xD6E8FEB86659FD93)).view(np.int64)
+
+
+class Sets:
+    """The sets of a task's texts; equal texts are cut once, and each class is new once."""
+
+    def __init__(self, size: int):
+        self.size, self.words = size, HashTable()
+        self.known: dict[bytes, tuple[int, int | None]] = {}
+        self.seen: set[int] = set()
+
+    def read(self, texts: list[bytes | None]) -> tuple[list[tuple[int, int | None]], np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """(size, class key) of each text, then members, starts and keys of the classes seen first here, and their texts' places."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        digests = [xxhash.xxh3_128_digest(t or b"") for t in texts]
+        fresh: dict[bytes, int] = {}
+        for i, d in enumerate(digests):
+            if d not in self.known and d not in fresh:
+                fresh[d] = i
+        places = list(fresh.values())
+        members, starts = shingle_sets([texts[i] for i in places], self.size, self.words)
+        self.words.trim()
+        keys, sizes = class_keys(members, starts), np.diff(starts)
+        new = np.zeros(len(places), bool)
+        for i, (d, key, n) in enumerate(zip(fresh, keys.tolist(), sizes.tolist(), strict=True)):
+            self.known[d] = (n, key if n else None)
+            if n and key not in self.seen:
+                self.seen.add(key)
+                new[i] = True
+        out = [self.known[d] for d in digests]
+        if not new.all():
+            members = members[np.repeat(new, sizes)]
+            starts = np.concatenate([[0], np.cumsum(sizes[new])])
+            keys = keys[new]
+        return out, members, starts, keys, [p for p, m in zip(places, new.tolist(), strict=True) if m]
+
+
+def class_pass(documents: DataFrame, size: int) -> DataFrame:
+    """Each row's set size, class key and text hash, a bitmap once for each class and task; and rows of crowded shingles."""
+    names = ["doc_id", "n_shingles", "key", "th", "bits", "shingle", "c"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from strandline.llm.common import steps
-
-        words, plan, seen = HashTable(), Plan(percent, boundary), set()
-        for step in steps(batches):
-            sets, starts = shingle_sets(as_bytes(step.column("text")), size, words)
-            words.trim()
-            sizes, keys, sigs, bits = np.diff(starts), [], [], []
-            for i in range(step.num_rows):
-                lo, hi = starts[i], starts[i + 1]
-                if lo == hi:
-                    keys.append(None), sigs.append(None), bits.append(None)
-                    continue
-                key = class_key(sets[lo:hi])
-                keys.append(key)
-                if key in seen:
-                    sigs.append(None), bits.append(None)
-                    continue
-                if len(seen) < 500_000:
-                    seen.add(key)
-                sigs.append(set_keys(sets[lo:hi], plan).view(np.int64))
-                bits.append(bitmap(sets[lo:hi]))
-            yield pa.RecordBatch.from_arrays([step.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(keys, pa.int64()), pa.array(sigs, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "key", "keys", "bits"])
-
-    return documents.select("doc_id", "text").mapInArrow(run, CLASS_SCHEMA)
+        sets, held, count = Sets(size), [], 0
 
+        def crowded() -> pa.RecordBatch:
+            values = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+            counts = np.diff(np.append(first, len(values)))
+            often = counts >= CROWDED
+            found = [pa.array(values[first[often]].view(np.int64)), pa.array(counts[often], pa.int64())]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(found[0]), k) for k in kinds[:5]), *found], names=names)
 
-def small_sizes(documents: DataFrame) -> dict[int, int]:
-    """Sets by an upper estimate of their size, for sizes near the boundaries: words by native split."""
-    n = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))) - 2
-    short = documents.where(F.octet_length("text") < 2_000).select(n.alias("n")).where(f"n between 8 and {BOUNDARIES[-1] * 2}")
-    return {r["n"]: r["c"] for r in short.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
+        for step in steps(batches):
+            texts = as_bytes(step.column("text"))
+            rows, members, starts, _, places = sets.read(texts)
+            bits: list[bytes | None] = [None] * len(texts)
+            for place, b in zip(places, bitmaps(members, starts), strict=True):
+                bits[place] = b
+            th = np.fromiter((xxhash.xxh64_intdigest(t or b"", seed=42) for t in texts), U64, len(texts))
+            arrays = [step.column("doc_id").cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(th.view(np.int64)), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(len(texts), k) for k in kinds[5:])], names=names)
+            held.append(members)
+            count += len(members)
+            if count >= COUNTED:
+                yield crowded()
+                held, count = [], 0
+        if count:
+            yield crowded()
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key long, th long, bits binary, shingle long, c long")
+
+
+def entry_pass(documents: DataFrame, size: int, plan: Plan, shared) -> DataFrame:
+    """(sig, key, early): the lists of each class, once a task; early: for sets of its size or more."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, order = Sets(size), Order(*shared.value)
+        for step in steps(batches):
+            _, members, starts, keys, _ = sets.read(as_bytes(step.column("text")))
+            sigs, owner, early = list_entries(members, starts, plan, order)
+            found = [(sigs, keys[owner], early)]
+            for i in np.flatnonzero(np.diff(starts) <= plan.boundary):
+                own = members[starts[i] : starts[i + 1]]
+                if plan.light(len(own)):
+                    light = light_keys(own, plan)
+                    found.append((light, np.full(len(light), keys[i]), np.ones(len(light), bool)))
+            sigs, owners, early = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(owners.astype(np.int64)), pa.array(early)], names=["sig", "key", "early"])
+
+    return documents.select("text").mapInArrow(run, "sig long, key long, early boolean")
+
+
+def as_words(column: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Bitmaps as rows of 64-bit words: all of them folded to the narrow width, and the wide ones by place."""
+    values = column.to_pylist()
+    if all(len(v) == NARROW for v in values):
+        return np.frombuffer(b"".join(values), U64).reshape(len(values), NARROW // 8), {}
+    wide = {i: np.frombuffer(v, U64) for i, v in enumerate(values) if len(v) > NARROW}
+    # packbits puts neighbouring bits together, so bit k of the narrow map is bits k, k + 1024, ... of the wide one.
+    rows = [np.bitwise_xor.reduce(wide[i].reshape(-1, NARROW // 8)) if i in wide else np.frombuffer(v, U64) for i, v in enumerate(values)]
+    return np.stack(rows), wide
+
+
+def possible(far: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """False where sizes or bitmaps rule a link out."""
+    return (np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent) & (far * (100 + percent) <= (n_a + n_b) * (100 - percent))
+
+
+def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, far, ...) of the pairs that may link; other columns of pairs stay. far: Hamming distance of the bitmaps."""
+    others = [c for c in pairs.columns if c not in ("a", "b")]
+    side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
 
-def verify(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (x, wide_x), (y, wide_y) = as_words(batch.column("bits_a")), as_words(batch.column("bits_b"))
+            far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            for i in wide_x.keys() & wide_y.keys():
+                far[i] = np.bitwise_count(wide_x[i] ^ wide_y[i]).sum(dtype=np.int64)
+            kept = pa.array(possible(far, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(kept) for c in ("a", "b")), pa.array(far).filter(kept), *(batch.column(c).filter(kept) for c in others)], names=["a", "b", "far", *others])
+
+    extra = "".join(f", {c} {pairs.schema[c].dataType.simpleString()}" for c in others)
+    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b", *others).mapInArrow(run, f"a long, b long, far long{extra}")
+
+
+def class_texts(documents: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, text): a text of each of the classes keys."""
+    wanted = table(documents.sparkSession, classes.join(keys, "key", "left_semi").select("key", "doc_id", "th"))
+    rows = documents.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
+    wanted = small(wanted).select("key", F.col("doc_id").alias("_id"), "th")
+    # doc_id may be repeated or null: the text's hash tells which of its rows is meant.
+    found = rows.join(wanted, (rows["th"] == wanted["th"]) & rows["doc_id"].eqNullSafe(wanted["_id"]))
+    return found.select("key", "text").dropDuplicates(["key"])
+
+
+def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of class keys that link. texts: (key, text), one for each class.
 
     b's text travels to its centre a; a centre with many members is dealt over
@@ -229,8 +377,6 @@ def verify(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: int, p
     parted = centres.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches):
-        from strandline.llm.common import steps
-
         words, centre, own = HashTable(), None, None
         for step in steps(batches):
             sets, starts = shingle_sets(as_bytes(step.column("text")), size, words)
@@ -242,7 +388,9 @@ def verify(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: int, p
                     centre, own = a, own_set.copy()
                     continue
                 assert a == centre
-                common = len(np.intersect1d(own, own_set, assume_unique=True))
+                at = np.searchsorted(own, own_set)
+                at[at == len(own)] = 0
+                common = int((own[at] == own_set).sum())
                 if 100 * common >= percent * (len(own) + len(own_set) - common):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
@@ -250,62 +398,195 @@ def verify(spark: SparkSession, pairs: DataFrame, texts: DataFrame, size: int, p
     return parted.mapInArrow(run, "a long, b long")
 
 
-def distant(bits_a, bits_b, n_a, n_b, percent: int):
-    """True where sizes or parity bitmaps rule a link out."""
-    total = n_a + n_b
-    far = hamming(bits_a, bits_b)
-    return (F.least(n_a, n_b) * 100 < F.greatest(n_a, n_b) * percent) | (far * (100 + percent) > total * (100 - percent))
+def in_blocks(members: DataFrame, group: str, rows: int) -> DataFrame:
+    """members with i and j: each pair of blocks of about so many rows of a group meets once; side tells the block."""
+    blocks = members.groupBy(group).agg((F.floor((F.count(F.lit(1)) - 1) / rows) + 1).cast("int").alias("blocks"))
+    dealt = members.join(blocks, group).withColumn("block", F.pmod(F.hash("key", F.lit(9)), "blocks"))
+    at = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    spread = dealt.select(*members.columns, "block", at)
+    return spread.select(*members.columns, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side"))
 
 
-def cross_pairs(spark: SparkSession, members: DataFrame, root: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, far): pairs of different components that share a list and may link; a is outside the list's largest component.
+def group_pass(rows: DataFrame, group: str, function: Callable[[pa.Table], pa.RecordBatch | None], schema: str, heavy: bool) -> DataFrame:
+    """function on each (group, i, j) of in_blocks(); heavy: one call holds much, so that each group is a batch of its own."""
+    parted = rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
 
-    far: the Hamming distance of the bitmaps.
+    def run(batches):
+        rest: list[pa.RecordBatch] = []
+        last = None
+        for batch in steps(batches) if heavy else batches:
+            if not batch.num_rows:
+                continue
+            ids = np.stack([batch.column(c).to_numpy() for c in (group, "i", "j")])
+            cuts = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
+            if rest and tuple(ids[:, 0]) != last:
+                yield from function(pa.Table.from_batches(rest))
+                rest = []
+            bounds = [0, *cuts.tolist(), batch.num_rows]
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                rest.append(batch.slice(lo, hi - lo))
+                if hi < batch.num_rows:
+                    yield from function(pa.Table.from_batches(rest))
+                    rest = []
+            last = tuple(ids[:, -1])
+        if rest:
+            yield from function(pa.Table.from_batches(rest))
+
+    return parted.mapInArrow(run, schema)
+
+
+def scan_lists(mixed: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """mixed: (sig, key, root, n, bits). Pairs (a, b, far, passing) of different components that share a list and may link.
+
+    nearest: for each member of a list the nearest such partner, and how many there are.
     """
-    marked = members.join(root.select(F.col("node").alias("key"), "root"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("root"))
-    held = marked.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
-    mixed = held.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.max_by("root", F.struct("c", "root")).alias("main")).where("k > 1").select("sig", "main")
-    mixed = table(spark, marked.join(mixed, "sig").join(classes, "key"))
-    outside = mixed.where("root <> main").select("sig", F.col("key").alias("a"), F.col("root").alias("root_a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a"))
-    anyone = mixed.select("sig", F.col("key").alias("b"), F.col("root").alias("root_b"), F.col("main"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"))
-    apart = (outside["sig"] == anyone["sig"]) & (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    met = outside.join(anyone, apart & ~distant(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), percent))
-    return met.select("a", "b", hamming(F.col("bits_a"), F.col("bits_b")).alias("far")).distinct()
-
-
-def list_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b, once each: all pairs that share a list and may link."""
-    blocks = members.groupBy("sig").agg((F.floor(F.count(F.lit(1)) / LIST_ROWS) + 1).cast("int").alias("blocks"))
-    dealt = members.select("sig", "key").join(blocks, "sig").join(classes, "key").withColumn("block", F.pmod(F.hash("key"), "blocks"))
-    one = dealt.select("sig", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("key").alias("a"), F.col("bits").alias("bits_a"), F.col("n").alias("n_a"))
-    two = dealt.select("sig", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("key").alias("b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"))
-    same = (one["sig"] == two["sig"]) & (one["i"] == two["i"]) & (one["j"] == two["j"]) & ((one["i"] < one["j"]) | (F.col("a") < F.col("b")))
-    met = one.join(two, same & ~distant(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), percent))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def merging_rounds(spark: SparkSession, others: DataFrame, members: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, root) of the components, without a look at most links inside them. others: (sig, key, a), a the list's leader."""
-    # Round one: the leader of most of a class's lists.
-    lead = others.groupBy("key", "a").agg(F.count(F.lit(1)).alias("c"))
-    lead = lead.groupBy("key").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select("a", F.col("key").alias("b"))
-    lead = table(spark, lead)
-    links = table(spark, verify(spark, lead, texts, size, percent))
-    root, tried = table(spark, components(spark, links)), lead
-    for nearest in (True, True, False):
-        met = table(spark, cross_pairs(spark, members, root, classes, percent).join(tried, ["a", "b"], "left_anti"))
-        if met.isEmpty():
-            break
-        # While it pays, only the nearest partner of each class outside its lists' largest component.
-        chosen = table(spark, met.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")) if nearest else met.select("a", "b"))
-        links = table(spark, links.unionByName(verify(spark, chosen, texts, size, percent)))
-        tried = table(spark, tried.unionByName(chosen))
-        root = table(spark, components(spark, links))
-    return root
 
+    def one(found: pa.Table):
+        side = found.column("side").to_numpy()
+        keys, roots, sizes = (found.column(c).to_numpy() for c in ("key", "root", "n"))
+        words, wide = as_words(found.column("bits").combine_chunks())
+        same = found.column("i")[0].as_py() == found.column("j")[0].as_py()
+        left = np.arange(len(keys)) if same else np.flatnonzero(~side)
+        right = left if same else np.flatnonzero(side)
+        if not len(left) or not len(right):
+            return
+        back = {}
+        for lo in range(0, len(left), max(1, 2_000_000 // len(right))):
+            rows = left[lo : lo + max(1, 2_000_000 // len(right))]
+            far = np.zeros((len(rows), len(right)), np.int64)
+            for k in range(words.shape[1]):
+                far += np.bitwise_count(words[rows, k][:, None] ^ words[right, k][None, :])
+            if wide:
+                far_right = [k for k, y in enumerate(right.tolist()) if y in wide]
+                matrix = np.stack([wide[right[k]] for k in far_right]) if far_right else None
+                for r, x in enumerate(rows.tolist()):
+                    if x in wide and matrix is not None:
+                        far[r, far_right] = np.bitwise_count(matrix ^ wide[x]).sum(axis=1, dtype=np.int64)
+            good = possible(far, sizes[rows][:, None], sizes[right][None, :], percent) & (roots[rows][:, None] != roots[right][None, :])
+            if not nearest:
+                x, y = np.nonzero(good)
+                a, b = keys[rows[x]], keys[right[y]]
+                once = a < b if same else np.ones(len(a), bool)
+                a, b, d = a[once], b[once], far[x, y][once]
+                yield batch_of(np.minimum(a, b), np.maximum(a, b), d, np.ones(len(a), np.int64))
+                continue
+            far[~good] = 1 << 40
+            counts, best = good.sum(axis=1), far.argmin(axis=1)
+            some = np.flatnonzero(counts)
+            yield batch_of(keys[rows[some]], keys[right[best[some]]], far[some, best[some]], counts[some])
+            if not same:
+                counts, best = good.sum(axis=0), far.argmin(axis=0)
+                for k in np.flatnonzero(counts).tolist():
+                    d, b = int(far[best[k], k]), int(keys[rows[best[k]]])
+                    before = back.get(k)
+                    back[k] = (min((d, b), before[:2]) if before else (d, b)) + (int(counts[k]) + (before[2] if before else 0),)
+        if back:
+            places = list(back)
+            yield batch_of(keys[right[places]], *(np.array([back[k][x] for k in places], np.int64) for x in (1, 0, 2)))
+
+    def batch_of(a, b, far, passing):
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (a, b, far, passing)], names=["a", "b", "far", "passing"])
+
+    return group_pass(in_blocks(mixed, "sig", LIST_ROWS), "sig", one, "a long, b long, far long, passing long", heavy=False)
+
+
+def mixed_lists(lists: DataFrame, root: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of the lists that hold several components, with what the scan needs."""
+    marked = lists.select("sig", "key").join(root.select(F.col("node").alias("key"), "root"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("root"))
+    mixed = marked.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("sig")
+    return marked.join(mixed, "sig").join(classes.select("key", "n", "bits"), "key")
+
+
+def merge_classes(spark: SparkSession, documents: DataFrame, lists: DataFrame, classes: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the components of classes, and the texts that were read. lists: (sig, key, lead, c)."""
+    others = lists.where("key <> lead")
+    couples = others.where("c = 2").select(F.col("lead").alias("a"), F.col("key").alias("b"), F.lit(True).alias("couple")).distinct()
+    led = others.where("c > 2").groupBy("key", "lead").agg(F.count(F.lit(1)).alias("c"))
+    led = led.groupBy("key").agg(F.max_by("lead", F.struct("c", "lead")).alias("a")).select("a", F.col("key").alias("b"), F.lit(False).alias("couple"))
+    chosen = table(spark, likely_pairs(couples.unionByName(led), classes, percent).select("a", "b").distinct())
+    needed = table(spark, chosen.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    texts = table(spark, class_texts(documents, classes, needed))
+    links = table(spark, verify(chosen, texts, size, percent))
+    root, tried = table(spark, components(spark, links)), chosen
+    longer = table(spark, lists.where("c > 2").select("sig", "key"))
+    last = False
+    while not last:
+        mixed = table(spark, mixed_lists(longer, root, classes))
+        near = table(spark, scan_lists(mixed, percent, nearest=True))
+        met, passing = near.agg(F.count(F.lit(1)), F.sum("passing")).first()
+        if not met:
+            break
+        best = near.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        best = table(spark, untried(best, tried))
+        # All that is left at once, where it is little or the nearest ones are settled.
+        last = passing <= 4 * met or best.isEmpty()
+        if last:
+            best = table(spark, untried(scan_lists(mixed, percent, nearest=False).select("a", "b").distinct(), tried))
+        found, texts = verified(spark, documents, best, texts, classes, size, percent)
+        if not last and found.isEmpty():
+            best = table(spark, untried(scan_lists(mixed, percent, nearest=False).select("a", "b").distinct(), tried.unionByName(best)))
+            found, texts = verified(spark, documents, best, texts, classes, size, percent)
+            last = True
+        if not found.isEmpty():
+            links = table(spark, links.unionByName(found))
+            root = table(spark, components(spark, links))
+        tried = tried.unionByName(best)
+    return root, texts
+
+
+def untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    return pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+
+def verified(spark: SparkSession, documents: DataFrame, pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs that link, and texts with those that were missing."""
+    if pairs.isEmpty():
+        return pairs, texts
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key"), "key", "left_anti")
+    needed = table(spark, needed)
+    if not needed.isEmpty():
+        texts = texts.unionByName(table(spark, class_texts(documents, classes, needed)))
+    return table(spark, verify(pairs, texts, size, percent)), texts
+
+
+def count_links(root: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(key, n_links) of the classes in components of several. Counts leave the scan, pairs do not."""
+    sizes = root.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    held = root.withColumnRenamed("node", "key").join(sizes, "root")
+    couples = held.where("members = 2").select("key", F.lit(1).cast("long").alias("n_links"))
+    words = None
 
-def hamming(bits_a, bits_b):
-    return sum((F.bit_count(bits_a[k].bitwiseXOR(bits_b[k])) for k in range(1, BITMAP_WORDS)), F.bit_count(bits_a[0].bitwiseXOR(bits_b[0])))
+    def one(found: pa.Table):
+        nonlocal words
+        words = words or HashTable()
+        members, starts = shingle_sets(as_bytes(found.column("text").combine_chunks()), size, words)
+        words.trim()
+        counts = np.diff(starts)
+        owner = np.repeat(np.arange(len(counts)), counts)
+        side, keys = found.column("side").to_numpy(), found.column("key").to_numpy()
+        same = found.column("i")[0].as_py() == found.column("j")[0].as_py()
+        listed = np.ones(len(counts), bool) if same else side
+        # Inverted lists of one block; the sets of the other scan them.
+        of = listed[owner]
+        order = np.argsort(members[of])
+        values, owners = members[of][order], owner[of][order]
+        degree = np.zeros(len(counts), np.int64)
+        for x in range(len(counts)) if same else np.flatnonzero(~side).tolist():
+            own = members[starts[x] : starts[x + 1]]
+            lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            lengths = hi - lo
+            at = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths - lo, lengths)
+            common = np.bincount(owners[at], minlength=len(counts))
+            linked = (100 * common >= percent * (len(own) + counts - common)) & listed
+            linked[x] = False
+            degree[x] += int(linked.sum())
+            if not same:
+                degree += linked
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(degree)], names=["key", "n_links"])
+
+    many = in_blocks(held.where("members > 2").select("root", "key"), "root", COMPONENT_ROWS).join(texts, "key")
+    counted = group_pass(many, "root", one, "key long, n_links long", heavy=True)
+    return couples.unionByName(counted).groupBy("key").agg(F.sum("n_links").alias("n_links"))
 
 
 def jaccard_join(documents: DataFrame, size: int = 3, percent: int = 90, boundary: int | None = None, counted: bool = True) -> DataFrame:
@@ -314,55 +595,39 @@ def jaccard_join(documents: DataFrame, size: int = 3, percent: int = 90, boundar
     n_links: how many other classes the row's class links with; only where counted.
     """
     spark = documents.sparkSession
+    found = table(spark, class_pass(documents, size))
+    rows = found.where("shingle is null").select("doc_id", "n_shingles", "key", "th", "bits")
+    # Any row of a class may speak for it; one with a doc_id if there is one.
+    rep = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "th")).alias("rep")
+    classes = rows.where("bits is not null").groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), rep)
+    classes = table(spark, classes.select("key", "n", "bits", "rep.doc_id", "rep.th"))
+    crowded = found.where("shingle is not null").groupBy("shingle").agg(F.sum("c").alias("c"))
+    hot = crowded.orderBy(F.desc("c"), "shingle").limit(HOT_SHINGLES).toArrow()
+    tokens, counts = hot.column("shingle").to_numpy().view(U64), hot.column("c").to_numpy().astype(float)
     if boundary is None:
-        boundary = choose_boundary(small_sizes(documents), percent)
-    rows = table(spark, class_pass(documents, size, percent, boundary))
-    classes = rows.where("keys is not null").groupBy("key").agg(F.first("bits").alias("bits"), F.first("n_shingles").alias("n"))
-    lists = rows.where("keys is not null").select("key", F.explode("keys").alias("sig"))
-    # One shuffle by list: every other member beside the list's leader, its smallest key.
-    led = lists.withColumn("a", F.first("key").over(Window.partitionBy("sig").orderBy("key")))
-    others = table(spark, led.where("a <> key").distinct())
-    members = others.unionByName(others.select("sig", F.col("a").alias("key"), "a").distinct())
-    near = table(spark, members.select("key").distinct())
-    reps = rows.where("keys is not null").join(near, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    ids = table(spark, reps)
-    # doc_id may be repeated or null: the key tells which of its rows is meant.
-    texts = semi_join(documents.select("doc_id", "text"), ids.select("doc_id").distinct(), "doc_id")
-    texts = texts.unionByName(documents.where("doc_id is null").select("doc_id", "text"))
-    texts = table(spark, keyed_texts(texts, size).join(near, "key", "left_semi").dropDuplicates(["key"]))
-    if counted:
-        links = table(spark, verify(spark, table(spark, list_pairs(members, classes, percent)), texts, size, percent))
-        root = table(spark, components(spark, links))
-    else:
-        root = merging_rounds(spark, others, members, classes, texts, size, percent)
-    # The smallest doc_id of each component; classes without links stand for themselves.
-    smallest = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"))
-    grouped = smallest.join(root.withColumnRenamed("node", "key"), "key")
-    lows = grouped.groupBy("root").agg(F.min("low").alias("low"))
-    linked = grouped.select("key", "root").join(lows, "root").select("key", F.col("low").alias("linked_low"))
-    final = smallest.join(linked, "key", "left").select("key", F.coalesce("linked_low", "low").alias("component_id"))
-    empty = rows.where("key is null").select("doc_id", "n_shingles", "key", F.col("doc_id").alias("component_id"))
+        total = classes.agg(F.sum("n")).first()[0] or 1
+        sizes = classes.where(F.col("n") <= 2 * boundaries(percent)[-1]).groupBy("n").agg(F.count(F.lit(1)).alias("c"))
+        boundary = choose_boundary({r["n"]: r["c"] for r in sizes.collect()}, percent, float((counts * counts).sum()) / total)
+    shared = spark.sparkContext.broadcast((tokens, counts))
+    entries = table(spark, entry_pass(documents, size, Plan(percent, boundary), shared))
+    met = entries.groupBy("sig").agg(F.min("key").alias("lead"), F.max("key").alias("q"), F.max("early").alias("early")).where("lead < q and early").select("sig", "lead")
+    members = table(spark, entries.select("sig", "key").join(small(table(spark, met)), "sig").distinct())
+    # Lists with the same members count as one.
+    content = members.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    once = table(spark, content.groupBy("c", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "c"))
+    lists = table(spark, members.join(small(once), "sig"))
+    root, texts = merge_classes(spark, documents, lists, classes, size, percent)
+    lows = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows"))
+    grouped = lows.join(root.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "low", "rows", F.coalesce("root", "key").alias("root"), F.col("root").isNotNull().alias("linked"))
+    least = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
+    # Only rows of repeated or linked classes differ from what they say of themselves.
+    told = grouped.where("rows > 1 or linked").join(least, "root").select("key", "component_id")
     if counted:
-        degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-        final = final.join(degree, "key", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-        empty = empty.withColumn("n_links", F.lit(0).cast("long"))
-    out = rows.where("key is not null").select("doc_id", "n_shingles", "key").join(final, "key")
-    return out.select(empty.columns).unionByName(empty)
-
-
-def keyed_texts(texts: DataFrame, size: int) -> DataFrame:
-    words = None
-
-    def one(step):
-        nonlocal words
-        words = words or HashTable()
-        column = as_bytes(step.column("text"))
-        sets, starts = shingle_sets(column, size, words)
-        words.trim()
-        keys = [class_key(sets[a:b]) if b > a else None for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), step.column("text")], names=["key", "text"])
-
-    return text_pass(texts.select("text"), one, "key long, text string")
+        told = told.join(table(spark, count_links(root, texts, size, percent)), "key", "left")
+    told = table(spark, told)
+    out = rows.join(small(told), "key", "left")
+    n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if counted else []
+    return out.select("doc_id", "n_shingles", "key", F.coalesce("component_id", "doc_id").alias("component_id"), *n_links)
 
 
 def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -72,7 +72,7 @@ def brute_components(texts, size, percent):
     return [(i, len(sets[i]), find(i)) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("size", "percent", "boundary"), [(3, 90, 19), (3, 90, 9), (3, 90, 29), (5, 80, 19)])
+@pytest.mark.parametrize(("size", "percent", "boundary"), [(3, 90, 19), (3, 90, 9), (3, 90, None), (5, 80, 14), (5, 80, None)])
 def test_jaccard_equals_brute_force(spark, corpus, size, percent, boundary):
     got = jaccard_join.jaccard_join(documents(spark, corpus), size, percent, boundary).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == brute_components(corpus, size, percent)
@@ -81,6 +81,7 @@ def test_jaccard_equals_brute_force(spark, corpus, size, percent, boundary):
 @pytest.mark.parametrize(("size", "percent", "block"), [(3, 90, 500), (3, 90, 2), (5, 80, 500)])
 def test_jaccard_counts_every_link(spark, corpus, monkeypatch, size, percent, block):
     monkeypatch.setattr(jaccard_join, "LIST_ROWS", block)
+    monkeypatch.setattr(jaccard_join, "COMPONENT_ROWS", block)
     base = [f"v{k}" for k in range(200)]
     texts = [*corpus, *(" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 200, 20))]
     sets = []
@@ -107,21 +108,68 @@ def test_near_copies_with_a_null_doc_id(spark, counted):
         assert {r["component_id"] for r in jaccard_join.jaccard_join(df, counted=counted).collect()} == {low}
 
 
-def test_set_keys_meet_for_every_linked_pair():
+@pytest.mark.parametrize("percent", [80, 90])
+def test_keys_meet_for_every_linked_pair(percent):
     rng = np.random.default_rng(3)
-    plan = jaccard_join.Plan(90, 19)
-    for n in [*range(10, 60), 100, 333, 1000]:
+    plan = jaccard_join.Plan(percent, 9)
+
+    def keys(members, order):
+        members = np.sort(members)
+        sigs, _, early = jaccard_join.list_entries(members, np.array([0, len(members)]), plan, order)
+        light = jaccard_join.light_keys(members, plan).tolist() if plan.light(len(members)) else []
+        return {*sigs.tolist(), *light}, {*sigs[early].tolist(), *light}
+
+    for n in [*range(2, 60), 100, 333, 1000]:
         a = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
-        for gone in range(0, n // 10 + 1):
-            for added in range(0, n // 10 + 1 - gone):
+        order = jaccard_join.Order(a[: n // 2], rng.integers(1, 1000, n // 2).astype(float))
+        most = (100 - percent) * n // 100 + 1
+        for gone in range(0, most + 1):
+            for added in range(0, most + 1 - gone):
                 b = np.concatenate([a[gone:], rng.integers(0, 1 << 63, added).astype(np.uint64)])
                 inter = n - gone
-                if 100 * inter >= 90 * (n + len(b) - inter) and n > 9:
-                    assert set(jaccard_join.set_keys(a, plan).tolist()) & set(jaccard_join.set_keys(b, plan).tolist()), (n, gone, added)
+                if gone + added and 100 * inter >= percent * (n + len(b) - inter):
+                    (all_a, early_a), (all_b, early_b) = keys(a, order), keys(b, order)
+                    assert all_a & all_b & (early_a | early_b), (n, gone, added)
             if n > 100:
                 break
 
 
+@pytest.mark.parametrize("counted", [True, False])
+def test_a_hub_whose_near_copies_do_not_chain(spark, monkeypatch, counted):
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 64)
+    monkeypatch.setattr(jaccard_join, "COMPONENT_ROWS", 64)
+    monkeypatch.setattr(jaccard_join, "CENTRE_ROWS", 50)
+    base = [f"v{k}" for k in range(202)]
+    texts = [" ".join(base)]
+    for k in range(300):
+        own = list(base)
+        for at in (k % 66 * 3, (k * 7 + 1) % 67 * 3, (k * 13 + 2) % 65 * 3):
+            own[at] = f"x{k}-{at}"
+        texts.append(" ".join(own))
+    texts += texts[5:9] + [None, "other words only"]
+    df = documents(spark, texts).withColumn("doc_id", F.when(~F.col("doc_id").isin(0, 17), F.col("doc_id")))
+    got = jaccard_join.jaccard_join(df, counted=counted)
+    want = Counter(c for _, _, c in brute_components(texts, 3, 90))
+    assert Counter(r["component_id"] for r in got.collect()) == Counter({(1 if c == 0 else c): n for c, n in want.items()})
+    if counted:
+        sets = [frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) for w in (WORD.findall(t or "") for t in texts)]
+        classes = list(set(sets) - {frozenset()})
+        degree = Counter()
+        for a, b in itertools.combinations(classes, 2):
+            if 100 * len(a & b) >= 90 * len(a | b):
+                degree.update((a, b))
+        assert Counter(r["n_links"] for r in got.collect()) == Counter(degree[s] for s in sets)
+
+
+@pytest.mark.parametrize(("size", "long"), [(3, 5000), (5, 2500)])
+def test_long_sets_with_wide_bitmaps(spark, size, long):
+    rng = random.Random(1)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(long)]
+    texts = [" ".join(base[: long - cut]) for cut in (0, 10, 400, 450, 1000, 2000)] + [" ".join(base[k:]) for k in (30, 700, 1500)]
+    got = jaccard_join.jaccard_join(documents(spark, texts), size, 90).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == brute_components(texts, size, 90)
+
+
 def test_keep_one(spark, corpus):
     out = jaccard_join.keep_one(documents(spark, corpus), 5, 80)
     assert out.columns == DOC.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
