@@ -1,4 +1,4 @@
-"""Shared ground: word tables, batched text passes, shared-folder tables, components.
+"""Shared ground: word hashes and tables, batched text passes, shared-folder tables, components.
 
 Texts are handled as UTF-8 bytes. ``bytes.split()`` cuts at exactly
 ``[\\x20\\x09-\\x0D]``, which is the word rule of the operators here.
@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -25,6 +25,8 @@ STEP_BYTES = 1_000_000
 WORD_TABLE_LIMIT = 200_000
 #: Rows of ids that a join may broadcast (16 bytes each, so 16 MB); beyond it the join shuffles.
 BROADCAST_ROWS = 1 << 20
+#: Edges (16 bytes each) whose components one task finds; beyond it they are found by joins.
+SMALL_EDGES = 1 << 18
 
 U64 = np.uint64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -72,23 +74,51 @@ class WordTable(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-class HashTable(WordTable):
-    """Word numbers with a 64-bit hash of each word as an array."""
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: A 64-bit value of each byte, and of each byte with A-Z in lower case.
+BYTES = mix(np.arange(1, 257, dtype=U64) * word64(0x9E3779B97F4A7C15))
+LOWER_BYTES = BYTES[np.frombuffer(LOWER, np.uint8)]
+#: Bytes that are hashed at a time; a longer word comes alone.
+SEGMENT = 1 << 20
+BASE = 0x9E3779B97F4A7C15 | 1
 
-    def __init__(self):
-        super().__init__(xxhash.xxh64_intdigest)
-        self.array = np.zeros(0, U64)
 
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        numbers = self.numbers(words)
-        if len(self.array) != len(self.rows):
-            self.array = np.array(self.rows, U64)
-        return self.array[numbers]
+@lru_cache(maxsize=4)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE to the powers 0 to n - 1, and their inverses modulo 2**64."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(n, U64(base), U64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=U64))
+    return out[0], out[1]
 
-    def trim(self) -> None:
-        super().trim()
-        if not self.rows:
-            self.array = np.zeros(0, U64)
+
+def word_hashes(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts in turn, and where each text's words start (one more at the end).
+
+    Words are what bytes.split() gives; lower: A-Z count as a-z.
+    """
+    raw = np.frombuffer(b" ".join([b"", *(t or b"" for t in texts), b""]), np.uint8)
+    space = SPACE[raw]
+    first = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    end = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    values = LOWER_BYTES if lower else BYTES
+    out = np.zeros(len(first), U64)
+    k = 0
+    while k < len(first):
+        base = int(first[k])
+        stop = max(k + 1, int(np.searchsorted(end, base + SEGMENT, "right")))
+        length = int(end[stop - 1]) - base
+        forward, inverse = powers(1 << max(10, length.bit_length()))
+        prefix = np.zeros(length + 1, U64)
+        np.cumsum(values[raw[base : base + length]] * forward[:length], out=prefix[1:], dtype=U64)
+        lo, hi = first[k:stop] - base, end[k:stop] - base
+        out[k:stop] = mix((prefix[hi] - prefix[lo]) * inverse[lo] + (hi - lo).astype(U64))
+        k = stop
+    bounds = np.cumsum([1, *(len(t or b"") + 1 for t in texts)])
+    return out, np.searchsorted(first, bounds)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -142,15 +172,23 @@ def whole_row(df: DataFrame) -> Column:
 
 
 def table(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends here."""
+    """Write df to the shared folder and read it back: the lineage ends here. Its rows are counted on the way."""
     path = f"{checkpoint_root(spark)}/strandline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.rows_written = seen.get["rows"]
+    return out
+
+
+def rows_of(written: DataFrame) -> int:
+    """Rows of what table() returned, without a job."""
+    return written.rows_written
 
 
 def small(ids: DataFrame) -> DataFrame:
-    """A written table of ids, marked for broadcast only while it is small; beyond that joins with it shuffle."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+    """What table() returned, marked for broadcast only while it is small; beyond that joins with it shuffle."""
+    return F.broadcast(ids) if rows_of(ids) <= BROADCAST_ROWS else ids
 
 
 def semi_join(big: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
@@ -158,15 +196,39 @@ def semi_join(big: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
     return big.join(small(ids), on, "left_semi")
 
 
+def few_components(edges: DataFrame) -> DataFrame:
+    """components() of at most SMALL_EDGES edges, by union-find in one task."""
+
+    def run(batches):
+        up: dict[int, int] = {}
+
+        def top(x):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = top(up.setdefault(a, a) if a not in up else a), top(up.setdefault(b, b) if b not in up else b)
+                up[max(x, y)] = min(x, y)
+        if up:
+            yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([top(x) for x in up], pa.int64())], names=["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, root long")
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): (node, root), root the smallest key reached.
 
     Alternates large-star and small-star (Kiveris et al. 2014). Every step is a
     min per node with map-side combine and an equi-join, so that no
     neighbourhood is gathered in one task. Nodes without edges are absent.
+    Up to SMALL_EDGES edges one task is enough.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = table(spark, edges)
+    if rows_of(edges) <= SMALL_EDGES:
+        return few_components(edges)
     signature, row = None, ()
     while row != signature:
         signature = row
@@ -176,6 +238,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = table(spark, small.select("e.a", "e.b").where("a <> b").distinct())
-        row = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+        seen = Observation()
+        edges = table(spark, small.select("e.a", "e.b").where("a <> b").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")))
+        row = tuple(seen.get.values())
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import LOWER, U64, HashTable, as_bytes, components, flatten, mix, small, steps, table, word64
+from strandline.llm.common import U64, as_bytes, components, mix, rows_of, small, steps, table, word64, word_hashes
 
 #: Boundaries that the cost formula chooses among: this many sizes at which one more member may be left out.
 BOUNDARIES = 3
@@ -57,14 +57,15 @@ HOT_SHINGLES = 1 << 18
 CENTRE_ROWS = 500
 #: Members of one block of a list, and classes of one block of a component.
 LIST_ROWS, COMPONENT_ROWS = 2_048, 512
+#: Possible pairs for each member of two blocks up to which all of them are verified at once.
+FEW = 2
 #: Texts and classes that a task remembers to pass over their repeats.
 REMEMBERED = 500_000
 
 
-def shingle_sets(texts: list[bytes | None], size: int, words: HashTable) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, one after another, and the starts."""
-    lists, starts = flatten([t.translate(LOWER).split() if t else [] for t in texts])
-    h = words.hashes(lists)
+    h, starts = word_hashes(texts, lower=True)
     n = len(texts)
     lengths = np.diff(starts)
     owner = np.repeat(np.arange(n), lengths)
@@ -226,7 +227,7 @@ class Sets:
     """The sets of a task's texts; equal texts are cut once, and each class is new once."""
 
     def __init__(self, size: int):
-        self.size, self.words = size, HashTable()
+        self.size = size
         self.known: dict[bytes, tuple[int, int | None]] = {}
         self.seen: set[int] = set()
 
@@ -242,8 +243,7 @@ class Sets:
             if d not in self.known and d not in fresh:
                 fresh[d] = i
         places = list(fresh.values())
-        members, starts = shingle_sets([texts[i] for i in places], self.size, self.words)
-        self.words.trim()
+        members, starts = shingle_sets([texts[i] for i in places], self.size)
         keys, sizes = class_keys(members, starts), np.diff(starts)
         new = np.zeros(len(places), bool)
         for i, (d, key, n) in enumerate(zip(fresh, keys.tolist(), sizes.tolist(), strict=True)):
@@ -377,10 +377,9 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     parted = centres.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches):
-        words, centre, own = HashTable(), None, None
+        centre = own = None
         for step in steps(batches):
-            sets, starts = shingle_sets(as_bytes(step.column("text")), size, words)
-            words.trim()
+            sets, starts = shingle_sets(as_bytes(step.column("text")), size)
             found = []
             for i, (a, b) in enumerate(zip(step.column("a").to_pylist(), step.column("b").to_pylist(), strict=True)):
                 own_set = sets[starts[i] : starts[i + 1]]
@@ -435,10 +434,11 @@ def group_pass(rows: DataFrame, group: str, function: Callable[[pa.Table], pa.Re
     return parted.mapInArrow(run, schema)
 
 
-def scan_lists(mixed: DataFrame, percent: int, nearest: bool) -> DataFrame:
-    """mixed: (sig, key, root, n, bits). Pairs (a, b, far, passing) of different components that share a list and may link.
+def scan_lists(mixed: DataFrame, percent: int, everything: bool = False) -> DataFrame:
+    """mixed: (sig, key, root, n, bits). Pairs (a, b, far, whole) of different components that share a list and may link.
 
-    nearest: for each member of a list the nearest such partner, and how many there are.
+    Where a pair of blocks has more than FEW of them a member, and not everything is asked for, only
+    the nearest partner of each member comes, and whole is false.
     """
 
     def one(found: pa.Table):
@@ -450,44 +450,33 @@ def scan_lists(mixed: DataFrame, percent: int, nearest: bool) -> DataFrame:
         right = left if same else np.flatnonzero(side)
         if not len(left) or not len(right):
             return
-        back = {}
-        for lo in range(0, len(left), max(1, 2_000_000 // len(right))):
-            rows = left[lo : lo + max(1, 2_000_000 // len(right))]
+        step = max(1, 2_000_000 // len(right))
+        for lo in range(0, len(left), step):
+            rows = left[lo : lo + step]
             far = np.zeros((len(rows), len(right)), np.int64)
             for k in range(words.shape[1]):
                 far += np.bitwise_count(words[rows, k][:, None] ^ words[right, k][None, :])
-            if wide:
-                far_right = [k for k, y in enumerate(right.tolist()) if y in wide]
-                matrix = np.stack([wide[right[k]] for k in far_right]) if far_right else None
+            wide_right = [k for k, y in enumerate(right.tolist()) if y in wide] if wide else []
+            if wide_right:
+                matrix = np.stack([wide[right[k]] for k in wide_right])
                 for r, x in enumerate(rows.tolist()):
-                    if x in wide and matrix is not None:
-                        far[r, far_right] = np.bitwise_count(matrix ^ wide[x]).sum(axis=1, dtype=np.int64)
+                    if x in wide:
+                        far[r, wide_right] = np.bitwise_count(matrix ^ wide[x]).sum(axis=1, dtype=np.int64)
             good = possible(far, sizes[rows][:, None], sizes[right][None, :], percent) & (roots[rows][:, None] != roots[right][None, :])
-            if not nearest:
-                x, y = np.nonzero(good)
-                a, b = keys[rows[x]], keys[right[y]]
-                once = a < b if same else np.ones(len(a), bool)
-                a, b, d = a[once], b[once], far[x, y][once]
-                yield batch_of(np.minimum(a, b), np.maximum(a, b), d, np.ones(len(a), np.int64))
-                continue
-            far[~good] = 1 << 40
-            counts, best = good.sum(axis=1), far.argmin(axis=1)
-            some = np.flatnonzero(counts)
-            yield batch_of(keys[rows[some]], keys[right[best[some]]], far[some, best[some]], counts[some])
-            if not same:
-                counts, best = good.sum(axis=0), far.argmin(axis=0)
-                for k in np.flatnonzero(counts).tolist():
-                    d, b = int(far[best[k], k]), int(keys[rows[best[k]]])
-                    before = back.get(k)
-                    back[k] = (min((d, b), before[:2]) if before else (d, b)) + (int(counts[k]) + (before[2] if before else 0),)
-        if back:
-            places = list(back)
-            yield batch_of(keys[right[places]], *(np.array([back[k][x] for k in places], np.int64) for x in (1, 0, 2)))
-
-    def batch_of(a, b, far, passing):
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (a, b, far, passing)], names=["a", "b", "far", "passing"])
-
-    return group_pass(in_blocks(mixed, "sig", LIST_ROWS), "sig", one, "a long, b long, far long, passing long", heavy=False)
+            if same:
+                good &= keys[rows][:, None] < keys[right][None, :]
+            whole = everything or good.sum() <= FEW * (len(rows) + len(right))
+            if not whole:
+                far[~good] = 1 << 40
+                nearest = np.zeros_like(good)
+                nearest[np.arange(len(rows)), far.argmin(axis=1)] = True
+                nearest[far.argmin(axis=0), np.arange(len(right))] = True
+                good &= nearest
+            x, y = np.nonzero(good)
+            a, b = keys[rows[x]], keys[right[y]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(far[x, y]), pa.array(np.full(len(a), whole))], names=["a", "b", "far", "whole"])
+
+    return group_pass(in_blocks(mixed, "sig", LIST_ROWS), "sig", one, "a long, b long, far long, whole boolean", heavy=False)
 
 
 def mixed_lists(lists: DataFrame, root: DataFrame, classes: DataFrame) -> DataFrame:
@@ -512,39 +501,37 @@ def merge_classes(spark: SparkSession, documents: DataFrame, lists: DataFrame, c
     last = False
     while not last:
         mixed = table(spark, mixed_lists(longer, root, classes))
-        near = table(spark, scan_lists(mixed, percent, nearest=True))
-        met, passing = near.agg(F.count(F.lit(1)), F.sum("passing")).first()
-        if not met:
+        if not rows_of(mixed):
             break
-        best = near.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        best = table(spark, untried(best, tried))
-        # All that is left at once, where it is little or the nearest ones are settled.
-        last = passing <= 4 * met or best.isEmpty()
-        if last:
-            best = table(spark, untried(scan_lists(mixed, percent, nearest=False).select("a", "b").distinct(), tried))
+        near = table(spark, untried(scan_lists(mixed, percent).groupBy("a", "b").agg(F.min("far").alias("far"), F.max("whole").alias("whole")), tried))
+        # Each class tries its nearest partner first where it has too many.
+        best = near.where("not whole").groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+        best = table(spark, near.where("whole").select("a", "b").unionByName(best))
+        last = near.where("not whole").isEmpty()
         found, texts = verified(spark, documents, best, texts, classes, size, percent)
-        if not last and found.isEmpty():
-            best = table(spark, untried(scan_lists(mixed, percent, nearest=False).select("a", "b").distinct(), tried.unionByName(best)))
+        tried = tried.unionByName(best)
+        if not last and not rows_of(found):
+            # The nearest ones merge nothing: all that is left.
+            best = table(spark, untried(scan_lists(mixed, percent, everything=True).select("a", "b").distinct(), tried))
             found, texts = verified(spark, documents, best, texts, classes, size, percent)
             last = True
-        if not found.isEmpty():
+        if rows_of(found):
             links = table(spark, links.unionByName(found))
             root = table(spark, components(spark, links))
-        tried = tried.unionByName(best)
     return root, texts
 
 
 def untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
-    return pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    return pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def verified(spark: SparkSession, documents: DataFrame, pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The pairs that link, and texts with those that were missing."""
-    if pairs.isEmpty():
+    if not rows_of(pairs):
         return pairs, texts
     needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key"), "key", "left_anti")
     needed = table(spark, needed)
-    if not needed.isEmpty():
+    if rows_of(needed):
         texts = texts.unionByName(table(spark, class_texts(documents, classes, needed)))
     return table(spark, verify(pairs, texts, size, percent)), texts
 
@@ -554,13 +541,9 @@ def count_links(root: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     sizes = root.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     held = root.withColumnRenamed("node", "key").join(sizes, "root")
     couples = held.where("members = 2").select("key", F.lit(1).cast("long").alias("n_links"))
-    words = None
 
     def one(found: pa.Table):
-        nonlocal words
-        words = words or HashTable()
-        members, starts = shingle_sets(as_bytes(found.column("text").combine_chunks()), size, words)
-        words.trim()
+        members, starts = shingle_sets(as_bytes(found.column("text").combine_chunks()), size)
         counts = np.diff(starts)
         owner = np.repeat(np.arange(len(counts)), counts)
         side, keys = found.column("side").to_numpy(), found.column("key").to_numpy()
@@ -640,7 +623,7 @@ def keep_one(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFram
     kept = documents.join(small(drop), "doc_id", "left_anti")
     # Rows that repeat a doc_id are rare: only they are compared by text.
     repeated = table(documents.sparkSession, found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id"))
-    if repeated.isEmpty():
+    if not rows_of(repeated):
         return kept.select(documents.columns)
     once = kept.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(small(repeated), "doc_id", "left_anti").select(documents.columns).unionByName(once.select(documents.columns))

@@ -19,32 +19,20 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import BROADCAST_ROWS, U64, HashTable, as_bytes, flatten, mix, semi_join, small, steps, table, text_pass, word64
+from strandline.llm.common import BROADCAST_ROWS, U64, as_bytes, mix, powers, rows_of, semi_join, small, steps, table, text_pass, word64, word_hashes
 
 WINDOW, GRAM = 50, 16
 #: Blocks that one task remembers to settle repeats among its own documents.
 SEEN_BLOCKS = 500_000
-BASE = 0x9E3779B97F4A7C15 | 1
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-@lru_cache(maxsize=4)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        p = np.full(n, U64(base), U64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=U64))
-    return out[0], out[1]
-
-
 class Rolling:
     """Hashes of any run of words of one step, in constant time each."""
 
@@ -106,13 +94,11 @@ def block_pass(documents: DataFrame, window: int, gram: int) -> DataFrame:
     """One row a block; anchor is null where an earlier document of the task has the block."""
 
     def run(batches):
-        words, seen = HashTable(), {}
+        seen = {}
         for step in steps(batches):
             texts = as_bytes(step.column("text"))
-            flat, starts = flatten([t.split() if t else [] for t in texts])
-            owner, lo, hi, anchor, block, _ = window_blocks(words.hashes(flat), starts, window, gram)
-            del flat
-            words.trim()
+            hashes, starts = word_hashes(texts)
+            owner, lo, hi, anchor, block, _ = window_blocks(hashes, starts, window, gram)
             ids = step.column("doc_id").cast(pa.int64()).to_pylist()
             doc = [ids[i] for i in owner.tolist()]
             settled = np.zeros(len(doc), bool)
@@ -132,15 +118,10 @@ def block_pass(documents: DataFrame, window: int, gram: int) -> DataFrame:
 
 def window_pass(documents: DataFrame, window: int) -> DataFrame:
     """documents: doc_id, th, text, spans: each window that starts in a span, by its hash."""
-    words = None
 
     def one(step):
-        nonlocal words
-        words = words or HashTable()
-        texts = as_bytes(step.column("text"))
-        flat, starts = flatten([t.split() for t in texts])
-        roll = Rolling(words.hashes(flat))
-        words.trim()
+        hashes, starts = word_hashes(as_bytes(step.column("text")))
+        roll = Rolling(hashes)
         at, owner = [], []
         for i, spans in enumerate(step.column("spans").to_pylist()):
             for s in spans:
@@ -168,7 +149,7 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM)
     whole = judged.where("first < doc_id").select("doc_id", "th", "lo", "hi")
     edges = judged.where("first >= doc_id").join(several, "anchor").groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     edges = table(spark, edges)
-    texts = semi_join(documents.select("doc_id", "text"), edges.select("doc_id").distinct(), "doc_id").withColumn("th", hash_column("text"))
+    texts = semi_join(documents.select("doc_id", "text"), table(spark, edges.select("doc_id").distinct()), "doc_id").withColumn("th", hash_column("text"))
     windows = table(spark, window_pass(texts.join(edges, ["doc_id", "th"]), window).distinct())
     lows = table(spark, windows.groupBy("f").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p < q").select("f", "p"))
     single = windows.join(lows, "f").where("p < doc_id").select("doc_id", "th", "lo", F.col("lo").alias("hi"))
@@ -239,7 +220,7 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM
     spans = table(spark, repeated_spans(documents, window, gram))
     ids = table(spark, spans.select("doc_id").distinct())
     base = documents.select("doc_id", "text")
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if rows_of(ids) <= BROADCAST_ROWS:
         hit = base.join(F.broadcast(ids), "doc_id", "left_semi")
         rest = base.join(F.broadcast(ids), "doc_id", "left_anti").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
         joined = hit.withColumn("th", hash_column("text")).join(spans, ["doc_id", "th"], "left").select("doc_id", "text", "spans")

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm.common import U64, HashTable, WordTable, as_bytes, flatten, mix, text_pass, word64
+from strandline.llm.common import U64, WordTable, as_bytes, flatten, mix, text_pass, word64, word_hashes
 from strandline.llm.substring_dedup import Rolling
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -177,8 +177,8 @@ def measure(documents: DataFrame, pieces: str = PIECES, ranks: str = RANKS, band
 
     def one(step):
         if not state:
-            state.extend([HashTable(), Cutter(pieces, ranks)])
-        words, cutter = state
+            state.append(Cutter(pieces, ranks))
+        cutter = state[0]
         texts = [t or b"" for t in as_bytes(step.column("text"))]
         flat, starts = flatten([t.split() for t in texts])
         counts = np.diff(starts)
@@ -190,8 +190,7 @@ def measure(documents: DataFrame, pieces: str = PIECES, ranks: str = RANKS, band
         for t in texts:
             lines = [x for x in t.split(b"\n") if x.strip()] if b"\n" in t else []
             dup_lines.append(len(lines) - len(set(lines)))
-        repeats = repeated_words(words.hashes(flat), starts, REPEAT_WINDOW)
-        words.trim()
+        repeats = repeated_words(word_hashes(texts)[0], starts, REPEAT_WINDOW)
         base_failed = (counts < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * counts)
         numbers = cutter.numbers(flat)
         ids, sizes = cutter.tokens(numbers)
