@@ -57,6 +57,8 @@ HOT_SHINGLES = 1 << 18
 CENTRE_ROWS = 500
 #: Members of one block of a list, and classes of one block of a component.
 LIST_ROWS, COMPONENT_ROWS = 2_048, 512
+#: Members of a list of which all pairs are compared in one go with other lists.
+SHORT_LIST = 16
 #: Possible pairs for each member of two blocks up to which all of them are verified at once.
 FEW = 2
 #: Texts and classes that a task remembers to pass over their repeats.
@@ -315,11 +317,13 @@ def entry_pass(documents: DataFrame, size: int, plan: Plan, shared) -> DataFrame
     return documents.select("text").mapInArrow(run, "sig long, key long, early boolean")
 
 
-def as_words(column: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+def as_words(column: pa.BinaryArray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """Bitmaps as rows of 64-bit words: all of them folded to the narrow width, and the wide ones by place."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    if len(data) == len(column) * NARROW:
+        return data.view(U64).reshape(len(column), NARROW // 8), {}
     values = column.to_pylist()
-    if all(len(v) == NARROW for v in values):
-        return np.frombuffer(b"".join(values), U64).reshape(len(values), NARROW // 8), {}
     wide = {i: np.frombuffer(v, U64) for i, v in enumerate(values) if len(v) > NARROW}
     # packbits puts neighbouring bits together, so bit k of the narrow map is bits k, k + 1024, ... of the wide one.
     rows = [np.bitwise_xor.reduce(wide[i].reshape(-1, NARROW // 8)) if i in wide else np.frombuffer(v, U64) for i, v in enumerate(values)]
@@ -406,26 +410,27 @@ def in_blocks(members: DataFrame, group: str, rows: int) -> DataFrame:
     return spread.select(*members.columns, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side"))
 
 
-def group_pass(rows: DataFrame, group: str, function: Callable[[pa.Table], pa.RecordBatch | None], schema: str, heavy: bool) -> DataFrame:
-    """function on each (group, i, j) of in_blocks(); heavy: one call holds much, so that each group is a batch of its own."""
+def group_pass(rows: DataFrame, group: str, function: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, at_once: bool) -> DataFrame:
+    """function on the rows of each (group, i, j) of in_blocks(); at_once: on those of many whole groups in turn."""
     parted = rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
 
     def run(batches):
         rest: list[pa.RecordBatch] = []
         last = None
-        for batch in steps(batches) if heavy else batches:
+        for batch in batches if at_once else steps(batches):
             if not batch.num_rows:
                 continue
             ids = np.stack([batch.column(c).to_numpy() for c in (group, "i", "j")])
-            cuts = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
+            cuts = (np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1).tolist()
             if rest and tuple(ids[:, 0]) != last:
-                yield from function(pa.Table.from_batches(rest))
-                rest = []
-            bounds = [0, *cuts.tolist(), batch.num_rows]
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                rest.append(batch.slice(lo, hi - lo))
+                cuts = [0, *cuts]
+            cuts = cuts[-1:] if at_once else cuts
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if hi > lo:
+                    rest.append(batch.slice(lo, hi - lo))
                 if hi < batch.num_rows:
-                    yield from function(pa.Table.from_batches(rest))
+                    if rest:
+                        yield from function(pa.Table.from_batches(rest))
                     rest = []
             last = tuple(ids[:, -1])
         if rest:
@@ -434,38 +439,74 @@ def group_pass(rows: DataFrame, group: str, function: Callable[[pa.Table], pa.Re
     return parted.mapInArrow(run, schema)
 
 
-def scan_lists(mixed: DataFrame, percent: int, everything: bool = False) -> DataFrame:
-    """mixed: (sig, key, root, n, bits). Pairs (a, b, far, whole) of different components that share a list and may link.
-
-    Where a pair of blocks has more than FEW of them a member, and not everything is asked for, only
-    the nearest partner of each member comes, and whole is false.
-    """
-
-    def one(found: pa.Table):
-        side = found.column("side").to_numpy()
-        keys, roots, sizes = (found.column(c).to_numpy() for c in ("key", "root", "n"))
-        words, wide = as_words(found.column("bits").combine_chunks())
-        same = found.column("i")[0].as_py() == found.column("j")[0].as_py()
-        left = np.arange(len(keys)) if same else np.flatnonzero(~side)
-        right = left if same else np.flatnonzero(side)
+def pairs_far(words: np.ndarray, wide: dict[int, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hamming distances of the bitmaps at left and right."""
+    far = np.bitwise_count(words[left] ^ words[right]).sum(axis=1, dtype=np.int64)
+    if wide:
+        for k, (x, y) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+            if x in wide and y in wide:
+                far[k] = np.bitwise_count(wide[x] ^ wide[y]).sum(dtype=np.int64)
+    return far
+
+
+class ListScan:
+    """Pairs of different components in lists, from rows in the order of (sig, i, j)."""
+
+    NAMES = ("a", "b", "far", "whole", "sig")
+
+    def __init__(self, percent: int, everything: bool):
+        self.percent, self.everything = percent, everything
+
+    def rows(self, found: pa.Table) -> Iterator[pa.RecordBatch]:
+        """All pairs of short lists, in one go; longer ones one by one."""
+        self.sig, self.i, self.j, self.keys, self.roots, self.sizes = (found.column(c).to_numpy() for c in ("sig", "i", "j", "key", "root", "n"))
+        self.side = found.column("side").to_numpy()
+        self.words, self.wide = as_words(found.column("bits").combine_chunks())
+        new = np.ones(len(self.sig), bool)
+        new[1:] = (self.sig[1:] != self.sig[:-1]) | (self.i[1:] != self.i[:-1]) | (self.j[1:] != self.j[:-1])
+        starts = np.flatnonzero(new)
+        counts = np.diff(np.append(starts, len(new)))
+        short = (counts <= SHORT_LIST) & (self.i[starts] == self.j[starts])
+        for size in np.unique(counts[short]).tolist():
+            x, y = np.triu_indices(size, 1)
+            at = starts[short & (counts == size)]
+            step = max(1, 200_000 // max(1, len(x)))
+            for k in range(0, len(at), step):
+                left, right = (at[k : k + step, None] + x).ravel(), (at[k : k + step, None] + y).ravel()
+                kept = (self.roots[left] != self.roots[right]) & (np.minimum(self.sizes[left], self.sizes[right]) * 100 >= np.maximum(self.sizes[left], self.sizes[right]) * self.percent)
+                left, right = left[kept], right[kept]
+                far = pairs_far(self.words, self.wide, left, right)
+                good = possible(far, self.sizes[left], self.sizes[right], self.percent)
+                yield self.batch(left[good], right[good], far[good], True)
+        for lo, size in zip(starts[~short].tolist(), counts[~short].tolist(), strict=True):
+            yield from self.long(np.arange(lo, lo + size))
+
+    def batch(self, left: np.ndarray, right: np.ndarray, far: np.ndarray, whole: bool) -> pa.RecordBatch:
+        a, b = self.keys[left], self.keys[right]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(far), pa.array(np.full(len(a), whole)), pa.array(self.sig[left])], names=list(self.NAMES))
+
+    def long(self, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A pair of blocks. Where it has more than FEW pairs a member, only the nearest of each member, unless everything is asked for."""
+        same = self.i[own[0]] == self.j[own[0]]
+        left, right = (own, own) if same else (own[~self.side[own]], own[self.side[own]])
         if not len(left) or not len(right):
             return
         step = max(1, 2_000_000 // len(right))
+        wide_right = [k for k, y in enumerate(right.tolist()) if y in self.wide] if self.wide else []
+        matrix = np.stack([self.wide[right[k]] for k in wide_right]) if wide_right else None
         for lo in range(0, len(left), step):
             rows = left[lo : lo + step]
             far = np.zeros((len(rows), len(right)), np.int64)
-            for k in range(words.shape[1]):
-                far += np.bitwise_count(words[rows, k][:, None] ^ words[right, k][None, :])
-            wide_right = [k for k, y in enumerate(right.tolist()) if y in wide] if wide else []
-            if wide_right:
-                matrix = np.stack([wide[right[k]] for k in wide_right])
+            for k in range(self.words.shape[1]):
+                far += np.bitwise_count(self.words[rows, k][:, None] ^ self.words[right, k][None, :])
+            if matrix is not None:
                 for r, x in enumerate(rows.tolist()):
-                    if x in wide:
-                        far[r, wide_right] = np.bitwise_count(matrix ^ wide[x]).sum(axis=1, dtype=np.int64)
-            good = possible(far, sizes[rows][:, None], sizes[right][None, :], percent) & (roots[rows][:, None] != roots[right][None, :])
+                    if x in self.wide:
+                        far[r, wide_right] = np.bitwise_count(matrix ^ self.wide[x]).sum(axis=1, dtype=np.int64)
+            good = possible(far, self.sizes[rows][:, None], self.sizes[right][None, :], self.percent) & (self.roots[rows][:, None] != self.roots[right][None, :])
             if same:
-                good &= keys[rows][:, None] < keys[right][None, :]
-            whole = everything or good.sum() <= FEW * (len(rows) + len(right))
+                good &= self.keys[rows][:, None] < self.keys[right][None, :]
+            whole = bool(self.everything or good.sum() <= FEW * (len(rows) + len(right)))
             if not whole:
                 far[~good] = 1 << 40
                 nearest = np.zeros_like(good)
@@ -473,10 +514,27 @@ def scan_lists(mixed: DataFrame, percent: int, everything: bool = False) -> Data
                 nearest[far.argmin(axis=0), np.arange(len(right))] = True
                 good &= nearest
             x, y = np.nonzero(good)
-            a, b = keys[rows[x]], keys[right[y]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(far[x, y]), pa.array(np.full(len(a), whole))], names=["a", "b", "far", "whole"])
+            yield self.batch(rows[x], right[y], far[x, y], whole)
+
+
+def scan_lists(mixed: DataFrame, percent: int, everything: bool = False) -> DataFrame:
+    """mixed: (sig, key, root, n, bits). Pairs (a, b, far, whole, sig) of different components that share a list and may link.
+
+    Where whole is false, only the nearest partner of each member of the list came.
+    """
+    scan = ListScan(percent, everything)
+    return group_pass(in_blocks(mixed, "sig", LIST_ROWS), "sig", scan.rows, "a long, b long, far long, whole boolean, sig long", at_once=True)
+
 
-    return group_pass(in_blocks(mixed, "sig", LIST_ROWS), "sig", one, "a long, b long, far long, whole boolean", heavy=False)
+def banded(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(sig, key, home): lists cut by set size. A set is at home in its own band, and a guest of the one below if sets there can be large enough."""
+    width = np.log(max(1.25, 101 / percent))
+    at = F.floor(F.log("n") / width)
+    top = F.exp(at * width) * 100 / percent + 1
+    sized = members.join(classes.select("key", "n"), "key").select("sig", "key", "n", at.alias("at"), top.alias("top"))
+    places = F.array(F.struct(F.col("at").alias("band"), F.lit(True).alias("home")), F.struct(F.when(F.col("n") <= F.col("top"), F.col("at") - 1).alias("band"), F.lit(False).alias("home")))
+    spread = sized.select("sig", "key", F.explode(places).alias("place")).where("place.band is not null")
+    return spread.select(F.xxhash64("sig", "place.band").alias("sig"), "key", F.col("place.home").alias("home"))
 
 
 def mixed_lists(lists: DataFrame, root: DataFrame, classes: DataFrame) -> DataFrame:
@@ -503,15 +561,19 @@ def merge_classes(spark: SparkSession, documents: DataFrame, lists: DataFrame, c
         mixed = table(spark, mixed_lists(longer, root, classes))
         if not rows_of(mixed):
             break
-        near = table(spark, untried(scan_lists(mixed, percent).groupBy("a", "b").agg(F.min("far").alias("far"), F.max("whole").alias("whole")), tried))
-        # Each class tries its nearest partner first where it has too many.
+        scanned = table(spark, scan_lists(mixed, percent))
+        unsettled = table(spark, scanned.where("not whole").select("sig").distinct())
+        near = untried(scanned.groupBy("a", "b").agg(F.min("far").alias("far"), F.max("whole").alias("whole")), tried)
+        # Each class tries its nearest partner first where it has too many; a list that gave all its pairs is settled.
         best = near.where("not whole").groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
         best = table(spark, near.where("whole").select("a", "b").unionByName(best))
-        last = near.where("not whole").isEmpty()
+        last = not rows_of(unsettled)
+        longer = longer.join(small(unsettled), "sig", "left_semi")
         found, texts = verified(spark, documents, best, texts, classes, size, percent)
         tried = tried.unionByName(best)
         if not last and not rows_of(found):
             # The nearest ones merge nothing: all that is left.
+            mixed = mixed.join(small(unsettled), "sig", "left_semi")
             best = table(spark, untried(scan_lists(mixed, percent, everything=True).select("a", "b").distinct(), tried))
             found, texts = verified(spark, documents, best, texts, classes, size, percent)
             last = True
@@ -568,7 +630,7 @@ def count_links(root: DataFrame, texts: DataFrame, size: int, percent: int) -> D
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(degree)], names=["key", "n_links"])
 
     many = in_blocks(held.where("members > 2").select("root", "key"), "root", COMPONENT_ROWS).join(texts, "key")
-    counted = group_pass(many, "root", one, "key long, n_links long", heavy=True)
+    counted = group_pass(many, "root", one, "key long, n_links long", at_once=False)
     return couples.unionByName(counted).groupBy("key").agg(F.sum("n_links").alias("n_links"))
 
 
@@ -593,12 +655,13 @@ def jaccard_join(documents: DataFrame, size: int = 3, percent: int = 90, boundar
         boundary = choose_boundary({r["n"]: r["c"] for r in sizes.collect()}, percent, float((counts * counts).sum()) / total)
     shared = spark.sparkContext.broadcast((tokens, counts))
     entries = table(spark, entry_pass(documents, size, Plan(percent, boundary), shared))
-    met = entries.groupBy("sig").agg(F.min("key").alias("lead"), F.max("key").alias("q"), F.max("early").alias("early")).where("lead < q and early").select("sig", "lead")
+    met = entries.groupBy("sig").agg(F.min("key").alias("p"), F.max("key").alias("q"), F.max("early").alias("early")).where("p < q and early").select("sig")
     members = table(spark, entries.select("sig", "key").join(small(table(spark, met)), "sig").distinct())
+    members = table(spark, banded(members, classes, percent))
+    content = members.groupBy("sig").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("c"), F.max("home").alias("home"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
     # Lists with the same members count as one.
-    content = members.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
-    once = table(spark, content.groupBy("c", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "c"))
-    lists = table(spark, members.join(small(once), "sig"))
+    once = content.where("c > 1 and home").groupBy("c", "x", "y").agg(F.min("sig").alias("sig"), F.min("lead").alias("lead")).select("sig", "lead", "c")
+    lists = table(spark, members.select("sig", "key").join(small(table(spark, once)), "sig"))
     root, texts = merge_classes(spark, documents, lists, classes, size, percent)
     lows = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows"))
     grouped = lows.join(root.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "low", "rows", F.coalesce("root", "key").alias("root"), F.col("root").isNotNull().alias("linked"))
