@@ -13,6 +13,11 @@ ERROR_TITLES = {"the file does not exist": "file", "the site does not exist": "s
 BASE_THEME = "common--theme/base/css/style.css"
 
 
+def strip(text: Column) -> Column:
+    """text without white space at its ends, in Unicode's sense."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null if there is none or it is empty."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
@@ -28,32 +33,57 @@ def landing_slug(html: Column) -> Column:
 
 def html_title(html: Column) -> Column:
     """Text between the first <title...> and the next tag, '' if there is none."""
-    return F.trim(F.regexp_extract(html, r"<title[^>]*>([^<]*)", 1))
+    return strip(F.regexp_extract(html, r"<title[^>]*>([^<]*)", 1))
 
 
 def time_from_class(value: Column) -> Column:
     return first_match(value, r"time_(\d+)").try_cast("bigint")
 
 
+#: Stylesheets that the second platform ships with every site.
+CORE_STYLES = ("/-/static/wikidot-base.css", "/-/static/app.css")
+CORE_STYLE_FOLDER = "/-/static/fontawesome/"
+
+
+def linked_theme_roots(urls: Column, host: Column) -> Column:
+    """Stylesheets that a home page links, resolved already: the platform's own go, cache busters of the site's own host are cut, each once."""
+    def own(u: Column) -> Column:
+        return own_host(u, host)
+
+    cut = F.transform(urls, lambda u: F.when(own(u), F.substring_index(u, "?", 1)).otherwise(u))
+    path = lambda u: F.coalesce(F.try_parse_url(u, F.lit("PATH")), F.lit(""))
+    return F.array_distinct(F.filter(cut, lambda u: ~(own(u) & (path(u).isin(*CORE_STYLES) | path(u).startswith(CORE_STYLE_FOLDER)))))
+
+
+def stylesheet_links(html: Column) -> Column:
+    """href of each link whose rel is stylesheet, in order."""
+    tags = F.filter(link_tags(html), lambda t: t.rlike(r"""\srel=["']?stylesheet["']?(\s|$|/)"""))
+    return F.filter(F.transform(tags, lambda t: link_attribute(t, "href")), lambda h: h.isNotNull())
+
+
+def without_bom(text: Column) -> Column:
+    return F.regexp_replace(text, "^\ufeff", "")
+
+
 def author(element: Column) -> Column:
     return F.coalesce(first_match(element, r"""data-id="(\d+)\""""), first_match(element, r"userInfo\((\d+)\)")).try_cast("bigint")
 
 
 def revision_of_change(text: Column) -> Column:
     """The last word of the text as a number, parentheses aside; 0 if it is none."""
-    words = F.split(F.trim(F.regexp_replace(text, r"[()]", "")), r"\s+")
+    words = F.split(strip(F.regexp_replace(text, r"[()]", "")), r"\s+")
     return F.coalesce(F.element_at(words, -1).try_cast("bigint"), F.lit(0).cast("long"))
 
 
 def revision_of_cell(text: Column) -> Column:
-    return F.replace(F.trim(text), F.lit("."), F.lit("")).try_cast("bigint")
+    return F.replace(strip(text), F.lit("."), F.lit("")).try_cast("bigint")
 
 
 def css_imports(css: Column) -> Column:
     """Targets of @import statements: url(...), with or without quotes, or a quoted string."""
-    statements = F.transform(F.slice(F.split(css, "@import"), 2, 1_000_000), lambda s: F.trim(F.element_at(F.split(s, ";"), 1)))
+    statements = F.transform(F.slice(F.split(css, "@import"), 2, 1_000_000), lambda s: strip(F.element_at(F.split(s, ";"), 1)))
     def target(s: Column) -> Column:
-        inner = F.regexp_replace(F.trim(F.regexp_extract(s, r"^url\(([^)]*)", 1)), r"""^"?'?|"?'?$""", "")
+        inner = F.regexp_replace(strip(F.regexp_extract(s, r"^url\(([^)]*)", 1)), r"""^"?'?|"?'?$""", "")
         quoted = F.regexp_extract(s, r"""(?s)^(["'])(.*)\1$""", 2)
         return F.when(s.startswith("url("), inner).otherwise(quoted)
     return F.filter(F.transform(statements, target), lambda t: t != "")
@@ -74,7 +104,7 @@ def theme_roots(html: Column) -> Column:
 def css_urls(css: Column) -> Column:
     """Distinct url(...) values in order, without data: and fragments."""
     parts = F.slice(F.split(css, r"url\("), 2, 1_000_000)
-    inner = F.transform(parts, lambda p: F.regexp_replace(F.trim(F.substring_index(p, ")", 1)), r"""^["']|["']$""", ""))
+    inner = F.transform(parts, lambda p: F.regexp_replace(strip(F.substring_index(p, ")", 1)), r"""^["']|["']$""", ""))
     return F.array_distinct(F.filter(inner, lambda u: (u != "") & ~u.startswith("data:") & ~u.startswith("#")))
 
 
@@ -98,7 +128,7 @@ def own_host(url: Column, host: Column) -> Column:
 
 def error_page_kind(html: Column) -> Column:
     lower = F.lower(html)
-    title = F.trim(F.regexp_extract(lower, r"(?s)<title[^>]*>(.*?)</title>", 1))
+    title = strip(F.regexp_extract(lower, r"(?s)<title[^>]*>(.*?)</title>", 1))
     kind = F.lit(None).cast("string")
     kind = F.when(lower.contains("the file does not exist"), F.lit("file")).otherwise(kind)
     for text, name in ERROR_TITLES.items():
@@ -120,12 +150,12 @@ def canonical_landing_slug(html: Column) -> Column:
     href = link_attribute(F.try_element_at(tags, F.lit(1)), "href")
     path = F.regexp_extract(F.regexp_replace(href, "^[^:]*://", ""), "^[^/]*/(.*)$", 1)
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    return F.nullif(F.trim(F.element_at(F.split(F.try_element_at(segments, F.lit(-1)), r"[?#]"), 1)), F.lit(""))
+    return F.nullif(strip(F.element_at(F.split(F.try_element_at(segments, F.lit(-1)), r"[?#]"), 1)), F.lit(""))
 
 
 def iso8601(text: Column) -> Column:
     """Unix seconds; date and time both needed, the fraction is dropped, no zone means UTC."""
-    t = F.trim(text)
+    t = strip(text)
     shape = r"^(\d{4})-(\d\d)-(\d\d)[T ](\d\d):(\d\d):(\d\d)(?:\.\d+)?(Z|[+-]\d\d:?\d\d)?$"
     n = [F.regexp_extract(t, shape, k).try_cast("int") for k in range(1, 7)]
     zone = F.regexp_extract(t, shape, 7)
@@ -139,7 +169,7 @@ def iso8601(text: Column) -> Column:
 
 
 def media_type(header: Column) -> Column:
-    return F.nullif(F.lower(F.trim(F.split_part(header, F.lit(";"), F.lit(1)))), F.lit(""))
+    return F.nullif(F.lower(strip(F.split_part(header, F.lit(";"), F.lit(1)))), F.lit(""))
 
 
 def yaml_quote(text: Column) -> Column:
@@ -151,7 +181,7 @@ def yaml_quote(text: Column) -> Column:
 
 def yaml_unquote(text: Column) -> Column:
     """The inverse of yaml_quote, in one pass: escaped backslashes are set apart first."""
-    out = F.regexp_replace(F.trim(text), r'^"|"$', "")
+    out = F.regexp_replace(strip(text), r'^"|"$', "")
     out = F.replace(out, F.lit("\\\\"), F.lit("\x00"))
     for escaped, plain in (('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\x00", "\\")):
         out = F.replace(out, F.lit(escaped), F.lit(plain))
@@ -159,7 +189,7 @@ def yaml_unquote(text: Column) -> Column:
 
 
 def quoted_list(text: Column) -> Column:
-    inner = F.trim(F.regexp_replace(F.trim(text), r"^\[|\]$", ""))
+    inner = strip(F.regexp_replace(strip(text), r"^\[|\]$", ""))
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.transform(F.split(inner, '(?<="), (?=")'), yaml_unquote))
 
 
@@ -171,12 +201,36 @@ def revision_text(title: Column, tags: Column, pid: Column, site: Column, slug:
     )
 
 
+def last_wins(pairs: Column) -> Column:
+    """Entries (key, value) as a map; the last of a key wins."""
+    distinct = F.filter(pairs, lambda p: p["key"].isNotNull())
+    return F.map_from_entries(F.aggregate(distinct, F.array().cast("array<struct<key:string,value:string>>"), lambda acc, p: F.concat(F.filter(acc, lambda q: q["key"] != p["key"]), F.array(p))))
+
+
 def key_values(text: Column) -> Column:
     """Lines ``key: value`` as a map; the last of a key wins."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.contains(": "))
-    pairs = F.transform(lines, lambda x: F.struct(F.substring_index(x, ": ", 1).alias("key"), F.regexp_replace(x, "^[^:]*: ", "").alias("value")))
-    distinct = F.filter(pairs, lambda p: p["key"].isNotNull())
-    return F.map_from_entries(F.aggregate(distinct, F.array().cast("array<struct<key:string,value:string>>"), lambda acc, p: F.concat(F.filter(acc, lambda q: q["key"] != p["key"]), F.array(p))))
+    return last_wins(F.transform(lines, lambda x: F.struct(F.substring_index(x, ": ", 1).alias("key"), F.regexp_replace(x, "^[^:]*: ", "").alias("value"))))
+
+
+def merge_cookies(jar: Column, headers: Column) -> Column:
+    """A cookie jar (map) after the answer's headers: name=value before the first semicolon; a header without a name is nothing."""
+    def one(header: Column) -> Column:
+        pair = F.substring_index(header, ";", 1)
+        name = F.when(pair.contains("="), F.nullif(strip(F.substring_index(pair, "=", 1)), F.lit("")))
+        return F.struct(name.alias("key"), strip(F.regexp_replace(pair, "^[^=]*=", "")).alias("value"))
+    return last_wins(F.concat(F.map_entries(jar), F.transform(headers, one)))
+
+
+def cookie_header(jar: Column) -> Column:
+    """The request header of a jar, names in order."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(jar)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")
+
+
+def adjacent_pairs(parts: Column) -> Column:
+    """Neighbours of an array as (before, after), one pair less than it has members."""
+    count = F.greatest(F.size(parts) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(parts, F.lit(1), count).alias("before"), F.slice(parts, F.lit(2), count).alias("after"))
 
 
 def frontmatter(raw: Column) -> Column:
@@ -205,7 +259,7 @@ def journal(raw: Column) -> Column:
 
 def slug(text: Column) -> Column:
     """category (null) and name: lower case, split at the first colon if both sides have something."""
-    low = F.lower(F.trim(text))
+    low = F.lower(strip(text))
     left, right = F.regexp_extract(low, "^([^:]+):(.+)$", 1), F.regexp_extract(low, "^([^:]+):(.+)$", 2)
     split = (left != "") & (right != "")
     return F.struct(F.when(split, left).alias("category"), F.when(split, right).otherwise(low).alias("name"))
@@ -222,7 +276,7 @@ def error_policy(kind: Column) -> Column:
 
 
 def directory_name(host: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(host)), "^https?://", ""), "/+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(strip(host)), "^https?://", ""), "/+$", "")
 
 
 def is_sha256(text: Column) -> Column:
@@ -256,8 +310,7 @@ def mined_references(content: Column, base: Column) -> Column:
     tells whether the reference is absolute, what follows is its path. base:
     scheme and host that lift a relative reference.
     """
-    parts = F.split(content, "local--files/")
-    pairs = F.arrays_zip(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))).alias("before"), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))).alias("after"))
+    pairs = adjacent_pairs(F.split(content, "local--files/"))
     def one(p: Column) -> Column:
         taken = F.regexp_extract(p["after"], f"^([^{STOP}]*)", 1)
         # The scheme must be http(s) as a whole word: letters glued to it make it another scheme.

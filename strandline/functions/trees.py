@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -19,14 +20,20 @@ class Node:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
 
+    def everything(self) -> Iterator[Node | str]:
+        """All below, in order; a loop, as pages nest deeper than Python's stack."""
+        todo = list(reversed(self.children))
+        while todo:
+            c = todo.pop()
+            yield c
+            if isinstance(c, Node):
+                todo.extend(reversed(c.children))
+
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        return "".join(c for c in self.everything() if isinstance(c, str))
 
     def walk(self) -> Iterator[Node]:
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+        return (c for c in self.everything() if isinstance(c, Node))
 
     def has_class(self, name: str) -> bool:
         return name in self.attrs.get("class", "").split()
@@ -38,17 +45,33 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        #: Open elements of each tag, so that nothing is looked for in vain.
+        self.open: Counter[str] = Counter()
+
+    def _leave(self, node: Node) -> None:
+        """node, and what is open in it, ends."""
+        while True:
+            ended, self.at = self.at, self.at.parent
+            self.open[ended.tag] -= 1
+            if ended is node:
+                return
 
     def handle_starttag(self, tag, attrs):
         closes, node = IMPLIED.get(tag, ()), self.at
+        if not any(self.open[c] for c in closes):
+            node = self.root
+        last = None
         while node.parent is not None and node.tag not in ("table", "ul", "ol"):
             if node.tag in closes:
-                self.at = node.parent
+                last = node
             node = node.parent
+        if last is not None:
+            self._leave(last)
         child = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(child)
         if tag not in VOID:
             self.at = child
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -56,11 +79,12 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if not self.open[tag]:
+            return
         node = self.at
-        while node.parent is not None and node.tag != tag:
+        while node.tag != tag:
             node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+        self._leave(node)
 
     def handle_data(self, data):
         self.at.children.append(data)

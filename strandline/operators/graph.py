@@ -2,38 +2,90 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.session import cut_lineage
+from strandline.functions import text as X
+from strandline.functions import urls
+from strandline.session import checkpoint_root
 
 
-def crawl(roots: DataFrame, edges: DataFrame, documents: DataFrame, max_depth: int = 1_000) -> tuple[DataFrame, DataFrame]:
-    """(visited: url, depth, kind; assets: url).
+def crawl(roots: DataFrame, edges: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(visited: url, depth, kind; assets: url). It ends when a hop finds nothing new, however deep that is.
 
     roots: url. edges: src, dst, kind ('import' or 'asset'). documents: url,
     binary. A url without a document has kind 'failed'; a binary one is not
-    descended. Each hop joins the frontier with the edges and drops what was
-    seen; lineage is cut each hop in the shared folder.
+    descended. Two spellings of one document (fragments, host case, default
+    ports) are one: what is seen is compared by normalised URL. Each hop joins
+    the frontier with the edges, drops what was seen and appends one table in
+    the shared folder, so a hop writes its own rows only.
     """
-    known = documents.select("url", "binary").dropDuplicates(["url"])
+    spark = roots.sparkSession
+    folder = f"{checkpoint_root(spark)}/strandline-crawl-{uuid.uuid4().hex}"
+    known = documents.select(urls.normalize_url(F.col("url")).alias("key"), "binary").dropDuplicates(["key"])
+    imports = edges.where("kind = 'import'").select(urls.normalize_url(F.col("src")).alias("src"), "dst")
 
-    def judged(urls: DataFrame, depth: int) -> DataFrame:
+    def visit(found: DataFrame, depth: int) -> DataFrame:
+        """One spelling of each document; written as the hop's table."""
+        keyed = found.select("url", urls.normalize_url(F.col("url")).alias("key")).groupBy("key").agg(F.min("url").alias("url"))
+        fresh = keyed.join(seen(depth).select("key"), "key", "left_anti") if depth else keyed
         kind = F.when(F.col("binary").isNull(), F.lit("failed")).when(F.col("binary"), F.lit("binary")).otherwise(F.lit("css"))
-        return urls.join(known, "url", "left").select("url", F.lit(depth).alias("depth"), kind.alias("kind"))
-
-    frontier = cut_lineage(judged(roots.select("url").distinct(), 0))
-    visited = frontier
-    for depth in range(1, max_depth):
-        step = frontier.where("kind = 'css'").join(edges.where("kind = 'import'").select(F.col("src").alias("url"), "dst"), "url").select(F.col("dst").alias("url")).distinct()
-        frontier = cut_lineage(judged(step.join(visited.select("url"), "url", "left_anti"), depth))
-        if frontier.isEmpty():
-            break
-        visited = cut_lineage(visited.unionByName(frontier))
-    reached = visited.where("kind = 'css'").select(F.col("url").alias("src"))
-    targets = edges.where("kind = 'import'").select("src", "dst")
-    assets = edges.where("kind = 'asset'").select("src", "dst").join(reached, "src", "left_semi").join(targets, ["src", "dst"], "left_anti")
-    return visited, assets.select(F.col("dst").alias("url")).distinct()
+        fresh.join(known, "key", "left").select("url", "key", F.lit(depth).alias("depth"), kind.alias("kind")).write.parquet(f"{folder}/{depth}")
+        return spark.read.schema(SEEN).parquet(f"{folder}/{depth}")
+
+    def seen(depth: int) -> DataFrame:
+        return spark.read.schema(SEEN).parquet(*(f"{folder}/{k}" for k in range(depth)))
+
+    frontier, depth = visit(roots.select("url"), 0), 0
+    while not frontier.isEmpty():
+        depth += 1
+        step = frontier.where("kind = 'css'").select(F.col("key").alias("src")).join(imports, "src").select(F.col("dst").alias("url")).distinct()
+        frontier = visit(step, depth)
+    visited = seen(depth + 1)
+    reached = visited.where("kind = 'css'").select(F.col("key").alias("src"))
+    wanted = edges.where("kind = 'asset'").select(urls.normalize_url(F.col("src")).alias("src"), "dst").join(reached, "src", "left_semi")
+    assets = wanted.join(imports.select("src", "dst"), ["src", "dst"], "left_anti")
+    return visited.select("url", "depth", "kind"), assets.select(F.col("dst").alias("url")).distinct()
+
+
+SEEN = "url string, key string, depth int, kind string"
+
+
+def document_edges(documents: DataFrame) -> DataFrame:
+    """src, dst, kind of what stylesheets (url, css) import and reference, each resolved against its own document."""
+    read = documents.where("css is not null")
+    imports = read.select(F.col("url").alias("src"), F.explode(X.css_imports(F.col("css"))).alias("ref"), F.lit("import").alias("kind"))
+    assets = read.select(F.col("url").alias("src"), F.explode(X.css_urls(F.col("css"))).alias("ref"), F.lit("asset").alias("kind"))
+    both = imports.unionByName(assets)
+    return both.select("src", urls.resolve_url(F.col("src"), F.col("ref")).alias("dst"), "kind").distinct()
+
+
+def crawl_documents(roots: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """crawl() of captured stylesheets. documents: url, css (null: saved bytes that are no stylesheet)."""
+    return crawl(roots, document_edges(documents), documents.select("url", F.col("css").isNull().alias("binary")))
+
+
+def resolve_assets(assets: DataFrame, saved: DataFrame, hosts: DataFrame, captured: DataFrame) -> DataFrame:
+    """url, outcome of each asset: 'saved' already, 'missing' on a host that is gone or where the answer says so,
+    'failed' on an unreachable host or without an answer, else 'stored'.
+
+    saved: url. hosts: host, health. captured: url, status (the answer to a fetch).
+    """
+    host = X.url_host(F.col("url"))
+    marked = assets.select("url", host.alias("host")).distinct().join(saved.select("url", F.lit(True).alias("_saved")).distinct(), "url", "left")
+    marked = marked.join(hosts.select("host", "health").dropDuplicates(["host"]), "host", "left").join(captured.select("url", "status").dropDuplicates(["url"]), "url", "left")
+    outcome = F.when(F.col("_saved"), F.lit("saved")).when(F.col("health") == "gone", F.lit("missing")).when(F.col("health") == "unreachable", F.lit("failed"))
+    outcome = outcome.when(F.col("status") == 404, F.lit("missing")).when(F.col("status") == 200, F.lit("stored")).otherwise(F.lit("failed"))
+    return marked.select("url", outcome.alias("outcome"))
+
+
+def crawl_marker(roots: DataFrame, visited: DataFrame, resolved: DataFrame) -> DataFrame:
+    """One row: the sorted roots, and what must be tried again: failed documents, failed and missing assets."""
+    again = visited.where("kind = 'failed'").select("url").unionByName(resolved.where("outcome in ('failed', 'missing')").select("url"))
+    failed = again.agg(F.sort_array(F.collect_set("url")).alias("failed"))
+    return roots.agg(F.sort_array(F.collect_set("url")).alias("roots")).crossJoin(failed)  # one row each
 
 
 def recrawl_needed(roots: DataFrame, marker: DataFrame) -> DataFrame:

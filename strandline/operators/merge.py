@@ -74,10 +74,14 @@ def delete_rows(state: DataFrame, doomed: DataFrame, keys: list[str]) -> DataFra
 def update_existing(state: DataFrame, delta: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """UPDATE by key; a delta row that meets no state row is an error, raised when the plan runs."""
     out = upsert(state, delta, keys, dict.fromkeys(columns, keep_new))
-    marked = delta.select(*keys, F.lit(True).alias("_d")).join(state.select(*keys, F.lit(True).alias("_s")), keys, "left")
-    missing = marked.agg(F.count_if(F.col("_s").isNull()).alias("_missing"))
-    checked = out.crossJoin(F.broadcast(missing))  # one row
-    return checked.withColumn("_ok", F.when(F.col("_missing") > 0, F.raise_error(F.concat(F.lit("update met no row for "), F.col("_missing").cast("string"), F.lit(" keys")))).otherwise(F.lit(True))).where("_ok").select(state.columns)
+    return fail_if_missing(out, state, delta, keys, "update met no row for ")
+
+
+def fail_if_missing(out: DataFrame, state: DataFrame, wanted: DataFrame, keys: list[str], message: str) -> DataFrame:
+    """out, failing when it runs if a key of wanted is not in state; an out without rows fails too."""
+    missing = wanted.select(keys).join(state.select(keys), keys, "left_anti").agg(F.count(F.lit(1)).alias("_missing"))
+    checked = missing.select("_missing", F.when(F.col("_missing") > 0, F.raise_error(F.concat(F.lit(message), F.col("_missing").cast("string"), F.lit(" keys")))).otherwise(F.lit(True)).alias("_ok"))
+    return out.crossJoin(F.broadcast(checked.where("_ok"))).select(out.columns)  # one row
 
 
 def best_of_group(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

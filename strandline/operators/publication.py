@@ -11,29 +11,55 @@ from __future__ import annotations
 import hashlib
 import io
 import tarfile
+import time
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import text as X
+from strandline.operators import merge
+from strandline.operators.versions import VersionedTable
+from strandline.sources import files
 
 FORMAT = 3
+PAGE_ENTRY = """id:string,slug:string,title:string,tags:array<string>,revisions_stored:long,revisions_known:long,max_rev:long,
+  created_by:string,created_at:long,updated_by:string,updated_at:long,archive:string,archive_sha256:string"""
+FILE_ENTRY = "path:string,sha256:string,size:long,content_type:string,status:string,blob:string"
 ZSTD_LEVEL = 19
 
 
-def archive_bytes(entries: list[tuple[str, bytes]], level: int = ZSTD_LEVEL) -> bytes:
-    """A tar of the entries under zstd; the same entries always give the same bytes."""
-    import zstandard
+class Archive:
+    """A tar under zstd, fed an entry at a time: only the compressed bytes are held. The same entries always give the same bytes."""
+
+    def __init__(self, level: int = ZSTD_LEVEL):
+        import zstandard
+
+        self.out = io.BytesIO()
+        self.writer = zstandard.ZstdCompressor(level=level, write_checksum=False, threads=0).stream_writer(self.out, closefd=False)
+        self.tar = tarfile.open(fileobj=self.writer, mode="w|", format=tarfile.GNU_FORMAT)
+        self.count = 0
 
-    raw = io.BytesIO()
-    with tarfile.open(fileobj=raw, mode="w", format=tarfile.GNU_FORMAT) as tar:
-        for name, content in entries:
-            info = tarfile.TarInfo(name)
-            info.size, info.mtime, info.uid, info.gid, info.mode = len(content), 0, 0, 0, 0o644
-            tar.addfile(info, io.BytesIO(content))
-    return zstandard.ZstdCompressor(level=level, write_checksum=False, threads=0).compress(raw.getvalue())
+    def add(self, name: str, content: bytes) -> None:
+        info = tarfile.TarInfo(name)
+        info.size, info.mtime, info.uid, info.gid, info.mode = len(content), 0, 0, 0, 0o644
+        self.tar.addfile(info, io.BytesIO(content))
+        self.count += 1
+
+    def finish(self) -> bytes:
+        self.tar.close()
+        self.writer.close()
+        return self.out.getvalue()
+
+
+def archive_bytes(entries: list[tuple[str, bytes]], level: int = ZSTD_LEVEL) -> bytes:
+    archive = Archive(level)
+    for name, content in entries:
+        archive.add(name, content)
+    return archive.finish()
 
 
 def pack_pages(rendered: DataFrame, level: int = ZSTD_LEVEL) -> DataFrame:
@@ -45,25 +71,41 @@ def pack_pages(rendered: DataFrame, level: int = ZSTD_LEVEL) -> DataFrame:
     parted = rendered.select("page_id", "rev_no", X.entry_name(F.col("rev_no")).alias("name"), "raw").repartition("page_id").sortWithinPartitions("page_id", "rev_no")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page, entries = None, []
+        page, archive = None, None
 
         def done() -> pd.DataFrame:
-            data = archive_bytes(entries, level)
-            return pd.DataFrame({"page_id": [page], "n": [len(entries)], "sha256": [hashlib.sha256(data).hexdigest()], "bytes": [data]})
+            data = archive.finish()
+            return pd.DataFrame({"page_id": [page], "n": [archive.count], "sha256": [hashlib.sha256(data).hexdigest()], "bytes": [data]})
 
         for batch in batches:
             for pid, name, raw in zip(batch["page_id"], batch["name"], batch["raw"], strict=True):
-                if pid != page and entries:
+                if archive is not None and pid != page:
                     yield done()
-                    entries = []
-                page = pid
-                entries.append((name, raw.encode()))
-        if entries:
+                    archive = None
+                if archive is None:
+                    page, archive = pid, Archive(level)
+                archive.add(name, raw.encode())
+        if archive is not None:
             yield done()
 
     return parted.mapInPandas(run, "page_id long, n long, sha256 string, bytes binary")
 
 
+def unpack_pages(packed: DataFrame) -> DataFrame:
+    """page_id, name, content of each entry of archives (page_id, bytes), streamed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+
+        for batch in batches:
+            for pid, data in zip(batch["page_id"], batch["bytes"], strict=True):
+                with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)) as raw, tarfile.open(fileobj=raw, mode="r|") as tar:
+                    for entry in tar:
+                        yield pd.DataFrame({"page_id": [pid], "name": [entry.name], "content": [tar.extractfile(entry).read().decode()]})
+
+    return packed.select("page_id", "bytes").mapInPandas(run, "page_id long, name string, content string")
+
+
 def checked_counts(packed: DataFrame, catalog: DataFrame) -> DataFrame:
     """packed, failing when it runs if an archive holds another number of revisions than the catalog says."""
     joined = packed.join(catalog.select("page_id", "revisions_stored"), "page_id")
@@ -75,7 +117,8 @@ def page_entries(catalog: DataFrame) -> DataFrame:
     """page_id and entry: the canonical JSON of each page, archive fields null where nothing is stored."""
     stored = F.col("revisions_stored") > 0
     sha = F.when(stored, F.col("archive_sha256"))
-    archive = F.when(stored, F.concat(X.blob_path(F.col("archive_sha256"), "pages"), F.lit(".tar.zst")))
+    sha_of = F.col("archive_sha256")
+    archive = F.when(stored & X.is_sha256(sha_of), F.concat_ws("/", F.lit("objects/archives"), F.substring(sha_of, 1, 2), F.substring(sha_of, 3, 2), F.concat(sha_of, F.lit(".zst"))))
     entry = F.struct(
         F.col("page_id").cast("string").alias("id"), "slug", "title", "tags", "revisions_stored", "revisions_known", "max_rev",
         *(F.col(c).cast("string").alias(c) if c.endswith("by") else F.col(c) for c in ("created_by", "created_at", "updated_by", "updated_at")),
@@ -84,9 +127,9 @@ def page_entries(catalog: DataFrame) -> DataFrame:
     return catalog.select("page_id", F.to_json(entry, {"ignoreNullFields": "false"}).alias("entry"))
 
 
-def file_entries(files: DataFrame) -> DataFrame:
+def file_entries(file_rows: DataFrame) -> DataFrame:
     entry = F.struct("path", "sha256", "size", "content_type", "status", X.blob_path(F.col("sha256")).alias("blob"))
-    return files.select("path", F.to_json(entry, {"ignoreNullFields": "false"}).alias("entry"))
+    return file_rows.select("path", F.to_json(entry, {"ignoreNullFields": "false"}).alias("entry"))
 
 
 def shell_text(shell: dict) -> str:
@@ -98,6 +141,16 @@ def shell_text(shell: dict) -> str:
     return "".join(f"{x}\n" for x in [*lines, *(f"theme_root: {r}" for r in shell.get("theme_roots", []))])
 
 
+def object_name(kind: str, sha: str) -> str:
+    """The layout of the format; kinds are archives, pages, files and shell."""
+    extension = {"archives": ".zst", "pages": ".json", "files": ".json", "shell": ".txt"}[kind]
+    return f"objects/{kind}/{sha[:2]}/{sha[2:4]}/{sha}{extension}"
+
+
+def root_name(sha: str) -> str:
+    return f"roots/{sha[:2]}/{sha[2:4]}/{sha}.json"
+
+
 class Store:
     """Objects under a root folder, through Hadoop's file system of that path."""
 
@@ -112,26 +165,65 @@ class Store:
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._p(name))
 
+    def size(self, name: str) -> int:
+        return self._fs.getFileStatus(self._p(name)).getLen()
+
     def get(self, name: str) -> bytes:
-        stream = self._fs.open(self._p(name))
-        try:
-            return bytes(stream.readAllBytes())
-        finally:
-            stream.close()
+        return files.read_bytes(self._fs, self._p(name))
 
     def put(self, name: str, data: bytes) -> None:
         """An object that exists already must have this size."""
-        if self.exists(name):
-            size = self._fs.getFileStatus(self._p(name)).getLen()
-            if size != len(data):
-                raise OSError(f"{name} has {size} bytes, not {len(data)}")
-            return
-        part = f"{name}.part"
-        stream = self._fs.create(self._p(part), True)
-        stream.write(bytearray(data))
-        stream.close()
-        if not self._fs.rename(self._p(part), self._p(name)) and not self.exists(name):
-            raise OSError(f"{name} could not be written")
+        aside = f"{name}.{uuid.uuid4().hex}.part"
+        if not self.exists(name):
+            files.write_bytes(self._fs, self._p(aside), data)
+            if files.move(self.spark, self._p(aside), self._p(name), overwrite=False):
+                return
+            self._fs.delete(self._p(aside), False)
+        if self.size(name) != len(data):
+            raise OSError(f"{name} has {self.size(name)} bytes, not {len(data)}")
+
+    def put_object(self, kind: str, data: bytes) -> str:
+        sha = hashlib.sha256(data).hexdigest()
+        self.put(object_name(kind, sha), data)
+        return sha
+
+    def put_list(self, kind: str, opening: str, entries: DataFrame, order: str, closing: str) -> str:
+        """An object of the column ``entry`` of all rows in total order, between opening and closing; the hash of its bytes.
+
+        The rows stream to one file, commas between them, and the driver's JVM streams that file on; nobody holds it.
+        """
+        aside = f"_aside/{uuid.uuid4().hex}"
+        entries.orderBy(order).select("entry").coalesce(1).write.option("lineSep", ",").text(f"{self.root}/{aside}")
+        whole = self._p(f"{aside}/whole")
+        out = self._fs.create(whole, True)
+        out.write(bytearray(opening.encode()))
+        for status in self._fs.listStatus(self._p(aside)):
+            if status.getPath().getName().startswith("part-") and status.getLen():
+                part = self._fs.open(status.getPath())
+                self._jvm.org.apache.commons.io.IOUtils.copyLarge(part, out, 0, status.getLen() - 1)
+                part.close()
+        out.write(bytearray(closing.encode()))
+        out.close()
+        sha = files.sha256_of(self.spark, self._fs, whole)
+        size = self._fs.getFileStatus(whole).getLen()
+        if not files.move(self.spark, whole, self._p(object_name(kind, sha)), overwrite=False) and self.size(object_name(kind, sha)) != size:
+            raise OSError(f"{object_name(kind, sha)} does not have {size} bytes")
+        self._fs.delete(self._p(aside), True)
+        return sha
+
+    @contextmanager
+    def locked(self, lease_s: int = 3_600):
+        """The exclusive right to publish. A lock older than the lease was left by a lost writer and is taken over."""
+        lock = self._p(".publish.lock")
+        if not self._fs.createNewFile(lock):
+            age = time.time() - self._fs.getFileStatus(lock).getModificationTime() / 1000
+            taken = self._p(f"_aside/{uuid.uuid4().hex}.lock")
+            if age < lease_s or not files.move(self.spark, lock, taken, overwrite=False) or not self._fs.createNewFile(lock):
+                raise RuntimeError("another publication is running; try again later")
+        try:
+            yield
+        finally:
+            self._fs.delete(lock, False)
 
     def head(self) -> str | None:
         if not self.exists("HEAD"):
@@ -142,58 +234,84 @@ class Store:
         return value
 
     def move_head(self, sha: str) -> bool:
-        """Whether HEAD changed."""
+        """Whether HEAD changed. It is replaced in one step: a reader meets the old one or the new one."""
         if self.head() == sha:
             return False
-        part = self._p("HEAD.part")
-        stream = self._fs.create(part, True)
-        stream.write(bytearray(f"{sha}\n".encode()))
-        stream.close()
-        if self.exists("HEAD"):
-            self._fs.delete(self._p("HEAD"), False)
-        self._fs.rename(part, self._p("HEAD"))
-        return True
+        aside = self._p(f"_aside/{uuid.uuid4().hex}.head")
+        files.write_bytes(self._fs, aside, f"{sha}\n".encode())
+        return files.move(self.spark, aside, self._p("HEAD"), overwrite=True)
+
+
+def put_section(store: Store, kind: str, site: str, entries: DataFrame, order: str) -> str:
+    """Write a section as compact JSON in the total order of its key; returns the hash of its bytes."""
+    import json
 
+    return store.put_list(kind, f'{{"v":{FORMAT},"site":{json.dumps(site, ensure_ascii=False)},"{kind}":[', entries, order, "]}\n")
 
-def put_section(store: Store, kind: str, entries: DataFrame, order: str) -> str:
-    """Write a section (JSON lines in total order, range-partitioned) under its content hash; returns the hash.
 
-    The hash is over the sorted (order, SHA-256 of line) digests of ranges, so no line leaves its executor.
+def parse_shell(value: str | None) -> dict:
+    """The stored shell; broken JSON fails the publication, none is an empty one."""
+    import json
+
+    if value is None:
+        return {"title": "", "subtitle": ""}
+    shell = json.loads(value)
+    if not isinstance(shell, dict) or not {"title", "subtitle"} <= set(shell):
+        raise ValueError("the stored shell is malformed")
+    return shell
+
+
+def publish(store: Store, site: str, pages: DataFrame, file_rows: DataFrame, shell: str | None, out_state: DataFrame | None = None, cache: VersionedTable | None = None) -> tuple[str, bool]:
+    """Sections and shell, then root, then the cache, then HEAD; returns the root's hash and whether HEAD moved.
+
+    pages and file_rows come from pinned versions, so they are one snapshot. shell: its stored JSON.
+    out_state (page_id, packed_revs, archive_sha256) is what this publication packed; the cache commits a
+    version only where rows of it changed.
     """
-    lines = entries.select(F.col(order).alias("_k"), "entry", F.sha2("entry", 256).alias("_h"))
-    # One digest a partition range: rows meet only by hash bucket of the key, the driver sees 256 digests.
-    buckets = lines.groupBy(F.pmod(F.xxhash64("_k"), F.lit(256)).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_h"))), lambda x: x["_h"]), ""), 256).alias("h"))
-    digest = hashlib.sha256("".join(r["h"] for r in buckets.orderBy("b").collect()).encode()).hexdigest()
-    path = f"{store.root}/{kind}/{digest}"
-    if not store.exists(f"{kind}/{digest}/_SUCCESS"):
-        entries.orderBy(order).select("entry").write.mode("overwrite").text(path)
-    return digest
-
-
-def publish(store: Store, site: str, pages: DataFrame, files: DataFrame, shell: dict) -> tuple[str, bool]:
-    """Sections, then root, then HEAD; returns the root's hash and whether HEAD moved."""
     import json
 
-    shas = {"pages": put_section(store, "pages_index", page_entries(pages), "page_id"), "files": put_section(store, "files_index", file_entries(files), "path")}
-    data = shell_text(shell).encode()
-    shas["shell"] = hashlib.sha256(data).hexdigest()
-    store.put(f"shell/{shas['shell']}.txt", data)
-    root = (json.dumps({"v": FORMAT, "site": site, **shas}, separators=(",", ":")) + "\n").encode()
-    sha = hashlib.sha256(root).hexdigest()
-    store.put(f"roots/{sha}.json", root)
-    return sha, store.move_head(sha)
+    with store.locked():
+        text = shell_text(parse_shell(shell)).encode()
+        shas = {"pages": put_section(store, "pages", site, page_entries(pages), "page_id"), "files": put_section(store, "files", site, file_entries(file_rows), "path"), "shell": store.put_object("shell", text)}
+        root = (json.dumps({"v": FORMAT, "site": site, **shas}, separators=(",", ":"), ensure_ascii=False) + "\n").encode()
+        sha = hashlib.sha256(root).hexdigest()
+        store.put(root_name(sha), root)
+        if cache is not None and out_state is not None:
+            update_cache(cache, out_state)
+        return sha, store.move_head(sha)
+
+
+def update_cache(cache: VersionedTable, out_state: DataFrame) -> bool:
+    """Whether a version was committed: only where packed_revs or the hash of some page changed."""
+    if not cache.versions():
+        cache.commit(out_state)
+        return True
+    old = cache.read()
+    changed = out_state.join(old, [out_state[c].eqNullSafe(old[c]) for c in ("page_id", "packed_revs", "archive_sha256")], "left_anti")
+    if changed.isEmpty():
+        return False
+    cache.commit(merge.upsert(old, out_state, ["page_id"], dict.fromkeys(("packed_revs", "archive_sha256"), merge.keep_new)))
+    return True
 
 
 def read_publication(store: Store) -> tuple[dict, DataFrame, DataFrame]:
-    """Root, pages and files that HEAD points at."""
+    """Root, pages and files that HEAD points at; pages and files have a row an entry."""
     import json
 
     sha = store.head()
     if sha is None:
         raise FileNotFoundError("nothing is published")
-    root = json.loads(store.get(f"roots/{sha}.json"))
-    read = store.spark.read.text
-    return root, read(f"{store.root}/pages_index/{root['pages']}"), read(f"{store.root}/files_index/{root['files']}")
+    root = json.loads(store.get(root_name(sha)))
+    read = lambda kind, entry: store.spark.read.json(f"{store.root}/{object_name(kind, root[kind])}", schema=f"v int, site string, {kind} array<struct<{entry}>>").select(F.explode(kind).alias("e")).select("e.*")
+    return root, read("pages", PAGE_ENTRY), read("files", FILE_ENTRY)
+
+
+def verify_publication(store: Store) -> None:
+    """Reader's check: every object that HEAD's root names has the hash it is named by."""
+    root = read_publication(store)[0]
+    for kind in ("pages", "files", "shell"):
+        if files.sha256_of(store.spark, store._fs, store._p(object_name(kind, root[kind]))) != root[kind]:
+            raise OSError(f"the {kind} object is damaged")
 
 
 def new_objects(wanted: DataFrame, present: DataFrame) -> DataFrame:

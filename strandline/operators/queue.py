@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.operators.merge import fail_if_missing
+
 #: Kinds whose jobs are appended without a look at what is there and deleted when done.
 EPHEMERAL = ("page.sync",)
 #: Priority of each kind.
 PRIORITIES = {"shell.sync": 35, "discover": 30, "revision.head": 20, "out.update": 18, "page.sync": 15, "file.fetch": 10, "revision.old": 8, "backfill": 5}
 MAX_ATTEMPTS = 8
+#: Kinds that reschedule themselves; a site is seeded with one job of each.
+PERIODIC = ("shell.sync", "discover", "out.update", "backfill")
+#: Rows of claimed ids that apply_claim() broadcasts.
+BROADCAST_IDS = 1 << 20
 
 
 def backoff_seconds(attempts: Column) -> Column:
@@ -25,9 +31,33 @@ def claim(jobs: DataFrame, now: int, limit: int) -> DataFrame:
     return top.withColumns({"status": F.lit("running"), "attempts": F.col("attempts") + 1, "claimed_at": F.lit(now).cast("long")})
 
 
-def apply_claim(jobs: DataFrame, claimed: DataFrame) -> DataFrame:
-    """The whole table after a claim; claimed is a top-k, so it may be broadcast."""
-    return jobs.join(F.broadcast(claimed.select("id")), "id", "left_anti").unionByName(claimed.select(jobs.columns))
+def apply_claim(jobs: DataFrame, claimed: DataFrame, limit: int | None = None) -> DataFrame:
+    """The whole table after a claim. limit: the one of the claim; its ids are broadcast only up to BROADCAST_IDS."""
+    ids = claimed.select("id")
+    ids = F.broadcast(ids) if limit is not None and limit <= BROADCAST_IDS else ids
+    return jobs.join(ids, "id", "left_anti").unionByName(claimed.select(jobs.columns))
+
+
+def periodic_seeds(spark: SparkSession, first_id: int, now: int) -> DataFrame:
+    """One job of each periodic kind, to be enqueued when a site is opened: known ones are left alone there."""
+    rows = [(first_id + i, kind, "{}", PRIORITIES[kind], now, 0) for i, kind in enumerate(PERIODIC)]
+    return spark.createDataFrame(rows, "id long, kind string, payload string, priority long, run_at long, max_attempts long")
+
+
+def status_report(jobs: DataFrame, files: DataFrame, revisions: DataFrame, now: int) -> DataFrame:
+    """metric, value: the console's lines, in one pass a table."""
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("status").agg(F.count(F.lit(1)).alias("value")).select(F.concat(F.lit(f"{name}."), "status").alias("metric"), "value")
+
+    def spread(row: DataFrame) -> DataFrame:
+        pairs = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in row.columns))
+        return row.select(F.explode(pairs).alias("p")).select("p.*")
+
+    content = revisions.agg(F.count(F.lit(1)).alias("revisions.known"), F.count("content").alias("revisions.stored"), F.count_distinct("page_id").alias("pages"))
+    due = jobs.agg(F.count_if((F.col("status") == "pending") & (F.col("run_at") <= now)).alias("jobs.due"))
+    renamed = content.toDF("revisions_known", "revisions_stored", "pages")
+    lines = spread(renamed).unionByName(spread(due.toDF("jobs_due")))
+    return counted(jobs, "jobs").unionByName(counted(files, "files")).unionByName(lines)
 
 
 def enqueue(jobs: DataFrame, new: DataFrame, resurrect: bool = False) -> DataFrame:
@@ -50,24 +80,33 @@ def enqueue(jobs: DataFrame, new: DataFrame, resurrect: bool = False) -> DataFra
 
 
 def complete(jobs: DataFrame, finished: DataFrame) -> DataFrame:
-    """finished: id, resched (null: once). Ephemeral jobs go; periodic ones become pending at resched and keep their attempts."""
+    """finished: id, resched (null: once). Ephemeral jobs go; periodic ones become pending at resched without an error.
+
+    Attempts stay as they are. A finished id that is no job any more fails the plan when it runs.
+    """
     met = jobs.join(finished.select("id", "resched", F.lit(True).alias("_f")), "id", "left")
     met = met.where(~(F.coalesce("_f", F.lit(False)) & F.col("kind").isin(*EPHEMERAL)))
     again = F.col("_f") & F.col("resched").isNotNull()
     status = F.when(again, F.lit("pending")).when(F.col("_f"), F.lit("done")).otherwise(F.col("status"))
     run_at = F.when(again, F.col("resched")).otherwise(F.col("run_at"))
-    return met.withColumns({"status": status, "run_at": run_at}).select(jobs.columns)
+    error = F.when(again, F.lit(None).cast("string")).otherwise(F.col("last_error"))
+    out = met.withColumns({"status": status, "run_at": run_at, "last_error": error}).select(jobs.columns)
+    return fail_if_missing(out, jobs, finished, ["id"], "jobs vanished before completion: ")
 
 
 def fail(jobs: DataFrame, failed: DataFrame, now: int) -> DataFrame:
-    """failed: id, error, permanent. Dead at once if permanent or out of attempts (max_attempts 0: never), else pending after a backoff."""
+    """failed: id, error, permanent. Dead at once if permanent or out of attempts (max_attempts 0: never), else pending after a backoff.
+
+    A failed id that is no job any more fails the plan when it runs.
+    """
     met = jobs.join(failed.select("id", "error", "permanent", F.lit(True).alias("_f")), "id", "left")
     dead = F.col("permanent") | ((F.col("max_attempts") > 0) & (F.col("attempts") >= F.col("max_attempts")))
-    return met.withColumns({
+    out = met.withColumns({
         "status": F.when(F.col("_f"), F.when(dead, F.lit("dead")).otherwise(F.lit("pending"))).otherwise(F.col("status")),
         "run_at": F.when(F.col("_f") & ~dead, F.lit(now) + backoff_seconds(F.col("attempts"))).otherwise(F.col("run_at")),
         "last_error": F.when(F.col("_f"), F.col("error")).otherwise(F.col("last_error")),
     }).select(jobs.columns)
+    return fail_if_missing(out, jobs, failed, ["id"], "jobs vanished before failure was recorded: ")
 
 
 def recover(jobs: DataFrame) -> DataFrame:

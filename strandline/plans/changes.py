@@ -79,6 +79,11 @@ def _jobs(s, d):
     return T.jobs(s, d)
 
 
+def _failing_jobs(s, d):
+    """Every job with an error of an earlier try."""
+    return _jobs(s, d).withColumn("last_error", F.concat(F.lit("error "), "id"))
+
+
 def _unique_jobs(s, d):
     """Durable jobs once each; the ephemeral ones as they are."""
     j = _jobs(s, d)
@@ -107,9 +112,9 @@ QUERIES = {
     "m14_retune": lambda s, d: _jobs(s, d).withColumn("priority", F.when((F.col("kind") == "file.fetch") & F.col("status").isin("pending", "dead"), 10).otherwise(F.col("priority")).cast("long")).select("id", "priority"),
     "m15_delete": lambda s, d: M.delete_rows(_file_state(s, d), _file_state(s, d).where("path like '%|%'"), ["path"]),
     "i07_resurrect": lambda s, d: queue.enqueue(_unique_jobs(s, d), _new_jobs(s, d), resurrect=True).select(JOB),
-    "i08_claim_state": lambda s, d: queue.apply_claim(_jobs(s, d), queue.claim(_jobs(s, d), NOW, 100)).select(JOB),
+    "i08_claim_state": lambda s, d: queue.apply_claim(_jobs(s, d), queue.claim(_jobs(s, d), NOW, 100), 100).select(JOB),
     "i09_fail": lambda s, d: queue.fail(_jobs(s, d), _jobs(s, d).where("status = 'running'").select("id", F.lit("boom").alias("error"), (F.col("id") % 7 == 0).alias("permanent")), NOW).select(JOB),
-    "i10_complete": lambda s, d: queue.complete(_jobs(s, d), _jobs(s, d).where("status = 'running'").select("id", F.when(F.col("id") % 2 == 0, F.lit(NOW + 60)).cast("long").alias("resched"))).select(JOB),
+    "i10_complete": lambda s, d: queue.complete(_failing_jobs(s, d), _jobs(s, d).where("status = 'running'").select("id", F.when(F.col("id") % 2 == 0, F.lit(NOW + 60)).cast("long").alias("resched"))).select(JOB),
     "i11_recover": lambda s, d: queue.recover(_jobs(s, d)).select("id", "status"),
 }
 
@@ -147,6 +152,7 @@ ORACLE = {
       CASE WHEN f AND NOT dead THEN {NOW} + least(10 * (1::BIGINT << greatest(0, least(10, attempts - 1))::INT), 3600) ELSE run_at END AS run_at, attempts, max_attempts, CASE WHEN f THEN 'boom' ELSE last_error END AS last_error
       FROM (SELECT *, status = 'running' AS f, id % 7 = 0 OR (max_attempts > 0 AND attempts >= max_attempts) AS dead FROM {J})""",
     "i10_complete": f"""SELECT id, kind, payload, priority, CASE WHEN status = 'running' THEN CASE WHEN id % 2 = 0 THEN 'pending' ELSE 'done' END ELSE status END AS status,
-      CASE WHEN status = 'running' AND id % 2 = 0 THEN {NOW + 60} ELSE run_at END AS run_at, attempts, max_attempts, last_error FROM {J} WHERE NOT (status = 'running' AND kind = 'page.sync')""",
+      CASE WHEN status = 'running' AND id % 2 = 0 THEN {NOW + 60} ELSE run_at END AS run_at, attempts, max_attempts,
+      CASE WHEN status = 'running' AND id % 2 = 0 THEN NULL ELSE 'error ' || id END AS last_error FROM {J} WHERE NOT (status = 'running' AND kind = 'page.sync')""",
     "i11_recover": f"SELECT id, CASE WHEN status = 'running' THEN 'pending' ELSE status END AS status FROM {J}",
 }

@@ -30,8 +30,8 @@ _BUILD = {
     "f12_decode_colons": lambda s, d: T.pages(s, d).select("page_id", X.decode_colons(F.replace("slug", F.lit("-"), F.lit("%3A"))).alias("slug")),
     "f18_time_class": lambda s, d: T.feed(s, d).select("rev_no", X.time_from_class(F.concat(F.lit("odate time_"), "ts", F.lit(" format"))).alias("ts")),
     "f20_revision_cell": lambda s, d: T.jobs(s, d).select("id", X.revision_of_cell(F.concat(F.lit(" 1."), F.lpad((F.col("id") % 1000).cast("string"), 3, "0"))).alias("rev_no")),
-    "f22_error_pages": lambda s, d: _pages(s, d).select("page_id", X.error_page_kind(F.when(F.col("page_id") % 5 == 0, F.lit("<TITLE>The site does not exist</TITLE>")).when(F.col("page_id") % 5 == 1, F.lit("<p>The file does not exist</p>")).otherwise(F.col("html"))).alias("kind")),
-    "f23_html_title": lambda s, d: _pages(s, d).select("page_id", X.html_title(F.col("html")).alias("title")),
+    "f22_error_pages": lambda s, d: _pages(s, d).select("page_id", X.error_page_kind(F.when(F.col("page_id") % 5 == 0, F.lit("<TITLE>The site does not exist</TITLE>")).when(F.col("page_id") % 5 == 2, F.lit("<title>\n\tNot authorized\u00a0\n</title>")).when(F.col("page_id") % 5 == 1, F.lit("<p>The file does not exist</p>")).otherwise(F.col("html"))).alias("kind")),
+    "f23_html_title": lambda s, d: _pages(s, d).select("page_id", X.html_title(F.regexp_replace("html", "<title>", "<title>\n\t ")).alias("title")),
     "f25_canonical_slug": lambda s, d: _pages(s, d).select("page_id", X.canonical_landing_slug(F.concat(F.lit('<link rel="canonical" href="'), "url", F.lit('">'))).alias("slug")),
     "f27_own_host": lambda s, d: _pages(s, d).select("page_id", X.own_host(F.col("url"), F.lit("ththre.example.com")).alias("own")),
     "f28_iso8601": lambda s, d: T.feed(s, d).select("rev_no", X.iso8601(F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ss'.5+02:00'")).alias("ts")),
@@ -58,7 +58,7 @@ ORACLE = {
     "f12_decode_colons": f"SELECT page_id, replace(slug, '-', ':') AS slug FROM {P}",
     "f18_time_class": f"SELECT rev_no, ts FROM {FE}",
     "f20_revision_cell": f"SELECT id, 1000 + id % 1000 AS rev_no FROM {J}",
-    "f22_error_pages": "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'site' WHEN page_id % 5 = 1 THEN 'file' END AS kind FROM pages",
+    "f22_error_pages": "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'site' WHEN page_id % 5 = 1 THEN 'file' WHEN page_id % 5 = 2 THEN 'auth' END AS kind FROM pages",
     "f23_html_title": "SELECT page_id, trim(regexp_extract(html, '<title[^>]*>([^<]*)', 1)) AS title FROM pages",
     "f25_canonical_slug": r"SELECT page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '/([^/]+)/?$', 1) AS slug FROM pages",
     "f27_own_host": r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\.', '') = 'ththre.example.com' AS own FROM pages",

@@ -1,5 +1,9 @@
 """Behaviour that the driver's tables do not exercise."""
 
+import hashlib
+import json
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,10 +11,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from strandline.functions import text as X
-from strandline.functions import urls
-from strandline.operators import graph, merge, publication, queue
-from strandline.operators.versions import VersionedTable
-from strandline.sources import legacy
+from strandline.functions import trees, urls
+from strandline.operators import graph, merge, publication, queue, repair, site_import
+from strandline.operators.versions import VersionedSite, VersionedTable
+from strandline.sources import captured, files, legacy
 from strandline.streaming import discovery
 
 
@@ -85,10 +89,11 @@ def test_priorities_keep_their_order():
 
 
 def test_crawl_ends_on_cycles(spark):
-    edges = spark.createDataFrame([("a", "b", "import"), ("b", "a", "import"), ("b", "x.png", "asset"), ("b", "c", "import"), ("c", "d", "import")], "src string, dst string, kind string")
-    documents = spark.createDataFrame([("a", False), ("b", False), ("c", True)], "url string, binary boolean")
-    visited, assets = graph.crawl(spark.createDataFrame([("a",)], "url string"), edges, documents)
-    assert {tuple(r) for r in visited.collect()} == {("a", 0, "css"), ("b", 1, "css"), ("c", 2, "binary")}
+    edges = spark.createDataFrame([("a", "b", "import"), ("b", "a", "import"), ("b", "x.png", "asset"), ("b", "c", "import"), ("c", "d", "import"), ("a", "e", "import")], "src string, dst string, kind string")
+    edges = edges.select(F.concat(F.lit("http://h/"), "src").alias("src"), F.when(F.col("kind") == "asset", F.col("dst")).otherwise(F.concat(F.lit("http://h/"), "dst")).alias("dst"), "kind")
+    documents = spark.createDataFrame([("http://h/a", False), ("http://h/b", False), ("http://h/c", True)], "url string, binary boolean")
+    visited, assets = graph.crawl(spark.createDataFrame([("http://h/a",)], "url string"), edges, documents)
+    assert {(r["url"][-1], r["depth"], r["kind"]) for r in visited.collect()} == {("a", 0, "css"), ("b", 1, "css"), ("c", 2, "binary"), ("e", 1, "failed")}
     assert [r["url"] for r in assets.collect()] == ["x.png"]
 
 
@@ -110,7 +115,7 @@ def _publication(spark, tmp_path, title="T"):
                                   "page_id long, slug string, title string, tags array<string>, revisions_stored long, revisions_known long, max_rev long, created_by string, created_at long, updated_by string, updated_at long, archive_sha256 string")
     files = spark.createDataFrame([("http://h/a", "cd" * 32, 5, "image/png", "saved"), ("http://h/b", None, None, None, "pending")], "path string, sha256 string, size long, content_type string, status string")
     store = publication.Store(spark, f"file://{tmp_path}/out")
-    return store, publication.publish(store, "site", pages, files, {"title": 'A "b"', "subtitle": "", "theme_roots": ["r"]})
+    return store, publication.publish(store, "site", pages, files, json.dumps({"title": 'A "b"', "subtitle": "", "theme_roots": ["r"]}))
 
 
 def test_publishing_twice_changes_nothing(spark, tmp_path):
@@ -122,6 +127,188 @@ def test_publishing_twice_changes_nothing(spark, tmp_path):
     _, (third, moved) = _publication(spark, tmp_path, title="other")
     assert moved and third != first
     assert publication.read_publication(store)[0]["files"] == root["files"]
+    publication.verify_publication(store)
+
+
+def test_sections_are_named_by_their_exact_bytes(spark, tmp_path):
+    store, (sha, _) = _publication(spark, tmp_path)
+    root = json.loads((tmp_path / "out" / publication.root_name(sha)).read_bytes())
+    raw = (tmp_path / "out" / publication.object_name("pages", root["pages"])).read_bytes()
+    assert hashlib.sha256(raw).hexdigest() == root["pages"]
+    parsed = json.loads(raw)
+    assert raw.endswith(b"]}\n") and raw == (json.dumps(parsed, separators=(",", ":")) + "\n").encode()
+    assert [p["id"] for p in parsed["pages"]] == ["1", "2"] and parsed["pages"][0]["archive"] == f"objects/archives/ab/ab/{'ab' * 32}.zst"
+    assert parsed["pages"][1]["archive"] is None and list(parsed) == ["v", "site", "pages"]
+    assert (tmp_path / "out" / publication.object_name("shell", root["shell"])).read_text().startswith('title: "A \\"b\\""')
+    none = spark.createDataFrame([], "path string, entry string")
+    empty = publication.put_section(store, "files", "s", none, "path")
+    assert store.get(publication.object_name("files", empty)) == b'{"v":3,"site":"s","files":[]}\n'
+
+
+def test_many_rows_make_one_sorted_section(spark, tmp_path):
+    store = publication.Store(spark, f"file://{tmp_path}/out")
+    rows = spark.range(5_000).repartition(7).select(F.col("id").alias("page_id"), F.format_string('{"id":%d}', "id").alias("entry"))
+    sha = publication.put_section(store, "pages", "s", rows, "page_id")
+    assert [p["id"] for p in json.loads(store.get(publication.object_name("pages", sha)))["pages"]] == list(range(5_000))
+
+
+def test_broken_shell_fails_before_anything_moves(spark, tmp_path):
+    store, (first, _) = _publication(spark, tmp_path)
+    empty = spark.createDataFrame([], "page_id long")
+    for bad in ("{", "[]", '{"title": "t"}'):
+        with pytest.raises(ValueError):
+            publication.publish(store, "site", empty, empty, bad)
+    assert store.head() == first and not store.exists(".publish.lock")
+
+
+def test_one_publication_at_a_time(spark, tmp_path):
+    store = publication.Store(spark, f"file://{tmp_path}/out")
+    with store.locked():
+        with pytest.raises(RuntimeError, match="another"), store.locked():
+            pass
+        with store.locked(lease_s=-1):  # a lock left by a lost writer
+            pass
+    with store.locked():
+        pass
+
+
+def test_cache_changes_only_where_rows_change(spark, tmp_path):
+    cache = VersionedTable(spark, f"file://{tmp_path}/cache")
+    rows = spark.createDataFrame([(1, 2, "a"), (2, 3, None)], "page_id long, packed_revs long, archive_sha256 string")
+    assert [publication.update_cache(cache, rows), publication.update_cache(cache, rows)] == [True, False]
+    assert publication.update_cache(cache, rows.withColumn("packed_revs", F.col("packed_revs") + (F.col("page_id") == 2).cast("int")))
+    assert sorted(map(tuple, cache.read().collect())) == [(1, 2, "a"), (2, 4, None)]
+
+
+def test_head_is_replaced_in_one_step(spark, tmp_path, monkeypatch):
+    store, (first, _) = _publication(spark, tmp_path)
+    monkeypatch.setattr(files, "move", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        store.move_head("f" * 64)
+    assert store.head() == first
+
+
+def test_a_writer_lost_before_its_marker_blocks_nobody(spark, tmp_path, monkeypatch):
+    table = VersionedTable(spark, f"file://{tmp_path}/t")
+    table.commit(spark.range(1))
+    kept = files.move
+    monkeypatch.setattr(files, "move", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        table.commit(spark.range(2))
+    monkeypatch.setattr(files, "move", kept)
+    assert table.read().count() == 1 and table.commit(spark.range(3)) == 2 and table.read().count() == 3
+
+
+def test_two_writers_cannot_take_one_number(spark, tmp_path, monkeypatch):
+    one, two = (VersionedTable(spark, f"file://{tmp_path}/t") for _ in range(2))
+    monkeypatch.setattr(two, "_before", lambda expected: 0)
+    one.commit(spark.range(1))
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.commit(spark.range(2))
+    assert one.read().count() == 1
+
+
+def test_a_site_commits_several_tables_at_once(spark, tmp_path):
+    site = VersionedSite(spark, f"file://{tmp_path}/s")
+    assert not site.has("jobs")
+    site.commit({"jobs": spark.range(1), "files": spark.range(2)})
+    pinned = site.tables()
+    site.commit({"jobs": spark.range(5)}, expected=1, note="effects")
+    now = site.tables()
+    assert (pinned["jobs"].count(), now["jobs"].count(), now["files"].count(), site.note()) == (1, 5, 2, "effects")
+    assert site.has("files", ("id",)) and not site.has("files", ("other",)) and not site.has("pages")
+
+
+def test_blobs_are_written_once(spark, tmp_path):
+    rows = spark.createDataFrame([(bytearray(b"x"),), (bytearray(b"x"),), (bytearray(b""),), (None,)], "content binary").coalesce(1)
+    first = files.write_blobs(rows, f"file://{tmp_path}/b").collect()
+    sha = hashlib.sha256(b"x").hexdigest()
+    assert [r["written"] for r in first] == [True, False, True, False] and (tmp_path / "b" / files.blob_name(sha)).read_bytes() == b"x"
+    assert not any(r["written"] for r in files.write_blobs(rows, f"file://{tmp_path}/b").collect())
+    links = spark.createDataFrame([("p", "ab" * 32, str(tmp_path / "b" / files.blob_name(sha)))], "path string, sha256 string, target string")
+    assert [tuple(r) for r in files.adopt_blobs(links, f"file://{tmp_path}/out").collect()] == [("p", "ab" * 32, 1, True)]
+    assert (tmp_path / "out" / files.blob_name("ab" * 32)).read_bytes() == b"x"
+
+
+def test_vanished_jobs_are_an_error(spark):
+    jobs = spark.createDataFrame([(1, "discover", "{}", 1, "running", 0, 1, 0, "old")], "id long, kind string, payload string, priority long, status string, run_at long, attempts long, max_attempts long, last_error string")
+    done = queue.complete(jobs, spark.createDataFrame([(1, 60)], "id long, resched long")).first()
+    assert (done["status"], done["run_at"], done["attempts"], done["last_error"]) == ("pending", 60, 1, None)
+    with pytest.raises(PySparkException, match="vanished"):
+        queue.complete(jobs, spark.createDataFrame([(2, None)], "id long, resched long")).collect()
+    with pytest.raises(PySparkException, match="vanished"):
+        queue.fail(jobs, spark.createDataFrame([(2, "x", False)], "id long, error string, permanent boolean"), 0).collect()
+
+
+def test_titles_lose_all_white_space(spark):
+    for text, kind in (("<title>\n Not authorized\t</title>", "auth"), ("<title>\u00a0The site does not exist\u2003\n</title>", "site"), ("<title>x</title>", None)):
+        assert one(spark, X.error_page_kind(F.col("t")), t=("string", text)) == kind
+    assert one(spark, X.html_title(F.col("t")), t=("string", "<title>\n\u00a0a b\r\n</title>")) == "a b"
+
+
+def test_deep_trees():
+    deep = "<div>" * 5_000 + '<a href="/local--files/p/x.png">t</a>' + "</div>" * 5_000
+    root = trees.tree(deep)
+    assert root.text() == "t" and sum(1 for _ in root.walk()) == 5_001
+    hostile = "<tr><td>" * 20_000 + "</p>" * 20_000
+    begin = time.time()
+    assert trees.tree(hostile).text() == "" and time.time() - begin < 20
+
+
+def test_count_guard_fails(spark):
+    packed = spark.createDataFrame([(1, 2)], "page_id long, n long")
+    catalog = spark.createDataFrame([(1, 3)], "page_id long, revisions_stored long")
+    with pytest.raises(PySparkException, match="disagree"):
+        publication.checked_counts(packed, catalog).collect()
+
+
+def test_crawl_is_as_deep_as_it_is(spark):
+    edges = spark.createDataFrame([(f"http://h/{k}.css", f"http://H:80/{k + 1}.css#f", "import") for k in range(12)], "src string, dst string, kind string")
+    documents = spark.createDataFrame([(f"http://h/{k}.css", False) for k in range(13)], "url string, binary boolean")
+    visited, _ = graph.crawl(spark.createDataFrame([("http://h/0.css",)], "url string"), edges, documents)
+    assert sorted(r["depth"] for r in visited.collect()) == list(range(13))
+
+
+def test_repair_twice_changes_nothing(spark):
+    files_table = spark.createDataFrame([("local--files/p/a.png", None, None, "pending", 1, None), ("local--files/s/c.png", "ab" * 32, 4, "saved", 1, "text/html"), ("http://sandbox.wikidot.com/local--files/m/x.png", "cd" * 32, 9, "saved", 1, "image/png"), ("http://sandbox.wdfiles.com/local--files/m/x.png", "ef" * 32, 9, "saved", 1, "image/png"), ("local--files/q/d.jpg|width=5", None, None, "pending", 1, None)],
+                                        "path string, sha256 string, size long, status string, first_seen long, content_type string")
+    jobs = spark.createDataFrame([], "id long, kind string, payload string, priority long, status string, run_at long, attempts long, max_attempts long, last_error string")
+    text = spark.createDataFrame([("rel local--files/p/a.png pipe local--files/q/d.jpg|width=5 ",), (None,)], "content string")
+    first = repair.repair_references(files_table, jobs, text, "demo", 5, 100)
+    again = repair.repair_references(first.files, first.jobs, text, "demo", 6, 200)
+    rows = {r["path"]: r["status"] for r in first.files.collect()}
+    assert rows == {"http://demo.wikidot.com/local--files/p/a.png": "pending", "http://demo.wikidot.com/local--files/s/c.png": "pending", "http://sandbox.wikidot.com/local--files/m/x.png": "saved", "http://demo.wikidot.com/local--files/q/d.jpg": "pending"}
+    assert sorted(map(tuple, again.files.collect())) == sorted(map(tuple, first.files.collect())) and again.jobs.count() == first.jobs.count() == 3
+    assert len(first.orphans.collect()) == 2 and again.orphans.count() == 0
+
+
+def test_import_is_one_commit_and_repeatable(spark, tmp_path):
+    site = VersionedSite(spark, f"file://{tmp_path}/s")
+    journals = spark.createDataFrame([("12", "slug: a\ntitle: \"T\"\ntags: [\"x\"]\n2\tr2\t20\t7\n1\tr1\t10\t7\n")], "key string, raw string").select("key", X.journal(F.col("raw")).alias("journal"))
+    text = X.revision_text(F.lit("T"), F.array(F.lit("x")), F.lit(12), F.lit("demo"), F.lit("a"), F.lit(2), F.lit("r2"), F.lit(7), F.lit(20), F.lit("b local--files/p/a.png "))
+    revision = spark.createDataFrame([("12", "12/r002.txt")], "key string, rel string").withColumn("f", X.frontmatter(text))
+    links = spark.createDataFrame([("demo.wikidot.com/local--files/d/x.png", "ab" * 32, 3, bytearray(b"GIF8"))], "link string, sha256 string, size long, head binary")
+    inputs = {"journals": journals, "files": revision, "links": links, "site": "demo", "watermark": "w"}
+    site_import.import_into(site, **inputs, now=100)
+    first = {k: sorted(map(str, t.collect())) for k, t in site.tables().items()}
+    assert site_import.import_into(site, **inputs, now=100) == 2
+    assert {k: sorted(map(str, t.collect())) for k, t in site.tables().items()} == first
+    assert {r["path"]: r["content_type"] for r in site.tables()["files"].collect()} == {"http://demo.wikidot.com/local--files/d/x.png": "image/gif", "http://demo.wikidot.com/local--files/p/a.png": None}
+    with pytest.raises(PySparkException, match="another page or site"):
+        site_import.import_into(site, **(inputs | {"site": "other"}), now=100)
+    assert site.numbers() == [1, 2]
+
+
+def test_captured_change_pages(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    row = '<div class="changes-list-item"><td class="title"><a href="/a-%d">A</a></td><td class="revision-no">(rev. %d)</td><span class="odate time_%d">.</span><a onclick="userInfo(7)">u</a></div>'
+    for k in range(2):
+        (tmp_path / f"p/{k}.html").write_text("\ufeff" + row % (k, k, k))
+    assert sorted(map(tuple, captured.change_pages(spark, str(tmp_path / "p")).collect())) == [("a-0", 0, 0, 7), ("a-1", 1, 1, 7)]
+    (tmp_path / "p/x.gif").write_bytes(b"GIF8x")
+    assert {r["name"]: r["media"] for r in captured.attachment_rows(spark, str(tmp_path / "p")).collect()}["x.gif"] == "image/gif"
+    with pytest.raises(PySparkException, match="(?i)malformed"):
+        captured.articles(spark.createDataFrame([("a", "<html>")], "slug string, answer string")).collect()
 
 
 def test_malformed_head(spark, tmp_path):
