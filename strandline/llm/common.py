@@ -6,6 +6,7 @@ Texts are handled as UTF-8 bytes. ``bytes.split()`` cuts at exactly
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -95,16 +96,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def word_hashes(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of all texts in turn, and where each text's words start (one more at the end).
-
-    Words are what bytes.split() gives; lower: A-Z count as a-z.
-    """
-    raw = np.frombuffer(b" ".join([b"", *(t or b"" for t in texts), b""]), np.uint8)
-    space = SPACE[raw]
-    first = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    end = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    values = LOWER_BYTES if lower else BYTES
+def run_hashes(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run [first, end) of values; the runs are in order and do not overlap."""
     out = np.zeros(len(first), U64)
     k = 0
     while k < len(first):
@@ -113,10 +106,23 @@ def word_hashes(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndar
         length = int(end[stop - 1]) - base
         forward, inverse = powers(1 << max(10, length.bit_length()))
         prefix = np.zeros(length + 1, U64)
-        np.cumsum(values[raw[base : base + length]] * forward[:length], out=prefix[1:], dtype=U64)
+        np.cumsum(values[base : base + length] * forward[:length], out=prefix[1:], dtype=U64)
         lo, hi = first[k:stop] - base, end[k:stop] - base
         out[k:stop] = mix((prefix[hi] - prefix[lo]) * inverse[lo] + (hi - lo).astype(U64))
         k = stop
+    return out
+
+
+def word_hashes(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of all texts in turn, and where each text's words start (one more at the end).
+
+    Words are what bytes.split() gives; lower: A-Z count as a-z.
+    """
+    raw = np.frombuffer(b" ".join([b"", *(t or b"" for t in texts), b""]), np.uint8)
+    space = SPACE[raw]
+    first = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    end = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    out = run_hashes((LOWER_BYTES if lower else BYTES)[raw], first, end)
     bounds = np.cumsum([1, *(len(t or b"") + 1 for t in texts)])
     return out, np.searchsorted(first, bounds)
 
@@ -171,16 +177,43 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in df.columns))
 
 
+#: Folders that table() wrote, with their sessions.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
 def table(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends here. Its rows are counted on the way."""
     path = f"{checkpoint_root(spark)}/strandline-{uuid.uuid4().hex}"
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.rows_written = seen.get["rows"]
+    out.rows_written, out.written_path = seen.get["rows"], path
+    _WRITTEN[path] = spark
     return out
 
 
+def drop_table(written: DataFrame) -> None:
+    """Delete what table() wrote, once nothing reads it any more."""
+    spark = written.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written.written_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN.pop(written.written_path, None)
+
+
+def drop_tables() -> None:
+    """Delete all tables that this process wrote: when its results are stored, and at its end."""
+    for path, spark in list(_WRITTEN.items()):
+        _WRITTEN.pop(path, None)
+        try:
+            name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
+        except Exception:  # the session is gone; its deployer clears the folder
+            break
+
+
+atexit.register(drop_tables)
+
+
 def rows_of(written: DataFrame) -> int:
     """Rows of what table() returned, without a job."""
     return written.rows_written

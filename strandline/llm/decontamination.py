@@ -6,7 +6,8 @@ Only runs of words whose neighbours follow each other in some item are walked:
 a match is always inside such a run, so nothing is missed.
 
 The automaton is broadcast while the items fit ``SHARD_BYTES``; more items make
-more shards of that size, and each document passes them one after another.
+more shards of that size, and each document passes them one after another. No
+more than ``SHARDS_AT_ONCE`` of them are held at a time, however many there are.
 
 Defined cases: null or wordless text: no words, nothing hit; items with a null
 id, null text or no words are ignored; rows that repeat an item_id count as
@@ -24,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.automaton import SuffixAutomaton
-from strandline.llm.common import as_bytes, flatten, text_pass, whole_row, with_carry
+from strandline.llm.common import as_bytes, drop_table, flatten, table, text_pass, whole_row, with_carry
 
 WINDOW = 10
 #: Text of test items that one automaton, and so one broadcast, holds at most (about 60 times that in memory).
 SHARD_BYTES = 2_000_000
+#: Automata that are broadcast at a time.
+SHARDS_AT_ONCE = 2
 #: Share of hit words above which a document is dropped instead of reduced.
 MAX_COVERAGE = 0.8
 
@@ -69,12 +72,26 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def shard_pass(state: DataFrame, shared, carry: str | None = None) -> DataFrame:
-    """Adds the spans and items of one shard's automaton."""
+def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """text without the words of the spans, and without what stands between words of one span."""
+    words = list(WORD.finditer(text))
+    parts, at = [], 0
+    for lo, hi in spans:
+        parts.append(text[at : words[lo].start()])
+        at = words[hi].end()
+    return b"".join([*parts, text[at:]])
+
+
+def shard_pass(state: DataFrame, shared, carry: str | None = None, max_coverage: float | None = None) -> DataFrame:
+    """Adds the spans and items of one shard's automaton.
+
+    With max_coverage this is the last shard: out come clean_text, dropped (more than max_coverage of the words were hit) and carry.
+    """
 
     def one(step):
         automaton, labels = shared.value
-        flat, starts = flatten([item_words(t) if t else [] for t in as_bytes(step.column("text"))])
+        texts = as_bytes(step.column("text"))
+        flat, starts = flatten([item_words(t) if t else [] for t in texts])
         lookup = automaton.vocabulary.get
         ids = np.fromiter((lookup(w, -1) for w in flat), np.int64, len(flat))
         owner = np.repeat(np.arange(step.num_rows), np.diff(starts))
@@ -90,27 +107,48 @@ def shard_pass(state: DataFrame, shared, carry: str | None = None) -> DataFrame:
                 touched.add(i)
         for i in touched:
             spans[i] = merged(spans[i])
-        arrays = [step.column("doc_id").cast(pa.int64()), step.column("text"), pa.array(np.diff(starts)), pa.array([[{"lo": a, "hi": b} for a, b in x] for x in spans], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-        names = ["doc_id", "text", "n_words", "spans", "items"]
-        if carry:
-            arrays.append(step.column(carry))
-            names.append(carry)
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
+        counts = np.diff(starts)
+        extra = [carry] if carry else []
+        if max_coverage is not None:
+            hit = np.array([sum(hi - lo + 1 for lo, hi in x) for x in spans], np.int64)
+            clean = [without_spans(t, x) if x else t for t, x in zip(texts, spans, strict=True)]
+            arrays, names = [pa.array(clean, pa.binary()).cast(pa.string()), pa.array(hit > max_coverage * counts)], ["clean_text", "dropped"]
+        else:
+            arrays = [step.column("doc_id").cast(pa.int64()), step.column("text"), pa.array(counts), pa.array([[{"lo": a, "hi": b} for a, b in x] for x in spans], pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            names = ["doc_id", "text", "n_words", "spans", "items"]
+        yield pa.RecordBatch.from_arrays([*arrays, *(step.column(c) for c in extra)], names=[*names, *extra])
+
+    schema = STATE if max_coverage is None else "clean_text string, dropped boolean"
+    return text_pass(state, one, with_carry(schema, state, (carry,) if carry else ()))
 
-    return text_pass(state, one, with_carry(STATE, state, (carry,) if carry else ()))
 
+def contaminated_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: str | None = None, max_coverage: float | None = None) -> DataFrame:
+    """doc_id, text, n_words, spans (ranges of hit words, merged), items (their ids, sorted as strings) and the column carry.
 
-def contaminated_spans(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: str | None = None) -> DataFrame:
-    """doc_id, text, n_words, spans (ranges of hit words, merged), items (their ids, sorted as strings) and the column carry."""
+    With max_coverage: what shard_pass() says of it. At most SHARDS_AT_ONCE automata are broadcast at a time: then
+    the state is written, and they go.
+    """
     spark = documents.sparkSession
     state = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("n_words"), F.expr("cast(null as array<struct<lo:int,hi:int>>)").alias("spans"), F.expr("cast(null as array<string>)").alias("items"), *([carry] if carry else []))
-    passes = 0
+    live: list = []
+    written = None
+    waiting = None
     for pair in automata(benchmark, window):
-        state = shard_pass(state, spark.sparkContext.broadcast(pair), carry)
-        passes += 1
-    if not passes:
-        state = shard_pass(state, spark.sparkContext.broadcast((SuffixAutomaton().finish(window), [])), carry)
-    return state
+        if waiting is not None:
+            state = shard_pass(state, waiting, carry)
+            live.append(waiting)
+            if len(live) == SHARDS_AT_ONCE:
+                state, before = table(spark, state), written
+                written = state
+                for shared in live:
+                    shared.destroy()
+                live = []
+                if before is not None:
+                    drop_table(before)
+        waiting = spark.sparkContext.broadcast(pair)
+    if waiting is None:
+        waiting = spark.sparkContext.broadcast((SuffixAutomaton().finish(window), []))
+    return shard_pass(state, waiting, carry, max_coverage)
 
 
 def digest(state: DataFrame) -> DataFrame:
@@ -119,37 +157,13 @@ def digest(state: DataFrame) -> DataFrame:
     return state.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
-def strip_spans(state: DataFrame, max_coverage: float, carry: str | None = None) -> DataFrame:
-    """doc_id, clean_text, the column carry and dropped (more than max_coverage of the words were hit)."""
-
-    def one(step):
-        out, dropped = [], []
-        for text, n, spans in zip(as_bytes(step.column("text")), step.column("n_words").to_pylist(), step.column("spans").to_pylist(), strict=True):
-            hit = sum(s["hi"] - s["lo"] + 1 for s in spans)
-            dropped.append(hit > max_coverage * n)
-            if spans:
-                words = list(WORD.finditer(text))
-                parts, at = [], 0
-                for s in spans:
-                    parts.append(text[at : words[s["lo"]].start()])
-                    at = words[s["hi"]].end()
-                text = b"".join([*parts, text[at:]])
-            out.append(text)
-        extra = [carry] if carry else []
-        yield pa.RecordBatch.from_arrays([step.column("doc_id"), pa.array(out, pa.binary()).cast(pa.string()), pa.array(dropped), *(step.column(c) for c in extra)], names=["doc_id", "clean_text", "dropped", *extra])
-
-    schema = with_carry("doc_id long, clean_text string, dropped boolean", state, (carry,) if carry else ())
-    return text_pass(state.select("doc_id", "text", "n_words", "spans", *([carry] if carry else [])), one, schema)
-
-
 def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """documents without hit words; those of which more than max_coverage was hit go. n_chars follows the text.
 
     Rows keep their other columns as a struct that rides along, so nothing is joined back.
     """
     carried = documents.select("doc_id", "text", whole_row(documents).alias("_row"))
-    state = contaminated_spans(carried, benchmark, window, carry="_row")
-    clean = strip_spans(state, max_coverage, carry="_row").where("not dropped")
+    clean = contaminated_spans(carried, benchmark, window, carry="_row", max_coverage=max_coverage).where("not dropped")
     columns = []
     for c in documents.columns:
         column = F.col(f"_row.`{c}`")

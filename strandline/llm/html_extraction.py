@@ -23,6 +23,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -40,20 +41,18 @@ BLOCK = frozenset(
 )
 #: Tags that have no end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-SKIPPED = frozenset("head title template noscript svg math iframe object canvas audio video select datalist".split())
+#: Elements whose content is no text of the page: what is drawn, run, embedded or filled in.
+SKIPPED = frozenset("head title template svg iframe select datalist".split())
+#: Elements whose content is read up to their own end tag only, and is no text of the page.
+RAW = frozenset(("script", "style", "textarea"))
 #: A start tag of the key closes an open element of the values first.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: What ends the search for an element to close.
+SCOPE = ("table", "td", "th", "caption", "button", "object")
+LISTS = ("ul", "ol", "dl", "table", "select")
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|textarea)\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>"
-    r"|<[!?][^>]*>"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+QUOTES = re.compile(r"[>\"']")
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 NAMES = re.compile(r"""\b(class|id|role|style|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -74,87 +73,148 @@ def name_features(attrs: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, ancestor features, characters inside links) of each leaf block in page order."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, content): 'text', 'start' with its attributes, or 'end'. Every character is passed a bounded number of times.
+
+    A ``>`` in quotes does not end a tag. Once a quote is met that never ends,
+    quotes no longer count, so that broken markup is not read again and again.
+    """
+    at, length, quoted = 0, len(page), True
+    while at < length:
+        lt = page.find("<", at)
+        if lt < 0:
+            yield "text", "", page[at:]
+            return
+        if lt > at:
+            yield "text", "", page[at:lt]
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = length if end < 0 else end + 3
+            continue
+        name = NAME.match(page, lt + 1)
+        mark = name is None and page[lt + 1 : lt + 2] in ("!", "?")
+        end = page.find(">", lt + 1) if name or mark else -1
+        if end < 0:
+            if name or mark:
+                # No tag ends after this.
+                yield "text", "", page[lt:]
+                return
+            yield "text", "", "<"
+            at = lt + 1
+            continue
+        if mark:
+            at = end + 1
+            continue
+        if quoted:
+            place = name.end()
+            while (m := QUOTES.search(page, place)) is not None and m[0] != ">":
+                place = page.find(m[0], m.end()) + 1
+                if not place:
+                    m = None
+                    break
+            if m is None:
+                quoted = False
+            else:
+                end = m.start()
+        kind, tag = ("end", name[0][1:].lower()) if name[0][0] == "/" else ("start", name[0].lower())
+        at = end + 1
+        if kind == "start" and tag in RAW:
+            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            stop = -1 if close is None else page.find(">", close.end())
+            at = length if stop < 0 else stop + 1
+            continue
+        yield kind, tag, page[min(name.end(), end) : end]
+
+
+class Stack:
+    """Open elements. Where the last one of a tag is, and which features hold, is known without a walk."""
+
+    def __init__(self, known):
+        self.known = known
+        self.tags: list[str] = []
+        self.features: list[list[str]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[str] = []
+        self.active: dict[str, int] = {}
+        self.linked = self.skipped = 0
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+        own = [f for f in (f"t:{tag}", *names) if self.known is None or f in self.known]
+        self.features.append(own)
+        for f in own:
+            self.active[f] = self.active.get(f, 0) + 1
+        if tag in BLOCK:
+            self.blocks.append(tag)
+        self.linked += tag == "a"
+        self.skipped += tag in SKIPPED
+
+    def close(self, at: int) -> None:
+        while len(self.tags) > at:
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            for f in self.features.pop():
+                if self.active[f] == 1:
+                    del self.active[f]
+                else:
+                    self.active[f] -= 1
+            if tag in BLOCK:
+                self.blocks.pop()
+            self.linked -= tag == "a"
+            self.skipped -= tag in SKIPPED
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def close_open(self, tags: tuple[str, ...], scope: tuple[str, ...] = ()) -> None:
+        """Close the last open element of the tags, unless one of scope was opened after it."""
+        at = self.last(tags)
+        if at >= 0 and at >= self.last(scope):
+            self.close(at)
+
+
+def leaf_blocks(page: str, known=None) -> list[tuple[str, tuple[str, ...], int]]:
+    """(text, ancestor features, characters inside links) of each leaf block in page order. known: the features that matter (None: all)."""
+    stack = Stack(known)
     out: list[tuple[str, tuple[str, ...], int]] = []
     parts: list[str] = []
-    linked = skipped = links = 0
+    links = 0
 
     def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                found: list[str] = []
-                for tag, names in stack:
-                    found.append(f"t:{tag}")
-                    found += names
-                owner = next((t for t, _ in reversed(stack) if t in BLOCK), "none")
-                found.append(f"o:{owner}")
-                out.append((text, tuple(dict.fromkeys(found)), links))
+                out.append((text, (*stack.active, f"o:{stack.blocks[-1] if stack.blocks else 'none'}"), links))
             parts.clear()
         links = 0
 
-    def close(at: int) -> None:
-        nonlocal linked, skipped
-        for tag, _ in stack[at:]:
-            linked -= tag == "a"
-            skipped -= tag in SKIPPED
-        del stack[at:]
-
-    def open_at(names: tuple[str, ...], stop: tuple[str, ...]) -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                return i
-            if stack[i][0] in stop:
-                break
-        return -1
-
-    for m in TOKEN.finditer(page):
-        text = m["text"]
-        if text is not None:
-            if not skipped:
-                text = html.unescape(text) if "&" in text else text
+    for kind, name, content in tokens(page):
+        if kind == "text":
+            if not stack.skipped:
+                text = html.unescape(content) if "&" in content else content
                 parts.append(text)
-                if linked:
+                if stack.linked:
                     links += len(text.strip())
             continue
-        name = m["name"] or m["name2"]
-        if name is None:
-            continue
-        name = name.lower()
-        if m["end"] or m["end2"]:
-            if name in BLOCK:
-                flush()
-            at = open_at((name,), ())
-            if at >= 0:
-                close(at)
-            elif name == "br":
-                parts.append(" ")
-            continue
         if name == "br":
             parts.append(" ")
             continue
         if name in BLOCK:
             flush()
-            at = open_at(("p",), ("table", "td", "th", "caption", "button", "object"))
-            if at >= 0:
-                close(at)
+        if kind == "end":
+            stack.close_open((name,))
+            continue
+        if name in BLOCK:
+            stack.close_open(("p",), SCOPE)
         if name == "body":
             # A head left open ends here.
-            at = open_at(("head",), ())
-            if at >= 0:
-                close(at)
+            stack.close_open(("head",))
         if name in CLOSES:
-            at = open_at(CLOSES[name], ("ul", "ol", "dl", "table", "select"))
-            if at >= 0:
-                close(at)
-        attrs = m["attrs"] or m["attrs2"] or ""
-        if name not in VOID and not attrs.endswith("/"):
-            stack.append((name, name_features(attrs) if attrs else ()))
-            linked += name == "a"
-            skipped += name in SKIPPED
+            stack.close_open(CLOSES[name], LISTS)
+        if name not in VOID and not content.endswith("/"):
+            stack.push(name, name_features(content) if content else ())
     flush()
     return out
 
@@ -189,7 +249,7 @@ class Extractor:
         self.numbers, self.crf = numbers, crf
 
     def extract(self, pages: list[str | None]) -> list[str]:
-        blocks = [leaf_blocks(p) if p else [] for p in pages]
+        blocks = [leaf_blocks(p, self.numbers) if p else [] for p in pages]
         lengths = np.array([len(b) for b in blocks], np.int64)
         ids, starts = [], [0]
         number = self.numbers.get

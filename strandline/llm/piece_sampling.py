@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import U64, as_bytes, mix, text_pass, word64
+from strandline.llm.common import U64, as_bytes, mix, run_hashes, text_pass, word64
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
@@ -46,12 +46,14 @@ SEED = 20_240_229
 #: Fixed constant of the Zipf-Mandelbrot law for word ranks.
 ZIPF_SHIFT = 2.7
 #: Chunks whose arcs a worker remembers; about 500 bytes each.
-CHUNKS = 450_000
+CHUNKS = 150_000
 #: Arcs of a path whose side branches are drawn for all texts at once.
 FIRST = 512
 #: No draw of uniform() lifts a Gumbel value further above its location.
 REACH = 37.5
 SPACE = "▁"
+#: Stands for a text's own SPACE sign, which is spelled in byte pieces; no valid text holds it.
+STAND = "\udc81"
 
 
 def bigram_table(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -112,38 +114,42 @@ class Lattice:
         self.clear()
 
     def clear(self) -> None:
-        self.node_of: dict[str, int] = {}
+        self.node_of: dict[int, int] = {}
         self.arc_start = np.zeros(0, np.int32)
         self.last = np.zeros(0, bool)
         self.cum, self.logp = np.zeros(0, np.float32), np.zeros(0, np.float32)
         self.to, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Chunks of all texts (spaces as in the vocabulary, one before each text), and where each text's start."""
-        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+    def cut(self, texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """All texts in one (spaces as in the vocabulary, one before each text), borders of its chunks, their hashes, and where each text's start."""
+        marked = [SPACE + t.replace(SPACE, STAND).replace(" ", SPACE) if t else "" for t in texts]
         whole = "".join(marked)
         starts = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(m) for m in marked], out=starts[1:])
         if not whole:
-            return [], np.zeros(len(texts) + 1, np.int64)
-        number = self.pieces.number[np.frombuffer(whole.encode("utf-32-le"), np.uint32)]
+            return "", np.zeros(1, np.int64), np.zeros(0, U64), np.zeros(len(texts) + 1, np.int64)
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        number = self.pieces.number[points]
         border = np.ones(len(whole) + 1, bool)
         border[1:-1] = ~self.pieces.tied[number[:-1], number[1:]]
         border[starts] = True
         at = np.flatnonzero(border)
-        places = at.tolist()
-        return [whole[a:b] for a, b in pairwise(places)], np.searchsorted(at, starts)
+        hashes = run_hashes(mix(points + word64(0x9E3779B97F4A7C15)), at[:-1], at[1:])
+        return whole, at, hashes, np.searchsorted(at, starts)
 
-    def nodes(self, chunks: list[str]) -> np.ndarray:
+    def nodes(self, whole: str, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The first node of each chunk; chunks are known by their hashes."""
         if len(self.node_of) > CHUNKS:
             self.clear()
-        known = self.node_of
-        fresh = list(set(chunks).difference(known))
+        distinct, place, member = np.unique(hashes, return_index=True, return_inverse=True)
+        known, names = self.node_of, distinct.tolist()
+        fresh = [k for k, h in enumerate(names) if h not in known]
         if fresh:
-            self._add(fresh)
-        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+            places = place[fresh]
+            self._add([whole[a:b] for a, b in zip(at[places].tolist(), at[places + 1].tolist(), strict=True)], [names[k] for k in fresh])
+        return np.fromiter(map(known.__getitem__, names), np.int64, len(names))[member]
 
-    def _add(self, chunks: list[str]) -> None:
+    def _add(self, chunks: list[str], names: list[int]) -> None:
         text = "\0".join(chunks) + "\0"
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         ends = np.cumsum(sizes + 1) - 1
@@ -166,7 +172,7 @@ class Lattice:
                 k = self.unknown.get(c)
                 if k is None:
                     k = self.unknown[c] = len(self.unknown_ids)
-                    self.unknown_ids.append([self.pieces.byte_id[b] for b in c.encode()])
+                    self.unknown_ids.append([self.pieces.byte_id[b] for b in (SPACE if c == STAND else c).encode()])
                 codes.append(self.pieces.count + k)
                 logs.append(self.pieces.byte_logp * len(self.unknown_ids[k]))
             piece = np.concatenate([piece, codes])
@@ -203,7 +209,7 @@ class Lattice:
         self.logp = np.concatenate([self.logp, np.minimum(conditional, 0.0).astype(np.float32)])
         self.to = np.concatenate([self.to, (to + node0).astype(np.int32)])
         self.piece = np.concatenate([self.piece, piece.astype(np.int32)])
-        self.node_of.update(zip(chunks, (starts + node0).tolist(), strict=True))
+        self.node_of.update(zip(names, (starts + node0).tolist(), strict=True))
 
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Random arcs from each node to its chunk's end: all arcs, and where each walk starts. keys: a number for each walk's draws."""
@@ -341,9 +347,9 @@ class Search:
 
 def sample_texts(texts: list[str | None], seeds: list[int], lattice: Lattice, k: int) -> list[list[tuple] | None]:
     """For each text up to k of (ids, log_prob, perturbed, log_inclusion), best perturbed value first."""
-    chunks, bounds = lattice.cut([t or "" for t in texts])
-    nodes = lattice.nodes(chunks)
-    del chunks
+    whole, at, hashes, bounds = lattice.cut([t or "" for t in texts])
+    nodes = lattice.nodes(whole, at, hashes)
+    del whole, at, hashes
     searches = [Search(s, nodes[a:b]) if t is not None else None for t, s, a, b in zip(texts, seeds, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     for search in searches:
         if search is not None and not len(search.chunks):
