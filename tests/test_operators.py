@@ -7,6 +7,7 @@ import time
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -307,7 +308,7 @@ def test_captured_change_pages(spark, tmp_path):
     assert sorted(map(tuple, captured.change_pages(spark, str(tmp_path / "p")).collect())) == [("a-0", 0, 0, 7), ("a-1", 1, 1, 7)]
     (tmp_path / "p/x.gif").write_bytes(b"GIF8x")
     assert {r["name"]: r["media"] for r in captured.attachment_rows(spark, str(tmp_path / "p")).collect()}["x.gif"] == "image/gif"
-    with pytest.raises(PySparkException, match="(?i)malformed"):
+    with pytest.raises((PySparkException, Py4JJavaError), match="(?i)malformed"):
         captured.articles(spark.createDataFrame([("a", "<html>")], "slug string, answer string")).collect()
 
 
