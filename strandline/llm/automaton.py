@@ -88,6 +88,29 @@ class SuffixAutomaton:
         del self.ends, self.pairs
         return self
 
+    def finish_least(self, window: int) -> SuffixAutomaton:
+        """Settle, for each state, the smallest label of a sequence that has its runs."""
+        self.first = [len(self.sequences)] * len(self.length)
+        for s, labels in self.ends.items():
+            self.first[s] = min(labels)
+        for s in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
+            up = self.link[s]
+            if self.first[s] < self.first[up]:
+                self.first[up] = self.first[s]
+        self.window = self.least = window
+        self.pair_array = np.array(sorted(self.pairs), np.int64)
+        del self.ends, self.pairs
+        return self
+
+    def repeats(self, ids: list[int]) -> Iterator[tuple[int, int]]:
+        """(first word, smallest label) of each window of ids that an added sequence has. After finish_least()."""
+        window, link, length = self.window, self.link, self.length
+        for i, (s, n) in enumerate(self.statistics(ids)):
+            if n >= window:
+                while length[link[s]] >= window:
+                    s = link[s]
+                yield i - window + 1, self.first[s]
+
     def statistics(self, ids: list[int]) -> Iterator[tuple[int, int]]:
         """(state, length) of the longest run of an added sequence that ends at each word."""
         s = n = 0

@@ -2,28 +2,41 @@
 
 Pass one scatters whole records over (shard, bucket) by seeded hashes; the
 number of buckets follows the table's bytes, so that a bucket fits in memory.
-Pass two shuffles each bucket (Spark's ``shuffle`` is a seeded Fisher-Yates)
-and numbers its records after those of the shard's earlier buckets.
+Pass two shuffles each bucket (Spark's ``shuffle`` is a seeded Fisher-Yates),
+numbers its records after those of the shard's earlier buckets and writes them.
 
 Law ``key``: a record's shard is the one whose hash with doc_id is greatest
 (rendezvous hashing): only doc_id and the shard count decide, and one more
 shard takes records only into itself. Equal texts spread like any others.
 
-Buckets are cut by doc_id *and* text hash, so no copy group, source or other
-key can swell one; rows that repeat a doc_id with one text stay together.
+Buckets are cut by a hash of the whole record, so no copy group, source or
+other key can swell one. Rows that are equal in all columns are counted before
+anything moves, and each of them gets a number of its own that takes part in
+the hash: they spread as well. The order does not depend on the input's layout.
 
 Defined cases: null text: size 1, CRC-32 of the empty string; null doc_id: its
-shard is that of the text 'null'; repeated rows: each gets its own slot.
+shard is that of the text 'null'; repeated rows: each gets its own slot. Columns
+must be of types that can be grouped by (no maps).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from strandline.llm.common import rows_of, small, table
+from strandline.session import checkpoint_root
 
 SHARDS = 16
 BUCKET_BYTES = 8 << 20
 SEED = 20_240_301
+#: Equal rows that one row of the first expansion stands for.
+COPIES = 1_000
+#: Buckets that one row of the upper level of the offsets stands for.
+GROUP = 1_024
 
 
 def rendezvous(key: Column, shards: int) -> Column:
@@ -32,50 +45,89 @@ def rendezvous(key: Column, shards: int) -> Column:
     return F.array_max(weights)["s"]
 
 
+def doc_key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+
+
+def text_crc() -> Column:
+    return F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
+def text_size() -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+
+
+def whole_hash(documents: DataFrame) -> Column:
+    return F.xxhash64(*(F.col(f"`{c}`") for c in documents.columns))
+
+
+def numbered(documents: DataFrame) -> DataFrame:
+    """documents with _copy: 0, and 1, 2, ... for further rows that are equal in all columns."""
+    spark = documents.sparkSession
+    hashed = documents.select(whole_hash(documents).alias("_whole"))
+    repeats = table(spark, hashed.groupBy("_whole").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_whole"))
+    if not rows_of(repeats):
+        return documents.withColumn("_copy", F.lit(0).cast("long"))
+    marked = documents.withColumn("_whole", whole_hash(documents))
+    alone = marked.join(small(repeats), "_whole", "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns), F.lit(0).cast("long").alias("_copy"))
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    counted = marked.join(small(repeats), "_whole", "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = counted.select(*columns, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {COPIES}"))).alias("_block")).repartition("_block", F.xxhash64(*columns))
+    copies = blocks.select(*columns, F.explode(F.sequence(F.col("_block") * COPIES, F.least(F.col("_n"), (F.col("_block") + 1) * COPIES) - 1)).alias("_copy"))
+    return alone.unionByName(copies)
+
+
+def bucket_offsets(counts: DataFrame) -> DataFrame:
+    """(_shard, _bucket, _offset): rows in the shard's earlier buckets, by running sums of groups of buckets and inside them."""
+    grouped = counts.withColumn("_group", F.expr(f"_bucket div {GROUP}"))
+    upper = grouped.groupBy("_shard", "_group").agg(F.sum("_n").alias("_n"))
+    before = lambda *keys: Window.partitionBy("_shard", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    upper = upper.select("_shard", "_group", F.coalesce(F.sum("_n").over(before("_group")), F.lit(0)).alias("_start"))
+    inner = grouped.withColumn("_within", F.coalesce(F.sum("_n").over(before("_group", "_bucket")), F.lit(0)))
+    return inner.join(upper, ["_shard", "_group"]).select("_shard", "_bucket", (F.col("_start") + F.col("_within")).alias("_offset"))
+
+
 def external_shuffle(documents: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns of documents, and _size, _crc, _shard, _slot, _grown: the shuffled order inside each shard."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    sized = documents.withColumns({
-        "_size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1,
-        "_crc": F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")),
-        "_shard": rendezvous(key, shards),
-        "_grown": rendezvous(key, shards + 1),
-    })
-    total = documents.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)).first()[0] or 0
+    key = doc_key()
+    whole = whole_hash(documents)
+    total = documents.agg(F.sum(text_size())).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
-    placed = sized.withColumn("_bucket", F.pmod(F.xxhash64(key, "_crc", F.lit(seed)), F.lit(buckets)).cast("int"))
-    # Buckets before this one in its shard; one row a bucket.
-    counts = placed.groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    later = counts.select("_shard", F.col("_bucket").alias("_other"), F.col("_n").alias("_before"))
-    offsets = counts.join(later, "_shard").groupBy("_shard", "_bucket").agg(F.sum(F.when(F.col("_other") < F.col("_bucket"), F.col("_before")).otherwise(0)).alias("_offset"))
-    record = F.struct(F.xxhash64(key, F.lit(seed), "_crc").alias("_order"), *(F.col(f"`{c}`") for c in sized.columns))
+    sized = numbered(documents).withColumns({"_size": text_size(), "_crc": text_crc(), "_shard": rendezvous(key, shards), "_grown": rendezvous(key, shards + 1), "_order": F.xxhash64(whole, "_copy", F.lit(seed))})
+    placed = sized.withColumn("_bucket", F.pmod(F.xxhash64("_order", F.lit(seed)), F.lit(buckets)).cast("int"))
+    # Offsets come from hashes alone; no text is read for them twice.
+    offsets = bucket_offsets(placed.groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("_n")))
+    record = F.struct("_order", "_copy", *(F.col(f"`{c}`") for c in documents.columns), "_size", "_crc", "_shard", "_grown")
     # The generator behind shuffle() runs through a partition's rows: with a fixed number of
     # partitions, and both the rows and the records in them sorted, every run gives the same order.
     dealt = placed.repartition(shards * buckets, "_shard", "_bucket")
     gathered = dealt.groupBy("_shard", "_bucket").agg(F.collect_list(record).alias("_rows"))
-    ordered = F.array_sort("_rows", lambda a, b: F.when(a["_order"] < b["_order"], -1).when(a["_order"] > b["_order"], 1).otherwise(0))
+    ordered = F.array_sort("_rows", lambda a, b: F.when(a["_order"] < b["_order"], -1).when(a["_order"] > b["_order"], 1).when(a["_copy"] < b["_copy"], -1).when(a["_copy"] > b["_copy"], 1).otherwise(0))
     placed_rows = gathered.join(offsets, ["_shard", "_bucket"]).sortWithinPartitions("_shard", "_bucket")
     mixed = placed_rows.select("_offset", F.posexplode(F.shuffle(ordered, F.lit(seed))).alias("_at", "_row"))
-    return mixed.select("_row.*", (F.col("_offset") + F.col("_at")).cast("long").alias("_slot")).drop("_order")
+    return mixed.select("_row.*", (F.col("_offset") + F.col("_at")).cast("long").alias("_slot")).drop("_order", "_copy")
 
 
-def write_shards(documents: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
-    """The shuffled records as Parquet, a folder a shard, in slot order within each file."""
+def write_shards(documents: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The shuffled records as Parquet, a folder a shard, in slot order within each file; read back with _shard and _slot."""
     out = external_shuffle(documents, shards, seed, bucket_bytes)
-    rows = out.select(*documents.columns, "_shard", "_slot")
+    rows = out.select(*(F.col(f"`{c}`") for c in documents.columns), "_shard", "_slot")
     rows.sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
+    schema = StructType([*documents.schema.fields, StructField("_slot", LongType()), StructField("_shard", IntegerType())])
+    return documents.sparkSession.read.schema(schema).parquet(path)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return external_shuffle(documents).select(
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    written = write_shards(documents, f"{checkpoint_root(spark)}/strandline-shards-{uuid.uuid4().hex}")
+    return written.select(
         "doc_id",
-        F.col("_size").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        text_size().alias("size"),
+        text_crc().alias("text_crc32"),
         F.lit("key").alias("law"),
-        F.col("_shard").cast("int").alias("shard"),
+        F.col("_shard").alias("shard"),
         F.col("_slot").alias("slot"),
-        F.col("_grown").cast("int").alias("grown_shard"),
+        rendezvous(doc_key(), SHARDS + 1).cast("int").alias("grown_shard"),
     )
 
 

@@ -1,13 +1,18 @@
 """Substring dedup: remove each word in a window of 50 that also starts in an earlier document.
 
-The corpus is its own reference here. Broadcasting a suffix automaton of every
-reference shard to every document costs shards x documents, the square of the
-corpus; see README. So shards are made by content instead: each window names an
-anchor, the least hash among its 16-word grams, and equal windows name equal
-anchors wherever they stand. Windows of one document that follow each other
-with one anchor form a block, and a block with an equal in an earlier document
-is removed whole. Only where an anchor has several different blocks (edges of
-shared passages, edited places) are single windows compared.
+Against a reference of its own (:func:`remove_against`), suffix automata of its
+shards are broadcast, documents stream past them for matching statistics, and
+spans above the length threshold go.
+
+The corpus as its own reference comes first to what can repeat at all: each
+window names an anchor, the least hash among its 16-word grams, and equal
+windows name equal anchors wherever they stand. Windows of one document that
+follow each other with one anchor form a block, and a block with an equal in an
+earlier document is removed whole. Only where an anchor has several different
+blocks (edges of shared passages, edited places) are windows judged one by one:
+:func:`judged_windows` makes their words the reference of broadcast automata as
+long as they are ``REFERENCE_WORDS`` at most; beyond that equal windows meet by hash,
+since shards x documents would grow with the square of the corpus; see README.
 
 Defined cases: null text has no words and kept_sha256 of the empty string;
 fewer words than a window: nothing removed; null doc_id: neither reference nor
@@ -19,17 +24,23 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.llm.automaton import SuffixAutomaton
 from strandline.llm.common import BROADCAST_ROWS, U64, as_bytes, mix, powers, rows_of, semi_join, small, steps, table, text_pass, word64, word_hashes
 
 WINDOW, GRAM = 50, 16
 #: Blocks that one task remembers to settle repeats among its own documents.
 SEEN_BLOCKS = 500_000
+#: Text of the reference that one automaton, and so one broadcast, holds at most (about 60 times that in memory).
+SHARD_BYTES = 2_000_000
+#: Judged words up to which they are the reference of broadcast automata.
+REFERENCE_WORDS = 200_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -134,29 +145,129 @@ def window_pass(documents: DataFrame, window: int) -> DataFrame:
     return text_pass(documents.select("doc_id", "th", "text", "spans"), one, "f long, doc_id long, th long, lo int")
 
 
-def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def reference_automata(reference: DataFrame, window: int) -> Iterator[tuple[SuffixAutomaton, list]]:
+    """(automaton, ids by label) of each shard of reference (id, text), at most SHARD_BYTES of text each; one at a time is in the driver's memory."""
+    rows = reference.where("text is not null").select("id", "text")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = -(-total // SHARD_BYTES)
+    for k in range(shards):
+        automaton, ids = SuffixAutomaton(), []
+        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == k) if shards > 1 else rows
+        for row in part.orderBy(F.col("id").asc_nulls_last(), "text").toLocalIterator():
+            words = row["text"].encode().split()
+            if len(words) >= window:
+                automaton.add(words)
+                ids.append(row["id"])
+        if ids:
+            yield automaton.finish_least(window), ids
+
+
+def match_pass(documents: DataFrame, shared, earlier: bool) -> DataFrame:
+    """documents: doc_id, th, text, spans (null: whole text). Starts of windows that the shard's reference has.
+
+    earlier: only where a reference row with a smaller id has it.
+    """
+
+    def one(step):
+        automaton, ids = shared.value
+        window, lookup = automaton.window, automaton.vocabulary.get
+        docs, places = [], []
+        for i, (text, doc, spans) in enumerate(zip(as_bytes(step.column("text")), step.column("doc_id").to_pylist(), step.column("spans").to_pylist(), strict=True)):
+            words = np.array([lookup(w, -1) for w in (text or b"").split()], np.int64)
+            for lo, hi in ((0, len(words)),) if spans is None else ((s["lo"], s["hi"] + window) for s in spans):
+                own = words[lo:hi]
+                for first, end in automaton.runs(own, np.zeros(len(own), np.int64)):
+                    for at, label in automaton.repeats(own[first:end].tolist()):
+                        if not earlier or (doc is not None and ids[label] < doc):
+                            docs.append(i)
+                            places.append(lo + first + at)
+        starts = pa.array(places, pa.int32())
+        yield pa.RecordBatch.from_arrays([step.column("doc_id").cast(pa.int64()).take(pa.array(docs, pa.int64())), step.column("th").take(pa.array(docs, pa.int64())), starts, starts], names=["doc_id", "th", "lo", "hi"])
+
+    return text_pass(documents.select("doc_id", "th", "text", "spans"), one, "doc_id long, th long, lo int, hi int")
+
+
+def matched(documents: DataFrame, reference: DataFrame, window: int, earlier: bool) -> DataFrame:
+    """match_pass() over all shards of the reference; the result of each is written before the next automaton is broadcast."""
+    spark = documents.sparkSession
+    found = spark.createDataFrame([], "doc_id long, th long, lo int, hi int")
+    for pair in reference_automata(reference, window):
+        shared = spark.sparkContext.broadcast(pair)
+        found = found.unionByName(table(spark, match_pass(documents, shared, earlier)))
+        shared.destroy()
+    return found
+
+
+def fragments(documents: DataFrame, window: int) -> DataFrame:
+    """(id, text): the words under each span of documents (doc_id, text, spans)."""
+
+    def one(step):
+        ids, out = [], []
+        for text, doc, spans in zip(as_bytes(step.column("text")), step.column("doc_id").to_pylist(), step.column("spans").to_pylist(), strict=True):
+            words = text.split()
+            for s in spans:
+                ids.append(doc)
+                out.append(b" ".join(words[s["lo"] : s["hi"] + window]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())], names=["id", "text"])
+
+    return text_pass(documents.select("doc_id", "text", "spans"), one, "id long, text string")
+
+
+def judged_windows(candidates: DataFrame, edges: DataFrame, window: int, reference_words: int) -> DataFrame:
+    """(doc_id, th, lo, hi) of the windows under the spans of candidates that an earlier document has. edges: the spans.
+
+    Where all their words are reference_words at most, they are the reference: its suffix automata are
+    broadcast and the candidates stream past them. Beyond that, equal windows meet by hash, which grows with
+    the windows and not with shards x documents.
+    """
+    spark = candidates.sparkSession
+    words = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["hi"] - s["lo"] + window)
+    if (edges.agg(F.sum(words)).first()[0] or 0) <= reference_words:
+        candidates = table(spark, candidates)
+        return matched(candidates, fragments(candidates, window), window, earlier=True)
+    windows = table(spark, window_pass(candidates, window).distinct())
+    lows = table(spark, windows.groupBy("f").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p < q").select("f", "p"))
+    return windows.join(lows, "f").where("p < doc_id").select("doc_id", "th", "lo", F.col("lo").alias("hi"))
+
+
+def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, reference_words: int | None = None) -> DataFrame:
     """(doc_id, th, spans): starts of windows that an earlier document has, as ranges lo..hi."""
     spark = documents.sparkSession
     rows = table(spark, block_pass(documents, window, gram))
     settled = rows.where("anchor is null").select("doc_id", "th", "lo", "hi")
     open_rows = rows.where("anchor is not null")
     shared = open_rows.groupBy("anchor").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p < q").select("anchor")
-    met = table(spark, open_rows.join(shared, "anchor"))
-    # Written, so that both sides of the joins below are plain exchanges and a hot block or window can be split.
-    firsts = table(spark, met.groupBy("block").agg(F.min("doc_id").alias("first")))
-    several = met.groupBy("anchor").agg(F.min("block").alias("p"), F.max("block").alias("q")).where("p <> q").select("anchor")
-    judged = met.join(firsts, "block")
+    # Anchors and blocks are made distinct before they meet their rows: a hot one is one row on that side.
+    met = table(spark, open_rows.join(small(table(spark, shared)), "anchor"))
+    blocks = table(spark, met.groupBy("anchor", "block").agg(F.min("doc_id").alias("first")))
+    several = table(spark, blocks.groupBy("anchor").agg(F.min("block").alias("p"), F.max("block").alias("q")).where("p <> q").select("anchor"))
+    firsts = blocks.select("block", "first")
+    judged = met.join(F.broadcast(firsts) if rows_of(blocks) <= BROADCAST_ROWS else firsts, "block")
     whole = judged.where("first < doc_id").select("doc_id", "th", "lo", "hi")
-    edges = judged.where("first >= doc_id").join(several, "anchor").groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    edges = judged.where("first >= doc_id").join(small(several), "anchor").groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     edges = table(spark, edges)
     texts = semi_join(documents.select("doc_id", "text"), table(spark, edges.select("doc_id").distinct()), "doc_id").withColumn("th", hash_column("text"))
-    windows = table(spark, window_pass(texts.join(edges, ["doc_id", "th"]), window).distinct())
-    lows = table(spark, windows.groupBy("f").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p < q").select("f", "p"))
-    single = windows.join(lows, "f").where("p < doc_id").select("doc_id", "th", "lo", F.col("lo").alias("hi"))
+    single = judged_windows(texts.join(edges, ["doc_id", "th"]), edges, window, REFERENCE_WORDS if reference_words is None else reference_words)
     spans = settled.unionByName(whole).unionByName(single)
     return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
+def remove_against(documents: DataFrame, reference: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept_text: words in runs of window words or more that a text of reference has go.
+
+    reference: text. Its suffix automata, SHARD_BYTES of text each, are broadcast one after another, and all
+    documents stream past each: for references that are small beside the documents.
+    """
+    spark = documents.sparkSession
+    base = documents.select("doc_id", "text", hash_column("text").alias("th"), F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"))
+    found = matched(base, reference.select(F.lit(0).alias("id"), "text").distinct(), window, earlier=False)
+    # Of equal rows each gets the spans of one.
+    spans = table(spark, found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
+    on = base["doc_id"].eqNullSafe(F.col("_id")) & (base["th"] == F.col("_th"))
+    joined = base.drop("spans").join(spans.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "spans"), on, "left")
+    return removal_pass(joined.select("doc_id", "text", "spans"), window, True)
+
+
 def hash_column(name: str):
     """text_hash as a native column."""
     return F.xxhash64(name)
