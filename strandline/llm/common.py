@@ -7,6 +7,8 @@ Texts are handled as UTF-8 bytes. ``bytes.split()`` cuts at exactly
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -157,14 +159,36 @@ def flatten(lists: list[list]) -> tuple[list, np.ndarray]:
     return [x for y in lists for x in y], starts
 
 
-def text_pass(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
-    """mapInArrow over text steps; function maps a RecordBatch to RecordBatches."""
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks and wait beside the next ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def arrow_pass(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """mapInArrow; what a task held goes back to the system at its end."""
+
+    def trimmed(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(trimmed, schema)
+
+
+def text_pass(df: DataFrame, function: Callable, schema: str | StructType, done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow over text steps; function maps a RecordBatch to RecordBatches. done: drops what function remembers, at a task's end."""
 
     def run(batches):
         for step in steps(batches):
             yield from function(step)
+        if done is not None:
+            done()
 
-    return df.mapInArrow(run, schema)
+    return arrow_pass(df, run, schema)
 
 
 def with_carry(ddl: str, df: DataFrame, carry: tuple[str, ...]) -> StructType:

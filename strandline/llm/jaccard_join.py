@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import U64, as_bytes, components, mix, rows_of, small, steps, table, word64, word_hashes
+from strandline.llm.common import U64, arrow_pass, as_bytes, components, mix, rows_of, small, steps, table, word64, word_hashes
 
 #: Boundaries that the cost formula chooses among: this many sizes at which one more member may be left out.
 BOUNDARIES = 3
@@ -294,7 +294,7 @@ def class_pass(documents: DataFrame, size: int) -> DataFrame:
         if count:
             yield crowded()
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key long, th long, bits binary, shingle long, c long")
+    return arrow_pass(documents.select("doc_id", "text"), run, "doc_id long, n_shingles long, key long, th long, bits binary, shingle long, c long")
 
 
 def entry_pass(documents: DataFrame, size: int, plan: Plan, shared) -> DataFrame:
@@ -314,7 +314,7 @@ def entry_pass(documents: DataFrame, size: int, plan: Plan, shared) -> DataFrame
             sigs, owners, early = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(owners.astype(np.int64)), pa.array(early)], names=["sig", "key", "early"])
 
-    return documents.select("text").mapInArrow(run, "sig long, key long, early boolean")
+    return arrow_pass(documents.select("text"), run, "sig long, key long, early boolean")
 
 
 def as_words(column: pa.BinaryArray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -354,7 +354,7 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
             yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(kept) for c in ("a", "b")), pa.array(far).filter(kept), *(batch.column(c).filter(kept) for c in others)], names=["a", "b", "far", *others])
 
     extra = "".join(f", {c} {pairs.schema[c].dataType.simpleString()}" for c in others)
-    return both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b", *others).mapInArrow(run, f"a long, b long, far long{extra}")
+    return arrow_pass(both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b", *others), run, f"a long, b long, far long{extra}")
 
 
 def class_texts(documents: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
@@ -398,7 +398,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return parted.mapInArrow(run, "a long, b long")
+    return arrow_pass(parted, run, "a long, b long")
 
 
 def in_blocks(members: DataFrame, group: str, rows: int) -> DataFrame:
@@ -436,7 +436,7 @@ def group_pass(rows: DataFrame, group: str, function: Callable[[pa.Table], Itera
         if rest:
             yield from function(pa.Table.from_batches(rest))
 
-    return parted.mapInArrow(run, schema)
+    return arrow_pass(parted, run, schema)
 
 
 def pairs_far(words: np.ndarray, wide: dict[int, np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -425,6 +425,11 @@ def lattice_of(path: str) -> Lattice:
     return _LOADED[path]
 
 
+def forget(path: str):
+    """Drops the arcs that a worker remembers; the vocabulary stays."""
+    return lambda: lattice_of(path).clear()
+
+
 def row_seed(key, seed: int) -> int:
     return xxhash.xxh64_intdigest(str(key) if key is not None else "null", seed=seed)
 
@@ -447,11 +452,23 @@ def sample(documents: DataFrame, k: int = SAMPLES, seed: int = SEED, vocabulary:
         kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("log_inclusion", pa.float64())]))
         yield pa.RecordBatch.from_arrays([step.column("doc_id").cast(pa.int64()), pa.array(rows, kind)], names=["doc_id", "samples"])
 
-    return text_pass(documents.select("doc_id", "text"), one, f"doc_id long, samples array<{SAMPLE}>")
+    return text_pass(documents.select("doc_id", "text"), one, f"doc_id long, samples array<{SAMPLE}>", forget(vocabulary))
+
+
+def nested(found: list[list[tuple] | None]) -> pa.ListArray:
+    """The ids of all samples of each text, as one flat array under two levels of offsets."""
+    counts = [len(rows) if rows else 0 for rows in found]
+    flat = [ids for rows in found for ids, *_ in rows or ()]
+    inner = np.zeros(len(flat) + 1, np.int32)
+    np.cumsum([len(ids) for ids in flat], out=inner[1:])
+    values = np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32)
+    outer = np.zeros(len(found) + 1, np.int32)
+    np.cumsum(counts, out=outer[1:])
+    return pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, values), mask=pa.array([rows is None for rows in found]))
 
 
-def sample_digest(documents: DataFrame, k: int = SAMPLES, seed: int = SEED, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id and, for each sample in turn, its size, scores, SHA-256 of its ids, and whether all decode to the text."""
+def sample_digest(documents: DataFrame, k: int = SAMPLES, seed: int = SEED, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
+    """doc_id and, for each sample in turn, its size, scores, SHA-256 of its ids, and whether all decode to the text; with_ids: the ids too."""
 
     def one(step):
         lattice, found = _sampled(step, vocabulary, k, seed)
@@ -466,9 +483,10 @@ def sample_digest(documents: DataFrame, k: int = SAMPLES, seed: int = SEED, voca
                 column.append(value)
         kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 3, pa.list_(pa.string()), pa.bool_()]
         names = ["n_samples", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_sha256", "round_trip"]
-        yield pa.RecordBatch.from_arrays([step.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", *names])
+        extra = [nested(found)] if with_ids else []
+        yield pa.RecordBatch.from_arrays([step.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *extra], names=["doc_id", *names, *(["ids"] if with_ids else [])])
 
-    return text_pass(documents.select("doc_id", "text"), one, "doc_id long, n_samples long, n_pieces array<long>, log_prob array<double>, perturbed array<double>, log_inclusion array<double>, ids_sha256 array<string>, round_trip boolean")
+    return text_pass(documents.select("doc_id", "text"), one, "doc_id long, n_samples long, n_pieces array<long>, log_prob array<double>, perturbed array<double>, log_inclusion array<double>, ids_sha256 array<string>, round_trip boolean" + ", ids array<array<int>>" * with_ids, forget(vocabulary))
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -484,7 +502,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return sample_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=True)
 
 
 QUERIES = {"op4_piece_sampling": op4}

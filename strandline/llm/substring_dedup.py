@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.automaton import SuffixAutomaton
-from strandline.llm.common import BROADCAST_ROWS, U64, as_bytes, mix, powers, rows_of, semi_join, small, steps, table, text_pass, word64, word_hashes
+from strandline.llm.common import BROADCAST_ROWS, U64, arrow_pass, as_bytes, mix, powers, rows_of, semi_join, small, steps, table, text_pass, word64, word_hashes
 
 WINDOW, GRAM = 50, 16
 #: Blocks that one task remembers to settle repeats among its own documents.
@@ -124,7 +124,7 @@ def block_pass(documents: DataFrame, window: int, gram: int) -> DataFrame:
             arrays = [pa.array(anchor.view(np.int64)[keep], mask=settled[keep]), pa.array(block.view(np.int64)[keep]), pa.array([d for d in doc if d is not None], pa.int64()), pa.array(text_hash(texts)[owner[keep]]), pa.array(lo[keep].astype(np.int32)), pa.array(hi[keep].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "block", "doc_id", "th", "lo", "hi"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "anchor long, block long, doc_id long, th long, lo int, hi int")
+    return arrow_pass(documents.select("doc_id", "text"), run, "anchor long, block long, doc_id long, th long, lo int, hi int")
 
 
 def window_pass(documents: DataFrame, window: int) -> DataFrame:

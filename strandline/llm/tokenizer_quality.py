@@ -218,7 +218,7 @@ def measure(documents: DataFrame, pieces: str = PIECES, ranks: str = RANKS, band
         arrays = [step.column("doc_id").cast(pa.int64()), *(pa.array(x.astype(np.int64)) for x in (counts, chars, symbols, np.array(dup_lines), repeats)), pa.array(base_failed), pa.array(kept), pa.array(names), pa.array(n_tokens), pa.array(chars / at_least, mask=empty), pa.array(chars / np.maximum(second, 1), mask=empty), pa.array(byte_tokens / at_least, mask=empty), pa.array(entropies, pa.float64())]
         yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in SCHEMA.split(",")])
 
-    return text_pass(documents.select("doc_id", "text"), one, SCHEMA)
+    return text_pass(documents.select("doc_id", "text"), one, SCHEMA, state.clear)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,13 @@ and the word's shape.
 Scoring runs over whole texts: forward and backward recursions are products
 of 2 x 2 matrices, computed for all texts of a step at once in blocks that are
 joined afterwards; a text's first word starts a fresh chain. A document's
-evidence is the noisy-or of its words' marginals above ``NOTICE``, and a
-logistic curve fitted on the learning sample turns it into a score.
+evidence is the noisy-or of all its words' squared marginals (so that many
+words of hardly any suspicion do not add up to much), and a logistic curve
+fitted on the learning sample turns it into a score.
 
 The learning sample is bounded by ``MAX_TOXIC`` + ``MAX_CLEAN`` labelled rows,
-the least by a hash of doc_id, and by ``MAX_SAMPLE_TEXT`` bytes a text.
+the least by a hash of doc_id, and by ``MAX_SAMPLE_TEXT`` bytes a text; this
+bounds the vocabulary too, which has every core that two sampled texts share.
 
 Defined cases: null or empty text: no words, the score of no evidence; no
 learning rows of both labels: score 0; several labels for a doc_id: toxic wins.
@@ -37,10 +39,8 @@ from strandline.llm.crf import Crf
 from strandline.llm.language_id import held_out
 
 MAX_TOXIC, MAX_CLEAN, MAX_SAMPLE_TEXT = 1_500, 3_000, 200_000
-MAX_VOCABULARY = 50_000
 #: Likelihood ratio (chi-square with one degree of freedom) beyond which a word counts as toxic.
 MIN_RATIO = 30.0
-NOTICE = 0.05
 SHAPES = 4
 _CORE = re.compile(r"[\W_]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -170,8 +170,7 @@ class Scorer:
         return marginals(e, first[:-1], self.tagger.move), starts
 
     def evidence(self, p: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        noticed = np.where(p >= NOTICE, np.log1p(-np.minimum(p, 1 - 1e-9)), 0.0)
-        total = np.concatenate([[0.0], np.cumsum(noticed)])
+        total = np.concatenate([[0.0], np.cumsum(np.log1p(-np.minimum(p, 1 - 1e-9) ** 2))])
         return -np.expm1(total[starts[1:]] - total[starts[:-1]])
 
 
@@ -211,17 +210,22 @@ def fit(texts: list[bytes], toxic: list[int]) -> Tagger:
     cores = [[core(w) for w in ws] for ws in words]
     lexicon = toxic_words(cores, toxic)
     counts = Counter(x for cs in cores for x in {y for c in set(cs) for y in features(c)} if x)
-    kept = sorted((c for c in counts if counts[c] > 1 or c in lexicon), key=lambda c: (c not in lexicon, -counts[c], c))[:MAX_VOCABULARY]
-    vocabulary = {c: i for i, c in enumerate(sorted(kept), 1)}
+    vocabulary = {c: i for i, c in enumerate(sorted(c for c in counts if counts[c] > 1 or c in lexicon), 1)}
     size = len(vocabulary) + 1
     rows, lengths, labels = [], [], []
     rng = np.random.default_rng(11)
     for ws, cs, label in zip(words, cores, toxic, strict=True):
         gold = [int(bool(label) and c in lexicon) for c in cs]
-        hits = [i for i, g in enumerate(gold) if g][:8]
+        hits = [i for i, g in enumerate(gold) if g]
         spots = hits or ([int(rng.integers(len(cs)))] if cs else [])
+        runs: list[list[int]] = []
         for i in spots:
             lo, hi = max(0, i - 8), min(len(cs), i + 9)
+            if runs and lo <= runs[-1][1]:
+                runs[-1][1] = hi
+            else:
+                runs.append([lo, hi])
+        for lo, hi in runs:
             for k in range(lo, hi):
                 ids = [vocabulary.get(x, 0) for x in features(cs[k])]
                 ids.append(size + (vocabulary.get(cs[k - 1], 0) if k else 0))
@@ -300,7 +304,11 @@ def tag(documents: DataFrame, tagger: Tagger) -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         yield pa.RecordBatch.from_arrays([step.column("doc_id").cast(pa.int64()), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(counts, pa.int64()), pa.array(spans, kind)], names=["doc_id", "score", "predicted", "n_toxic_words", "spans"])
 
-    return text_pass(documents.select("doc_id", "text"), one, "doc_id long, score double, predicted int, n_toxic_words long, spans array<struct<start:int,end:int,p:double>>")
+    def done():
+        nonlocal scorer
+        scorer = None
+
+    return text_pass(documents.select("doc_id", "text"), one, "doc_id long, score double, predicted int, n_toxic_words long, spans array<struct<start:int,end:int,p:double>>", done)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -423,11 +423,13 @@ def test_signs_of_the_vocabulary_round_trip():
 
 
 def test_samples_round_trip_under_any_partitioning(spark):
-    texts = ["Hello  wörld\n été 日本\x00!", "", None, " x", "a\tb", "▁x a▁b".replace("▁", "_"), "word " * 300, "é" * 200]
+    texts = ["Hello  wörld\n été 日本\x00!", "", None, " x", "a\tb", "▁x a▁b", "word " * 300, "é" * 200]
     df = documents(spark, texts)
     one, two = (sorted(map(tuple, piece_sampling.sample_digest(df.repartition(k)).collect())) for k in (1, 4))
     assert one == two
     assert all(r[-1] is True for r in one if r[1]) and {r[0] for r in one if r[1] == 0} == {2}
+    whole = {r["doc_id"]: r["ids"] for r in piece_sampling.sample_digest(df, with_ids=True).collect()}
+    assert whole == {r["doc_id"]: None if r["samples"] is None else [x["ids"] for x in r["samples"]] for r in piece_sampling.sample(df).collect()}
     rows = piece_sampling.sample(df).where("samples is not null").select("doc_id", F.explode("samples").alias("s")).select("doc_id", "s.ids")
     assert all(r["text"] == texts[r["doc_id"]] for r in piece_sampling.decode(rows).collect())
 
