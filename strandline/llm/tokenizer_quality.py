@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandline.llm.common import U64, WordTable, as_bytes, flatten, mix, text_pass, word64, word_hashes
 from strandline.llm.substring_dedup import Rolling
@@ -166,6 +167,20 @@ def entropy(ids: np.ndarray) -> float:
     return float(-(share * np.log2(share)).sum())
 
 
+def fit_bands(documents: DataFrame, tail: float = 0.005, slack: float = 0.15, pieces: str = PIECES, ranks: str = RANKS) -> dict[str, Band]:
+    """Bands by script that all but ``tail`` of these documents keep to at each bound, widened by ``slack``.
+
+    documents: clean ones, such as the learning rows that labels call good; those that fail the base rule do
+    not count. Scripts without such a document have no band here. BANDS is wider than what this finds on
+    the driver's labelled documents without slack; tests hold the two against each other.
+    """
+    measured = measure(documents, pieces, ranks).where("not base_failed")
+    low = lambda c: F.percentile(c, F.lit(tail)).alias(f"low_{c}")
+    high = lambda c: F.percentile(c, F.lit(1 - tail)).alias(f"high_{c}")
+    rows = measured.groupBy("script").agg(low("chars_per_token"), high("chars_per_token"), high("byte_share"), low("token_entropy"), low("chars_per_token_2")).collect()
+    return {r["script"]: Band(r["low_chars_per_token"] * (1 - slack), r["high_chars_per_token"] * (1 + slack), r["high_byte_share"] * (1 + slack) + 0.01, r["low_token_entropy"] * (1 - slack), r["low_chars_per_token_2"] * (1 - slack)) for r in rows}
+
+
 SCHEMA = """doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,
   base_failed boolean, kept boolean, script string, n_tokens long, chars_per_token double, chars_per_token_2 double, byte_share double, token_entropy double"""
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import math
+import os
 import random
 import re
 import time
@@ -333,6 +334,64 @@ def test_language_id(spark):
     assert [r["lang_pred"] for r in language_id.identify(documents(spark, ["abc"]), empty).collect()] == ["und"]
 
 
+def brute_bits(texts, probe, order):
+    """Bits per character of probe under interpolated Kneser-Ney of texts, by dictionaries and recursion."""
+    top = Counter()
+    for t in texts:
+        for w in t.lower().split():
+            s = f" {w} "
+            for i in range(1, len(s)):
+                top[s[max(0, i - order + 1) : i + 1]] += 1
+    levels = {order: {g: c for g, c in top.items() if len(g) == order}}
+    current = dict(top)
+    for n in range(order - 1, 0, -1):
+        lower = Counter(g[1:] for g in current if len(g) == n + 1)
+        begun = Counter({g: c for g, c in current.items() if len(g) <= n})
+        current = begun + lower
+        levels[n] = {g: c for g, c in current.items() if len(g) == n}
+    away = {n: language_id.discount(sum(c == 1 for c in x.values()), sum(c == 2 for c in x.values())) for n, x in levels.items()}
+
+    def chance(gram):
+        n = len(gram)
+        if n == 0:
+            return 1.0 / (max(1, len(levels[1])) + 1)
+        after = {g: c for g, c in levels[n].items() if g[:-1] == gram[:-1]}
+        total = sum(after.values())
+        if not total:
+            return chance(gram[1:])
+        return max(after.get(gram, 0) - away[n], 0) / total + sum(min(c, away[n]) for c in after.values()) / total * chance(gram[1:])
+
+    bits = length = 0
+    for w in probe.lower().split():
+        s = f" {w} "
+        for i in range(1, len(s)):
+            bits -= math.log2(chance(s[max(0, i - order + 1) : i + 1]))
+            length += 1
+    return bits / length
+
+
+def test_scores_equal_a_brute_force_model(spark):
+    rng = random.Random(8)
+    learned = {"aa": [" ".join("".join(rng.choices("abcdé", k=rng.randint(1, 5))) for _ in range(20)) for _ in range(3)], "bb": [" ".join("".join(rng.choices("cdefg", k=rng.randint(1, 5))) for _ in range(20)) for _ in range(3)]}
+    rows = [(t, lang) for lang, texts in learned.items() for t in texts] + [(None, "aa"), ("x", None)]
+    model = language_id.learn(spark.createDataFrame(rows, "text string, lang string"))
+    probes = ["abc dé", "gfe cd", "Abba zzz cab", "é", "q" * 300, "cd " * 50, "cd " * 50]
+    got = {r["doc_id"]: r for r in language_id.identify(documents(spark, probes), model).collect()}
+    for i, probe in enumerate(probes):
+        want = {lang: brute_bits(texts, probe, language_id.ORDER) for lang, texts in learned.items()}
+        assert abs(got[i]["bits"] - min(want.values())) < 1e-3
+        assert got[i]["lang_pred"] == min(want, key=lambda k: (round(want[k], 4), k))
+
+
+def test_limits_reject_no_more_than_their_share(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SLACK", 0.0)
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdefgh", weights=range(1, 9), k=rng.randint(1, 6))) for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    df = documents(spark, texts)
+    model = language_id.learn(df.select("text", "lang"), slack=0.0)
+    assert language_id.identify(df, model).where("not accepted").count() <= math.ceil(len(texts) * language_id.REJECTED)
+
+
 def test_gram_cut_off_bounds_the_model(spark):
     rng = random.Random(1)
     texts = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(50)) for _ in range(10)]
@@ -515,6 +574,41 @@ def test_tokenizer_base_measures(spark):
         assert r["base_failed"] == (len(w) < 20 or 100 * len(repeat) > 30 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
+def test_fertility_equals_the_public_tokenizers(spark):
+    """Whole texts, cut by the tokenizers themselves: a word never shares a token with its neighbour."""
+    import sentencepiece
+    import tiktoken
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=tokenizer_quality.PIECES)
+    cutter = tokenizer_quality.Cutter(tokenizer_quality.PIECES, tokenizer_quality.RANKS)
+    assert isinstance(cutter.second, tiktoken.Encoding)
+    texts = ["The quick brown fox jumps", "Съешь ещё этих мягких булок", "héllo wörld", "a", "日本語 テスト", "\U0001f9ff\U0001f9ff x", "word " * 3000, "w" * 5000, "x y", "x y", None, ""]
+    got = {r["doc_id"]: r for r in tokenizer_quality.measure(documents(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        words = (text or "").split()
+        ids = [k for w in words for k in pieces.encode(w)]
+        if not ids:
+            assert got[i]["n_tokens"] == 0 and got[i]["chars_per_token"] is None
+            continue
+        chars = sum(map(len, words))
+        share = [c / len(ids) for c in Counter(ids).values()]
+        second = sum(len(cutter.second.encode_ordinary(" " + w)) for w in words)
+        want = (len(ids), chars / len(ids), sum(map(pieces.is_byte, ids)) / len(ids), -sum(p * math.log2(p) for p in share), chars / second)
+        assert np.allclose([got[i][c] for c in ("n_tokens", "chars_per_token", "byte_share", "token_entropy", "chars_per_token_2")], want, atol=1e-9)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_bands_hold_good_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    good = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id").distinct()
+    fitted = tokenizer_quality.fit_bands(spark.read.parquet(f"{sf}/documents.parquet").join(good, "doc_id", "left_semi"), slack=0.0)
+    assert "Latin" in fitted
+    for script, band in fitted.items():
+        fixed = tokenizer_quality.BANDS[script]
+        assert fixed.least_chars <= band.least_chars and fixed.most_chars >= band.most_chars and fixed.most_bytes >= band.most_bytes
+        assert fixed.least_entropy <= band.least_entropy and fixed.least_chars_2 <= band.least_chars_2
+
+
 def test_script_bands(spark):
     plain = "The quick brown fox jumps over the lazy dog while many people watch from the other side of the river and talk about it. "
     noise = " ".join(f"{c}$$$%%%&&&" for c in "abcdefghijklmnopqrstuvwxyz")
@@ -565,6 +659,32 @@ def test_crf_recursions():
     assert np.allclose(toxicity.marginals(long, head, model.move), model.forward_backward(long, np.array([2000]))[0][:, 1])
 
 
+def test_document_scores_equal_brute_force():
+    """Marginals of each text on its own, all of them in the noisy-or."""
+    rng = np.random.default_rng(5)
+    vocabulary = {f"w{k}": k for k in range(1, 9)}
+    tagger = toxicity.Tagger(vocabulary, *(rng.normal(size=(9, 2)) for _ in range(3)), rng.normal(size=(toxicity.SHAPES, 2)), rng.normal(size=(2, 2)), 1.3, -0.4)
+    texts = [b"w1 w2 W3! ...", None, b"w4", b"", b"unknown w5 w5 w6", b"w1 w2 W3! ..."]
+    p, starts = toxicity.Scorer(tagger).marginals(texts)
+    scores = tagger.score(toxicity.Scorer(tagger).evidence(p, starts))
+    model = crf.Crf(1, 2)
+    model.move = tagger.move
+    for i, text in enumerate(texts):
+        words = (text or b"").split()
+        rows = [tagger.row(w) for w in words]
+        e = np.zeros((len(words), 2))
+        for k, (own, five, six, shape) in enumerate(rows):
+            e[k] = tagger.own[own] + tagger.own[five] + tagger.own[six] + tagger.shapes[shape]
+            if k:
+                e[k] += tagger.before[rows[k - 1][0]]
+            if k + 1 < len(rows):
+                e[k] += tagger.after[rows[k + 1][0]]
+        want = brute_marginals(model, e)[0][:, 1] if words else np.zeros(0)
+        assert np.allclose(p[starts[i] : starts[i + 1]], want)
+        x = min(max(1 - math.prod(1 - q * q for q in want), 1e-6), 1 - 1e-6)
+        assert abs(scores[i] - 1 / (1 + math.exp(-(1.3 * math.log(x / (1 - x)) - 0.4)))) < 1e-6
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     words = [f"w{k}" for k in range(300)]
