@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import U64, arrow_pass, as_bytes, components, mix, rows_of, small, steps, table, word64, word_hashes
+from strandline.llm.common import BROADCAST_ROWS, U64, arrow_pass, as_bytes, components, mix, rows_of, small, steps, table, word64, word_hashes
 
 #: Boundaries that the cost formula chooses among: this many sizes at which one more member may be left out.
 BOUNDARIES = 3
@@ -357,27 +357,38 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFram
     return arrow_pass(both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b", *others), run, f"a long, b long, far long{extra}")
 
 
-def class_texts(documents: DataFrame, classes: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, text): a text of each of the classes keys."""
-    wanted = table(documents.sparkSession, classes.join(keys, "key", "left_semi").select("key", "doc_id", "th"))
-    rows = documents.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
-    wanted = small(wanted).select("key", F.col("doc_id").alias("_id"), "th")
+def class_texts(documents: DataFrame, classes: DataFrame, keys: DataFrame, rows: int) -> DataFrame:
+    """(key, text): a text of each of the classes keys (rows of them at most, repeats included)."""
+    few = rows <= BROADCAST_ROWS
+    wanted = classes.join(F.broadcast(keys) if few else keys, "key", "left_semi").select("key", F.col("doc_id").alias("_id"), "th")
+    wanted = F.broadcast(wanted) if few else wanted
+    base = documents.select("doc_id", "text").withColumn("th", F.xxhash64("text"))
     # doc_id may be repeated or null: the text's hash tells which of its rows is meant.
-    found = rows.join(wanted, (rows["th"] == wanted["th"]) & rows["doc_id"].eqNullSafe(wanted["_id"]))
-    return found.select("key", "text").dropDuplicates(["key"])
+    found = base.join(wanted, (base["th"] == wanted["th"]) & base["doc_id"].eqNullSafe(wanted["_id"]))
+    return table(documents.sparkSession, found.select("key", "text").dropDuplicates(["key"]))
 
 
-def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class keys that link. texts: (key, text), one for each class.
+def verify(documents: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of class keys that link, as a table. pairs: a table.
 
     b's text travels to its centre a; a centre with many members is dealt over
     several salts, and members stream past the centre's set.
     """
-    salts = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / CENTRE_ROWS) + 1).alias("salts"))
-    centres = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).alias("salt"))
-    centres = centres.join(texts.withColumnRenamed("key", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    members = pairs.join(salts, "a").select("a", "b", F.pmod(F.hash("b"), F.col("salts")).cast("int").alias("salt"))
-    members = members.join(texts.withColumnRenamed("key", "b"), "b").select("a", "salt", "b", "text")
+    if not rows_of(pairs):
+        return pairs
+    both = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+    texts = class_texts(documents, classes, both, 2 * rows_of(pairs))
+    hint = F.broadcast if rows_of(pairs) <= BROADCAST_ROWS else (lambda df: df)
+    own = texts.withColumnRenamed("key", "a")
+    other = texts.withColumnRenamed("key", "b")
+    if rows_of(pairs) <= CENTRE_ROWS:
+        centres = own.join(hint(pairs.select("a")), "a", "left_semi").select("a", F.lit(0).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
+        members = other.join(hint(pairs.select("a", "b")), "b").select("a", F.lit(0).alias("salt"), "b", "text")
+    else:
+        salts = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / CENTRE_ROWS) + 1).cast("int").alias("salts"))
+        centres = own.join(hint(salts), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
+        dealt = pairs.join(hint(salts), "a").select("a", "b", F.pmod(F.hash("b"), "salts").cast("int").alias("salt"))
+        members = other.join(hint(dealt), "b").select("a", "salt", "b", "text")
     parted = centres.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches):
@@ -398,13 +409,12 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return arrow_pass(parted, run, "a long, b long")
+    return table(documents.sparkSession, arrow_pass(parted, run, "a long, b long"))
 
 
-def in_blocks(members: DataFrame, group: str, rows: int) -> DataFrame:
-    """members with i and j: each pair of blocks of about so many rows of a group meets once; side tells the block."""
-    blocks = members.groupBy(group).agg((F.floor((F.count(F.lit(1)) - 1) / rows) + 1).cast("int").alias("blocks"))
-    dealt = members.join(blocks, group).withColumn("block", F.pmod(F.hash("key", F.lit(9)), "blocks"))
+def in_blocks(members: DataFrame, count: str, rows: int) -> DataFrame:
+    """members with i and j: each pair of blocks of about so many rows of a group meets once; side tells the block. count: the group's size."""
+    dealt = members.withColumn("blocks", (F.floor((F.col(count) - 1) / rows) + 1).cast("int")).withColumn("block", F.pmod(F.hash("key", F.lit(9)), "blocks"))
     at = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     spread = dealt.select(*members.columns, "block", at)
     return spread.select(*members.columns, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side"))
@@ -518,12 +528,12 @@ class ListScan:
 
 
 def scan_lists(mixed: DataFrame, percent: int, everything: bool = False) -> DataFrame:
-    """mixed: (sig, key, root, n, bits). Pairs (a, b, far, whole, sig) of different components that share a list and may link.
+    """mixed: (sig, c, key, root, n, bits). Pairs (a, b, far, whole, sig) of different components that share a list and may link.
 
     Where whole is false, only the nearest partner of each member of the list came.
     """
     scan = ListScan(percent, everything)
-    return group_pass(in_blocks(mixed, "sig", LIST_ROWS), "sig", scan.rows, "a long, b long, far long, whole boolean, sig long", at_once=True)
+    return group_pass(in_blocks(mixed, "c", LIST_ROWS), "sig", scan.rows, "a long, b long, far long, whole boolean, sig long", at_once=True)
 
 
 def banded(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -531,77 +541,58 @@ def banded(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     width = np.log(max(1.25, 101 / percent))
     at = F.floor(F.log("n") / width)
     top = F.exp(at * width) * 100 / percent + 1
-    sized = members.join(classes.select("key", "n"), "key").select("sig", "key", "n", at.alias("at"), top.alias("top"))
+    sized = members.join(small(classes).select("key", "n"), "key").select("sig", "key", "n", at.alias("at"), top.alias("top"))
     places = F.array(F.struct(F.col("at").alias("band"), F.lit(True).alias("home")), F.struct(F.when(F.col("n") <= F.col("top"), F.col("at") - 1).alias("band"), F.lit(False).alias("home")))
     spread = sized.select("sig", "key", F.explode(places).alias("place")).where("place.band is not null")
     return spread.select(F.xxhash64("sig", "place.band").alias("sig"), "key", F.col("place.home").alias("home"))
 
 
-def mixed_lists(lists: DataFrame, root: DataFrame, classes: DataFrame) -> DataFrame:
-    """Members of the lists that hold several components, with what the scan needs."""
-    marked = lists.select("sig", "key").join(root.select(F.col("node").alias("key"), "root"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("root"))
+def mixed_lists(longer: DataFrame, root: DataFrame) -> DataFrame:
+    """Members of the lists that hold several components. longer: (sig, c, key, n, bits)."""
+    marked = longer.join(small(root), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = marked.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("sig")
-    return marked.join(mixed, "sig").join(classes.select("key", "n", "bits"), "key")
+    return marked.join(mixed, "sig", "left_semi")
 
 
-def merge_classes(spark: SparkSession, documents: DataFrame, lists: DataFrame, classes: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of the components of classes, and the texts that were read. lists: (sig, key, lead, c)."""
+def merge_classes(spark: SparkSession, documents: DataFrame, lists: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """(key, root) of the components of classes, a table. lists: (sig, key, lead, c)."""
     others = lists.where("key <> lead")
-    couples = others.where("c = 2").select(F.col("lead").alias("a"), F.col("key").alias("b"), F.lit(True).alias("couple")).distinct()
-    led = others.where("c > 2").groupBy("key", "lead").agg(F.count(F.lit(1)).alias("c"))
-    led = led.groupBy("key").agg(F.max_by("lead", F.struct("c", "lead")).alias("a")).select("a", F.col("key").alias("b"), F.lit(False).alias("couple"))
-    chosen = table(spark, likely_pairs(couples.unionByName(led), classes, percent).select("a", "b").distinct())
-    needed = table(spark, chosen.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    texts = table(spark, class_texts(documents, classes, needed))
-    links = table(spark, verify(chosen, texts, size, percent))
-    root, tried = table(spark, components(spark, links)), chosen
-    longer = table(spark, lists.where("c > 2").select("sig", "key"))
+    couples = others.where("c = 2").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    led = others.where("c > 2").groupBy("key").agg(F.max_by("lead", F.struct("c", "lead")).alias("a")).select("a", F.col("key").alias("b"))
+    chosen = table(spark, likely_pairs(couples.unionByName(led), classes, percent).select("a", "b"))
+    links = verify(documents, classes, chosen, size, percent)
+    root = table(spark, components(spark, links).withColumnRenamed("node", "key"))
+    longer = table(spark, lists.where("c > 2").select("sig", "c", "key").join(classes.select("key", "n", "bits"), "key"))
     last = False
     while not last:
-        mixed = table(spark, mixed_lists(longer, root, classes))
+        mixed = table(spark, mixed_lists(longer, root))
         if not rows_of(mixed):
             break
         scanned = table(spark, scan_lists(mixed, percent))
-        unsettled = table(spark, scanned.where("not whole").select("sig").distinct())
-        near = untried(scanned.groupBy("a", "b").agg(F.min("far").alias("far"), F.max("whole").alias("whole")), tried)
-        # Each class tries its nearest partner first where it has too many; a list that gave all its pairs is settled.
-        best = near.where("not whole").groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
-        best = table(spark, near.where("whole").select("a", "b").unionByName(best))
-        last = not rows_of(unsettled)
-        longer = longer.join(small(unsettled), "sig", "left_semi")
-        found, texts = verified(spark, documents, best, texts, classes, size, percent)
-        tried = tried.unionByName(best)
+        unsettled = scanned.where("not whole")
+        last = unsettled.isEmpty()
+        near = scanned.groupBy("a", "b").agg(F.min("far").alias("far"), F.max("whole").alias("whole"))
+        best = near.where("whole").select("a", "b")
+        if not last:
+            # Each class tries its nearest partner first where it has too many; a list that gave all its pairs is settled.
+            best = best.unionByName(near.where("not whole").groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b")))
+            longer = table(spark, longer.join(unsettled.select("sig"), "sig", "left_semi"))
+        found = verify(documents, classes, table(spark, best), size, percent)
         if not last and not rows_of(found):
             # The nearest ones merge nothing: all that is left.
-            mixed = mixed.join(small(unsettled), "sig", "left_semi")
-            best = table(spark, untried(scan_lists(mixed, percent, everything=True).select("a", "b").distinct(), tried))
-            found, texts = verified(spark, documents, best, texts, classes, size, percent)
+            rest = mixed.join(unsettled.select("sig"), "sig", "left_semi")
+            found = verify(documents, classes, table(spark, scan_lists(rest, percent, everything=True).select("a", "b").distinct()), size, percent)
             last = True
         if rows_of(found):
             links = table(spark, links.unionByName(found))
-            root = table(spark, components(spark, links))
-    return root, texts
-
-
-def untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
-    return pairs.join(tried, ["a", "b"], "left_anti")
-
-
-def verified(spark: SparkSession, documents: DataFrame, pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs that link, and texts with those that were missing."""
-    if not rows_of(pairs):
-        return pairs, texts
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(texts.select("key"), "key", "left_anti")
-    needed = table(spark, needed)
-    if rows_of(needed):
-        texts = texts.unionByName(table(spark, class_texts(documents, classes, needed)))
-    return table(spark, verify(pairs, texts, size, percent)), texts
+            root = table(spark, components(spark, links).withColumnRenamed("node", "key"))
+    return root
 
 
-def count_links(root: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def count_links(documents: DataFrame, classes: DataFrame, root: DataFrame, size: int, percent: int) -> DataFrame:
     """(key, n_links) of the classes in components of several. Counts leave the scan, pairs do not."""
     sizes = root.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    held = root.withColumnRenamed("node", "key").join(sizes, "root")
+    held = table(documents.sparkSession, root.join(sizes, "root"))
     couples = held.where("members = 2").select("key", F.lit(1).cast("long").alias("n_links"))
 
     def one(found: pa.Table):
@@ -629,7 +620,10 @@ def count_links(root: DataFrame, texts: DataFrame, size: int, percent: int) -> D
                 degree += linked
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(degree)], names=["key", "n_links"])
 
-    many = in_blocks(held.where("members > 2").select("root", "key"), "root", COMPONENT_ROWS).join(texts, "key")
+    crowd = held.where("members > 2")
+    texts = class_texts(documents, classes, crowd.select("key"), rows_of(held))
+    spread = in_blocks(crowd, "members", COMPONENT_ROWS)
+    many = texts.join(F.broadcast(spread) if rows_of(held) <= BROADCAST_ROWS // 16 else spread, "key").select("root", "i", "j", "side", "key", "text")
     counted = group_pass(many, "root", one, "key long, n_links long", at_once=False)
     return couples.unionByName(counted).groupBy("key").agg(F.sum("n_links").alias("n_links"))
 
@@ -662,14 +656,14 @@ def jaccard_join(documents: DataFrame, size: int = 3, percent: int = 90, boundar
     # Lists with the same members count as one.
     once = content.where("c > 1 and home").groupBy("c", "x", "y").agg(F.min("sig").alias("sig"), F.min("lead").alias("lead")).select("sig", "lead", "c")
     lists = table(spark, members.select("sig", "key").join(small(table(spark, once)), "sig"))
-    root, texts = merge_classes(spark, documents, lists, classes, size, percent)
+    root = merge_classes(spark, documents, lists, classes, size, percent)
     lows = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows"))
-    grouped = lows.join(root.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "low", "rows", F.coalesce("root", "key").alias("root"), F.col("root").isNotNull().alias("linked"))
+    grouped = lows.join(small(root), "key", "left").select("key", "low", "rows", F.coalesce("root", "key").alias("root"), F.col("root").isNotNull().alias("linked"))
     least = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
     # Only rows of repeated or linked classes differ from what they say of themselves.
     told = grouped.where("rows > 1 or linked").join(least, "root").select("key", "component_id")
     if counted:
-        told = told.join(table(spark, count_links(root, texts, size, percent)), "key", "left")
+        told = told.join(table(spark, count_links(documents, classes, root, size, percent)), "key", "left")
     told = table(spark, told)
     out = rows.join(small(told), "key", "left")
     n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if counted else []
