@@ -288,6 +288,21 @@ def blob_path(sha: Column, root: str = "files_ca") -> Column:
     return F.when(is_sha256(sha), F.concat_ws("/", F.lit(root), F.substring(sha, 1, 2), F.substring(sha, 3, 2), F.substring(sha, 5, 60)))
 
 
+def object_path(sha: Column, kind: str, extension: str) -> Column:
+    """objects/kind/ab/cd/hash and extension, null for anything that is no hash."""
+    return F.when(is_sha256(sha), F.concat(F.concat_ws("/", F.lit("objects"), F.lit(kind), F.substring(sha, 1, 2), F.substring(sha, 3, 2), sha), F.lit(extension)))
+
+
+def root_path(sha: Column) -> Column:
+    return F.when(is_sha256(sha), F.concat(F.concat_ws("/", F.lit("roots"), F.substring(sha, 1, 2), F.substring(sha, 3, 2), sha), F.lit(".json")))
+
+
+def shell_text(title: Column, subtitle: Column, landing: Column, theme_roots: Column) -> Column:
+    """Site titles; landing only if there is one, theme roots unquoted."""
+    lines = F.concat(F.array(F.concat(F.lit("title: "), yaml_quote(title)), F.concat(F.lit("subtitle: "), yaml_quote(subtitle))), F.filter(F.array(F.concat(F.lit("landing: "), yaml_quote(F.nullif(landing, F.lit(""))))), lambda x: x.isNotNull()))
+    return F.concat(F.array_join(F.concat(lines, F.transform(theme_roots, lambda r: F.concat(F.lit("theme_root: "), r))), "\n"), F.lit("\n"))
+
+
 def entry_name(rev_no: Column) -> Column:
     s = rev_no.cast("string")
     return F.concat(F.lit("r"), F.when(F.length(s) < 3, F.lpad(s, 3, "0")).otherwise(s), F.lit(".txt"))

@@ -118,7 +118,7 @@ def page_entries(catalog: DataFrame) -> DataFrame:
     stored = F.col("revisions_stored") > 0
     sha = F.when(stored, F.col("archive_sha256"))
     sha_of = F.col("archive_sha256")
-    archive = F.when(stored & X.is_sha256(sha_of), F.concat_ws("/", F.lit("objects/archives"), F.substring(sha_of, 1, 2), F.substring(sha_of, 3, 2), F.concat(sha_of, F.lit(".zst"))))
+    archive = F.when(stored, X.object_path(sha_of, "archives", ".zst"))
     entry = F.struct(
         F.col("page_id").cast("string").alias("id"), "slug", "title", "tags", "revisions_stored", "revisions_known", "max_rev",
         *(F.col(c).cast("string").alias(c) if c.endswith("by") else F.col(c) for c in ("created_by", "created_at", "updated_by", "updated_at")),

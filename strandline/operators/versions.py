@@ -67,7 +67,7 @@ class VersionedTable(_Log):
         return [(n, self.marker(n)) for n in self.numbers()]
 
     def read(self, version: int | None = None) -> DataFrame:
-        """One pinned version (the newest by default)."""
+        """One pinned version (the newest by default); an absent table is an error."""
         return self.spark.read.parquet(f"{self.path}/{self.marker(self.pinned(version))}")
 
     def commit(self, df: DataFrame, expected: int | None = None) -> int:

@@ -122,6 +122,8 @@ ORACLE |= {
     "f03_tags": "SELECT page_id, 'x' || page_id || ',y' AS tags FROM pages",
     "f05_theme_roots": "SELECT 'http://x.org/common--theme/base/css/style.css http://x.org/own.css' AS imports, 'http://x.org/own.css' AS roots",
     "f08_css_urls": "SELECT 'x.png y.svg' AS found",
+    "f09_resolve": r"""SELECT page_id, CASE WHEN d SIMILAR TO '[a-z]+://[^/]+' THEN d ELSE regexp_replace(d, '/[^/]+$', '') END || '/s/a.css' AS resolved
+      FROM (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '') AS d FROM pages)""",
     "f10_normalize": "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+', 0) || '/' AS clean FROM pages",
     "f13_page_source": "SELECT page_id, 'a <b>' || page_id AS source FROM pages",
     "f14_change_rows": "SELECT * FROM (VALUES ('alpha-1', 4::BIGINT, 1700000001::BIGINT, 77::BIGINT), ('draft:beta', 0, 1700000002, 88)) t(slug, rev_no, ts, author)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.functions import text as X
-from strandline.functions import urls
+from strandline.functions import trees, urls
 from strandline.operators import queue, repair, site_import
 from strandline.plans.catalog import NOW
 from strandline.sources import captured
@@ -130,6 +130,16 @@ def linked_roots(s, d):
     return urls_of.select("page_id", F.array_join(X.linked_theme_roots(F.col("urls"), F.lit("h.org")), " ").alias("roots"))
 
 
+def file_links(s, d):
+    """Links of a listing, once each, as canonical keys of the site's own host."""
+    k = F.col("page_id").cast("string")
+    html = F.concat(F.lit('<a href="/local--files/p%3Aq/'), k, F.lit('.jpg">1</a><a href="http://www.h.org/local--files/p:q/'), k, F.lit('.jpg#x">2</a><a href="/q">3</a><a href="https://h.org/local--files/z/'), k, F.lit('.png">4</a>'), F.coalesce("html", F.lit("")))
+    T.web_pages(s, d).select("page_id", html.alias("t")).createOrReplaceTempView("file_keys_input")
+    s.udtf.register("file_keys", trees.FileLinks)
+    found = s.sql("SELECT page_id, f.href FROM file_keys_input, LATERAL file_keys(t) f")
+    return found.select("page_id", urls.own_row_key(F.lit("h.org"), urls.resolve_url(F.lit("https://h.org/"), F.col("href"))).alias("path")).distinct()
+
+
 QUERIES = {
     "u10_repair_files": lambda s, d: _repaired(s, d, "files").select("path", "sha256", "status", "content_type"),
     "u10_repair_jobs": lambda s, d: _shown(_repaired(s, d, "jobs")),
@@ -150,6 +160,9 @@ QUERIES = {
     "s16_sources": sources,
     "s14_pages": captured_pages,
     "f26_linked_theme_roots": linked_roots,
+    "f16_file_keys": file_links,
+    "f38_shell_text": lambda s, d: T.pages(s, d).select("page_id", X.shell_text(F.concat(F.lit('a"'), "title"), F.lit("x\ny"), F.when(F.col("page_id") % 3 == 0, F.col("slug")).when(F.col("page_id") % 3 == 1, F.lit("")), F.when(F.col("page_id") % 2 == 0, F.array(F.lit("r1"), F.col("slug"))).otherwise(F.array().cast("array<string>"))).alias("shell")),
+    "p13_object_paths": lambda s, d: T.out_state(s, d).select("page_id", X.object_path(F.col("archive_sha256"), "archives", ".zst").alias("archive"), X.root_path(F.col("archive_sha256")).alias("root")),
 }
 
 R, P, FI, J = (T.SQL[k] for k in ("revisions", "pages", "files", "jobs"))
@@ -202,6 +215,10 @@ ORACLE = {
     "s18_versions": f"SELECT page_id::VARCHAR AS slug, rev_no, coalesce(content, '') AS content FROM {R}",
     "s18_files": f"SELECT slug, 'https://h.org/local--files/' || slug || '/' || CASE i WHEN 0 THEN 'a:b.png' ELSE 'n' || page_id || '.png' END AS path FROM {P}, (VALUES (0), (1)) t(i)",
     "s16_sources": f"SELECT rev_id, CASE WHEN rev_no % 3 <> 0 THEN 's' || rev_no || chr(10) || 't' END AS content, CASE WHEN rev_no % 3 = 0 THEN 'no_permission' END AS refused FROM {R}",
+    "f16_file_keys": "SELECT page_id, 'https://h.org/local--files/' || CASE i WHEN 0 THEN 'p:q/' || page_id || '.jpg' ELSE 'z/' || page_id || '.png' END AS path FROM pages, (VALUES (0), (1)) t(i)",
+    "f38_shell_text": f"""SELECT page_id, 'title: "a' || chr(92) || '"' || title || '"' || chr(10) || 'subtitle: "x' || chr(92) || 'ny"' || chr(10) || CASE WHEN page_id % 3 = 0 THEN 'landing: "' || slug || '"' || chr(10) ELSE '' END
+      || CASE WHEN page_id % 2 = 0 THEN 'theme_root: r1' || chr(10) || 'theme_root: ' || slug || chr(10) ELSE '' END AS shell FROM {P}""",
+    "p13_object_paths": f"SELECT page_id, 'objects/archives/' || substr(archive_sha256, 1, 2) || '/' || substr(archive_sha256, 3, 2) || '/' || archive_sha256 || '.zst' AS archive, 'roots/' || substr(archive_sha256, 1, 2) || '/' || substr(archive_sha256, 3, 2) || '/' || archive_sha256 || '.json' AS root FROM {T.SQL['out_state']}",
     "s14_pages": "SELECT page_id, 'P' || page_id AS title, 'x,y' AS tags, '<script>' AS begins FROM pages",
     "f26_linked_theme_roots": "SELECT page_id, 'https://h.org/local--files/t/' || page_id || '.css https://cdn.example.net/' || page_id || '.css?v=2' AS roots FROM pages",
 }

@@ -22,7 +22,10 @@ def sharded_journals(spark: SparkSession, root: str) -> DataFrame:
 
 
 def revision_files(spark: SparkSession, root: str) -> DataFrame:
-    """Frontmatter of every r*.txt under root."""
+    """Frontmatter of every r*.txt under root; none if there is no such folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "rel string, raw string").select("rel", X.frontmatter(F.col("raw")).alias("f"), "raw")
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="r*.txt")
     return files.select(_relative(root).alias("rel"), X.frontmatter(F.col("value")).alias("f"), F.col("value").alias("raw"))
 
@@ -78,22 +81,32 @@ def load_config(text: str) -> dict:
 
 
 class _LinkReader(DataSourceReader):
-    def __init__(self, root: str, parts: int):
-        self.root, self.parts = root, parts
+    """A partition reads the links of one folder, or the whole tree under a folder of the second level."""
+
+    def __init__(self, root: str):
+        self.root = root
 
     def partitions(self):
-        return [InputPartition(i) for i in range(self.parts)]
+        import os
+
+        found = [("", False)]
+        if os.path.isdir(self.root):
+            for one in sorted(e.name for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False)):
+                found.append((one, False))
+                found += [(os.path.join(one, e.name), True) for e in os.scandir(os.path.join(self.root, one)) if e.is_dir(follow_symlinks=False)]
+        return [InputPartition(x) for x in found]
 
     def read(self, partition):
         import os
-        import zlib
 
-        for folder, _, names in os.walk(self.root):
-            for name in sorted(names):
+        top, deep = partition.value
+        for folder, below, names in os.walk(os.path.join(self.root, top)):
+            for name in sorted([*names, *below]):
                 path = os.path.join(folder, name)
-                relative = os.path.relpath(path, self.root)
-                if os.path.islink(path) and zlib.crc32(relative.encode()) % self.parts == partition.value:
-                    yield relative, os.readlink(path)
+                if os.path.islink(path):
+                    yield os.path.relpath(path, self.root), os.readlink(path)
+            if not deep:
+                break
 
 
 class SymlinkTree(DataSource):
@@ -107,7 +120,7 @@ class SymlinkTree(DataSource):
         return "link string, target string"
 
     def reader(self, schema):
-        return _LinkReader(self.options["path"], int(self.options.get("partitions", "8")))
+        return _LinkReader(self.options["path"])
 
 
 def symlink_blobs(spark: SparkSession, root: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Streaming forms: change discovery, keyed upserts and host health.
 
-Every sink is foreachBatch into a VersionedTable; a batch that is replayed
-after a failure finds its id in the table and writes nothing.
+Every sink is foreachBatch into a versioned state; a batch that is replayed
+after a failure finds its number in the newest commit and writes nothing.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import merge as M
-from strandline.operators.versions import VersionedTable
+from strandline.operators.versions import VersionedSite
 
 #: How long a host stays marked, in seconds.
 GONE_S, UNREACHABLE_S = 30 * 86_400, 30 * 60
@@ -24,25 +24,41 @@ def feed_stream(spark: SparkSession, path: str, files_per_batch: int = 50) -> Da
     return spark.readStream.schema(FEED).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def upsert_stream(stream: DataFrame, table: VersionedTable, keys: list[str], order: Column, rules: dict[str, Callable], checkpoint: str):
-    """Keep one row a key, merged by rules; within a batch the last by order wins. Returns the running query."""
+def upsert_stream(stream: DataFrame, state: VersionedSite, keys: list[str], order: Column, rules: dict[str, Callable], checkpoint: str, buckets: int = 8):
+    """Keep one row a key, merged by rules; within a batch the last by order wins. Returns the running query.
+
+    The state lies in buckets of the key's hash, a table each: a batch rewrites those it touches, in one
+    commit whose note is the batch's number. A batch that is replayed finds its number there.
+    """
     columns = stream.columns
 
     def merge_batch(batch: DataFrame, batch_id: int) -> None:
-        row = F.struct(*columns)
-        delta = batch.groupBy(*keys).agg(F.max_by(row, order).alias("r")).select("r.*")
-        if not table.versions():
-            table.commit(delta.withColumn("_batch", F.lit(batch_id).cast("long")))
-            return
-        state = table.read()
-        if state.agg(F.max("_batch")).first()[0] is not None and state.agg(F.max("_batch")).first()[0] >= batch_id:
+        known = state.numbers()
+        if known and int(state.note()) >= batch_id:
             return
-        new = M.upsert(state, delta.withColumn("_batch", F.lit(batch_id).cast("long")), keys, rules | {"_batch": M.keep_new})
-        table.commit(new)
+        delta = batch.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("r")).select("r.*").withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).persist()
+        old = state.tables() if known else {}
+        touched = sorted(r["_bucket"] for r in delta.select("_bucket").distinct().collect())  # at most as many as buckets
+        changed = {}
+        for k in touched:
+            own = delta.where(F.col("_bucket") == k).drop("_bucket")
+            changed[f"bucket{k}"] = M.upsert(old[f"bucket{k}"], own, keys, rules) if f"bucket{k}" in old else own
+        if changed:
+            state.commit(changed, note=str(batch_id))
+        delta.unpersist()
 
     return stream.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_state(state: VersionedSite) -> DataFrame:
+    """All buckets of one pinned version."""
+    tables = list(state.tables().values())
+    out = tables[0]
+    for other in tables[1:]:
+        out = out.unionByName(other)
+    return out
+
+
 def newest_wins(old: Column, new: Column) -> Column:
     return F.greatest(old, new)
 
