@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text as X
 from strandline.functions import urls
-from strandline.session import checkpoint_root
+from strandline.session import checkpoint_root, written
+
+
+#: Rows of one hop that the next one broadcasts (about 100 bytes each).
+BROADCAST_FRONTIER = 1 << 17
+SEEN = "url string, key string, depth int, kind string"
 
 
 def crawl(roots: DataFrame, edges: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -18,41 +23,42 @@ def crawl(roots: DataFrame, edges: DataFrame, documents: DataFrame) -> tuple[Dat
     roots: url. edges: src, dst, kind ('import' or 'asset'). documents: url,
     binary. A url without a document has kind 'failed'; a binary one is not
     descended. Two spellings of one document (fragments, host case, default
-    ports) are one: what is seen is compared by normalised URL. Each hop joins
-    the frontier with the edges, drops what was seen and appends one table in
-    the shared folder, so a hop writes its own rows only.
+    ports) are one: what is seen is compared by normalised URL, which is made
+    once. Each hop joins the frontier with the edges, drops what was seen and
+    appends one table in the shared folder, so a hop writes its own rows only.
     """
     spark = roots.sparkSession
     folder = f"{checkpoint_root(spark)}/strandline-crawl-{uuid.uuid4().hex}"
-    known = documents.select(urls.normalize_url(F.col("url")).alias("key"), "binary").dropDuplicates(["key"])
-    imports = edges.where("kind = 'import'").select(urls.normalize_url(F.col("src")).alias("src"), "dst")
-
-    def visit(found: DataFrame, depth: int) -> DataFrame:
-        """One spelling of each document; written as the hop's table."""
-        keyed = found.select("url", urls.normalize_url(F.col("url")).alias("key")).groupBy("key").agg(F.min("url").alias("url"))
-        fresh = keyed.join(seen(depth).select("key"), "key", "left_anti") if depth else keyed
+    keyed = edges.select(urls.normalize_url(F.col("src")).alias("src"), "dst", urls.normalize_url(F.col("dst")).alias("key"), "kind")
+    keyed, _ = written(keyed, f"{folder}/edges")
+    judged = documents.select(urls.normalize_url(F.col("url")).alias("key"), "binary").groupBy("key").agg(F.min("binary").alias("binary"))
+    known, _ = written(judged, f"{folder}/documents")
+    imports = keyed.where("kind = 'import'")
+
+    def visit(found: DataFrame, depth: int) -> tuple[DataFrame, int]:
+        """One spelling of each document that is new; the hop's table and its rows."""
+        fresh = found.groupBy("key").agg(F.min("url").alias("url"))
+        fresh = fresh.join(seen(depth).select("key"), "key", "left_anti") if depth else fresh
         kind = F.when(F.col("binary").isNull(), F.lit("failed")).when(F.col("binary"), F.lit("binary")).otherwise(F.lit("css"))
-        fresh.join(known, "key", "left").select("url", "key", F.lit(depth).alias("depth"), kind.alias("kind")).write.parquet(f"{folder}/{depth}")
-        return spark.read.schema(SEEN).parquet(f"{folder}/{depth}")
+        return written(fresh.join(known, "key", "left").select("url", "key", F.lit(depth).alias("depth"), kind.alias("kind")), f"{folder}/{depth}")
 
     def seen(depth: int) -> DataFrame:
         return spark.read.schema(SEEN).parquet(*(f"{folder}/{k}" for k in range(depth)))
 
-    frontier, depth = visit(roots.select("url"), 0), 0
-    while not frontier.isEmpty():
+    depth = 0
+    frontier, rows = visit(roots.select("url", urls.normalize_url(F.col("url")).alias("key")), 0)
+    while rows:
         depth += 1
-        step = frontier.where("kind = 'css'").select(F.col("key").alias("src")).join(imports, "src").select(F.col("dst").alias("url")).distinct()
-        frontier = visit(step, depth)
+        reached = frontier.where("kind = 'css'").select(F.col("key").alias("src"))
+        step = imports.join(F.broadcast(reached) if rows <= BROADCAST_FRONTIER else reached, "src", "left_semi")
+        frontier, rows = visit(step.select("key", F.col("dst").alias("url")), depth)
     visited = seen(depth + 1)
     reached = visited.where("kind = 'css'").select(F.col("key").alias("src"))
-    wanted = edges.where("kind = 'asset'").select(urls.normalize_url(F.col("src")).alias("src"), "dst").join(reached, "src", "left_semi")
+    wanted = keyed.where("kind = 'asset'").select("src", "dst").join(reached, "src", "left_semi")
     assets = wanted.join(imports.select("src", "dst"), ["src", "dst"], "left_anti")
     return visited.select("url", "depth", "kind"), assets.select(F.col("dst").alias("url")).distinct()
 
 
-SEEN = "url string, key string, depth int, kind string"
-
-
 def document_edges(documents: DataFrame) -> DataFrame:
     """src, dst, kind of what stylesheets (url, css) import and reference, each resolved against its own document."""
     read = documents.where("css is not null")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that suit any cluster; sizes (memory, partitions) stay with the deployer.
 DEFAULTS = {
@@ -45,6 +46,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return path
 
 
+def written(df, path: str):
+    """df written to path and read back, and its rows, counted on the way."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
+
+
 def cut_lineage(df, eager: bool = True):
     """checkpoint() into the shared folder."""
     spark = df.sparkSession
