@@ -137,8 +137,9 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.to_pylist()
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of about STEP_BYTES of text; a longer text comes alone."""
+def steps(batches: Iterator[pa.RecordBatch], text: str = "text", size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of about size (STEP_BYTES) bytes of text; a longer text comes alone."""
+    size = size or STEP_BYTES
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -147,7 +148,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + STEP_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -179,11 +180,11 @@ def arrow_pass(df: DataFrame, run: Callable, schema: str | StructType) -> DataFr
     return df.mapInArrow(trimmed, schema)
 
 
-def text_pass(df: DataFrame, function: Callable, schema: str | StructType, done: Callable[[], None] | None = None) -> DataFrame:
-    """mapInArrow over text steps; function maps a RecordBatch to RecordBatches. done: drops what function remembers, at a task's end."""
+def text_pass(df: DataFrame, function: Callable, schema: str | StructType, done: Callable[[], None] | None = None, size: int | None = None) -> DataFrame:
+    """mapInArrow over text steps of size bytes; function maps a RecordBatch to RecordBatches. done: drops what function remembers, at a task's end."""
 
     def run(batches):
-        for step in steps(batches):
+        for step in steps(batches, size=size):
             yield from function(step)
         if done is not None:
             done()

@@ -109,6 +109,7 @@ class Lattice:
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
+        self.limit = CHUNKS
         self.unknown: dict[str, int] = {}
         self.unknown_ids: list[list[int]] = []
         self.clear()
@@ -139,7 +140,7 @@ class Lattice:
 
     def nodes(self, whole: str, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The first node of each chunk; chunks are known by their hashes."""
-        if len(self.node_of) > CHUNKS:
+        if len(self.node_of) > self.limit:
             self.clear()
         distinct, place, member = np.unique(hashes, return_index=True, return_inverse=True)
         known, names = self.node_of, distinct.tolist()
@@ -467,10 +468,15 @@ def nested(found: list[list[tuple] | None]) -> pa.ListArray:
     return pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, values), mask=pa.array([rows is None for rows in found]))
 
 
-def sample_digest(documents: DataFrame, k: int = SAMPLES, seed: int = SEED, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
-    """doc_id and, for each sample in turn, its size, scores, SHA-256 of its ids, and whether all decode to the text; with_ids: the ids too."""
+def sample_digest(documents: DataFrame, k: int = SAMPLES, seed: int = SEED, vocabulary: str = VOCABULARY, with_ids: bool = False, remembered: int = CHUNKS, step_bytes: int | None = None) -> DataFrame:
+    """doc_id and, for each sample in turn, its size, scores, SHA-256 of its ids, and whether all decode to the text; with_ids: the ids too.
+
+    remembered and step_bytes: chunks that a worker remembers and bytes of text that it takes at a time; less
+    memory, more time.
+    """
 
     def one(step):
+        lattice_of(vocabulary).limit = remembered
         lattice, found = _sampled(step, vocabulary, k, seed)
         columns: list[list] = [[] for _ in range(7)]
         for text, rows in zip(as_bytes(step.column("text")), found, strict=True):
@@ -486,7 +492,7 @@ def sample_digest(documents: DataFrame, k: int = SAMPLES, seed: int = SEED, voca
         extra = [nested(found)] if with_ids else []
         yield pa.RecordBatch.from_arrays([step.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *extra], names=["doc_id", *names, *(["ids"] if with_ids else [])])
 
-    return text_pass(documents.select("doc_id", "text"), one, "doc_id long, n_samples long, n_pieces array<long>, log_prob array<double>, perturbed array<double>, log_inclusion array<double>, ids_sha256 array<string>, round_trip boolean" + ", ids array<array<int>>" * with_ids, forget(vocabulary))
+    return text_pass(documents.select("doc_id", "text"), one, "doc_id long, n_samples long, n_pieces array<long>, log_prob array<double>, perturbed array<double>, log_inclusion array<double>, ids_sha256 array<string>, round_trip boolean" + ", ids array<array<int>>" * with_ids, forget(vocabulary), step_bytes)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
