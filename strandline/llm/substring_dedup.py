@@ -237,14 +237,14 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     settled = rows.where("anchor is null").select("doc_id", "th", "lo", "hi")
     open_rows = rows.where("anchor is not null")
     shared = open_rows.groupBy("anchor").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p < q").select("anchor")
-    # Anchors and blocks are made distinct before they meet their rows: a hot one is one row on that side.
-    met = table(spark, open_rows.join(small(table(spark, shared)), "anchor"))
+    # Anchors and blocks are made distinct, and written, before they meet their rows: a hot one is one row on that
+    # side, and both sides are plain exchanges, so that the other can be split.
+    met = table(spark, open_rows.join(table(spark, shared), "anchor"))
     blocks = table(spark, met.groupBy("anchor", "block").agg(F.min("doc_id").alias("first")))
     several = table(spark, blocks.groupBy("anchor").agg(F.min("block").alias("p"), F.max("block").alias("q")).where("p <> q").select("anchor"))
-    firsts = blocks.select("block", "first")
-    judged = met.join(F.broadcast(firsts) if rows_of(blocks) <= BROADCAST_ROWS else firsts, "block")
+    judged = met.join(blocks.select("block", "first"), "block")
     whole = judged.where("first < doc_id").select("doc_id", "th", "lo", "hi")
-    edges = judged.where("first >= doc_id").join(small(several), "anchor").groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    edges = judged.where("first >= doc_id").join(several, "anchor").groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     edges = table(spark, edges)
     texts = semi_join(documents.select("doc_id", "text"), table(spark, edges.select("doc_id").distinct()), "doc_id").withColumn("th", hash_column("text"))
     single = judged_windows(texts.join(edges, ["doc_id", "th"]), edges, window, REFERENCE_WORDS if reference_words is None else reference_words)
