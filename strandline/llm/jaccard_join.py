@@ -62,7 +62,7 @@ SHORT_LIST = 16
 #: Possible pairs for each member of two blocks up to which all of them are verified at once.
 FEW = 2
 #: Texts and classes that a task remembers to pass over their repeats.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 def shingle_sets(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -650,7 +650,8 @@ def jaccard_join(documents: DataFrame, size: int = 3, percent: int = 90, boundar
     shared = spark.sparkContext.broadcast((tokens, counts))
     entries = table(spark, entry_pass(documents, size, Plan(percent, boundary), shared))
     met = entries.groupBy("sig").agg(F.min("key").alias("p"), F.max("key").alias("q"), F.max("early").alias("early")).where("p < q and early").select("sig")
-    members = table(spark, entries.select("sig", "key").join(small(table(spark, met)), "sig").distinct())
+    # Never broadcast: it is the largest of these tables, and a shuffle costs the same at every size.
+    members = table(spark, entries.select("sig", "key").join(table(spark, met).hint("merge"), "sig").distinct())
     members = table(spark, banded(members, classes, percent))
     content = members.groupBy("sig").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("c"), F.max("home").alias("home"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
     # Lists with the same members count as one.
