@@ -16,7 +16,6 @@ one item; repeated documents each get a result row.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
