@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("jaccard_join", "substring_dedup", "decontamination", "language_id", "piece_sampling", "sharding", "chat_format", "tokenizer_quality", "toxicity", "html_extraction")
+MODULES = ("jaccard_join", "substring_dedup", "decontamination", "language_id", "piece_sampling", "sharding", "chat_format", "tokenizer_quality", "toxicity", "html_extraction", "lexical_search", "secret_scan", "merkle_manifest")
 
 
 def _gather(attribute: str) -> dict:
