@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import text as X
 from strandline.functions import urls
-from strandline.session import checkpoint_root, written
+from strandline.session import shared_folder, written
 
 
 #: Rows of one hop that the next one broadcasts (about 100 bytes each).
@@ -28,7 +26,7 @@ def crawl(roots: DataFrame, edges: DataFrame, documents: DataFrame) -> tuple[Dat
     appends one table in the shared folder, so a hop writes its own rows only.
     """
     spark = roots.sparkSession
-    folder = f"{checkpoint_root(spark)}/strandline-crawl-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "crawl")
     keyed = edges.select(urls.normalize_url(F.col("src")).alias("src"), "dst", urls.normalize_url(F.col("dst")).alias("key"), "kind")
     keyed, _ = written(keyed, f"{folder}/edges")
     judged = documents.select(urls.normalize_url(F.col("url")).alias("key"), "binary").groupBy("key").agg(F.min("binary").alias("binary"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import uuid
 
 from pyspark.sql import Observation, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,37 @@ def checkpoint_root(spark: SparkSession) -> str:
     return path
 
 
+#: Folders that operators wrote under the shared one, with their sessions.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """The name of a new folder under the shared one; drop_tables() deletes it."""
+    path = f"{checkpoint_root(spark)}/strandline-{what}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of shared_folder(), once nothing reads it any more."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
+    _WRITTEN.pop(path, None)
+
+
+def drop_tables() -> None:
+    """Delete all folders that operators wrote: when their results are stored, and at the process's end."""
+    for path, spark in list(_WRITTEN.items()):
+        _WRITTEN.pop(path, None)
+        try:
+            drop_folder(spark, path)
+        except Exception:  # the session is gone; its deployer clears the folder
+            break
+
+
+atexit.register(drop_tables)
+
+
 def written(df, path: str):
     """df written to path and read back, and its rows, counted on the way."""
     seen = Observation()
