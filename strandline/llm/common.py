@@ -6,10 +6,8 @@ Texts are handled as UTF-8 bytes. ``bytes.split()`` cuts at exactly
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -20,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from strandline.session import checkpoint_root
+from strandline.session import drop_folder, drop_tables, shared_folder  # noqa: F401
 
 #: Bytes of text that one step of a Python pass holds as word objects.
 STEP_BYTES = 1_000_000
@@ -98,19 +96,34 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+@lru_cache(maxsize=4)
+def multipliers(n: int) -> np.ndarray:
+    """n odd numbers of 64 bits that are unlike each other's powers: one a place of a run."""
+    return mix(np.arange(1, n + 1, dtype=U64) * word64(0xD6E8FEB86659FD93)) | U64(1)
+
+
 def run_hashes(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run [first, end) of values; the runs are in order and do not overlap."""
+    """A 64-bit hash of each run [first, end) of values; the runs are in order and do not overlap.
+
+    A sum of the values, each times a number of its place in the run. (Powers of one base would not do: modulo
+    2**64 they give two words of 1,024 characters, a Thue-Morse word and its complement, one hash.)
+    """
     out = np.zeros(len(first), U64)
     k = 0
     while k < len(first):
         base = int(first[k])
         stop = max(k + 1, int(np.searchsorted(end, base + SEGMENT, "right")))
         length = int(end[stop - 1]) - base
-        forward, inverse = powers(1 << max(10, length.bit_length()))
-        prefix = np.zeros(length + 1, U64)
-        np.cumsum(values[base : base + length] * forward[:length], out=prefix[1:], dtype=U64)
         lo, hi = first[k:stop] - base, end[k:stop] - base
-        out[k:stop] = mix((prefix[hi] - prefix[lo]) * inverse[lo] + (hi - lo).astype(U64))
+        begins = np.zeros(length, np.int64)
+        begins[lo] = lo
+        place = np.arange(length) - np.maximum.accumulate(begins)
+        longest = int((hi - lo).max(initial=1))
+        factors = multipliers(1 << max(10, longest.bit_length()))
+        prefix = np.zeros(length + 1, U64)
+        # Between runs places go on beyond any run's; what stands there is in no difference below.
+        np.cumsum(values[base : base + length] * factors[np.minimum(place, len(factors) - 1)], out=prefix[1:], dtype=U64)
+        out[k:stop] = mix(prefix[hi] - prefix[lo] + (hi - lo).astype(U64) * word64(0x9E3779B97F4A7C15))
         k = stop
     return out
 
@@ -202,41 +215,19 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in df.columns))
 
 
-#: Folders that table() wrote, with their sessions.
-_WRITTEN: dict[str, SparkSession] = {}
-
-
 def table(spark: SparkSession, df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends here. Its rows are counted on the way."""
-    path = f"{checkpoint_root(spark)}/strandline-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "table")
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.rows_written, out.written_path = seen.get["rows"], path
-    _WRITTEN[path] = spark
     return out
 
 
 def drop_table(written: DataFrame) -> None:
     """Delete what table() wrote, once nothing reads it any more."""
-    spark = written.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written.written_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    _WRITTEN.pop(written.written_path, None)
-
-
-def drop_tables() -> None:
-    """Delete all tables that this process wrote: when its results are stored, and at its end."""
-    for path, spark in list(_WRITTEN.items()):
-        _WRITTEN.pop(path, None)
-        try:
-            name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(name, True)
-        except Exception:  # the session is gone; its deployer clears the folder
-            break
-
-
-atexit.register(drop_tables)
+    drop_folder(written.sparkSession, written.written_path)
 
 
 def rows_of(written: DataFrame) -> int:

@@ -21,14 +21,12 @@ must be of types that can be grouped by (no maps).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from strandline.llm.common import rows_of, small, table
-from strandline.session import checkpoint_root
+from strandline.llm.common import rows_of, small, table, whole_row
+from strandline.session import shared_folder
 
 SHARDS = 16
 BUCKET_BYTES = 8 << 20
@@ -45,16 +43,16 @@ def rendezvous(key: Column, shards: int) -> Column:
     return F.array_max(weights)["s"]
 
 
-def doc_key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+def doc_key(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.lit("null"))
 
 
-def text_crc() -> Column:
-    return F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+def text_crc(text: Column) -> Column:
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def text_size() -> Column:
-    return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+def text_size(text: Column) -> Column:
+    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
 def whole_hash(documents: DataFrame) -> Column:
@@ -62,18 +60,17 @@ def whole_hash(documents: DataFrame) -> Column:
 
 
 def numbered(documents: DataFrame) -> DataFrame:
-    """documents with _copy: 0, and 1, 2, ... for further rows that are equal in all columns."""
+    """(row, copy): documents' rows as structs; copy is 0, and 1, 2, ... for further rows that are equal in all columns."""
     spark = documents.sparkSession
-    hashed = documents.select(whole_hash(documents).alias("_whole"))
-    repeats = table(spark, hashed.groupBy("_whole").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_whole"))
+    rows = documents.select(whole_hash(documents).alias("whole"), whole_row(documents).alias("row"))
+    repeats = table(spark, rows.groupBy("whole").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("whole"))
+    none = F.lit(0).cast("long").alias("copy")
     if not rows_of(repeats):
-        return documents.withColumn("_copy", F.lit(0).cast("long"))
-    marked = documents.withColumn("_whole", whole_hash(documents))
-    alone = marked.join(small(repeats), "_whole", "left_anti").select(*(F.col(f"`{c}`") for c in documents.columns), F.lit(0).cast("long").alias("_copy"))
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    counted = marked.join(small(repeats), "_whole", "left_semi").groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    blocks = counted.select(*columns, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {COPIES}"))).alias("_block")).repartition("_block", F.xxhash64(*columns))
-    copies = blocks.select(*columns, F.explode(F.sequence(F.col("_block") * COPIES, F.least(F.col("_n"), (F.col("_block") + 1) * COPIES) - 1)).alias("_copy"))
+        return rows.select("row", none)
+    alone = rows.join(small(repeats), "whole", "left_anti").select("row", none)
+    counted = rows.join(small(repeats), "whole", "left_semi").groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    blocks = counted.select("row", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {COPIES}"))).alias("block")).repartition("block", F.xxhash64("row"))
+    copies = blocks.select("row", F.explode(F.sequence(F.col("block") * COPIES, F.least(F.col("n"), (F.col("block") + 1) * COPIES) - 1)).alias("copy"))
     return alone.unionByName(copies)
 
 
@@ -87,47 +84,53 @@ def bucket_offsets(counts: DataFrame) -> DataFrame:
     return inner.join(upper, ["_shard", "_group"]).select("_shard", "_bucket", (F.col("_start") + F.col("_within")).alias("_offset"))
 
 
-def external_shuffle(documents: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """All columns of documents, and _size, _crc, _shard, _slot, _grown: the shuffled order inside each shard."""
-    key = doc_key()
-    whole = whole_hash(documents)
-    total = documents.agg(F.sum(text_size())).first()[0] or 0
+def shuffled(documents: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(row, _size, _crc, _shard, _slot, _grown): documents' rows as structs in the shuffled order inside each shard."""
+    key = doc_key(F.col("row.doc_id"))
+    total = documents.agg(F.sum(text_size(F.col("text")))).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
-    sized = numbered(documents).withColumns({"_size": text_size(), "_crc": text_crc(), "_shard": rendezvous(key, shards), "_grown": rendezvous(key, shards + 1), "_order": F.xxhash64(whole, "_copy", F.lit(seed))})
+    text = F.col("row.text")
+    order = F.xxhash64(F.xxhash64(*(F.col(f"row.`{c}`") for c in documents.columns)), "copy", F.lit(seed))
+    sized = numbered(documents).withColumns({"_size": text_size(text), "_crc": text_crc(text), "_shard": rendezvous(key, shards), "_grown": rendezvous(key, shards + 1), "_order": order})
     placed = sized.withColumn("_bucket", F.pmod(F.xxhash64("_order", F.lit(seed)), F.lit(buckets)).cast("int"))
     # Offsets come from hashes alone; no text is read for them twice.
     offsets = bucket_offsets(placed.groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("_n")))
-    record = F.struct("_order", "_copy", *(F.col(f"`{c}`") for c in documents.columns), "_size", "_crc", "_shard", "_grown")
+    record = F.struct("_order", "copy", "row", "_size", "_crc", "_shard", "_grown")
     # The generator behind shuffle() runs through a partition's rows: with a fixed number of
     # partitions, and both the rows and the records in them sorted, every run gives the same order.
     dealt = placed.repartition(shards * buckets, "_shard", "_bucket")
     gathered = dealt.groupBy("_shard", "_bucket").agg(F.collect_list(record).alias("_rows"))
-    ordered = F.array_sort("_rows", lambda a, b: F.when(a["_order"] < b["_order"], -1).when(a["_order"] > b["_order"], 1).when(a["_copy"] < b["_copy"], -1).when(a["_copy"] > b["_copy"], 1).otherwise(0))
+    ordered = F.array_sort("_rows", lambda a, b: F.when(a["_order"] < b["_order"], -1).when(a["_order"] > b["_order"], 1).when(a["copy"] < b["copy"], -1).when(a["copy"] > b["copy"], 1).otherwise(0))
     placed_rows = gathered.join(offsets, ["_shard", "_bucket"]).sortWithinPartitions("_shard", "_bucket")
     mixed = placed_rows.select("_offset", F.posexplode(F.shuffle(ordered, F.lit(seed))).alias("_at", "_row"))
-    return mixed.select("_row.*", (F.col("_offset") + F.col("_at")).cast("long").alias("_slot")).drop("_order", "_copy")
+    return mixed.select("_row.row", "_row._size", "_row._crc", "_row._shard", (F.col("_offset") + F.col("_at")).cast("long").alias("_slot"), "_row._grown")
+
+
+def external_shuffle(documents: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """shuffled() with documents' columns side by side, and _size, _crc, _shard, _slot, _grown instead of theirs of those names."""
+    own = ("_size", "_crc", "_shard", "_slot", "_grown")
+    return shuffled(documents, shards, seed, bucket_bytes).select(*(F.col(f"row.`{c}`").alias(c) for c in documents.columns if c not in own), *own)
 
 
 def write_shards(documents: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The shuffled records as Parquet, a folder a shard, in slot order within each file; read back with _shard and _slot."""
-    out = external_shuffle(documents, shards, seed, bucket_bytes)
-    rows = out.select(*(F.col(f"`{c}`") for c in documents.columns), "_shard", "_slot")
+    """The shuffled records as Parquet, a folder a shard, in slot order within each file; read back as row (a struct of documents' columns), _shard and _slot."""
+    rows = shuffled(documents, shards, seed, bucket_bytes).select("row", "_shard", "_slot")
     rows.sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
-    schema = StructType([*documents.schema.fields, StructField("_slot", LongType()), StructField("_shard", IntegerType())])
+    schema = StructType([StructField("row", documents.select(whole_row(documents).alias("row")).schema["row"].dataType), StructField("_slot", LongType()), StructField("_shard", IntegerType())])
     return documents.sparkSession.read.schema(schema).parquet(path)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    written = write_shards(documents, f"{checkpoint_root(spark)}/strandline-shards-{uuid.uuid4().hex}")
+    written = write_shards(documents, shared_folder(spark, "shards"))
     return written.select(
-        "doc_id",
-        text_size().alias("size"),
-        text_crc().alias("text_crc32"),
+        "row.doc_id",
+        text_size(F.col("row.text")).alias("size"),
+        text_crc(F.col("row.text")).alias("text_crc32"),
         F.lit("key").alias("law"),
         F.col("_shard").alias("shard"),
         F.col("_slot").alias("slot"),
-        rendezvous(doc_key(), SHARDS + 1).cast("int").alias("grown_shard"),
+        rendezvous(doc_key(F.col("row.doc_id")), SHARDS + 1).cast("int").alias("grown_shard"),
     )
 
 

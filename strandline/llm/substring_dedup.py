@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.automaton import SuffixAutomaton
-from strandline.llm.common import BROADCAST_ROWS, U64, arrow_pass, as_bytes, mix, powers, rows_of, semi_join, small, steps, table, text_pass, word64, word_hashes
+from strandline.llm.common import BROADCAST_ROWS, U64, arrow_pass, as_bytes, mix, powers, rows_of, semi_join, small, steps, table, text_pass, whole_row, word64, word_hashes
 
 WINDOW, GRAM = 50, 16
 #: Blocks that one task remembers to settle repeats among its own documents.
@@ -45,7 +46,10 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 class Rolling:
-    """Hashes of any run of words of one step, in constant time each."""
+    """Hashes of runs of up to 64 words of one step, in constant time each.
+
+    Powers modulo 2**64 are sound only for short runs: see LongRuns.
+    """
 
     def __init__(self, hashes: np.ndarray):
         size = 1 << max(10, int(len(hashes)).bit_length())
@@ -57,6 +61,38 @@ class Rolling:
         return mix((self.prefix[start + length] - self.prefix[start]) * self.inverse[start])
 
 
+@lru_cache(maxsize=4)
+def prime_powers(n: int, prime: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base to the powers 0 to n - 1 modulo prime, and their inverses."""
+    out = []
+    for b in (base, pow(base, -1, prime)):
+        p = np.ones(1, U64)
+        while len(p) < n:
+            p = np.concatenate([p, p * U64(pow(b, len(p), prime)) % U64(prime)])
+        out.append(p[:n])
+    return out[0], out[1]
+
+
+class LongRuns:
+    """Hashes of runs of any length: polynomials modulo two primes, which two different runs share once in 2**62."""
+
+    #: Primes under 2**31, so that products stay in 64 bits, and a base of each.
+    FIELDS = ((2_147_483_647, 1_103_527_590), (2_147_483_629, 1_566_083_941))
+
+    def __init__(self, hashes: np.ndarray):
+        size = 1 << max(10, int(len(hashes)).bit_length())
+        self.sums = []
+        for prime, base in self.FIELDS:
+            forward, inverse = prime_powers(size, prime, base)
+            prefix = np.zeros(len(hashes) + 1, U64)
+            np.cumsum(hashes % U64(prime) * forward[: len(hashes)] % U64(prime), out=prefix[1:], dtype=U64)
+            self.sums.append((U64(prime), prefix, inverse))
+
+    def runs(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        parts = [(prefix[start + length] - prefix[start]) % prime * inverse[start] % prime for prime, prefix, inverse in self.sums]
+        return mix((parts[0] << U64(32) | parts[1]) + length.astype(U64) * word64(0xD6E8FEB86659FD93))
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Least of each width values that follow each other."""
     out, reach = values, 1
@@ -90,7 +126,7 @@ def window_blocks(hashes: np.ndarray, starts: np.ndarray, window: int, gram: int
     last = np.append(first[1:], len(at)) - 1
     lo, hi = at[first], at[last]
     span = hi - lo + window
-    block = mix(roll.runs(lo, span) + span.astype(U64) * word64(0xD6E8FEB86659FD93))
+    block = LongRuns(hashes).runs(lo, span)
     return owner[first], lo - starts[owner[first]], hi - starts[owner[first]], least[first], block, roll
 
 
@@ -346,14 +382,17 @@ def keep_rest(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     spans = table(spark, repeated_spans(documents, window, gram))
     ids = table(spark, spans.select("doc_id").distinct())
     ids = small(ids)
-    same = documents.join(ids, "doc_id", "left_anti").select(documents.columns)
-    hit = documents.join(ids, "doc_id", "left_semi").withColumn("_th", hash_column("text"))
+    # The row rides as one struct: whatever its columns are called, they meet no name of the plan.
+    rows = documents.select("doc_id", "text", whole_row(documents).alias("_row"))
+    same = rows.join(ids, "doc_id", "left_anti").select("_row.*")
+    hit = rows.join(ids, "doc_id", "left_semi").withColumn("_th", hash_column("text"))
     hit = hit.join(spans.select("doc_id", F.col("th").alias("_th"), F.col("spans").alias("_spans")), ["doc_id", "_th"], "left")
     cut_text = cut_udf(window)("text", F.to_json("_spans"))
-    hit = hit.withColumn("text", cut_text).where("text is null or text <> ''")
+    hit = hit.select("_row", cut_text.alias("text")).where("text is null or text <> ''")
+    changed = {"text": F.col("text")}
     if "n_chars" in documents.columns:
-        hit = hit.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
-    return same.unionByName(hit.select(documents.columns))
+        changed["n_chars"] = F.char_length("text").cast(documents.schema["n_chars"].dataType)
+    return same.unionByName(hit.select(*(changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in documents.columns)))
 
 
 def cut_udf(window: int):

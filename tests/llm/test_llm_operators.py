@@ -543,6 +543,7 @@ def test_shards_are_written(spark, tmp_path):
     df = documents(spark, [f"t{k}" for k in range(40)])
     sharding.write_shards(df, str(tmp_path / "o"), 4)
     back = spark.read.parquet(str(tmp_path / "o"))
+    assert back.select("row.*").columns == df.columns
     assert back.count() == 40 and {r["_shard"] for r in back.select("_shard").distinct().collect()} <= {0, 1, 2, 3}
 
 
@@ -820,3 +821,70 @@ def test_pipeline_stages(spark, tmp_path):
     assert item not in seen["benchmark_decontamination"][5]["text"] and seen["benchmark_decontamination"][6]["text"] == texts[6]
     assert set(seen["piece_sampling"]) == {0, 3, 4, 5, 6} and all(r["round_trip"] for r in seen["piece_sampling"].values())
     assert [json.dumps(sorted(x)) for x in (seen["piece_sampling"], {r["doc_id"]: 0 for r in corpus_pipeline.run(spark, str(tmp_path)).collect()})] == [json.dumps([0, 3, 4, 5, 6])] * 2
+
+
+def thue_morse(n):
+    """A word of n letters and its complement: any polynomial modulo 2**64 takes them for one from 1,024 letters on."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096, 8192])
+def test_thue_morse_words_differ(spark, n):
+    word, other = thue_morse(n)
+    hashes, _ = common.word_hashes([word.encode(), other.encode(), word.upper().encode()], lower=True)
+    assert hashes[0] == hashes[2] != hashes[1]
+    joined = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_join(documents(spark, [word, other])).collect()}
+    assert joined == {0: 0, 1: 1}
+    rest = " ".join(f"w{k}" for k in range(49))
+    cut = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(documents(spark, [f"{rest} {word}", f"{rest} {other}", f"{rest} {word}"])).collect()}
+    assert cut == {0: 0, 1: 0, 2: 50}
+    seven = "one two three four five six seven"
+    measured = tokenizer_quality.measure(documents(spark, [f"{word} {seven} {other} {seven}", f"{word} {seven} {word} {seven}"])).collect()
+    assert {r["doc_id"]: r["n_repeat_words"] for r in measured} == {0: 0, 1: 16}
+    sampled = piece_sampling.sample_digest(documents(spark, [word, other])).collect()
+    assert all(r["round_trip"] for r in sampled) and sampled[0]["ids_sha256"] != sampled[1]["ids_sha256"]
+
+
+def test_thue_morse_texts_differ():
+    """Runs of words as well: two words in the order of the sequence, and the other way round."""
+    a, b = (np.frombuffer(bytes(x, "ascii"), np.uint8) for x in thue_morse(4096))
+    names = common.mix(np.arange(256, dtype=np.uint64))
+    start, length = np.array([0]), np.array([2048])
+    assert substring_dedup.LongRuns(names[a]).runs(start, length) != substring_dedup.LongRuns(names[b]).runs(start, length)
+    both = substring_dedup.LongRuns(np.concatenate([names[a], names[a]])).runs(np.array([5, 4101]), np.array([3000, 3000]))
+    assert both[0] == both[1]
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, _size long, _copy string, _slot string, _th string, _spans string, _row string, key string, _shard string, row string, copy int, whole int"
+
+
+def clashing(spark, texts):
+    return spark.createDataFrame([(k, t, "en", "s", 1, 2, "c", "d", "no number", "e", "f", "g", "h", "i", 3, 4) for k, t in enumerate(texts)], CLASH)
+
+
+def test_columns_named_as_the_plans_own(spark):
+    passage = " ".join(f"word{k}" for k in range(60))
+    df = clashing(spark, [passage, f"new {passage} end", "alone", "alone", None])
+    out = sharding.external_shuffle(df, 4).collect()
+    assert len(out) == 5 and sorted(r["_crc"] for r in out) == sorted(zlib.crc32((r["text"] or "").encode()) for r in out)
+    kept = substring_dedup.keep_rest(df)
+    assert kept.columns == df.columns and {r["doc_id"]: r["_th"] for r in kept.collect()} == dict.fromkeys(range(5), "no number")
+    assert jaccard_join.keep_one(df, size=5, percent=80).columns == df.columns
+    benchmark = spark.createDataFrame([(1, "nothing of this kind")], "item_id long, text string")
+    assert decontamination.keep_clean(df, benchmark).columns == df.columns
+    assert tokenizer_quality.measure(df).count() == substring_dedup.substring_dedup(df).count() == 5
+    assert toxicity.__doc__ and piece_sampling.sample_digest(df).count() == 5
+
+
+def test_nothing_is_left_in_the_shared_folder(spark):
+    from pathlib import Path
+
+    from strandline.session import checkpoint_root, shared_folder
+
+    root = Path(checkpoint_root(spark).removeprefix("file://"))
+    common.drop_tables()
+    before = set(root.glob("strandline-*"))  # other processes' folders
+    sharding.write_shards(documents(spark, ["a", "b"]), shared_folder(spark, "shards"), 2).count()
+    common.drop_tables()
+    assert set(root.glob("strandline-*")) == before
