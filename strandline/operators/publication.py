@@ -213,17 +213,26 @@ class Store:
 
     @contextmanager
     def locked(self, lease_s: int = 3_600):
-        """The exclusive right to publish. A lock older than the lease was left by a lost writer and is taken over."""
-        lock = self._p(".publish.lock")
+        """The exclusive right to publish; gives the owner's token. A lock older than the lease was left by a lost writer and is taken over.
+
+        A writer that outlives its lease finds another token in the lock: it does not delete that, and move_head() refuses it.
+        """
+        lock, owner = self._p(".publish.lock"), uuid.uuid4().hex
         if not self._fs.createNewFile(lock):
             age = time.time() - self._fs.getFileStatus(lock).getModificationTime() / 1000
             taken = self._p(f"_aside/{uuid.uuid4().hex}.lock")
             if age < lease_s or not files.move(self.spark, lock, taken, overwrite=False) or not self._fs.createNewFile(lock):
                 raise RuntimeError("another publication is running; try again later")
+        files.write_bytes(self._fs, lock, owner.encode())
         try:
-            yield
+            yield owner
         finally:
-            self._fs.delete(lock, False)
+            if self.owns(owner):
+                self._fs.delete(lock, False)
+
+    def owns(self, owner: str) -> bool:
+        """Whether the lock is this owner's still."""
+        return self.exists(".publish.lock") and self.get(".publish.lock") == owner.encode()
 
     def head(self) -> str | None:
         if not self.exists("HEAD"):
@@ -233,8 +242,10 @@ class Store:
             raise ValueError("HEAD is malformed")
         return value
 
-    def move_head(self, sha: str) -> bool:
-        """Whether HEAD changed. It is replaced in one step: a reader meets the old one or the new one."""
+    def move_head(self, sha: str, owner: str | None = None) -> bool:
+        """Whether HEAD changed. It is replaced in one step: a reader meets the old one or the new one. owner: who must hold the lock for it."""
+        if owner is not None and not self.owns(owner):
+            raise RuntimeError("the lock was taken over by another publication")
         if self.head() == sha:
             return False
         aside = self._p(f"_aside/{uuid.uuid4().hex}.head")
@@ -270,7 +281,7 @@ def publish(store: Store, site: str, pages: DataFrame, file_rows: DataFrame, she
     """
     import json
 
-    with store.locked():
+    with store.locked() as owner:
         text = shell_text(parse_shell(shell)).encode()
         shas = {"pages": put_section(store, "pages", site, page_entries(pages), "page_id"), "files": put_section(store, "files", site, file_entries(file_rows), "path"), "shell": store.put_object("shell", text)}
         root = (json.dumps({"v": FORMAT, "site": site, **shas}, separators=(",", ":"), ensure_ascii=False) + "\n").encode()
@@ -278,7 +289,7 @@ def publish(store: Store, site: str, pages: DataFrame, file_rows: DataFrame, she
         store.put(root_name(sha), root)
         if cache is not None and out_state is not None:
             update_cache(cache, out_state)
-        return sha, store.move_head(sha)
+        return sha, store.move_head(sha, owner)
 
 
 def update_cache(cache: VersionedTable, out_state: DataFrame) -> bool:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.merge import fail_if_missing
@@ -12,6 +12,8 @@ EPHEMERAL = ("page.sync",)
 #: Priority of each kind.
 PRIORITIES = {"shell.sync": 35, "discover": 30, "revision.head": 20, "out.update": 18, "page.sync": 15, "file.fetch": 10, "revision.old": 8, "backfill": 5}
 MAX_ATTEMPTS = 8
+#: Jobs of one site that run at a time.
+SITE_JOBS = 4
 #: Kinds that reschedule themselves; a site is seeded with one job of each.
 PERIODIC = ("shell.sync", "discover", "out.update", "backfill")
 #: Rows of claimed ids that apply_claim() broadcasts.
@@ -31,6 +33,33 @@ def claim(jobs: DataFrame, now: int, limit: int) -> DataFrame:
     return top.withColumns({"status": F.lit("running"), "attempts": F.col("attempts") + 1, "claimed_at": F.lit(now).cast("long")})
 
 
+def claim_by_site(jobs: DataFrame, now: int, per_site: int = SITE_JOBS) -> DataFrame:
+    """As claim(), for all sites at once (column site): each site has at most per_site jobs running, those that run already included.
+
+    The greatest of each site are found by a ranked filter, which every task applies to its own rows before they
+    move: a site with most of all jobs sends per_site rows a task.
+    """
+    order = Window.partitionBy("site").orderBy(F.desc("priority"), "run_at", "id")
+    due = jobs.where((F.col("status") == "pending") & (F.col("run_at") <= now)).withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= per_site)
+    busy = jobs.where("status = 'running'").groupBy("site").agg(F.count(F.lit(1)).alias("_busy"))
+    free = due.join(busy, "site", "left").where(F.col("_place") <= per_site - F.coalesce("_busy", F.lit(0)))
+    return free.select(jobs.columns).withColumns({"status": F.lit("running"), "attempts": F.col("attempts") + 1, "claimed_at": F.lit(now).cast("long")})
+
+
+def numbered(new: DataFrame, jobs: DataFrame, first_id: int = 1) -> DataFrame:
+    """new (kind, payload, ...; each pair once) with ids of their own: one after another behind the greatest id of jobs, from first_id at least.
+
+    The order is by a hash. Counts by its first 12 bits give every range its first number, so that no task numbers all.
+    """
+    hashed = new.withColumn("_h", F.xxhash64("kind", "payload")).withColumn("_head", F.shiftright("_h", 52))
+    counts = hashed.groupBy("_head").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select("_head", F.coalesce(F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # 4,096 rows at most
+    last = jobs.agg(F.greatest(F.coalesce(F.max("id"), F.lit(0)), F.lit(first_id - 1)).cast("long").alias("_last"))
+    place = F.row_number().over(Window.partitionBy("_head").orderBy("_h", "kind", "payload"))
+    out = hashed.withColumn("_place", place).join(F.broadcast(starts), "_head").crossJoin(F.broadcast(last))  # one row
+    return out.withColumn("id", F.col("_last") + F.col("_start") + F.col("_place")).drop("_h", "_head", "_n", "_start", "_last", "_place")
+
+
 def apply_claim(jobs: DataFrame, claimed: DataFrame, limit: int | None = None) -> DataFrame:
     """The whole table after a claim. limit: the one of the claim; its ids are broadcast only up to BROADCAST_IDS."""
     ids = claimed.select("id")

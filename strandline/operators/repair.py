@@ -56,8 +56,8 @@ def seeded(files: DataFrame, refs: DataFrame, now: int) -> DataFrame:
 def armed(files: DataFrame, jobs: DataFrame, first_id: int, now: int) -> DataFrame:
     """jobs with a fetch for each pending file; done and dead ones wake up again."""
     pending = files.where("status = 'pending'").select(payload(F.col("path")).alias("payload"))
-    new = pending.select((F.lit(first_id) + F.abs(F.xxhash64("payload")) % (1 << 40)).alias("id"), F.lit(FETCH).alias("kind"), "payload", F.lit(queue.PRIORITIES[FETCH]).cast("long").alias("priority"), F.lit(now).cast("long").alias("run_at"), F.lit(queue.MAX_ATTEMPTS).cast("long").alias("max_attempts"))
-    return queue.enqueue(jobs, new, resurrect=True)
+    new = pending.select(F.lit(FETCH).alias("kind"), "payload", F.lit(queue.PRIORITIES[FETCH]).cast("long").alias("priority"), F.lit(now).cast("long").alias("run_at"), F.lit(queue.MAX_ATTEMPTS).cast("long").alias("max_attempts"))
+    return queue.enqueue(jobs, queue.numbered(new.dropDuplicates(["payload"]), jobs, first_id), resurrect=True)
 
 
 def without_jobs(jobs: DataFrame, paths: DataFrame, statuses: tuple[str, ...] | None = None) -> DataFrame:

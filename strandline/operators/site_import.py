@@ -40,8 +40,14 @@ def checked_files(files: DataFrame, site: str) -> DataFrame:
     return files.withColumn("_ok", _fail(bad, F.concat(F.lit("revision file of another page or site: "), "rel"))).where("_ok").drop("_ok")
 
 
+def checked_journals(journals: DataFrame) -> DataFrame:
+    """Journals (key, journal); one whose key is no page's number fails the plan."""
+    bad = F.col("key").try_cast("bigint").isNull()
+    return journals.withColumn("_ok", _fail(bad, F.concat(F.lit("journal of no page: "), F.coalesce("key", F.lit("null"))))).where("_ok").drop("_ok")
+
+
 def imported_pages(old: DataFrame, journals: DataFrame, files: DataFrame, now: int) -> DataFrame:
-    """Journals first, then the newest revision file's header; discovered_at of known pages stays."""
+    """Journals first, then the header of the greatest revision's file, in whatever order files are read; discovered_at of known pages stays."""
     empty = F.lit("[]")
     from_journal = journals.select(F.col("key").try_cast("bigint").alias("page_id"), F.coalesce("journal.slug", F.lit("")).alias("slug"), F.coalesce("journal.title", F.lit("")).alias("title"), F.coalesce(F.to_json("journal.tags"), empty).alias("tags"), F.lit(-1).cast("long").alias("_at"))
     from_file = files.select("f.page_id", "f.slug", "f.title", F.coalesce(F.to_json("f.tags"), empty).alias("tags"), F.col("f.revision").alias("_at"))
@@ -71,26 +77,27 @@ def imported_files(old: DataFrame, links: DataFrame, site: str, now: int) -> Dat
     return merge.insert_or_ignore(found, delta.where("sha256 is null"), ["path"])
 
 
-def import_jobs(revisions: DataFrame, denied: DataFrame, first_id: int, now: int) -> DataFrame:
-    """A fetch job for each revision without content that is not denied; the head of a page goes first."""
+def import_jobs(revisions: DataFrame, denied: DataFrame, jobs: DataFrame, first_id: int, now: int) -> DataFrame:
+    """A fetch job for each revision without content that is not denied, numbered behind jobs; the head of a page goes first."""
     wanted = revisions.where("content is null").join(denied.select("page_id", "rev_no"), ["page_id", "rev_no"], "left_anti")
     heads = revisions.groupBy("page_id").agg(F.max("rev_no").alias("head"))
     rows = wanted.join(heads, "page_id").select(F.to_json(F.struct("page_id", "rev_no", "rev_id")).alias("payload"), (F.col("rev_no") == F.col("head")).alias("is_head"))
     priority = F.when(F.col("is_head"), F.lit(queue.PRIORITIES["revision.head"])).otherwise(F.lit(queue.PRIORITIES["revision.old"])).cast("long")
-    return rows.select((F.lit(first_id) + F.abs(F.xxhash64("payload")) % (1 << 40)).alias("id"), F.lit(REVISION_FETCH).alias("kind"), "payload", priority.alias("priority"), F.lit(now).cast("long").alias("run_at"), F.lit(queue.MAX_ATTEMPTS).cast("long").alias("max_attempts"))
+    new = rows.select(F.lit(REVISION_FETCH).alias("kind"), "payload", priority.alias("priority"), F.lit(now).cast("long").alias("run_at"), F.lit(queue.MAX_ATTEMPTS).cast("long").alias("max_attempts"))
+    return queue.numbered(new.dropDuplicates(["payload"]), jobs, first_id)
 
 
 def import_site(state: dict[str, DataFrame], journals: DataFrame, files: DataFrame, links: DataFrame, site: str, now: int, first_id: int = 1, watermark: str | None = None, shell: str | None = None) -> dict[str, DataFrame]:
     """The site's tables after the import; a second import of the same tree changes nothing but times."""
     spark = journals.sparkSession
-    files = checked_files(files, site)
+    files, journals = checked_files(files, site), checked_journals(journals)
     revisions = imported_revisions(state["revisions"], journals, files, now)
     newest = revisions.groupBy("page_id").agg(F.max("ts").alias("_newest"))
     pages = imported_pages(state["pages"], journals, files, now).join(newest, "page_id", "left")
     pages = pages.withColumn("updated_at", F.coalesce("updated_at", "_newest")).select(state["pages"].columns)
     mined = repair.references(files.select(F.col("f.body").alias("content")), site)
     file_rows = repair.seeded(imported_files(state["files"], links, site, now), mined, now)
-    jobs = queue.enqueue(state["jobs"], import_jobs(revisions, state["denied"], first_id, now))
+    jobs = queue.enqueue(state["jobs"], import_jobs(revisions, state["denied"], state["jobs"], first_id, now))
     jobs = repair.armed(file_rows, jobs, first_id, now)
     entries = [(k, v) for k, v in (("saved_up_to", watermark), ("shell", shell)) if v is not None]
     meta = merge.replace_rows(state["meta"], spark.createDataFrame(entries, SCHEMAS["meta"]), ["key"])

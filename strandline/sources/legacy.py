@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tomllib
+from collections import Counter
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,25 +62,103 @@ def snapshots_above(log: DataFrame, max_rev: int) -> DataFrame:
     return best.orderBy(F.desc("rev_no"))
 
 
-def load_config(text: str) -> dict:
-    """A site list: unknown fields, no site and two sites with one directory are errors."""
-    config = tomllib.loads(text)
-    known = {"out_dir", "rate_limit_ms", "timeout_s", "zstd_level", "monitor_s", "shell_s", "out_s", "backfill_s", "site"}
-    if unknown := set(config) - known:
-        raise ValueError(f"unknown fields: {sorted(unknown)}")
-    sites = config.get("site", [])
-    if not sites:
-        raise ValueError("no site is configured")
-    names = []
-    for site in sites:
-        if unknown := set(site) - {"name", "host", "api_key"}:
-            raise ValueError(f"unknown site fields: {sorted(unknown)}")
-        names.append((site.get("host") or site["name"]).strip().lower().removeprefix("https://").removeprefix("http://").rstrip("/"))
-    if len(set(names)) < len(names):
-        raise ValueError("two sites share a directory")
-    #: The service's own defaults.
-    defaults = {"timeout_s": 30, "rate_limit_ms": 2000, "monitor_s": 1800, "shell_s": 86400, "out_s": 300, "backfill_s": 3600, "zstd_level": 19}
-    return defaults | config | {"directories": names}
+#: The settings of an instance and what they are when left out.
+SETTINGS = {
+    "data_dir": "data",
+    "timeout_s": 30,
+    "rate_limit_ms": 2000,
+    "monitor_interval_s": 1800,
+    "shell_interval_s": 86400,
+    "out_interval_s": 300,
+    "backfill_interval_s": 3600,
+    "zstd_level": 19,
+}
+#: The platforms of sites. One is named by its slug; the other by its host, with a key and a name if need be.
+BY_SLUG, BY_HOST = "wikidot", "rufoundation"
+
+
+@dataclass(frozen=True)
+class Site:
+    """A configured site: the directory that it is kept in, its platform and address."""
+
+    directory: str
+    platform: str
+    host: str
+    api_key: str | None = None
+
+
+@dataclass(frozen=True)
+class Config:
+    """An instance: its settings and its sites in order."""
+
+    name: str
+    settings: dict
+    sites: tuple[Site, ...]
+
+    @property
+    def root(self) -> str:
+        return f"{self.settings['data_dir']}/{self.name}"
+
+    def state_dir(self, site: Site) -> str:
+        """Private state: the site's tables."""
+        return f"{self.root}/meta/{site.directory}"
+
+    def out_dir(self, site: Site) -> str:
+        """What is published of the site."""
+        return f"{self.root}/out/{site.directory}"
+
+
+def _only(found: dict, known: set[str], what: str) -> None:
+    if unknown := sorted(set(found) - known):
+        raise ValueError(f"unknown fields of {what}: {unknown}")
+
+
+def _site(found: dict) -> Site:
+    _only(found, {"type", "host", "api_key", "name"}, "a site")
+    if missing := sorted({"type", "host"} - set(found)):
+        raise ValueError(f"a site lacks {missing}")
+    if not all(isinstance(v, str) for v in found.values()):
+        raise ValueError("a site's fields are texts")
+    platform, host = found["type"], found["host"]
+    if platform == BY_SLUG:
+        if "api_key" in found or "name" in found:
+            raise ValueError(f"site {host!r}: api_key and name are for sites of the type {BY_HOST!r}")
+        return Site(host, platform, host)
+    if platform != BY_HOST:
+        raise ValueError(f"site {host!r}: unknown type {platform!r}")
+    if not host.strip():
+        raise ValueError("a site has an empty host")
+    bare = re.sub(r"^https?://", "", host.strip()).rstrip("/")
+    # ASCII letters only: the directory is part of published addresses.
+    directory = found.get("name", "".join(c.lower() if c.isascii() else c for c in bare))
+    return Site(directory, platform, host, found.get("api_key"))
+
+
+def load_config(text: str) -> Config:
+    """An instance from TOML: top-level settings, and [instance] with its name and sites.
+
+    Unknown fields, settings of another kind, no site, and two sites with one directory are errors.
+    """
+    found = tomllib.loads(text)
+    _only(found, {*SETTINGS, "instance"}, "the file")
+    settings = {k: v for k, v in found.items() if k != "instance"}
+    for key, value in settings.items():
+        if type(value) is not type(SETTINGS[key]):
+            raise ValueError(f"{key} is no {type(SETTINGS[key]).__name__}: {value!r}")
+    for key in ("timeout_s", "rate_limit_ms"):
+        if settings.get(key, 0) < 0:
+            raise ValueError(f"{key} is negative")
+    instance = found.get("instance")
+    if not isinstance(instance, dict) or "name" not in instance or "sites" not in instance:
+        raise ValueError("no [instance] with a name and sites")
+    _only(instance, {"name", "sites"}, "the instance")
+    if not instance["sites"]:
+        raise ValueError(f"no site is configured for {instance['name']}")
+    sites = tuple(_site(x) for x in instance["sites"])
+    twice = sorted(d for d, n in Counter(s.directory for s in sites).items() if n > 1)
+    if twice:
+        raise ValueError(f"two sites share a directory: {twice}")
+    return Config(instance["name"], SETTINGS | settings, sites)
 
 
 class _LinkReader(DataSourceReader):

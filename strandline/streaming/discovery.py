@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import merge as M
+from strandline.operators.layered import LayeredTable, retried
 from strandline.operators.versions import VersionedSite
 
 #: How long a host stays marked, in seconds.
@@ -50,6 +51,26 @@ def upsert_stream(stream: DataFrame, state: VersionedSite, keys: list[str], orde
     return stream.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def layer_stream(stream: DataFrame, state: LayeredTable, keys: list[str], order: Column, rules: dict[str, Callable], checkpoint: str):
+    """As upsert_stream(), into a table in layers: a batch writes its own keys' rows, and not the buckets that they lie in.
+
+    The number of the batch is the note of its commit. A stream is its table's only writer of notes; other writers of
+    other keys may commit between its batches. Returns the running query.
+    """
+    columns = stream.columns
+
+    def merge_batch(batch: DataFrame, batch_id: int) -> None:
+        done = [int(n) for n in (state.note(v) for v in reversed(state.numbers())) if n is not None and n.isdigit()][:1]
+        if done and done[0] >= batch_id:
+            return
+        delta = batch.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("r")).select("r.*").persist()
+        if not delta.isEmpty():
+            retried(state, lambda change: change.upsert(delta, rules), note=str(batch_id))
+        delta.unpersist()
+
+    return stream.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_state(state: VersionedSite) -> DataFrame:
     """All buckets of one pinned version."""
     tables = list(state.tables().values())

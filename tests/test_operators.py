@@ -371,7 +371,32 @@ def test_symlinks(spark, tmp_path):
 
 
 def test_config():
-    assert legacy.load_config('[[site]]\nname = "a"\n')["zstd_level"] == 19
-    for bad in ("", 'x = 1\n[[site]]\nname="a"\n', '[[site]]\nname="a"\n[[site]]\nname="A"\n'):
+    text = """
+data_dir = "data"
+timeout_s = 40
+monitor_interval_s = 1800 # a scan of the changes
+zstd_level = 3
+[instance]
+name = "example"
+sites = [
+      { type = "wikidot", host = "alpha" }
+    , { type = "rufoundation", host = "https://WWW.Example.org/", api_key = "k" }
+    , { type = "rufoundation", host = "b.site", name = "beta" }
+]
+"""
+    config = legacy.load_config(text)
+    assert [(s.directory, s.platform, s.host, s.api_key) for s in config.sites] == [
+        ("alpha", "wikidot", "alpha", None), ("www.example.org", "rufoundation", "https://WWW.Example.org/", "k"), ("beta", "rufoundation", "b.site", None)
+    ]
+    assert config.settings == {"data_dir": "data", "timeout_s": 40, "rate_limit_ms": 2000, "monitor_interval_s": 1800, "shell_interval_s": 86400, "out_interval_s": 300, "backfill_interval_s": 3600, "zstd_level": 3}
+    assert config.state_dir(config.sites[0]) == "data/example/meta/alpha" and config.out_dir(config.sites[2]) == "data/example/out/beta"
+    one_site = '[instance]\nname = "x"\nsites = [%s]\n'
+    assert legacy.load_config(one_site % '{ type = "wikidot", host = "a" }').settings["data_dir"] == "data"
+    for bad in (
+        "", "timeout_s = 1\n", one_site % "", "x = 1\n" + one_site % '{ type = "wikidot", host = "a" }', 'zstd_level = "3"\n' + one_site % '{ type = "wikidot", host = "a" }',
+        one_site % '{ type = "wikidot", host = "a", x = 1 }', one_site % '{ type = "wikidot", host = "a", api_key = "k" }', one_site % '{ type = "wikidot", host = "a", name = "n" }',
+        one_site % '{ host = "a" }', one_site % '{ type = "other", host = "a" }', one_site % '{ type = "rufoundation", host = " " }',
+        one_site % '{ type = "wikidot", host = "a.b" }, { type = "rufoundation", host = "http://A.b/" }', one_site % '{ type = "wikidot", host = "a" }' + "more = 1\n",
+    ):
         with pytest.raises(ValueError):
             legacy.load_config(bad)
