@@ -332,3 +332,18 @@ def mined_references(content: Column, base: Column) -> Column:
         origin = F.regexp_extract(p["before"], r"(?:^|[^A-Za-z0-9+.\-])((?i:https?)://[A-Za-z0-9.\-]+)/$", 1)
         return F.when(taken == "", F.lit(None)).otherwise(F.concat(F.when(origin != "", origin).otherwise(base), F.lit("/local--files/"), taken))
     return F.array_distinct(F.filter(F.transform(pairs, one), lambda u: u.isNotNull()))
+
+
+def until_stop(text: Column) -> Column:
+    """What stands before the first character that ends a reference."""
+    return F.regexp_extract(text, f"^([^{STOP}]*)", 1)
+
+
+def is_utf8(data: Column) -> Column:
+    """Whether bytes are UTF-8."""
+    return F.is_valid_utf8(data.cast("string"))
+
+
+def once_in_order(values: Column) -> Column:
+    """Each value once, where it first stands."""
+    return F.array_distinct(values)

@@ -84,7 +84,7 @@ class LayeredTable(_Log):
     def create(self, rows: DataFrame, keys: list[str], buckets: int = 16, note: str | None = None) -> int:
         """The first version."""
         state = {"keys": keys, "schema": rows.schema.json(), "buckets": buckets, "bases": {}, "deltas": [], "own": None, "wrote": Footprint().to_json(), "note": note}
-        folder, held, _ = self._write_rows(rows, state, "b")
+        folder, held = self._write_rows(rows, state, "b")
         #: A bucket's base, and the number up to which it holds all changes.
         state["bases"] = {str(b): [folder, 0] for b in held}
         if not self._try_mark(1, state):
@@ -152,17 +152,15 @@ class LayeredTable(_Log):
 
     # -- writing ----------------------------------------------------------
 
-    def _write_rows(self, rows: DataFrame, state: dict, kind: str, files: int = 1) -> tuple[str, list[int], int]:
-        """Folder, buckets that have rows, and their number."""
+    def _write_rows(self, rows: DataFrame, state: dict, kind: str, files: int = 1) -> tuple[str, list[int]]:
+        """Folder, and buckets that have rows."""
         folder = f"{kind}-{uuid.uuid4().hex}"
         part = F.pmod(F.xxhash64(F.lit(7), *state["keys"]), F.lit(files))
         dealt = rows.withColumn("_bucket", self._bucket(state))
         dealt.repartition("_bucket", part).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
         place = self._path(f"{self.path}/{folder}")
         held = sorted(int(s.getPath().getName().split("=")[1]) for s in self._fs.listStatus(place) if s.getPath().getName().startswith("_bucket=") and s.getPath().getName()[8:].isdigit())
-        # Counted off the files' footers.
-        n = self.spark.read.schema(self._schema(state)).parquet(*(f"{self.path}/{folder}/_bucket={b}" for b in held)).count() if held else 0
-        return folder, held, n
+        return folder, held
 
     def _try_mark(self, number: int, state: dict) -> bool:
         if number in self.numbers():
@@ -203,7 +201,7 @@ class LayeredTable(_Log):
         if not chosen:
             return None
         files = max(1, -(-max(counted.values(), default=0) // FILE_ROWS))
-        folder, held, _ = self._write_rows(self._rows(state, chosen), state, "b", files)
+        folder, held = self._write_rows(self._rows(state, chosen), state, "b", files)
         while True:
             latest = self.pinned(None)
             now = self.state(latest)
@@ -286,13 +284,14 @@ class Change:
 
     def read_keys(self, keys: DataFrame) -> DataFrame:
         """The rows of these keys, which count as read."""
-        only = keys.select(self.keys).distinct()
-        self._read.append(self._footprint(only))
-        return self.table._rows(self.state, self.table._buckets_of(only, self.state), only)
+        return self._held(keys)
 
-    def _now(self, rows: DataFrame) -> DataFrame:
+    def _held(self, rows: DataFrame) -> DataFrame:
+        """The rows that have keys of these; all of the keys count as read."""
         only = rows.select(self.keys).distinct()
-        return self.table._rows(self.state, self.table._buckets_of(only, self.state), only)
+        seen, _ = self._footprint(only)
+        self._read.append(seen)
+        return self.table._rows(self.state, set(seen.ranges), only)
 
     def _add(self, rows: DataFrame, gone: bool) -> Change:
         blank = [F.lit(None).cast(f.dataType).alias(f.name) if gone and f.name not in self.keys else F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]
@@ -304,23 +303,27 @@ class Change:
         """As merge.upsert(), on the rows of the delta's keys only; without rules the new row wins whole."""
         if rules is None:
             return self._add(delta, False)
-        return self._add(merge.upsert(self._now(delta), delta, self.keys, rules, where), False)
+        return self._add(merge.upsert(self._held(delta), delta, self.keys, rules, where), False)
 
     def insert_or_ignore(self, delta: DataFrame) -> Change:
         """Rows whose key is new; those that are not count as read."""
-        self._read.append(self._footprint(delta.select(self.keys).distinct()))
-        return self._add(delta.join(self._now(delta).select(self.keys), self.keys, "left_anti"), False)
+        return self._add(delta.join(self._held(delta).select(self.keys), self.keys, "left_anti"), False)
 
     def delete(self, keys: DataFrame) -> Change:
         """Keys that are not there count as read."""
-        self._read.append(self._footprint(keys.select(self.keys).distinct()))
-        return self._add(self._now(keys).select(self.keys), True)
-
-    def _footprint(self, keys: DataFrame) -> Footprint:
-        hashed = keys.select(self.table._bucket(self.state).alias("b"), self.table._hash(self.keys).alias("h"))
-        ranges = {r["b"]: (r["lo"], r["hi"], r["n"]) for r in hashed.groupBy("b").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
-        few = sum(x[2] for x in ranges.values()) <= EXACT_KEYS
-        return Footprint({b: x[:2] for b, x in ranges.items()}, {r[0] for r in hashed.select("h").collect()} if few else None)
+        return self._add(self._held(keys).select(self.keys), True)
+
+    def _footprint(self, keys: DataFrame) -> tuple[Footprint, int]:
+        """Of rows of keys, and how many rows these are; a key that comes twice is an error."""
+        hashed = keys.select(*self.keys, self.table._bucket(self.state).alias("b"), self.table._hash(self.keys).alias("h"))
+        by_key = hashed.groupBy("b", "h", *self.keys).agg(F.count(F.lit(1)).alias("n"))
+        grouped = by_key.groupBy("b").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.sum("n").alias("n"), F.max("n").alias("most"))
+        found = grouped.collect()  # a row a bucket
+        if max((r["most"] for r in found), default=1) > 1:
+            raise ValueError(f"two rows of one key: {by_key.where('n > 1').select(self.keys).first().asDict()}")
+        rows = sum(r["n"] for r in found)
+        hashes = {r[0] for r in hashed.select("h").collect()} if rows <= EXACT_KEYS else None
+        return Footprint({r["b"]: (r["lo"], r["hi"]) for r in found}, hashes), rows
 
     def commit(self, note: str | None = None) -> int:
         """Write the delta and make it the next version, behind commits that wrote none of its keys."""
@@ -331,13 +334,10 @@ class Change:
         for k in self.keys:
             bad = F.col(k).isNull() if bad is None else bad | F.col(k).isNull()
         checked = self.delta.withColumn("_gone", F.when(bad, F.raise_error(F.lit("a key is null"))).otherwise(F.col("_gone")))
-        folder, held, rows = table._write_rows(checked, self.state, "d")
+        folder, held = table._write_rows(checked, self.state, "d")
         paths = [f"{table.path}/{folder}/_bucket={b}" for b in held]
         written = table.spark.read.schema(self.schema).parquet(*paths).select(self.keys) if paths else table.spark.createDataFrame([], self.schema).select(self.keys)
-        twice = written.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
-        if twice:
-            raise ValueError(f"two rows of one key: {twice[0].asDict()}")
-        wrote = self._footprint(written)
+        wrote, rows = self._footprint(written)
         checked_to = self.version
         while True:
             latest = table.pinned(None)

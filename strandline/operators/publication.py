@@ -15,6 +15,7 @@ import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,17 +31,51 @@ PAGE_ENTRY = """id:string,slug:string,title:string,tags:array<string>,revisions_
   created_by:string,created_at:long,updated_by:string,updated_at:long,archive:string,archive_sha256:string"""
 FILE_ENTRY = "path:string,sha256:string,size:long,content_type:string,status:string,blob:string"
 ZSTD_LEVEL = 19
+#: Bytes of one page's tar that are held before it is compressed.
+HELD_BYTES = 32 << 20
+
+
+@lru_cache(maxsize=4)
+def compressor(level: int):
+    """One of a worker for all of its pages: setting a high level up takes far longer than a small page."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=level, write_checksum=False, threads=0)
+
+
+class _Tape:
+    """Where a tar is written: held whole while it is short, compressed as it comes beyond HELD_BYTES."""
+
+    def __init__(self, level: int):
+        self.level, self.held, self.out, self.stream = level, io.BytesIO(), io.BytesIO(), None
+
+    def write(self, data: bytes) -> int:
+        if self.stream is not None:
+            self.stream.write(data)
+        else:
+            self.held.write(data)
+            if self.held.tell() > HELD_BYTES:
+                import zstandard
+
+                self.stream = zstandard.ZstdCompressor(level=self.level, write_checksum=False, threads=0).stream_writer(self.out, closefd=False)
+                self.stream.write(self.held.getvalue())
+                self.held = None
+        return len(data)
+
+    def finish(self) -> bytes:
+        if self.stream is None:
+            # The size is known: the compressor's tables are no larger than the page needs.
+            return compressor(self.level).compress(self.held.getvalue())
+        self.stream.close()
+        return self.out.getvalue()
 
 
 class Archive:
-    """A tar under zstd, fed an entry at a time: only the compressed bytes are held. The same entries always give the same bytes."""
+    """A tar under zstd, fed an entry at a time. The same entries always give the same bytes: which way they take depends on their size alone."""
 
     def __init__(self, level: int = ZSTD_LEVEL):
-        import zstandard
-
-        self.out = io.BytesIO()
-        self.writer = zstandard.ZstdCompressor(level=level, write_checksum=False, threads=0).stream_writer(self.out, closefd=False)
-        self.tar = tarfile.open(fileobj=self.writer, mode="w|", format=tarfile.GNU_FORMAT)
+        self.tape = _Tape(level)
+        self.tar = tarfile.open(fileobj=self.tape, mode="w|", format=tarfile.GNU_FORMAT)
         self.count = 0
 
     def add(self, name: str, content: bytes) -> None:
@@ -51,8 +86,7 @@ class Archive:
 
     def finish(self) -> bytes:
         self.tar.close()
-        self.writer.close()
-        return self.out.getvalue()
+        return self.tape.finish()
 
 
 def archive_bytes(entries: list[tuple[str, bytes]], level: int = ZSTD_LEVEL) -> bytes:

@@ -64,18 +64,18 @@ _BUILD = {
     "f06_css_imports": lambda s, d: _web(s, d).select("page_id", F.array_join(X.css_imports(_text("c", "@import url('a", F.col("page_id"), ".css') screen; @import \"b.css\"; x{} @import url(c.css);")), " ").alias("found")),
     "f07_theme_roots_base": lambda s, d: _web(s, d).select("page_id", F.array_join(X.theme_roots(_text("h", '<style id="internal-style">@import url(/', X.BASE_THEME, ");", F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("@import url(/own"), "page_id", F.lit(".css);"))).otherwise(F.lit("")), "</style>", F.col("html"))), " ").alias("roots")),
     "f19_author": lambda s, d: _web(s, d).select("page_id", X.author(F.when(F.col("page_id") % 2 == 0, _text("a", '<span data-id="', F.col("page_id"), '">')).otherwise(_text("a", '<a onclick="userInfo(', F.col("page_id") * 2, ')">'))).alias("author")),
-    "f21_take_until_stop": lambda s, d: _web(s, d).select("page_id", F.regexp_extract(_text("t", F.col("url"), "|rest"), f"^([^{X.STOP}]*)", 1).alias("taken")),
+    "f21_take_until_stop": lambda s, d: _web(s, d).select("page_id", X.until_stop(F.concat("url", F.lit("|"), F.coalesce("html", F.lit("")))).alias("taken")),
     "f24_link_tags": lambda s, d: _web(s, d).select("page_id", X.link_attribute(X.link_tags(_text("h", '<link rel=stylesheet href="/s', F.col("page_id"), '.css"><linkx href="no">', F.col("html")))[0], "href").alias("href")),
     "f33_quoted_list": lambda s, d: T.pages(s, d).select("page_id", F.array_join(X.quoted_list(_text("l", '["', F.col("slug"), '", "a, b"]')), "/").alias("items")),
     "f37_watermark": lambda s, d: T.feed(s, d).select("rev_no", X.key_values(_text("t", "slug: ", F.col("slug"), "\nrevision: ", F.col("rev_no"), "\ntimestamp: ", F.col("ts"), "\n")).alias("m")).select("rev_no", F.col("m")["slug"].alias("slug"), F.col("m")["timestamp"].try_cast("bigint").alias("ts")),
     "f41_error_policy": lambda s, d: T.jobs(s, d).select("id", X.error_policy(X.error_class((F.col("id") % 40 + 395).cast("int"))).alias("p")).select("id", F.coalesce("p.permanent", F.lit(False)).alias("permanent"), F.col("p.backoff").cast("long").alias("backoff")),
     "f43_payload": lambda s, d: T.revisions(s, d).select("page_id", "rev_no", F.to_json(F.struct("page_id", "rev_id", "rev_no")).alias("payload")),
-    "f46_utf8": lambda s, d: _conv(s, d).select("conv_id", "turn", F.is_valid_utf8("text").alias("valid")),
+    "f46_utf8": lambda s, d: _conv(s, d).select("conv_id", "turn", X.is_utf8(_bytes_of_turns()).alias("valid")),
     "f48_cookie_merge": _cookies,
     "j03_correlated_counts": lambda s, d: T.revisions(s, d).groupBy("page_id").agg(F.count("content").alias("stored"), F.max("rev_no").alias("head")),
     "j09_assets_minus_imports": _assets_minus_imports,
     "a11_reference_union": lambda s, d: T.revisions(s, d).where("content is not null").select("page_id", F.explode(X.mined_references(_text("c", "local--files/p/", F.col("author"), " x"), F.lit("http://m"))).alias("ref")).distinct(),
-    "a12_ordered_distinct": lambda s, d: T.pages(s, d).select("page_id", F.array_join(F.array_distinct(F.array(F.lit("b"), "slug", F.lit("a"), F.lit("b"))), ",").alias("kept")),
+    "a12_ordered_distinct": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.array_join(X.once_in_order(F.split("text", " ")), " ").alias("kept")),
     "a15_import_counters": lambda s, d: T.revisions(s, d).agg(F.count_distinct("page_id").alias("pages"), F.count(F.lit(1)).alias("metas"), F.count("content").alias("contents"), F.count_if(F.col("content").isNull()).alias("fetch_jobs")),
     "w02_first_value": lambda s, d: catalog.page_catalog(T.revisions(s, d)).select("page_id", "created_by"),
     "w05_adjacent_pairs": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", X.adjacent_pairs(F.split("text", r"\. ")).alias("p")).select("doc_id", F.size("p").cast("long").alias("n"), F.md5(F.array_join(F.transform("p", lambda x: F.concat(x["before"], F.lit("|"), x["after"])), "#")).alias("pairs")),
@@ -112,6 +112,13 @@ _BUILD = {
     "now_due": lambda s, d: T.jobs(s, d).where((F.col("status") == "pending") & (F.col("run_at") <= NOW)).agg(F.count(F.lit(1)).alias("due")),
 }
 
+def _bytes_of_turns():
+    """Texts as bytes: sound ones, ones that end within a character, and ones with a byte that no text has."""
+    text = F.col("text").cast("binary")
+    third = (F.col("conv_id") + F.col("turn")) % 3
+    return F.when(third == 0, text).when(third == 1, F.concat(text, F.unhex(F.lit("E282")))).otherwise(F.concat(F.unhex(F.lit("FF")), text))
+
+
 QUERIES = dict(_BUILD)
 
 R, D, P, FI, J, O, FE = (T.SQL[k] for k in ("revisions", "denied", "pages", "files", "jobs", "out_state", "feed"))
@@ -134,12 +141,14 @@ ORACLE = {
     "f37_watermark": f"SELECT rev_no, slug, ts FROM {FE}",
     "f41_error_policy": f"SELECT id, c IN (403, 404) AS permanent, CASE WHEN c = 429 THEN 30 ELSE 5 END::BIGINT AS backoff FROM (SELECT id, id % 40 + 395 AS c FROM {J})",
     "f43_payload": f"""SELECT page_id, rev_no, '{{"page_id":' || page_id || ',"rev_id":"' || rev_id || '","rev_no":' || rev_no || '}}' AS payload FROM {R}""",
-    "f46_utf8": "SELECT conv_id, turn, true AS valid FROM conversations",
+    "f46_utf8": "SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN (conv_id + turn) % 3 = 0 END AS valid FROM conversations",
     "f48_cookie_merge": f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'session=' || slug ELSE 'session=n' || page_id END || '; theme=x; token=t' || page_id AS header FROM {P}",
     "j03_correlated_counts": f"SELECT DISTINCT page_id, (SELECT count(content) FROM {R} x WHERE x.page_id = r.page_id) AS stored, (SELECT max(rev_no) FROM {R} x WHERE x.page_id = r.page_id) AS head FROM {R} r",
     "j09_assets_minus_imports": "SELECT 'http://h.example.org/s/d' || doc_id || '.css' AS src, 'http://h.example.org/s/a' || doc_id || '.png' AS asset FROM documents UNION ALL SELECT 'http://h.example.org/s/d' || doc_id || '.css', 'http://h.example.org/b.png' FROM documents WHERE doc_id % 2 = 0",
     "a11_reference_union": f"SELECT DISTINCT page_id, 'http://m/local--files/p/' || author AS ref FROM {R} WHERE content IS NOT NULL",
-    "a12_ordered_distinct": f"SELECT page_id, 'b,' || slug || ',a' AS kept FROM {P}",
+    "a12_ordered_distinct": """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents),
+  f AS (SELECT doc_id, w, min(pos) AS pos FROM w GROUP BY doc_id, w), k AS (SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS kept FROM f GROUP BY doc_id)
+  SELECT doc_id, kept FROM documents LEFT JOIN k USING (doc_id)""",
     "a15_import_counters": f"SELECT count(DISTINCT page_id) AS pages, count(*) AS metas, count(content) AS contents, count(*) - count(content) AS fetch_jobs FROM {R}",
     "w02_first_value": f"SELECT page_id, arg_min(author, rev_no) FILTER (WHERE content IS NOT NULL) AS created_by FROM {R} GROUP BY page_id",
     "w05_adjacent_pairs": "SELECT doc_id, len(p) - 1 AS n, md5(array_to_string(list_transform(range(1, len(p)), lambda i: p[i] || '|' || p[i + 1]), '#')) AS pairs FROM (SELECT doc_id, string_split(text, '. ') AS p FROM documents)",

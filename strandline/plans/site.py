@@ -140,6 +140,13 @@ def file_links(s, d):
     return found.select("page_id", urls.own_row_key(F.lit("h.org"), urls.resolve_url(F.lit("https://h.org/"), F.col("href"))).alias("path")).distinct()
 
 
+def _seeded_once(s, d):
+    """All jobs; the first of them is a periodic one that died, which seeding leaves alone."""
+    first = F.col("id") == 1
+    changed = {"kind": F.lit("discover"), "payload": F.lit("{}"), "status": F.lit("dead")}
+    return T.jobs(s, d).withColumns({c: F.when(first, v).otherwise(F.col(c)) for c, v in changed.items()})
+
+
 QUERIES = {
     "u10_repair_files": lambda s, d: _repaired(s, d, "files").select("path", "sha256", "status", "content_type"),
     "u10_repair_jobs": lambda s, d: _shown(_repaired(s, d, "jobs")),
@@ -152,7 +159,7 @@ QUERIES = {
     "u09_import_jobs": lambda s, d: _shown(imported(s, d, "jobs")),
     "u09_import_meta": lambda s, d: imported(s, d, "meta"),
     "k11_status_report": report,
-    "i13_periodic_seeds": lambda s, d: _shown(queue.enqueue(T.jobs(s, d).where("kind <> 'page.sync'").limit(0), queue.periodic_seeds(s, 1, NOW))),
+    "i13_periodic_seeds": lambda s, d: queue.enqueue(_seeded_once(s, d), queue.periodic_seeds(s, 50_000_000, NOW)).groupBy("kind", "status").agg(F.count(F.lit(1)).alias("jobs"), F.max("priority").alias("priority")),
     "s18_article_list": listed,
     "s18_articles": article,
     "s18_versions": versions,
@@ -209,7 +216,9 @@ ORACLE = {
     "u09_import_meta": """SELECT * FROM (VALUES ('saved_up_to', '{"slug":"a"}'), ('shell', '{"title":"T","subtitle":""}')) t(key, value)""",
     "k11_status_report": f"""SELECT 'jobs.' || status AS metric, count(*) AS value FROM {J} GROUP BY status UNION ALL SELECT 'files.' || status, count(*) FROM {FI} GROUP BY status
       UNION ALL SELECT 'revisions_known', count(*) FROM {R} UNION ALL SELECT 'revisions_stored', count(content) FROM {R} UNION ALL SELECT 'pages', count(DISTINCT page_id) FROM {R} UNION ALL SELECT 'jobs_due', count(*) FROM {J} WHERE status = 'pending' AND run_at <= {NOW}""",
-    "i13_periodic_seeds": "SELECT kind, '{}' AS payload, 'pending' AS status, priority::BIGINT AS priority, 0::BIGINT AS attempts, NULL::VARCHAR AS last_error FROM (VALUES ('shell.sync', 35), ('discover', 30), ('out.update', 18), ('backfill', 5)) t(kind, priority)",
+    "i13_periodic_seeds": f"""WITH j AS (SELECT CASE WHEN id = 1 THEN 'discover' ELSE kind END AS kind, CASE WHEN id = 1 THEN 'dead' ELSE status END AS status, priority FROM {T.SQL['jobs']})
+  SELECT kind, status, count(*) AS jobs, max(priority)::BIGINT AS priority FROM (SELECT * FROM j UNION ALL SELECT * FROM (VALUES ('shell.sync', 'pending', 35), ('out.update', 'pending', 18), ('backfill', 'pending', 5)) t(kind, status, priority)
+  UNION ALL SELECT 'discover', 'pending', 30 WHERE NOT EXISTS (SELECT 1 FROM j WHERE kind = 'discover')) GROUP BY kind, status""",
     "s18_article_list": f"SELECT slug, 1767319445::BIGINT AS updated_at FROM {P}",
     "s18_articles": f"SELECT slug, page_id, CASE WHEN page_id % 2 = 0 THEN title ELSE '' END AS title, slug AS tags, '' AS content FROM {P}",
     "s18_versions": f"SELECT page_id::VARCHAR AS slug, rev_no, coalesce(content, '') AS content FROM {R}",

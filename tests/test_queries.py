@@ -32,6 +32,13 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(expected.columns, expected.fetchall())
 
 
+@pytest.mark.parametrize("name", registry.UNREGISTERED)
+def test_fixed_rows_equal_sql(spark, duck, name):
+    query, sql = registry.unregistered()[name]
+    df, expected = query(spark, SF), duck.sql(sql)
+    assert name not in registry.queries() and rows(df.columns, df.collect()) == rows(expected.columns, expected.fetchall())
+
+
 @pytest.mark.parametrize("name", "f05_theme_roots f06_css_imports f08_css_urls f13_page_source f14_change_rows f15_revision_rows f16_file_links f30_sniff f36_journal g01_references".split())
 def test_extractors_read_every_row(spark, duck, name):
     df = registry.queries()[f"{name}_table"](spark, SF)
