@@ -9,7 +9,7 @@ from strandline.operators import migrations, queue
 from strandline.operators.layered import LayeredTable
 from strandline.operators.versions import VersionedSite
 from strandline.plans.catalog import NOW
-from strandline.sources import feed_source
+from strandline.sources import blob_sink, feed_source
 from strandline.sources import tables as T
 from strandline.session import shared_folder
 from strandline.streaming import discovery
@@ -112,6 +112,24 @@ def site_claims(s, d):
     return queue.claim_by_site(jobs, NOW).select("id", "site", "status", "attempts")
 
 
+def stored_texts(s, d):
+    """Every document's text stored as an object: what the manifest says of each hash, and what lies in the store."""
+    root = shared_folder(s, "objects")
+    blob_sink.store_blobs(s.read.parquet(f"{d}/documents.parquet").select(F.col("text").cast("binary").alias("content")), root)
+    noted = blob_sink.manifest(s, root).groupBy("sha256").agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("values"))
+    return noted.join(blob_sink.list_blobs(s, root).select("sha256", F.col("size").alias("stored")), "sha256", "full_outer")
+
+
+def swept_objects(s, d):
+    """Objects that are left when those without a saved file row have been marked and swept."""
+    root = shared_folder(s, "objects")
+    blob_sink.store_blobs(s.read.parquet(f"{d}/documents.parquet").select(F.col("text").cast("binary").alias("content")), root)
+    marks, live = blob_sink.open_marks(s, shared_folder(s, "marks")), T.files(s, d)
+    blob_sink.mark(marks, blob_sink.list_blobs(s, root), live, NOW)
+    blob_sink.sweep(marks, live, root, NOW + 100, 60)
+    return blob_sink.list_blobs(s, root).select("sha256", "size")
+
+
 def import_numbers(s, d):
     """Jobs of an import: how many, how many numbers, and the least and greatest."""
     from strandline.plans.site import imported
@@ -127,6 +145,8 @@ QUERIES = {
     "s01_migrated_jobs": migrated_jobs,
     "s01_migrated_state": migrated_state,
     "t01_claims_by_site": site_claims,
+    "k01_stored_texts": stored_texts,
+    "j08_swept_objects": swept_objects,
     "u09_import_numbers": import_numbers,
 }
 
@@ -157,6 +177,8 @@ ORACLE = {
   r AS (SELECT site, count(*) AS busy FROM j WHERE st = 'running' GROUP BY site),
   k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY priority DESC, run_at, id) AS place FROM j WHERE st = 'pending' AND run_at <= {NOW})
   SELECT id, k.site AS site, 'running' AS status, attempts + 1 AS attempts FROM k LEFT JOIN r ON k.site = r.site WHERE place <= 4 - coalesce(busy, 0)""",
+    "k01_stored_texts": """SELECT sha256(coalesce(text, '')) AS sha256, max(strlen(coalesce(text, ''))) AS size, count(*) AS values, max(strlen(coalesce(text, ''))) AS stored FROM documents GROUP BY 1""",
+    "j08_swept_objects": f"SELECT DISTINCT sha256, size FROM {T.SQL['files']} WHERE sha256 IS NOT NULL",
     "u09_import_numbers": """WITH c AS (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
   d AS (SELECT count(*) AS n FROM (SELECT DISTINCT conv_id, turn FROM c WHERE turn % 3 <> 0)),
   f AS (SELECT count(*) AS n FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 4 = 0)),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strandline.operators import layered, merge, migrations, publication, queue, site_import
 from strandline.operators.layered import Conflict, Footprint, LayeredTable
 from strandline.operators.versions import VersionedSite
-from strandline.sources import feed_source, files
+from strandline.sources import blob_sink, feed_source, files
 from strandline.streaming import discovery
 
 KV = "k long, v string, n long"
@@ -386,3 +386,69 @@ def test_a_writer_that_lost_its_lock(spark, tmp_path):
     assert store.owns(quick) and store.move_head("b" * 64, quick)
     successor.__exit__(None, None, None)
     assert not Path(f"{tmp_path}/o/.publish.lock").exists()
+
+
+# -- objects --------------------------------------------------------------
+
+
+def blobs(spark, *found):
+    return spark.createDataFrame([(bytearray(x) if x is not None else None,) for x in found], "content binary")
+
+
+def test_a_run_publishes_all_or_nothing(spark, tmp_path):
+    root = f"file://{tmp_path}/o"
+    blob_sink.store_blobs(blobs(spark, b"a", b"b", b"a", None), root)
+    first = sorted((r["sha256"][:4], r["size"]) for r in blob_sink.manifest(spark, root).collect())
+    assert len(first) == 4 and blob_sink.list_blobs(spark, root).count() == 3
+    broken = blobs(spark, b"c", b"d").withColumn("content", F.when(F.col("content") == F.lit(bytearray(b"d")), F.raise_error(F.lit("lost")).cast("binary")).otherwise(F.col("content")))
+    with pytest.raises((PySparkException, Exception), match="lost"):
+        blob_sink.store_blobs(broken, root)
+    assert sorted((r["sha256"][:4], r["size"]) for r in blob_sink.manifest(spark, root).collect()) == first
+    assert not list((tmp_path / "o/_aside").iterdir()) and not list((tmp_path / "o").rglob("*.part"))
+    blob_sink.store_blobs(blobs(spark, b"a", b"c"), root)
+    assert sorted((r["size"], r["written"]) for r in blob_sink.manifest(spark, root).collect())[-2:] and blob_sink.manifest(spark, root).count() == 6
+
+
+def test_attempts_that_failed_are_in_no_manifest(tmp_path):
+    """Two attempts of one task and one lost midway: the parts of the committed one count."""
+    writer = blob_sink.BlobWriter(f"file://{tmp_path}/o", 0)
+    good = writer.write(iter([(b"x",), (b"y",)]))
+    again = writer.write(iter([(b"x",), (b"y",)]))
+
+    def dying():
+        yield (b"z",)
+        raise OSError("killed")
+
+    with pytest.raises(OSError, match="killed"):
+        writer.write(dying())
+    writer.commit([again, None])
+    assert json.loads((tmp_path / f"o/_manifest/{writer.run}/parts").read_text()) == [again.name] != [good.name]
+    sha = blob_sink.put_blob(*blob_sink._store(f"file://{tmp_path}/o"), b"x")
+    assert sha[1] is False
+    (tmp_path / "o" / files.blob_name(sha[0])).write_bytes(b"xx")
+    with pytest.raises(OSError, match="bytes"):
+        writer.write(iter([(b"x",)]))
+    with pytest.raises(ValueError, match="append"):
+        blob_sink.BlobStore({"path": "x"}).writer(None, True)
+
+
+def test_objects_are_marked_then_swept(spark, tmp_path):
+    import hashlib
+
+    root, sha = f"file://{tmp_path}/o", {x: hashlib.sha256(x.encode()).hexdigest() for x in "abcd"}
+    blob_sink.store_blobs(blobs(spark, *(x.encode() for x in "abcd")), root)
+    marks = blob_sink.open_marks(spark, f"file://{tmp_path}/m")
+    live = lambda names: spark.createDataFrame([(sha[x],) for x in names] + [(None,)], "sha256 string")
+    listed = lambda: blob_sink.list_blobs(spark, root)
+    name = {v: k for k, v in sha.items()}
+    marked = lambda: {name[r["sha256"]]: r["since"] for r in marks.read().collect()}
+    blob_sink.mark(marks, listed(), live("ab"), 100)
+    assert marked() == {"c": 100, "d": 100}
+    blob_sink.mark(marks, listed(), live("bc"), 150)  # c is referred to again, a no more
+    assert marked() == {"a": 150, "d": 100}
+    assert blob_sink.sweep(marks, live("bc"), root, 160, 60).collect()[0]["sha256"] == sha["d"]
+    assert marked() == {"a": 150} and {name[r["sha256"]] for r in listed().collect()} == set("abc")
+    # A reference that came after the mark saves the object, whatever its age.
+    assert blob_sink.sweep(marks, live("abc"), root, 999, 60).count() == 0 and listed().count() == 3
+    assert blob_sink.sweep(marks, live("bc"), root, 999, 60).count() == 1 and {name[r["sha256"]] for r in listed().collect()} == set("bc")
+    assert blob_sink.list_blobs(spark, f"file://{tmp_path}/none").count() == 0 and blob_sink.manifest(spark, f"file://{tmp_path}/none").count() == 0
