@@ -468,9 +468,10 @@ def nested(found: list[list[tuple] | None]) -> pa.ListArray:
     return pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, values), mask=pa.array([rows is None for rows in found]))
 
 
-def sample_digest(documents: DataFrame, k: int = SAMPLES, seed: int = SEED, vocabulary: str = VOCABULARY, with_ids: bool = False, remembered: int = CHUNKS, step_bytes: int | None = None) -> DataFrame:
+def sample_digest(documents: DataFrame, k: int = SAMPLES, seed: int = SEED, vocabulary: str = VOCABULARY, with_ids: bool = False, remembered: int = CHUNKS, step_bytes: int | None = None, keep: bool = False) -> DataFrame:
     """doc_id and, for each sample in turn, its size, scores, SHA-256 of its ids, and whether all decode to the text; with_ids: the ids too.
 
+    keep: a worker's next task goes on with the chunks of the last, where memory allows (about 500 bytes a chunk).
     remembered and step_bytes: chunks that a worker remembers and bytes of text that it takes at a time; less
     memory, more time.
     """
@@ -492,7 +493,7 @@ def sample_digest(documents: DataFrame, k: int = SAMPLES, seed: int = SEED, voca
         extra = [nested(found)] if with_ids else []
         yield pa.RecordBatch.from_arrays([step.column("doc_id").cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *extra], names=["doc_id", *names, *(["ids"] if with_ids else [])])
 
-    return text_pass(documents.select("doc_id", "text"), one, "doc_id long, n_samples long, n_pieces array<long>, log_prob array<double>, perturbed array<double>, log_inclusion array<double>, ids_sha256 array<string>, round_trip boolean" + ", ids array<array<int>>" * with_ids, forget(vocabulary), step_bytes)
+    return text_pass(documents.select("doc_id", "text"), one, "doc_id long, n_samples long, n_pieces array<long>, log_prob array<double>, perturbed array<double>, log_inclusion array<double>, ids_sha256 array<string>, round_trip boolean" + ", ids array<array<int>>" * with_ids, None if keep else forget(vocabulary), step_bytes)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -508,7 +509,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=True)
+    return sample_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=True, remembered=2 * CHUNKS, keep=True)
 
 
 QUERIES = {"op4_piece_sampling": op4}
