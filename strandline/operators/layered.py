@@ -81,9 +81,11 @@ class LayeredTable(_Log):
     def note(self, version: int | None = None) -> str | None:
         return self.state(version)["note"]
 
-    def create(self, rows: DataFrame, keys: list[str], buckets: int = 16, note: str | None = None) -> int:
-        """The first version."""
-        state = {"keys": keys, "schema": rows.schema.json(), "buckets": buckets, "bases": {}, "deltas": [], "own": None, "wrote": Footprint().to_json(), "note": note}
+    def create(self, rows: DataFrame, keys: list[str], buckets: int = 16, note: str | None = None, by: list[str] | None = None) -> int:
+        """The first version. by: the keys that choose a row's bucket, so that read_groups() opens few of them (all by default)."""
+        if not set(by or keys) <= set(keys):
+            raise ValueError(f"{by} are not all keys of {keys}")
+        state = {"keys": keys, "by": by or keys, "schema": rows.schema.json(), "buckets": buckets, "bases": {}, "deltas": [], "own": None, "wrote": Footprint().to_json(), "note": note}
         folder, held = self._write_rows(rows, state, "b")
         #: A bucket's base, and the number up to which it holds all changes.
         state["bases"] = {str(b): [folder, 0] for b in held}
@@ -99,7 +101,7 @@ class LayeredTable(_Log):
         return F.xxhash64(*keys)
 
     def _bucket(self, state: dict) -> Column:
-        return F.pmod(self._hash(state["keys"]), F.lit(state["buckets"])).cast("int")
+        return F.pmod(self._hash(state.get("by", state["keys"])), F.lit(state["buckets"])).cast("int")
 
     def _base(self, state: dict, buckets: set[int] | None = None) -> DataFrame:
         paths = [f"{self.path}/{folder}/_bucket={b}" for b, (folder, _) in state["bases"].items() if folder and (buckets is None or int(b) in buckets)]
@@ -126,12 +128,12 @@ class LayeredTable(_Log):
         newest = rows.groupBy(*state["keys"]).agg(F.max_by(F.struct(*(c for c in schema.fieldNames() if c not in state["keys"])), "_seq").alias("_row"))
         return newest.select(*(F.col(c) if c in state["keys"] else F.col(f"_row.`{c}`").alias(c) for c in schema.fieldNames()))
 
-    def _rows(self, state: dict, buckets: set[int] | None = None, only: DataFrame | None = None) -> DataFrame:
-        """Rows of a state, of these buckets, and of the keys of only (small)."""
+    def _rows(self, state: dict, buckets: set[int] | None = None, only: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
+        """Rows of a state, of these buckets, and of the keys (those of on, if given) of only."""
         keys, columns = state["keys"], self._schema(state).fieldNames()
         base, layers = self._base(state, buckets), self._layers(state, buckets)
         if only is not None:
-            base, layers = base.join(only, keys, "left_semi"), layers.join(only, keys, "left_semi")
+            base, layers = base.join(only, on or keys, "left_semi"), layers.join(only, on or keys, "left_semi")
         few = sum(d[3] for d in state["deltas"]) <= BROADCAST_ROWS
         touched = layers.select(keys)
         kept = base.join(F.broadcast(touched) if few else touched, keys, "left_anti") if state["deltas"] else base
@@ -147,6 +149,13 @@ class LayeredTable(_Log):
         only = keys.select(state["keys"]).distinct()
         return self._rows(state, self._buckets_of(only, state), only)
 
+    def read_groups(self, groups: DataFrame, version: int | None = None) -> DataFrame:
+        """All rows that share the bucketing keys of these rows; only their buckets are read."""
+        state = self.state(version)
+        by = state.get("by", state["keys"])
+        only = groups.select(by).distinct()
+        return self._rows(state, self._buckets_of(only, state), only, by)
+
     def _buckets_of(self, keys: DataFrame, state: dict) -> set[int]:
         return {r[0] for r in keys.select(self._bucket(state)).distinct().collect()}  # at most as many as buckets
 

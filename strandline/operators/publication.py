@@ -2,14 +2,15 @@
 
 Objects are named by the SHA-256 of their bytes, so writing one twice is
 harmless and executors may be lost at any time; HEAD moves last, and only if it
-would change. Bytes reach storage through ``binaryFile``-shaped frames and the
-Hadoop file system on the driver for the three small objects.
+would change. Archives and parts of sections are written by tasks; the driver
+strings the parts together and writes the three small objects.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import json
 import tarfile
 import time
 import uuid
@@ -18,7 +19,7 @@ from contextlib import contextmanager
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import text as X
@@ -30,6 +31,10 @@ FORMAT = 3
 PAGE_ENTRY = """id:string,slug:string,title:string,tags:array<string>,revisions_stored:long,revisions_known:long,max_rev:long,
   created_by:string,created_at:long,updated_by:string,updated_at:long,archive:string,archive_sha256:string"""
 FILE_ENTRY = "path:string,sha256:string,size:long,content_type:string,status:string,blob:string"
+#: What an entry of a section begins with.
+ENTRY_KEY = {"pages": "id", "files": "path"}
+#: Bytes of a section that one task writes.
+PART_BYTES = 64 << 20
 ZSTD_LEVEL = 19
 #: Bytes of one page's tar that are held before it is compressed.
 HELD_BYTES = 32 << 20
@@ -147,6 +152,24 @@ def checked_counts(packed: DataFrame, catalog: DataFrame) -> DataFrame:
     return joined.withColumn("_ok", ok).where("_ok").select(packed.columns)
 
 
+def page_catalog(revs: DataFrame) -> DataFrame:
+    """Counts, head and first/last stored revision of each page; one shuffle on page_id.
+
+    The key a min_by/max_by orders on is null where nothing is stored, so such
+    revisions never win; pages with nothing stored get nulls.
+    """
+    stored_no = F.when(F.col("content").isNotNull(), F.col("rev_no"))
+    return revs.groupBy("page_id").agg(
+        F.count("content").alias("revisions_stored"),
+        F.count(F.lit(1)).alias("revisions_known"),
+        F.coalesce(F.max("rev_no"), F.lit(0).cast("long")).alias("max_rev"),
+        F.min_by("author", stored_no).alias("created_by"),
+        F.min_by("ts", stored_no).alias("created_at"),
+        F.max_by("author", stored_no).alias("updated_by"),
+        F.max_by("ts", stored_no).alias("updated_at"),
+    )
+
+
 def page_entries(catalog: DataFrame) -> DataFrame:
     """page_id and entry: the canonical JSON of each page, archive fields null where nothing is stored."""
     stored = F.col("revisions_stored") > 0
@@ -224,27 +247,43 @@ class Store:
     def put_list(self, kind: str, opening: str, entries: DataFrame, order: str, closing: str) -> str:
         """An object of the column ``entry`` of all rows in total order, between opening and closing; the hash of its bytes.
 
-        The rows stream to one file, commas between them, and the driver's JVM streams that file on; nobody holds it.
+        Entries are computed once; tasks then sort and write ranges of the order of about PART_BYTES each, commas between
+        entries. The driver's JVM strings the files together and hashes them in the same stream, in a small buffer: a hash
+        over all bytes can only be taken in their order. Bytes of the section never enter Python, and no task holds it.
         """
         aside = f"_aside/{uuid.uuid4().hex}"
-        entries.orderBy(order).select("entry").coalesce(1).write.option("lineSep", ",").text(f"{self.root}/{aside}")
+        seen = Observation()
+        size = F.sum(F.octet_length("entry") + 1)
+        entries.select(order, "entry").observe(seen, size.alias("bytes")).write.parquet(f"{self.root}/{aside}/rows")
+        ranges = -(-(seen.get["bytes"] or 1) // PART_BYTES)
+        rows = self.spark.read.schema(entries.select(order, "entry").schema).parquet(f"{self.root}/{aside}/rows")
+        dealt = rows.repartitionByRange(ranges, order).sortWithinPartitions(order)
+        dealt.select("entry").write.option("lineSep", ",").text(f"{self.root}/{aside}/parts")
         whole = self._p(f"{aside}/whole")
-        out = self._fs.create(whole, True)
-        out.write(bytearray(opening.encode()))
-        for status in self._fs.listStatus(self._p(aside)):
-            if status.getPath().getName().startswith("part-") and status.getLen():
-                part = self._fs.open(status.getPath())
-                self._jvm.org.apache.commons.io.IOUtils.copyLarge(part, out, 0, status.getLen() - 1)
-                part.close()
-        out.write(bytearray(closing.encode()))
-        out.close()
-        sha = files.sha256_of(self.spark, self._fs, whole)
-        size = self._fs.getFileStatus(whole).getLen()
+        sha, size = self._join(f"{aside}/parts", whole, opening.encode(), closing.encode())
         if not files.move(self.spark, whole, self._p(object_name(kind, sha)), overwrite=False) and self.size(object_name(kind, sha)) != size:
             raise OSError(f"{object_name(kind, sha)} does not have {size} bytes")
         self._fs.delete(self._p(aside), True)
         return sha
 
+    def _join(self, folder: str, whole, opening: bytes, closing: bytes) -> tuple[str, int]:
+        """Hash and size of the file whole: opening, the folder's parts by number without their last comma, closing."""
+        parts = [s for s in self._fs.listStatus(self._p(folder)) if s.getPath().getName().startswith("part-") and s.getLen()]
+        parts.sort(key=lambda s: int(s.getPath().getName().split("-")[1]))
+        digest = self._jvm.java.security.MessageDigest.getInstance("SHA-256")
+        out = self._jvm.java.security.DigestOutputStream(self._fs.create(whole, True), digest)
+        out.write(bytearray(opening))
+        size = len(opening) + len(closing)
+        for part in parts:
+            length = part.getLen() - (part is parts[-1])
+            stream = self._fs.open(part.getPath())
+            self._jvm.org.apache.commons.io.IOUtils.copyLarge(stream, out, 0, length)
+            stream.close()
+            size += length
+        out.write(bytearray(closing))
+        out.close()
+        return bytes(b & 255 for b in digest.digest()).hex(), size
+
     @contextmanager
     def locked(self, lease_s: int = 3_600):
         """The exclusive right to publish; gives the owner's token. A lock older than the lease was left by a lost writer and is taken over.
@@ -287,17 +326,40 @@ class Store:
         return files.move(self.spark, aside, self._p("HEAD"), overwrite=True)
 
 
+def _frame(kind: str, site: str) -> tuple[str, str]:
+    """What stands before and behind the entries of a section."""
+    return f'{{"v":{FORMAT},"site":{json.dumps(site, ensure_ascii=False)},"{kind}":[', "]}\n"
+
+
 def put_section(store: Store, kind: str, site: str, entries: DataFrame, order: str) -> str:
     """Write a section as compact JSON in the total order of its key; returns the hash of its bytes."""
-    import json
+    opening, closing = _frame(kind, site)
+    return store.put_list(kind, opening, entries, order, closing)
 
-    return store.put_list(kind, f'{{"v":{FORMAT},"site":{json.dumps(site, ensure_ascii=False)},"{kind}":[', entries, order, "]}\n")
+
+def section_entries(store: Store, kind: str, site: str, sha: str) -> DataFrame:
+    """Column entry: the JSON of each entry of a section, as it stands there.
+
+    The file is split like lines of text, at ``},{"id":`` (``"path"`` for files): an entry begins with its key, and a quote
+    inside a JSON string is escaped, so this stands between two entries and nowhere else. Each task reads its byte range.
+    """
+    opening, closing = _frame(kind, site)
+    first = f'{{"{ENTRY_KEY[kind]}":'
+    value = F.col("value")
+    raw = store.spark.read.text(f"{store.root}/{object_name(kind, sha)}", lineSep=f"}},{first}").where(value != opening + closing)
+    body = F.when(value.startswith(opening), F.substr(value, F.lit(len(opening) + 1))).otherwise(F.concat(F.lit(first), value))
+    last = F.endswith(body, F.lit("}" + closing))
+    return raw.select(F.when(last, F.substr(body, F.lit(1), F.length(body) - len(closing))).otherwise(F.concat(body, F.lit("}"))).alias("entry"))
+
+
+def read_section(store: Store, kind: str, site: str, sha: str) -> DataFrame:
+    """A row an entry of a section. An entry that is no JSON fails."""
+    schema = f"struct<{ {'pages': PAGE_ENTRY, 'files': FILE_ENTRY}[kind]}>"
+    return section_entries(store, kind, site, sha).select(F.from_json("entry", schema, {"mode": "FAILFAST"}).alias("e")).select("e.*")
 
 
 def parse_shell(value: str | None) -> dict:
     """The stored shell; broken JSON fails the publication, none is an empty one."""
-    import json
-
     if value is None:
         return {"title": "", "subtitle": ""}
     shell = json.loads(value)
@@ -306,6 +368,13 @@ def parse_shell(value: str | None) -> dict:
     return shell
 
 
+def put_root(store: Store, site: str, shas: dict[str, str]) -> str:
+    root = (json.dumps({"v": FORMAT, "site": site, **shas}, separators=(",", ":"), ensure_ascii=False) + "\n").encode()
+    sha = hashlib.sha256(root).hexdigest()
+    store.put(root_name(sha), root)
+    return sha
+
+
 def publish(store: Store, site: str, pages: DataFrame, file_rows: DataFrame, shell: str | None, out_state: DataFrame | None = None, cache: VersionedTable | None = None) -> tuple[str, bool]:
     """Sections and shell, then root, then the cache, then HEAD; returns the root's hash and whether HEAD moved.
 
@@ -313,14 +382,10 @@ def publish(store: Store, site: str, pages: DataFrame, file_rows: DataFrame, she
     out_state (page_id, packed_revs, archive_sha256) is what this publication packed; the cache commits a
     version only where rows of it changed.
     """
-    import json
-
     with store.locked() as owner:
         text = shell_text(parse_shell(shell)).encode()
         shas = {"pages": put_section(store, "pages", site, page_entries(pages), "page_id"), "files": put_section(store, "files", site, file_entries(file_rows), "path"), "shell": store.put_object("shell", text)}
-        root = (json.dumps({"v": FORMAT, "site": site, **shas}, separators=(",", ":"), ensure_ascii=False) + "\n").encode()
-        sha = hashlib.sha256(root).hexdigest()
-        store.put(root_name(sha), root)
+        sha = put_root(store, site, shas)
         if cache is not None and out_state is not None:
             update_cache(cache, out_state)
         return sha, store.move_head(sha, owner)
@@ -341,14 +406,11 @@ def update_cache(cache: VersionedTable, out_state: DataFrame) -> bool:
 
 def read_publication(store: Store) -> tuple[dict, DataFrame, DataFrame]:
     """Root, pages and files that HEAD points at; pages and files have a row an entry."""
-    import json
-
     sha = store.head()
     if sha is None:
         raise FileNotFoundError("nothing is published")
     root = json.loads(store.get(root_name(sha)))
-    read = lambda kind, entry: store.spark.read.json(f"{store.root}/{object_name(kind, root[kind])}", schema=f"v int, site string, {kind} array<struct<{entry}>>").select(F.explode(kind).alias("e")).select("e.*")
-    return root, read("pages", PAGE_ENTRY), read("files", FILE_ENTRY)
+    return root, *(read_section(store, kind, root["site"], root[kind]) for kind in ("pages", "files"))
 
 
 def verify_publication(store: Store) -> None:
@@ -364,5 +426,10 @@ def new_objects(wanted: DataFrame, present: DataFrame) -> DataFrame:
     return wanted.dropDuplicates(["sha256"]).join(present.select("sha256"), "sha256", "left_anti")
 
 
+def decide_archives(catalog: DataFrame) -> DataFrame:
+    """none, reuse, adopt or repack for each page: by what is stored, what was packed and whether its hash is known."""
+    return catalog.withColumn("decision", decision(F.col("revisions_stored"), F.col("packed_revs"), F.col("archive_sha256")))
+
+
 def decision(stored: Column, packed: Column, sha: Column) -> Column:
     return F.when(stored == 0, F.lit("none")).when(packed == stored, F.when(sha.isNotNull(), F.lit("reuse")).otherwise(F.lit("adopt"))).otherwise(F.lit("repack"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandline.functions import text as X
 from strandline.functions import urls
 from strandline.operators import graph, publication
-from strandline.plans.catalog import decide_archives, page_catalog
+from strandline.operators.publication import decide_archives, page_catalog
 from strandline.plans.scalars import _revision_files
 from strandline.sources import legacy
 from strandline.sources import tables as T

@@ -7,29 +7,12 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text as X
 from strandline.operators import merge, queue
+from strandline.operators.publication import decide_archives, page_catalog
 from strandline.sources import tables as T
 
 NOW = 1_546_300_800
 
 
-def page_catalog(revs: DataFrame) -> DataFrame:
-    """Counts, head and first/last stored revision of each page; one shuffle on page_id.
-
-    The key a min_by/max_by orders on is null where nothing is stored, so such
-    revisions never win; pages with nothing stored get nulls.
-    """
-    stored_no = F.when(F.col("content").isNotNull(), F.col("rev_no"))
-    return revs.groupBy("page_id").agg(
-        F.count("content").alias("revisions_stored"),
-        F.count(F.lit(1)).alias("revisions_known"),
-        F.coalesce(F.max("rev_no"), F.lit(0).cast("long")).alias("max_rev"),
-        F.min_by("author", stored_no).alias("created_by"),
-        F.min_by("ts", stored_no).alias("created_at"),
-        F.max_by("author", stored_no).alias("updated_by"),
-        F.max_by("ts", stored_no).alias("updated_at"),
-    )
-
-
 def pages_to_pack(pages: DataFrame, revs: DataFrame, out_state: DataFrame) -> DataFrame:
     """Every page with its catalog row and what was packed; pages without revisions count 0."""
     cat = page_catalog(revs).withColumnRenamed("updated_at", "last_at")
@@ -149,12 +132,6 @@ _BUILD = {
 }
 
 
-def decide_archives(catalog: DataFrame) -> DataFrame:
-    """none, reuse, adopt or repack for each page: by what is stored, what was packed and whether its hash is known."""
-    decision = F.when(F.col("revisions_stored") == 0, F.lit("none")).when(F.col("packed_revs") == F.col("revisions_stored"), F.when(F.col("archive_sha256").isNotNull(), F.lit("reuse")).otherwise(F.lit("adopt"))).otherwise(F.lit("repack"))
-    return catalog.withColumn("decision", decision)
-
-
 QUERIES = {name: _q(name, build) for name, build in _BUILD.items()}
 
 R, D, P, FI, J, O, FE = (T.SQL[k] for k in ("revisions", "denied", "pages", "files", "jobs", "out_state", "feed"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("catalog", "scalars", "changes", "archive", "more", "whole", "site", "layers")
+MODULES = ("catalog", "scalars", "changes", "archive", "more", "whole", "site", "layers", "published")
 
 
 def _gather(attribute: str) -> dict:

@@ -47,10 +47,10 @@ def _store(root: str):
     return store, base.rstrip("/"), stores.FileType
 
 
-def put_blob(store, base: str, kinds, data: bytes) -> tuple[str, bool]:
-    """The object's hash, and whether it is new. One that is there must have the same size."""
+def put_blob(store, base: str, kinds, data: bytes, suffix: str | None = None) -> tuple[str, bool]:
+    """The object's hash, and whether it is new. One that is there must have the same size. suffix: objects bear their whole hash and it."""
     sha = hashlib.sha256(data).hexdigest()
-    path = f"{base}/{blob_name(sha)}"
+    path = f"{base}/{blob_name(sha) if suffix is None else f'{sha[:2]}/{sha[2:4]}/{sha}{suffix}'}"
     known = store.get_file_info(path)
     if known.type != kinds.NotFound:
         if known.size != len(data):
@@ -73,8 +73,8 @@ class Part(WriterCommitMessage):
 
 
 class BlobWriter(DataSourceWriter):
-    def __init__(self, root: str, column: int):
-        self.root, self.column, self.run = root, column, uuid.uuid4().hex
+    def __init__(self, root: str, column: int, suffix: str | None = None):
+        self.root, self.column, self.suffix, self.run = root, column, suffix, uuid.uuid4().hex
 
     def write(self, iterator) -> Part:
         store, base, kinds = _store(self.root)
@@ -83,7 +83,7 @@ class BlobWriter(DataSourceWriter):
         with store.open_output_stream(f"{base}/_aside/{self.run}/{name}") as out:
             for row in iterator:
                 data = bytes(row[self.column] or b"")
-                sha, fresh = put_blob(store, base, kinds, data)
+                sha, fresh = put_blob(store, base, kinds, data, self.suffix)
                 out.write(json.dumps({"sha256": sha, "size": len(data), "written": fresh}).encode() + b"\n")
                 n += 1
         return Part(name, n)
@@ -154,13 +154,14 @@ class BlobStore(DataSource):
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         if overwrite:
             raise ValueError("objects are added and never replaced: use mode append")
-        return BlobWriter(self.options["path"], schema.fieldNames().index("content"))
+        return BlobWriter(self.options["path"], schema.fieldNames().index("content"), self.options.get("suffix"))
 
 
-def store_blobs(rows: DataFrame, root: str) -> None:
-    """Store column content of rows under root."""
+def store_blobs(rows: DataFrame, root: str, suffix: str | None = None) -> None:
+    """Store column content of rows under root; with a suffix, named as a publication names its objects."""
     rows.sparkSession.dataSource.register(BlobStore)
-    rows.select("content").write.format("blob_store").option("path", root).mode("append").save()
+    out = rows.select("content").write.format("blob_store").option("path", root).mode("append")
+    (out if suffix is None else out.option("suffix", suffix)).save()
 
 
 def list_blobs(spark: SparkSession, root: str) -> DataFrame:
