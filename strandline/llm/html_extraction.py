@@ -14,8 +14,13 @@ block-level start tag closes an open paragraph; character references are
 decoded once, in text only; ``br`` counts as white space; white space is what
 ``str.split`` cuts at.
 
-Defined cases: null or empty html: text '' and n_chars 0; no block is main:
-the same; repeated rows each get a result row.
+Where the labels of a page leave no main text, as on pages of a few short
+paragraphs, all blocks are taken that no name speaks against: none of their
+ancestors' tags and names weighs FURNITURE_WEIGHT or less, and they are neither
+mostly links nor a copyright line.
+
+Defined cases: null or empty html: text '' and n_chars 0; no block, or nothing
+but furniture: the same; repeated rows each get a result row.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ from strandline.llm.common import text_pass
 from strandline.llm.crf import Crf
 
 TRAINING_PAGES = 700
+#: Learned weight (for main text, less against it) from which on a tag or a name tells furniture.
+FURNITURE_WEIGHT = -1.0
 #: Tags that border blocks.
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -219,6 +226,9 @@ def leaf_blocks(page: str, known=None) -> list[tuple[str, tuple[str, ...], int]]
     return out
 
 
+LINK_SHARES = (0.01, 0.3, 0.7)
+
+
 def bucket(n: float, bounds: tuple[float, ...]) -> int:
     return sum(n >= b for b in bounds)
 
@@ -230,7 +240,7 @@ def block_features(block: tuple[str, tuple[str, ...], int], at: int, count: int)
         "bias",
         *names,
         f"w:{bucket(words, (2, 4, 8, 15, 30, 80))}",
-        f"l:{bucket(links / max(len(text), 1), (0.01, 0.3, 0.7))}",
+        f"l:{bucket(links / max(len(text), 1), LINK_SHARES)}",
         f"e:{text[-1] in '.!?…»”\"'}",
         f"s:{bucket(sum(map(text.count, ',;:')), (1, 3))}",
         f"at:{bucket(at / max(count - 1, 1), (0.1, 0.5, 0.9))}",
@@ -247,9 +257,16 @@ class Extractor:
 
     def __init__(self, numbers: dict[str, int], crf: Crf):
         self.numbers, self.crf = numbers, crf
+        weight = crf.emit[:, 1] - crf.emit[:, 0]
+        self.furniture = {f for f, k in numbers.items() if f.startswith(("t:", "c:")) and weight[k] <= FURNITURE_WEIGHT} | {"c:hidden", "copyright", f"l:{len(LINK_SHARES)}"}
+        self.known = self.furniture | numbers.keys()
+
+    def unspoken(self, blocks: list[tuple[str, tuple[str, ...], int]]) -> list[str]:
+        """Texts of the blocks that no name speaks against."""
+        return [b[0] for at, b in enumerate(blocks) if self.furniture.isdisjoint(block_features(b, at, len(blocks)))]
 
     def extract(self, pages: list[str | None]) -> list[str]:
-        blocks = [leaf_blocks(p, self.numbers) if p else [] for p in pages]
+        blocks = [leaf_blocks(p, self.known) if p else [] for p in pages]
         lengths = np.array([len(b) for b in blocks], np.int64)
         ids, starts = [], [0]
         number = self.numbers.get
@@ -269,7 +286,8 @@ class Extractor:
             for i in group:
                 own = labels[at : at + lengths[i]]
                 at += lengths[i]
-                out[i] = "\n".join(b[0] for b, y in zip(blocks[i], own.tolist(), strict=True) if y)
+                main = [b[0] for b, y in zip(blocks[i], own.tolist(), strict=True) if y]
+                out[i] = "\n".join(main or self.unspoken(blocks[i]))
         return out
 
 

@@ -748,8 +748,33 @@ HANDMADE = [
     <blockquote>*Good bread takes its time, as my grandmother used to say.</blockquote></article><section id="comments"><h3>3 comments</h3><p>Great recipe, thank you!</p></section></main><footer><p>Contact us | Privacy | Terms</p></footer></body></html>""",
     """<html><body><div id="cookie-notice">We use cookies. <button>Accept</button></div><div id="page"><div id="content"><h1>*Release 4.2</h1><p>*This version mends the crash at start and reads files twice as fast.</p><pre>*install --now</pre><p>*Thanks to everybody who sent reports in spring.</p></div>
     <div id="sidebar"><h4>Related</h4><ul><li><a href="/r1">Release 4.1</a></li></ul></div></div></body></html>""",
+    """<body><div id="wrap"><div id="head"><a href="/">Start</a> <a href="/w">Werke</a></div><div id="txt"><h1>*Über das Wetter</h1><p>*Am Morgen lag Nebel über dem Fluss, und die Fähre fuhr nicht.</p><p>*Gegen Mittag kam die Sonne heraus.</p></div><div id="footer">© 2011 Wetterblatt</div></div></body>""",
+    """<body><div class="page"><ul class="menu"><li><a href="/a">About</a></li><li><a href="/c">Contact</a></li></ul><div class="entry"><h2>*A walk by the lake</h2><p>*We left early and met nobody on the path.</p><dl><dt>*Distance</dt><dd>*Eleven miles, most of them flat.</dd></dl></div><div class="comments"><p>I did this walk too, lovely.</p></div></div></body>""",
+    """<body><section><h1>*How to mend a bicycle tube</h1><ol><li>*Take the wheel off and the tube out.</li><li>*Find the hole in a bowl of water.</li><li>*Roughen, glue, wait, press the patch on.</li></ol></section><aside><p>See also our <a href="/p">pumps</a>.</p></aside><form><label>Mail</label><input><button>Join</button></form></body>""",
+    """<body><div class="ad"><p>Buy two, get one free today!</p></div><article><p>*The council voted for the bridge, by nine to four.</p><div class="ad">Cheap flights to the south.</div><p>*Work begins in spring, if the river allows.</p></article><div class="related"><h3>More</h3><p><a href="/1">Old bridge closes</a></p></div></body>""",
+    """<body><center><font size="2"><h1>*My stamps</h1><p>*I began to collect in 1974, with a blue one from Norway.</p><p>*Write to me if you have doubles to trade.</p></font></center><div class="copyright">(c) 1999 me</div></body>""",
 ]
 
+#: Short pages: (page, main text). Their labels alone leave none.
+SHORT = [
+    ('<div class="wrap"><h2>Notes</h2><p>Short.</p><p>Another short line.</p><p>Es regnet heute in der Stadt.</p></div>', "Notes\nShort.\nAnother short line.\nEs regnet heute in der Stadt."),
+    ("<p>Short.</p>", "Short."),
+    ("<body><p>One.</p><p>Two words.</p></body>", "One.\nTwo words."),
+    ("<div><p>Hello world</p></div>", "Hello world"),
+    ('<div id="nav"><a href="/">Home</a></div><div id="foo"><p>Kurz.</p></div><div id="footer">© 2020 X</div>', "Kurz."),
+    ('<div class="cookie">We use cookies.</div><div class="x9"><p>A line.</p></div><form><p>Your mail</p></form>', "A line."),
+    ('<nav><a href="/">Home</a></nav><footer>(c) 2020</footer>', ""),
+    ('<div class="cookie">We use cookies. Accept?</div>', ""),
+    ('<div style="display:none"><p>Not to be seen.</p></div>', ""),
+    ('<div><a href="/a">All of this is a link</a></div>', ""),
+    ("<script>x</script><style>p{}</style>", ""),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), SHORT)
+def test_short_pages_keep_their_text(extractor, page, text):
+    assert extractor.extract([page]) == [text]
+
 
 def test_accuracy_on_pages_by_hand(extractor):
     hit = said = wanted = 0
