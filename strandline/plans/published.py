@@ -9,7 +9,9 @@ from strandline.operators import changed
 from strandline.operators import publication as P
 from strandline.operators.layered import LayeredTable
 from strandline.session import shared_folder
+from strandline.sources import blob_sink
 from strandline.sources import tables as T
+from strandline.sources.shard_tree import shard_tree
 
 SHELL = '{"title": "T", "subtitle": "s", "theme_roots": []}'
 #: Number of the revision that edits add.
@@ -82,7 +84,14 @@ def archives_back(s, d):
     return P.unpack_pages(pages.join(found, "archive_sha256")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.max("name").alias("last"))
 
 
-QUERIES = {"u06_changed_publication": changed_pages, "u08_changed_files": changed_files, "u08_published_archives": archives_back}
+def tree_of_texts(s, d):
+    """Every document's text as a file under the shards of its hash, read back as a tree: key and bytes of each file."""
+    root = shared_folder(s, "tree")
+    blob_sink.store_blobs(s.read.parquet(f"{d}/documents.parquet").select(F.col("text").cast("binary").alias("content")), root)
+    return shard_tree(s, root, depth=3).select("key", F.octet_length("raw").cast("long").alias("size"))
+
+
+QUERIES = {"s09_shard_tree": tree_of_texts, "u06_changed_publication": changed_pages, "u08_changed_files": changed_files, "u08_published_archives": archives_back}
 
 R, PG, FI = (T.SQL[k] for k in ("revisions", "pages", "files"))
 _REVISIONS = f"""(SELECT page_id, rev_no, min(content) AS content FROM {R} WHERE page_id IS NOT NULL AND rev_no IS NOT NULL GROUP BY 1, 2
@@ -90,6 +99,7 @@ _REVISIONS = f"""(SELECT page_id, rev_no, min(content) AS content FROM {R} WHERE
 _BLOB = "'files_ca/' || substr(sha256, 1, 2) || '/' || substr(sha256, 3, 2) || '/' || substr(sha256, 5)"
 
 ORACLE = {
+    "s09_shard_tree": "SELECT DISTINCT sha256(coalesce(text, '')) AS key, strlen(coalesce(text, '')) AS size FROM documents",
     "u06_changed_publication": f"""WITH c AS (SELECT page_id, count(content) AS n, max(rev_no) AS m FROM {_REVISIONS} GROUP BY 1)
   SELECT page_id AS id, slug, CASE WHEN page_id % 50 = 0 THEN upper(title) ELSE title END AS title, coalesce(n, 0)::BIGINT AS revisions_stored, coalesce(m, 0)::BIGINT AS max_rev,
     coalesce(n, 0) > 0 AS archived, page_id % 20 = 3 AS repacked FROM {PG} LEFT JOIN c USING (page_id) WHERE page_id % 31 <> 7""",

@@ -12,25 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from strandline.functions import text as X
-
-
-def _relative(root: str) -> Column:
-    return F.regexp_replace(F.col("_metadata.file_path"), f"^.*?{root.rstrip('/').rsplit('/', 1)[-1]}/", "")
+from strandline.sources.shard_tree import shard_tree
 
 
 def sharded_journals(spark: SparkSession, root: str) -> DataFrame:
-    """key and journal of each file exactly three levels below root; the key is its path without the slashes."""
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(_relative(root).alias("rel"), F.col("value").alias("raw"))
-    return files.where(F.size(F.split("rel", "/")) == 3).select(F.replace("rel", F.lit("/"), F.lit("")).alias("key"), X.journal(F.col("raw")).alias("journal"))
+    """key and journal of each file exactly three levels below root; the key is its path without the slashes, and a filter on it prunes folders."""
+    return shard_tree(spark, root, depth=3).select("key", X.journal(F.col("raw")).alias("journal"))
 
 
 def revision_files(spark: SparkSession, root: str) -> DataFrame:
-    """Frontmatter of every r*.txt under root; none if there is no such folder."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], "rel string, raw string").select("rel", X.frontmatter(F.col("raw")).alias("f"), "raw")
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="r*.txt")
-    return files.select(_relative(root).alias("rel"), X.frontmatter(F.col("value")).alias("f"), F.col("value").alias("raw"))
+    """Frontmatter of every r*.txt under root; none if there is no such folder. A filter on rel prunes folders."""
+    return shard_tree(spark, root, names="r*.txt").select("rel", X.frontmatter(F.col("raw")).alias("f"), "raw")
 
 
 def import_revisions(journals: DataFrame, files: DataFrame, site: str) -> DataFrame:
