@@ -10,7 +10,9 @@ change writes is in proportion to the change.
 Writers need no lock. A change notes which keys it read and wrote (their
 hashes, or ranges of hashes by bucket where they are many). When another commit
 came first, a change whose keys that commit did not write is moved behind it
-and tried again; one whose keys it wrote is refused with ``Conflict``.
+and tried again; one whose keys it wrote is refused with ``Conflict``. Ranges can meet
+where no key does: ``begin(exact=True)`` then compares the keys themselves, by a
+join with the other commit's delta, and is refused for a shared key only.
 
 ``compact`` folds the deltas of some buckets into a new base for these, beside
 running writers: it changes no row, so it conflicts with nothing.
@@ -35,6 +37,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from strandline.operators import merge
 from strandline.operators.versions import _Log
+from strandline.session import shared_folder, written
 
 #: Rows of deltas whose keys a reader broadcasts; beyond it the anti-join shuffles.
 BROADCAST_ROWS = 1 << 17
@@ -180,9 +183,9 @@ class LayeredTable(_Log):
             return False
         return True
 
-    def begin(self) -> Change:
-        """A change on top of the newest version."""
-        return Change(self)
+    def begin(self, exact: bool = False) -> Change:
+        """A change on top of the newest version. exact: where noted ranges meet those of another commit, the keys decide."""
+        return Change(self, exact)
 
     def upsert(self, delta: DataFrame, rules: dict[str, Callable[[Column, Column], Column]] | None = None, where: Callable | None = None, note: str | None = None) -> int:
         return self.begin().upsert(delta, rules, where).commit(note)
@@ -278,17 +281,18 @@ class LayeredTable(_Log):
 class Change:
     """A change on top of one version: reads see that version, writes gather in one delta."""
 
-    def __init__(self, table: LayeredTable):
-        self.table, self.version = table, table.pinned(None)
+    def __init__(self, table: LayeredTable, exact: bool = False):
+        self.table, self.version, self.exact = table, table.pinned(None), exact
         self.state = table.state(self.version)
         self.keys = self.state["keys"]
         self.schema = table._schema(self.state)
         self.delta: DataFrame | None = None
-        self._read: list[Footprint] = []
+        #: What was read: footprints, and the keys that they are of (None: the whole table).
+        self._read: list[tuple[Footprint, DataFrame | None]] = []
 
     def read(self) -> DataFrame:
         """All rows; whoever reads everything conflicts with any other writer."""
-        self._read.append(Footprint(everything=True))
+        self._read.append((Footprint(everything=True), None))
         return self.table._rows(self.state)
 
     def read_keys(self, keys: DataFrame) -> DataFrame:
@@ -298,8 +302,10 @@ class Change:
     def _held(self, rows: DataFrame) -> DataFrame:
         """The rows that have keys of these; all of the keys count as read."""
         only = rows.select(self.keys).distinct()
+        if self.exact:  # the keys as they were read, whatever becomes of where they came from
+            only, _ = written(only, shared_folder(self.table.spark, "keys"))
         seen, _ = self._footprint(only)
-        self._read.append(seen)
+        self._read.append((seen, only))
         return self.table._rows(self.state, set(seen.ranges), only)
 
     def _add(self, rows: DataFrame, gone: bool) -> Change:
@@ -334,6 +340,16 @@ class Change:
         hashes = {r[0] for r in hashed.select("h").collect()} if rows <= EXACT_KEYS else None
         return Footprint({r["b"]: (r["lo"], r["hi"]) for r in found}, hashes), rows
 
+    def _meets(self, mine: Footprint, keys: DataFrame | None, other: dict) -> bool:
+        """Whether the commit of this state wrote keys of mine; if exact, as the keys say and not their noted ranges."""
+        if not mine.meets(Footprint.of_json(other["wrote"])):
+            return False
+        if not self.exact or keys is None:
+            return True
+        folder, held = other["own"]
+        theirs = self.table.spark.read.schema(self.schema).parquet(*(f"{self.table.path}/{folder}/_bucket={b}" for b in held if b in mine.ranges))
+        return not theirs.select(self.keys).join(keys, self.keys, "left_semi").isEmpty()
+
     def commit(self, note: str | None = None) -> int:
         """Write the delta and make it the next version, behind commits that wrote none of its keys."""
         table = self.table
@@ -345,14 +361,13 @@ class Change:
         checked = self.delta.withColumn("_gone", F.when(bad, F.raise_error(F.lit("a key is null"))).otherwise(F.col("_gone")))
         folder, held = table._write_rows(checked, self.state, "d")
         paths = [f"{table.path}/{folder}/_bucket={b}" for b in held]
-        written = table.spark.read.schema(self.schema).parquet(*paths).select(self.keys) if paths else table.spark.createDataFrame([], self.schema).select(self.keys)
-        wrote, rows = self._footprint(written)
+        own = table.spark.read.schema(self.schema).parquet(*paths).select(self.keys) if paths else table.spark.createDataFrame([], self.schema).select(self.keys)
+        wrote, rows = self._footprint(own)
         checked_to = self.version
         while True:
             latest = table.pinned(None)
             for n in range(checked_to + 1, latest + 1):
-                other = Footprint.of_json(table.state(n)["wrote"])
-                if any(x.meets(other) for x in [wrote, *self._read]):
+                if any(self._meets(x, keys, table.state(n)) for x, keys in [(wrote, own), *self._read]):
                     raise Conflict(f"version {n} wrote keys that this change, made on version {self.version}, read or wrote")
             checked_to = latest
             state = table.state(latest)

@@ -55,7 +55,7 @@ def two_completions(s, d):
     table = LayeredTable(s, shared_folder(s, "layers"))
     table.create(jobs, ["id"])
     running = jobs.where("status = 'running'")
-    one, two = table.begin(), table.begin()
+    one, two = table.begin(exact=True), table.begin(exact=True)
     for change, rest in ((one, 0), (two, 1)):
         mine = change.read_keys(running.where(F.col("id") % 2 == rest))
         change.upsert(queue.complete(mine, mine.select("id", F.when(F.col("id") % 3 == 0, F.lit(NOW + 60)).cast("long").alias("resched"))))

@@ -135,6 +135,29 @@ def test_many_keys_are_noted_as_ranges(spark, table, monkeypatch):
     assert not a.meets(b) and a.meets(Footprint({1: (5, 20)})) and not a.meets(Footprint({2: (5, 20)}, None)) and Footprint(everything=True).meets(a) and not Footprint(everything=True).meets(Footprint())
 
 
+def test_exact_changes_of_many_keys_meet_in_keys_only(spark, table, monkeypatch):
+    monkeypatch.setattr(layered, "EXACT_KEYS", 3)
+    even, odd, late = (table.begin(exact=True) for _ in range(3))
+    for change, rest in ((even, 0), (odd, 1), (late, 1)):
+        mine = change.read_keys(rows(spark, *((k, "", 0) for k in range(100) if k % 2 == rest)))
+        change.upsert(mine.select("k", F.lit("x").alias("v"), F.lit(rest + 1).cast("long").alias("n")))
+        change.delete(rows(spark, *((k, "", 0) for k in range(200, 260) if k % 2 == rest)).select("k"))
+    assert (even.commit(), odd.commit()) == (2, 3)
+    assert model(table) == {k: ("x", k % 2 + 1) for k in range(100)}
+    with pytest.raises(Conflict):
+        late.commit()
+    # What was read counts, too: one key of many that another commit wrote.
+    reader, whole = table.begin(exact=True), table.begin(exact=True)
+    reader.read_keys(rows(spark, *((k, "", 0) for k in range(0, 50, 2))))
+    reader.upsert(rows(spark, (301, "r", 0)))
+    whole.read()
+    whole.upsert(rows(spark, (302, "w", 0)))
+    table.upsert(rows(spark, *((k, "z", 0) for k in (*range(1, 50, 2), 48))))
+    for change in (reader, whole):
+        with pytest.raises(Conflict):
+            change.commit()
+
+
 def test_racing_commits_all_land(spark, table):
     """Eight writers of their own keys at once: every one gets a number of its own."""
     failed = []
