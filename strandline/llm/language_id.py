@@ -15,9 +15,9 @@ totals stay those of all grams and the back-off weights take over their mass.
 A language is rejected where the text's bits per character exceed its limit.
 The limit starts at the language's own mean and ``slack`` of the distance to
 unigram noise (characters drawn alike from all seen); where more than
-``REJECTED`` of the language's calibration documents lie beyond that, it is
-raised to their quantile. Calibration documents are a bounded sample of the
-learning rows: at most ``CALIBRATION_ROWS`` distinct whole texts, the least by a hash.
+``REJECTED`` of the language's own documents lie beyond that, it is raised to
+their quantile. These are all learning rows that are given their own language,
+equal texts once; the quantile is one of their values, found by counts of ranges.
 
 Defined cases: null text, or text without a letter: ``und``, score 0, rejected;
 no learning rows: ``und``; ties: the language first in order; learning rows
@@ -33,16 +33,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import U64, WordTable, arrow_pass, as_bytes, flatten, mix, steps, table, text_pass, with_carry, word64
+from strandline.llm.common import U64, WordTable, arrow_pass, as_bytes, drop_table, flatten, mix, steps, table, text_pass, with_carry, word64
 
 ORDER = 4
 SLACK = 0.5
-#: Share of a language's own documents that its limit may reject, and the learning rows that it is calibrated on.
+#: Share of a language's own documents that its limit may reject.
 REJECTED = 0.001
-CALIBRATION_ROWS = 4_000
+#: Binary places of the ranges in which quantiles are sought, before single values.
+PLACES = (12, 30)
 LETTER = r"\p{L}"
 
 
@@ -347,18 +348,40 @@ def learn(learn_rows: DataFrame, order: int = ORDER, max_grams: int | None = Non
 
 
 def own_quantiles(rows: DataFrame, identifier: Identifier) -> None:
-    """Raise limits to the quantile of the bits of the language's own calibration documents."""
-    # Only hashes are ordered; the texts of the rows up to the last of them are read where they lie.
-    hashed = rows.select("text", "lang", F.xxhash64("text", F.lit(3)).alias("h"))
-    last = hashed.select("h").distinct().orderBy("h").limit(CALIBRATION_ROWS).agg(F.max("h")).first()[0]
-    sample = hashed.where(F.col("h") <= (last if last is not None else 0)).dropDuplicates(["h"]).select("text", "lang")
-    scored = identify(sample, identifier, carry="lang").where("bits is not null and lang = lang_pred").select("lang", "bits").toArrow()
-    bits = scored.column("bits").to_numpy()
-    langs = np.array(scored.column("lang").to_pylist(), object)
-    for k, lang in enumerate(identifier.languages):
-        own = bits[langs == lang]
-        if len(own):
-            identifier.limits[k] = max(identifier.limits[k], float(np.quantile(own, 1 - REJECTED, method="higher")))
+    """Raise limits to the quantile of the bits of all of the language's own learning rows."""
+    spark = rows.sparkSession
+    hashed = rows.select("text", F.struct("lang", F.xxhash64("text", F.lit(3)).alias("h")).alias("own"))
+    scored = identify(hashed, identifier, carry="own").where("bits is not null and own.lang = lang_pred")
+    values = table(spark, scored.select("own.lang", "own.h", "bits").distinct().groupBy("lang", "bits").agg(F.count(F.lit(1)).alias("c")))
+    place = {lang: k for k, lang in enumerate(identifier.languages)}
+    for lang, limit in quantiles(values).items():
+        identifier.limits[place[lang]] = max(identifier.limits[place[lang]], limit)
+    drop_table(values)
+
+
+def quantiles(values: DataFrame) -> dict[str, float]:
+    """Of values (lang, bits, c: how often), the least one of each language that at most REJECTED of its own lie above.
+
+    Ranges of values are counted, then those inside the one that the rank falls into: no task sorts a language.
+    """
+    spark = values.sparkSession
+    counted = values.groupBy("lang").agg(F.sum("c").alias("n")).collect()  # a row a language
+    wanted = [(r["lang"], None, r["n"] - math.ceil((r["n"] - 1) * (1 - REJECTED))) for r in counted]
+    inside = values
+    downwards = Window.partitionBy("lang").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    for places in (*PLACES, None):
+        def cut(p: int | None):
+            return F.col("bits") if p is None else F.floor(F.col("bits") * 2.0**p).cast("double")
+
+        ranges = inside.groupBy("lang", cut(places).alias("range")).agg(F.sum("c").alias("c"))
+        ranked = ranges.withColumn("above", F.coalesce(F.sum("c").over(downwards), F.lit(0)))
+        ranks = spark.createDataFrame(wanted, "lang string, range double, rank long")
+        found = ranked.join(F.broadcast(ranks.select("lang", "rank")), "lang").where("above < rank and rank <= above + c")  # a row a language
+        wanted = [(r["lang"], r["range"], r["rank"] - r["above"]) for r in found.collect()]
+        if wanted and places is not None:
+            chosen = spark.createDataFrame(wanted, "lang string, range double, rank long").select("lang", "range")
+            inside = values.withColumn("range", cut(places)).join(F.broadcast(chosen), ["lang", "range"], "left_semi").drop("range")  # a row a language
+    return {lang: value for lang, value, _ in wanted}
 
 
 class ScoredWords(WordTable):

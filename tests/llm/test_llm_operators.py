@@ -392,6 +392,27 @@ def test_limits_reject_no_more_than_their_share(spark, monkeypatch):
     assert language_id.identify(df, model).where("not accepted").count() <= math.ceil(len(texts) * language_id.REJECTED)
 
 
+def test_limits_come_from_every_learning_row(spark):
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choices("abcdefgh", weights=range(1, 9), k=rng.randint(1, 6))) for _ in range(rng.randint(1, 5))) for _ in range(7_000)]
+    rows = [(t, lang) for t, lang in zip(texts, ["aa"] * 6_000 + ["bb"] * 1_000, strict=True)] + [(texts[0], "aa")] * 50
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    model = language_id.learn(df, slack=0.0)
+    scored = language_id.identify(df.select("text", F.struct("lang", "text").alias("own")), model, carry="own").where("own.lang = lang_pred").select("own.lang", "own.text", "bits").distinct().collect()
+    for k, lang in enumerate(model.languages):
+        own = [r["bits"] for r in scored if r["lang"] == lang]
+        assert model.limits[k] == np.quantile(own, 1 - language_id.REJECTED, method="higher")
+    assert sum(r["lang"] == "aa" for r in scored) > 4_000
+
+
+def test_quantiles_are_of_all_values(spark):
+    rng = random.Random(12)
+    values = [("aa", rng.choice([rng.random() * 9, 5.0, 5.0 + rng.random() * 1e-9, 5.0 + rng.random() * 1e-14])) for _ in range(3_000)] + [("bb", 3.5)] * 2_000 + [("cc", 0.0)]
+    df = spark.createDataFrame(values, "lang string, bits double").groupBy("lang", "bits").agg(F.count(F.lit(1)).alias("c"))
+    want = {lang: np.quantile([v for x, v in values if x == lang], 1 - language_id.REJECTED, method="higher") for lang in ("aa", "bb", "cc")}
+    assert language_id.quantiles(df) == want and language_id.quantiles(df.where("false")) == {}
+
+
 def test_gram_cut_off_bounds_the_model(spark):
     rng = random.Random(1)
     texts = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(50)) for _ in range(10)]
