@@ -43,16 +43,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import BROADCAST_ROWS, U64, arrow_pass, as_bytes, components, mix, rows_of, small, steps, table, word64, word_hashes
+from strandline.llm.common import BROADCAST_ROWS, U64, arrow_pass, as_bytes, components, drop_table, mix, rows_of, small, steps, table, word64, word_hashes
 
 #: Boundaries that the cost formula chooses among: this many sizes at which one more member may be left out.
 BOUNDARIES = 3
 #: Bytes of a parity bitmap, and of the one of sets with WIDE_FROM members or more.
 NARROW, WIDE, WIDE_FROM = 128, 1024, 2_048
 #: Shingles that a task counts at a time, and how often one must recur among them to be reported.
-COUNTED, CROWDED = 2_000_000, 6
-#: Reported shingles that every task gets (9 bytes each). It decides the order of shingles only.
-HOT_SHINGLES = 1 << 18
+COUNTED, CROWDED = 4_000_000, 3
+#: Reported shingles that every task gets (12 bytes each). It decides the order of shingles only.
+HOT_SHINGLES = 1 << 20
 #: Members of one centre that one task compares before the centre is salted.
 CENTRE_ROWS = 500
 #: Members of one block of a list, and classes of one block of a component.
@@ -270,7 +270,9 @@ def class_pass(documents: DataFrame, size: int) -> DataFrame:
         sets, held, count = Sets(size), [], 0
 
         def crowded() -> pa.RecordBatch:
-            values = np.sort(np.concatenate(held))
+            values = np.concatenate(held)
+            held.clear()
+            values.sort()
             first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
             counts = np.diff(np.append(first, len(values)))
             often = counts >= CROWDED
@@ -290,7 +292,7 @@ def class_pass(documents: DataFrame, size: int) -> DataFrame:
             count += len(members)
             if count >= COUNTED:
                 yield crowded()
-                held, count = [], 0
+                count = 0
         if count:
             yield crowded()
 
@@ -409,7 +411,9 @@ def verify(documents: DataFrame, classes: DataFrame, pairs: DataFrame, size: int
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return table(documents.sparkSession, arrow_pass(parted, run, "a long, b long"))
+    linked = table(documents.sparkSession, arrow_pass(parted, run, "a long, b long"))
+    drop_table(texts)
+    return linked
 
 
 def in_blocks(members: DataFrame, count: str, rows: int) -> DataFrame:
@@ -527,13 +531,16 @@ class ListScan:
             yield self.batch(rows[x], right[y], far[x, y], whole)
 
 
-def scan_lists(mixed: DataFrame, percent: int, everything: bool = False) -> DataFrame:
-    """mixed: (sig, c, key, root, n, bits). Pairs (a, b, far, whole, sig) of different components that share a list and may link.
+def scan_lists(mixed: DataFrame, classes: DataFrame, percent: int, everything: bool = False) -> DataFrame:
+    """mixed: (sig, c, key, root), a table. Pairs (a, b, far, whole, sig) of different components that share a list and may link.
 
-    Where whole is false, only the nearest partner of each member of the list came.
+    Where whole is false, only the nearest partner of each member of the list came. Bitmaps meet their lists here
+    only: tables and earlier shuffles of lists carry keys.
     """
     scan = ListScan(percent, everything)
-    return group_pass(in_blocks(mixed, "c", LIST_ROWS), "sig", scan.rows, "a long, b long, far long, whole boolean, sig long", at_once=True)
+    listed = F.broadcast(mixed) if rows_of(mixed) <= BROADCAST_ROWS // 16 else mixed
+    sized = listed.join(classes.select("key", "n", "bits"), "key")
+    return group_pass(in_blocks(sized, "c", LIST_ROWS), "sig", scan.rows, "a long, b long, far long, whole boolean, sig long", at_once=True)
 
 
 def banded(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -548,10 +555,10 @@ def banded(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def mixed_lists(longer: DataFrame, root: DataFrame) -> DataFrame:
-    """Members of the lists that hold several components. longer: (sig, c, key, n, bits)."""
+    """(sig, c, key, root): members of the lists that hold several components. longer: (sig, c, key)."""
     marked = longer.join(small(root), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = marked.groupBy("sig").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p < q").select("sig")
-    return marked.join(mixed, "sig", "left_semi")
+    return marked.join(mixed, "sig", "left_semi").select("sig", "c", "key", "root")
 
 
 def merge_classes(spark: SparkSession, documents: DataFrame, lists: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -562,13 +569,13 @@ def merge_classes(spark: SparkSession, documents: DataFrame, lists: DataFrame, c
     chosen = table(spark, likely_pairs(couples.unionByName(led), classes, percent).select("a", "b"))
     links = verify(documents, classes, chosen, size, percent)
     root = table(spark, components(spark, links).withColumnRenamed("node", "key"))
-    longer = table(spark, lists.where("c > 2").select("sig", "c", "key").join(classes.select("key", "n", "bits"), "key"))
+    longer = lists.where("c > 2").select("sig", "c", "key")
     last = False
     while not last:
         mixed = table(spark, mixed_lists(longer, root))
         if not rows_of(mixed):
             break
-        scanned = table(spark, scan_lists(mixed, percent))
+        scanned = table(spark, scan_lists(mixed, classes, percent))
         unsettled = scanned.where("not whole")
         last = unsettled.isEmpty()
         near = scanned.groupBy("a", "b").agg(F.min("far").alias("far"), F.max("whole").alias("whole"))
@@ -580,9 +587,12 @@ def merge_classes(spark: SparkSession, documents: DataFrame, lists: DataFrame, c
         found = verify(documents, classes, table(spark, best), size, percent)
         if not last and not rows_of(found):
             # The nearest ones merge nothing: all that is left.
-            rest = mixed.join(unsettled.select("sig"), "sig", "left_semi")
-            found = verify(documents, classes, table(spark, scan_lists(rest, percent, everything=True).select("a", "b").distinct()), size, percent)
+            rest = table(spark, mixed.join(unsettled.select("sig"), "sig", "left_semi"))
+            found = verify(documents, classes, table(spark, scan_lists(rest, classes, percent, everything=True).select("a", "b").distinct()), size, percent)
+            drop_table(rest)
             last = True
+        drop_table(mixed)
+        drop_table(scanned)
         if rows_of(found):
             links = table(spark, links.unionByName(found))
             root = table(spark, components(spark, links).withColumnRenamed("node", "key"))
@@ -642,22 +652,30 @@ def jaccard_join(documents: DataFrame, size: int = 3, percent: int = 90, boundar
     classes = table(spark, classes.select("key", "n", "bits", "rep.doc_id", "rep.th"))
     crowded = found.where("shingle is not null").groupBy("shingle").agg(F.sum("c").alias("c"))
     hot = crowded.orderBy(F.desc("c"), "shingle").limit(HOT_SHINGLES).toArrow()
-    tokens, counts = hot.column("shingle").to_numpy().view(U64), hot.column("c").to_numpy().astype(float)
+    tokens, counts = hot.column("shingle").to_numpy().view(U64), hot.column("c").to_numpy().astype(np.float32)
     if boundary is None:
         total = classes.agg(F.sum("n")).first()[0] or 1
         sizes = classes.where(F.col("n") <= 2 * boundaries(percent)[-1]).groupBy("n").agg(F.count(F.lit(1)).alias("c"))
-        boundary = choose_boundary({r["n"]: r["c"] for r in sizes.collect()}, percent, float((counts * counts).sum()) / total)
+        boundary = choose_boundary({r["n"]: r["c"] for r in sizes.collect()}, percent, float(np.square(counts, dtype=float).sum()) / total)
     shared = spark.sparkContext.broadcast((tokens, counts))
     entries = table(spark, entry_pass(documents, size, Plan(percent, boundary), shared))
     met = entries.groupBy("sig").agg(F.min("key").alias("p"), F.max("key").alias("q"), F.max("early").alias("early")).where("p < q and early").select("sig")
     # Never broadcast: it is the largest of these tables, and a shuffle costs the same at every size.
-    members = table(spark, entries.select("sig", "key").join(table(spark, met).hint("merge"), "sig").distinct())
-    members = table(spark, banded(members, classes, percent))
+    met = table(spark, met)
+    shared_lists = table(spark, entries.select("sig", "key").join(met.hint("merge"), "sig").distinct())
+    drop_table(entries)
+    drop_table(met)
+    members = table(spark, banded(shared_lists, classes, percent))
+    drop_table(shared_lists)
     content = members.groupBy("sig").agg(F.min("key").alias("lead"), F.count(F.lit(1)).alias("c"), F.max("home").alias("home"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
     # Lists with the same members count as one.
     once = content.where("c > 1 and home").groupBy("c", "x", "y").agg(F.min("sig").alias("sig"), F.min("lead").alias("lead")).select("sig", "lead", "c")
-    lists = table(spark, members.select("sig", "key").join(small(table(spark, once)), "sig"))
+    once = table(spark, once)
+    lists = table(spark, members.select("sig", "key").join(small(once), "sig"))
+    drop_table(members)
+    drop_table(once)
     root = merge_classes(spark, documents, lists, classes, size, percent)
+    drop_table(lists)
     lows = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows"))
     grouped = lows.join(small(root), "key", "left").select("key", "low", "rows", F.coalesce("root", "key").alias("root"), F.col("root").isNotNull().alias("linked"))
     least = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -666,6 +684,7 @@ def jaccard_join(documents: DataFrame, size: int = 3, percent: int = 90, boundar
     if counted:
         told = told.join(table(spark, count_links(documents, classes, root, size, percent)), "key", "left")
     told = table(spark, told)
+    drop_table(classes)
     out = rows.join(small(told), "key", "left")
     n_links = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if counted else []
     return out.select("doc_id", "n_shingles", "key", F.coalesce("component_id", "doc_id").alias("component_id"), *n_links)

@@ -163,6 +163,32 @@ def test_a_hub_whose_near_copies_do_not_chain(spark, monkeypatch, counted):
         assert Counter(r["n_links"] for r in got.collect()) == Counter(degree[s] for s in sets)
 
 
+def test_lists_carry_no_bitmaps_and_go_when_read(spark, corpus, monkeypatch):
+    """Tables of lists, which outgrow the documents, hold keys only; all but the two that the result reads are deleted."""
+    seen, real = [], jaccard_join.table
+
+    def noted(session, df):
+        seen.append(real(session, df))
+        return seen[-1]
+
+    monkeypatch.setattr(jaccard_join, "table", noted)
+    base = [f"v{k}" for k in range(202)]
+    hub = [" ".join(f"x{k}-{at}" if at in (k % 66 * 3, (k * 7 + 1) % 67 * 3) else w for at, w in enumerate(base)) for k in range(60)]
+    out = jaccard_join.jaccard_join(documents(spark, [*corpus, *hub]), counted=False)
+    assert any({"sig", "root"} <= set(t.columns) for t in seen)
+    assert sum("bits" in t.columns for t in seen) == 2 and not any("bits" in t.columns for t in seen if "sig" in t.columns)
+    large = [t for t in seen if {"early", "home", "lead", "bits"} & set(t.columns) and "shingle" not in t.columns or {"sig", "root"} <= set(t.columns)]
+    assert len(large) >= 6 and not any(os.path.exists(t.written_path.removeprefix("file://")) for t in large)
+    assert sorted(map(tuple, out.select("doc_id", "n_shingles", "component_id").collect())) == brute_components([*corpus, *hub], 3, 90)
+
+
+def test_recurring_shingles_are_reported(spark):
+    """Three times among millions are enough: what is left unreported grows with the corpus and makes lists long."""
+    shared = " ".join(f"s{k}" for k in range(20))
+    found = jaccard_join.class_pass(documents(spark, [f"a{k} b{k} {shared} c{k}" for k in range(3)]).coalesce(1), 3)
+    assert found.where("shingle is not null and c = 3").count() == 18
+
+
 @pytest.mark.parametrize(("size", "long"), [(3, 5000), (5, 2500)])
 def test_long_sets_with_wide_bitmaps(spark, size, long):
     rng = random.Random(1)
