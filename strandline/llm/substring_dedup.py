@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.automaton import SuffixAutomaton
-from strandline.llm.common import BROADCAST_ROWS, U64, arrow_pass, as_bytes, mix, powers, rows_of, semi_join, small, steps, table, text_pass, whole_row, word64, word_hashes
+from strandline.llm.common import BROADCAST_ROWS, U64, arrow_pass, as_bytes, drop_table, mix, powers, rows_of, semi_join, small, steps, table, text_pass, whole_row, word64, word_hashes
 
 WINDOW, GRAM = 50, 16
 #: Blocks that one task remembers to settle repeats among its own documents.
@@ -250,7 +250,7 @@ def fragments(documents: DataFrame, window: int) -> DataFrame:
 
 
 def judged_windows(candidates: DataFrame, edges: DataFrame, window: int, reference_words: int) -> DataFrame:
-    """(doc_id, th, lo, hi) of the windows under the spans of candidates that an earlier document has. edges: the spans.
+    """(doc_id, th, lo, hi) of the windows under the spans of candidates that an earlier document has. edges: the spans, and how many were listed.
 
     Where all their words are reference_words at most, they are the reference: its suffix automata are
     broadcast and the candidates stream past them. Beyond that, equal windows meet by hash, which grows with
@@ -261,13 +261,18 @@ def judged_windows(candidates: DataFrame, edges: DataFrame, window: int, referen
     if (edges.agg(F.sum(words)).first()[0] or 0) <= reference_words:
         candidates = table(spark, candidates)
         return matched(candidates, fragments(candidates, window), window, earlier=True)
-    windows = table(spark, window_pass(candidates, window).distinct())
+    windows = window_pass(candidates, window)
+    # Only repeated rows repeat windows; distinct would shuffle all of them.
+    windows = table(spark, windows if edges.where("listed > size(spans)").isEmpty() else windows.distinct())
     lows = table(spark, windows.groupBy("f").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p < q").select("f", "p"))
-    return windows.join(lows, "f").where("p < doc_id").select("doc_id", "th", "lo", F.col("lo").alias("hi"))
+    out = table(spark, windows.join(lows, "f").where("p < doc_id").select("doc_id", "th", "lo", F.col("lo").alias("hi")))
+    drop_table(windows)
+    drop_table(lows)
+    return out
 
 
 def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, reference_words: int | None = None) -> DataFrame:
-    """(doc_id, th, spans): starts of windows that an earlier document has, as ranges lo..hi."""
+    """(doc_id, th, spans): starts of windows that an earlier document has, as ranges lo..hi; a table."""
     spark = documents.sparkSession
     rows = table(spark, block_pass(documents, window, gram))
     settled = rows.where("anchor is null").select("doc_id", "th", "lo", "hi")
@@ -275,17 +280,22 @@ def repeated_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     shared = open_rows.groupBy("anchor").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q")).where("p < q").select("anchor")
     # Anchors and blocks are made distinct, and written, before they meet their rows: a hot one is one row on that
     # side, and both sides are plain exchanges, so that the other can be split.
-    met = table(spark, open_rows.join(table(spark, shared), "anchor"))
+    shared = table(spark, shared)
+    met = table(spark, open_rows.join(shared, "anchor"))
+    drop_table(shared)
     blocks = table(spark, met.groupBy("anchor", "block").agg(F.min("doc_id").alias("first")))
     several = table(spark, blocks.groupBy("anchor").agg(F.min("block").alias("p"), F.max("block").alias("q")).where("p <> q").select("anchor"))
     judged = met.join(blocks.select("block", "first"), "block")
     whole = judged.where("first < doc_id").select("doc_id", "th", "lo", "hi")
-    edges = judged.where("first >= doc_id").join(several, "anchor").groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    edges = judged.where("first >= doc_id").join(several, "anchor").groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"), F.count(F.lit(1)).alias("listed"))
     edges = table(spark, edges)
     texts = semi_join(documents.select("doc_id", "text"), table(spark, edges.select("doc_id").distinct()), "doc_id").withColumn("th", hash_column("text"))
     single = judged_windows(texts.join(edges, ["doc_id", "th"]), edges, window, REFERENCE_WORDS if reference_words is None else reference_words)
     spans = settled.unionByName(whole).unionByName(single)
-    return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    out = table(spark, spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
+    for read in (rows, met, blocks, several, edges):
+        drop_table(read)
+    return out
 
 
 def remove_against(documents: DataFrame, reference: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -364,7 +374,7 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM
     Only documents that lose words travel to their spans, as long as their ids fit a broadcast.
     """
     spark = documents.sparkSession
-    spans = table(spark, repeated_spans(documents, window, gram))
+    spans = repeated_spans(documents, window, gram)
     ids = table(spark, spans.select("doc_id").distinct())
     base = documents.select("doc_id", "text")
     if rows_of(ids) <= BROADCAST_ROWS:
@@ -379,15 +389,15 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW, gram: int = GRAM
 def keep_rest(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """documents with reduced texts; a text of which nothing is left goes. n_chars follows the text."""
     spark = documents.sparkSession
-    spans = table(spark, repeated_spans(documents, window, gram))
+    spans = repeated_spans(documents, window, gram)
     ids = table(spark, spans.select("doc_id").distinct())
     ids = small(ids)
-    # The row rides as one struct: whatever its columns are called, they meet no name of the plan.
-    rows = documents.select("doc_id", "text", whole_row(documents).alias("_row"))
+    # The row rides as one struct, and its text in it only: whatever its columns are called, they meet no name of the plan.
+    rows = documents.select("doc_id", whole_row(documents).alias("_row"))
     same = rows.join(ids, "doc_id", "left_anti").select("_row.*")
-    hit = rows.join(ids, "doc_id", "left_semi").withColumn("_th", hash_column("text"))
+    hit = rows.join(ids, "doc_id", "left_semi").withColumn("_th", hash_column("_row.text"))
     hit = hit.join(spans.select("doc_id", F.col("th").alias("_th"), F.col("spans").alias("_spans")), ["doc_id", "_th"], "left")
-    cut_text = cut_udf(window)("text", F.to_json("_spans"))
+    cut_text = cut_udf(window)("_row.text", F.to_json("_spans"))
     hit = hit.select("_row", cut_text.alias("text")).where("text is null or text <> ''")
     changed = {"text": F.col("text")}
     if "n_chars" in documents.columns:

@@ -182,6 +182,34 @@ def test_lists_carry_no_bitmaps_and_go_when_read(spark, corpus, monkeypatch):
     assert sorted(map(tuple, out.select("doc_id", "n_shingles", "component_id").collect())) == brute_components([*corpus, *hub], 3, 90)
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_substring_stage_leaves_only_its_spans(spark, monkeypatch, copies):
+    """What is read is deleted, texts travel once, and windows are made distinct only where rows are repeated."""
+    seen, real = [], substring_dedup.table
+
+    def noted(session, df):
+        seen.append((real(session, df), df._jdf.queryExecution().optimizedPlan().toString()))
+        return seen[-1][0]
+
+    monkeypatch.setattr(substring_dedup, "table", noted)
+    monkeypatch.setattr(substring_dedup, "REFERENCE_WORDS", 0)
+    rng = random.Random(4)
+    shared = [f"s{rng.randrange(9_999)}" for _ in range(90)]
+    texts = [" ".join([f"a{k}"] * 20 + shared[: 60 + 3 * k] + [f"b{k}"] * 20) for k in range(8)]
+    df = documents(spark, texts)
+    for _ in range(copies - 1):
+        df = df.unionByName(documents(spark, texts[7:], first=7))
+    out = substring_dedup.keep_rest(df)
+    windows = [plan for t, plan in seen if t.columns == ["f", "doc_id", "th", "lo"]]
+    assert len(windows) == 1 and ("Aggregate [f" in windows[0]) == (copies > 1)
+    left = [t.columns for t, _ in seen if os.path.exists(t.written_path.removeprefix("file://"))]
+    assert {"anchor", "block", "f"}.isdisjoint(c for columns in left for c in columns)
+    assert "_row" in (hit := out._jdf.queryExecution().optimizedPlan().toString()) and not re.search(r"Project \[doc_id#\d+L, text#\d+, struct", hit)
+    got = {r["doc_id"]: r["text"].split() for r in out.collect()}
+    assert out.count() == 7 + copies and got[0] == texts[0].split()
+    assert all(got[k] == [f"a{k}"] * 20 + shared[57 + 3 * k : 60 + 3 * k] + [f"b{k}"] * 20 for k in range(1, 8))
+
+
 def test_recurring_shingles_are_reported(spark):
     """Three times among millions are enough: what is left unreported grows with the corpus and makes lists long."""
     shared = " ".join(f"s{k}" for k in range(20))
