@@ -83,9 +83,17 @@ LOWER_BYTES = BYTES[np.frombuffer(LOWER, np.uint8)]
 #: Bytes that are hashed at a time; a longer word comes alone.
 SEGMENT = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
+#: What once_a_task() remembers.
+TASK_TABLES: list = []
 
 
-@lru_cache(maxsize=4)
+def once_a_task(function: Callable) -> Callable:
+    """A cache that give_back() empties: waiting workers keep no tables of numbers."""
+    TASK_TABLES.append(cached := lru_cache(maxsize=4)(function))
+    return cached
+
+
+@once_a_task
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE to the powers 0 to n - 1, and their inverses modulo 2**64."""
     out = []
@@ -96,7 +104,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-@lru_cache(maxsize=4)
+@once_a_task
 def multipliers(n: int) -> np.ndarray:
     """n odd numbers of 64 bits that are unlike each other's powers: one a place of a run."""
     return mix(np.arange(1, n + 1, dtype=U64) * word64(0xD6E8FEB86659FD93)) | U64(1)
@@ -175,6 +183,8 @@ def flatten(lists: list[list]) -> tuple[list, np.ndarray]:
 
 def give_back() -> None:
     """Return freed memory to the system: Python workers outlive their tasks and wait beside the next ones."""
+    for cached in TASK_TABLES:
+        cached.cache_clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

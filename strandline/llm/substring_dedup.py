@@ -25,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.automaton import SuffixAutomaton
-from strandline.llm.common import BROADCAST_ROWS, U64, arrow_pass, as_bytes, drop_table, mix, powers, rows_of, semi_join, small, steps, table, text_pass, whole_row, word64, word_hashes
+from strandline.llm.common import BROADCAST_ROWS, U64, arrow_pass, as_bytes, drop_table, mix, once_a_task, powers, rows_of, semi_join, small, steps, table, text_pass, whole_row, with_carry, word64, word_hashes
 
 WINDOW, GRAM = 50, 16
 #: Blocks that one task remembers to settle repeats among its own documents.
@@ -61,7 +60,7 @@ class Rolling:
         return mix((self.prefix[start + length] - self.prefix[start]) * self.inverse[start])
 
 
-@lru_cache(maxsize=4)
+@once_a_task
 def prime_powers(n: int, prime: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """base to the powers 0 to n - 1 modulo prime, and their inverses."""
     out = []
@@ -397,30 +396,26 @@ def keep_rest(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     same = rows.join(ids, "doc_id", "left_anti").select("_row.*")
     hit = rows.join(ids, "doc_id", "left_semi").withColumn("_th", hash_column("_row.text"))
     hit = hit.join(spans.select("doc_id", F.col("th").alias("_th"), F.col("spans").alias("_spans")), ["doc_id", "_th"], "left")
-    cut_text = cut_udf(window)("_row.text", F.to_json("_spans"))
-    hit = hit.select("_row", cut_text.alias("text")).where("text is null or text <> ''")
+    # A pass, and not a function in a column: a filter on that is pushed below it and runs it twice, in twice the workers.
+    others = F.struct(*(F.col(f"_row.`{c}`").alias(c) for c in documents.columns if c != "text"))
+    hit = cut_pass(hit.select(F.col("_row.text").alias("text"), "_spans", others.alias("_row")), window).where("text is null or text <> ''")
     changed = {"text": F.col("text")}
     if "n_chars" in documents.columns:
         changed["n_chars"] = F.char_length("text").cast(documents.schema["n_chars"].dataType)
     return same.unionByName(hit.select(*(changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in documents.columns)))
 
 
-def cut_udf(window: int):
-    @F.pandas_udf("string")
-    def cut_out(texts, spans):
-        import json
+def cut_pass(rows: DataFrame, window: int) -> DataFrame:
+    """rows: text, _spans (null: none), _row: the text that stays, and _row as it is."""
 
-        import pandas as pd
-
-        out = []
-        for text, s in zip(texts, spans, strict=True):
-            if text is not None and s is not None:
-                raw = text.encode()
-                text = cut(raw, covered(json.loads(s), len(raw.split()), window)).decode()
-            out.append(text)
-        return pd.Series(out, dtype=object)
+    def one(step):
+        out = as_bytes(step.column("text"))
+        for i, spans in enumerate(step.column("_spans").to_pylist()):
+            if out[i] is not None and spans is not None:
+                out[i] = cut(out[i], covered(spans, len(out[i].split()), window))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), step.column("_row")], names=["text", "_row"])
 
-    return cut_out
+    return text_pass(rows, one, with_carry("text string", rows, ("_row",)))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

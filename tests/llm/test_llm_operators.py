@@ -317,6 +317,24 @@ def test_repeated_rows_do_not_remove_each_other(spark):
     assert kept.columns == documents(spark, ["x"]).columns
 
 
+def test_texts_are_cut_by_one_python_node(spark):
+    """A second one takes as many workers again, which stay beside the stages after it."""
+    passage = " ".join(f"w{k}" for k in range(60))
+    texts = [passage, f"a {passage} b", passage, None, "short", ""]
+    df = documents(spark, texts).withColumn("_spans", F.lit("x")).withColumn("n_chars", F.lit(-1))
+    kept = substring_dedup.keep_rest(df)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"MapInArrow|ArrowEvalPython|MapInPandas", plan)) == 1
+    got = {(r["doc_id"], r["text"], r["n_chars"], r["_spans"]) for r in kept.collect()}
+    assert got == {(0, passage, -1, "x"), (1, "a b", 3, "x"), (3, None, -1, "x"), (4, "short", -1, "x"), (5, "", -1, "x")}
+
+
+def test_waiting_workers_keep_no_tables_of_numbers():
+    common.powers(1024), common.multipliers(1024), substring_dedup.prime_powers(1024, *substring_dedup.LongRuns.FIELDS[0])
+    common.give_back()
+    assert [f.cache_info().currsize for f in (common.powers, common.multipliers, substring_dedup.prime_powers)] == [0, 0, 0]
+
+
 def items_of(texts):
     return [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) if t else [] for t in texts]
 
